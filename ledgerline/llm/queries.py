@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import decontaminate, exact_dedup, mixing, sharding, token_counts
+from ledgerline.llm import decontaminate, exact_dedup, mixing, ngram_join, sharding, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_token_counts": token_counts.op1,
+        "op2_ngram_join": ngram_join.op2,
         "op3_sharding": sharding.op3,
         "op4_exact_dedup": exact_dedup.op4,
         "op5_mixing": mixing.op5,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import decontaminate, exact_dedup, mixing, ngram_join, sharding, token_counts
+from ledgerline.llm import decontaminate, exact_dedup, language_id, mixing, ngram_join, pseudonyms, sharding, token_counts, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -13,6 +13,10 @@ def queries() -> dict:
         "op4_exact_dedup": exact_dedup.op4,
         "op5_mixing": mixing.op5,
         "op6_decontamination": decontaminate.op6,
+        "op7_url_filter": url_filter.op7,
+        "op8_toxicity": toxicity.op8,
+        "op9_pseudonyms": pseudonyms.op9,
+        "op10_language_id": language_id.op10,
     }
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import UPPER, LOWER, table
+from ledgerline.llm.common import keyed, LOWER, table, UPPER
 
 #: Words of a window. Test items are gathered in blocks of so many bytes of text, an automaton each; one block is held at a time.
 WINDOW = 10
@@ -122,8 +122,13 @@ def find_contamination(docs: DataFrame, bench: DataFrame, key: str = "doc_id", t
                 names=[key, "n_words", "n_hit", "items", "spans"],
             )
 
-    kind = dict(docs.dtypes)[key]
-    return docs.select(key, text).mapInArrow(scan, f"`{key}` {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>")
+    return docs.select(key, text).mapInArrow(scan, keyed(docs, key, "n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>"))
+
+
+def keep_uncontaminated(docs: DataFrame, bench: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of docs of which no word is hit, with all their columns."""
+    held = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"))
+    return find_contamination(held, bench, "_row", "_text").where("n_hit = 0").select("_row.*")
 
 
 def op6(spark, sf_dir):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import discard, materialize, table
+from ledgerline.llm.common import discard, keyed, materialize, table
 
 #: Documents and different words of each language that a model is trained on, at most.
 SAMPLE_DOCS, SAMPLE_WORDS = 400, 4_000
@@ -238,7 +238,7 @@ def identify_language(docs: DataFrame, model: BiGru | None, key: str = "doc_id",
                         scores.append(0.0)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[key, "lang_pred", "score"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, lang_pred string, score double")
+    return docs.select(key, text).mapInArrow(run, keyed(docs, key, "lang_pred string, score double"))
 
 
 def op10(spark, sf_dir):

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import WORD, materialize, table
+from ledgerline.llm.common import WORD, hash52, materialize, table
 
 #: Documents of a source are shuffled into so many ranges of their hash; the queue is cut in two steps of so many ranges.
 RANGES = 1024
@@ -38,8 +38,13 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), most: i
     return rows.select("source", "source_size", target.alias("target"))
 
 
+def place_of(seed: str, key: Column, text: Column) -> Column:
+    """A document's place in the shuffled order: 52 bits of the MD5 of seed, key and text."""
+    return hash52(F.lit(seed), key, F.md5(F.coalesce(text, F.lit(""))))
+
+
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = (5, 2, 1), most: int = MOST, seed: str = "mix") -> DataFrame:
-    """For each row of df: key, source, size, source_size, target, taken.
+    """For each row of df: key, source, size, source_size, target, taken, place.
 
     size: words of the text, 0 for null. Each source's documents stand in a shuffled order that the MD5 of seed, key and
     text fixes, so reruns agree. In pass e (0, 1, ...) a document has the virtual finish time
@@ -51,8 +56,7 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     source of a third of all rows is many tasks. The cut of the queue is found from counts of 1,024 ranges of
     the finish time, then 1,024 ranges inside the one that is cut, and only the few entries of that are put in order.
     """
-    digest = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit("")))))
-    h = F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
+    h = place_of(seed, F.col(key), F.col(text))
     docs = materialize(df.select(F.col(key).alias("_key"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), h.alias("_h")).withColumn("_range", F.shiftright("_h", 52 - 10)), "sizes")
     ranges = docs.groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
     goals = source_targets(ranges.groupBy("source").agg(F.sum("_sum").alias("source_size")), weights, most)
@@ -71,7 +75,7 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     rows = rows.withColumn("_entries", F.filter(F.transform(finish, entry), lambda e: e["f"].isNotNull()))
     last = _last_taken(rows.select(F.explode("_entries").alias("e")), goals)
     taken = F.size(F.filter("_entries", lambda e: last(e))) * F.col("size")
-    return rows.select(F.col("_key").alias(key), "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return rows.select(F.col("_key").alias(key), "source", "size", "source_size", "target", taken.cast("long").alias("taken"), F.col("_h").alias("place"))
 
 
 def _last_taken(entries: DataFrame, goals: DataFrame):
@@ -107,8 +111,18 @@ def _cut(entries: DataFrame, budget: int) -> tuple[int, int]:
     return (sums[-1][0] + 1 if sums else 0), budget
 
 
+def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = (5, 2, 1), most: int = MOST, seed: str = "mix") -> DataFrame:
+    """The rows of docs as often as the mix takes them, with all their columns. Texts without words take no part."""
+    taken = mix(docs, key, text, source, weights, most, seed).groupBy(F.col(key).alias("_key"), "place", F.col(source).alias("_source")).agg(F.sum(F.try_divide("taken", "size")).cast("int").alias("_times"))
+    taken = materialize(taken.where("_times > 0"), "taken")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(key).alias("_key"), place_of(seed, F.col(key), F.col(text)).alias("place"), F.col(source).alias("_source"))
+    rows = rows.withColumn("_once", F.row_number().over(Window.partitionBy("_key", "place", "_source").orderBy("place"))).where("_once = 1")
+    same = [rows["_key"].eqNullSafe(taken["_key"]), rows["place"] == taken["place"], rows["_source"].eqNullSafe(taken["_source"])]
+    return rows.join(taken, same).select("_row", F.explode(F.sequence(F.lit(1), "_times")).alias("_i")).select("_row.*")
+
+
 def op5(spark, sf_dir):
-    return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("source")
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("source", "place")
 
 
 SQL = """

@@ -13,7 +13,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ledgerline.llm.common import table
+from ledgerline.llm.common import keyed, table
 
 #: Counts of white-space-free pieces that a task remembers; longer pieces than REMEMBER_CHARS are counted anew.
 REMEMBER, REMEMBER_CHARS = 300_000, 48
@@ -134,7 +134,7 @@ def token_counts(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
             n = [counter.count(t) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t.encode()) if t else 0 for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=[key, "n_bytes", "n_tokens", "over_limit"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, n_bytes long, n_tokens long, over_limit boolean")
+    return df.select(key, text).mapInArrow(run, keyed(df, key, "n_bytes long, n_tokens long, over_limit boolean"))
 
 
 def op1(spark, sf_dir):

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import discard, materialize, table
+from ledgerline.llm.common import discard, keyed, materialize, table
 
 #: Labelled rows that a model is fitted on, at most, for each grade; features that it has at most.
 SAMPLE, FEATURES = 6_000, 4_096
@@ -48,7 +48,7 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -40, 40)))
 
 
-def fit_ordinal(row: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarray, weight: np.ndarray, n_features: int, grades: int, l2: float = 1e-4, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(row: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarray, weight: np.ndarray, n_features: int, grades: int, l2: float = 1e-6, steps: int = 500, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ascending thresholds by gradient descent (Adam) on the likelihood of the grades; rows weigh `weight`.
 
     Entries are (row, feature, value). The first threshold is free, each further one adds a softplus, so they keep their order.
@@ -167,7 +167,7 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel | None, key: str = "doc_
             above = model.at_least(scores) if model else np.zeros((batch.num_rows, 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(above.sum(axis=1)), pa.array(above[:, 0]), pa.array(above[:, 0] >= 0.5)], names=[key, "severity", "p_toxic", "toxic"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, severity double, p_toxic double, toxic boolean")
+    return docs.select(key, text).mapInArrow(run, keyed(docs, key, "severity double, p_toxic double, toxic boolean"))
 
 
 def label_grades(labels: DataFrame) -> DataFrame:
@@ -178,7 +178,7 @@ def label_grades(labels: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs whose text the model does not call toxic, with all their columns."""
     model = fit_toxicity(docs, label_grades(labels), key, text)
-    held = docs.withColumn("_row", F.struct(*docs.columns)).select("_row", F.col(text).alias("_text"))
+    held = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"))
     return score_toxicity(held, model, "_row", "_text").where("not toxic").select("_row.*")
 
 

@@ -1 +1,86 @@
-"""."""
+"""Queries that show the scalar functions over whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ledgerline.functions import errors, identifiers, payloads, text, timing, uris
+from ledgerline.registry import query
+from ledgerline.sources.ledger import EVENTS_NOW, Ledger, ts
+
+
+@query("source_ids_parsed", "SELECT blob_id, split_part(source_id, ':', 1) AS kind, split_part(source_id, ':', 2)::bigint AS repo_id, split_part(source_id, ':', 3) AS number, true AS valid FROM patch_blobs")
+def _source(db: Ledger):
+    return db.patch_blobs().select("blob_id", identifiers.parse_source_id(F.col("source_id")).alias("p")).select("blob_id", "p.*")
+
+
+@query("repo_keys", "SELECT repo_id, rtrim(url, '/') AS url, 'gl' || (repo_id % 4) || '.example.com' AS instance, split_part(project_key, '/', 1) AS tenant FROM repos")
+def _keys(db: Ledger):
+    return db.repos().select("repo_id", identifiers.normalize_url(F.col("url")).alias("url"), identifiers.instance_key(F.col("url")).alias("instance"), identifiers.tenant_id(F.lit("{}"), F.col("project_key")).alias("tenant"))
+
+
+@query("job_types_mapped", "SELECT repo_id, l AS logical, CASE WHEN repo_type = 'git' THEN CASE l WHEN 'commits' THEN 'gitlab_commits' WHEN 'mrs' THEN 'gitlab_mrs' WHEN 'reviews' THEN 'gitlab_reviews' END WHEN l = 'commits' THEN 'svn' END AS job_type, CASE WHEN l = 'x' THEN 'unknown_job_type' WHEN repo_type = 'svn' AND l <> 'commits' THEN 'unsupported_for_repo_type' END AS reason FROM repos, (SELECT unnest(['commits', 'mrs', 'reviews', 'x']) AS l)")
+def _types(db: Ledger):
+    rows = db.repos().select("repo_id", "repo_type", F.explode(F.array(*[F.lit(x) for x in ("commits", "mrs", "reviews", "x")])).alias("logical"))
+    return rows.select("repo_id", "logical", identifiers.physical_job_type(F.col("repo_type"), F.col("logical")).alias("p")).select("repo_id", "logical", "p.*")
+
+
+@query("uris_classified", "SELECT blob_id, CASE WHEN coalesce(evidence_uri, '') = '' THEN NULL WHEN evidence_uri LIKE 'memory://%' THEN 'evidence_uri' WHEN evidence_uri LIKE 's3://%' THEN 'physical_uri' ELSE 'artifact_key' END AS uri_class, CASE WHEN contains(evidence_uri, '://') THEN split_part(evidence_uri, '://', 1) WHEN evidence_uri IS NOT NULL THEN '' END AS scheme FROM patch_blobs")
+def _uris(db: Ledger):
+    return db.patch_blobs().select("blob_id", uris.uri_class(F.col("evidence_uri")).alias("uri_class"), uris.scheme_of(F.col("evidence_uri")).alias("scheme"))
+
+
+@query("evidence_parsed", "SELECT blob_id, CASE WHEN blob_id % 5 = 0 THEN source_id END AS id, CASE WHEN blob_id % 5 = 0 THEN sha256 END AS sha256, coalesce(blob_id % 5 = 0, false) AS valid FROM patch_blobs")
+def _evidence(db: Ledger):
+    return db.patch_blobs().select("blob_id", uris.parse_evidence(F.col("evidence_uri")).alias("p")).select("blob_id", "p.id", "p.sha256", "p.valid")
+
+
+@query("texts_redacted", r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\b(glp[a-z]{1,2}-[A-Za-z0-9_-]{10,})\b', '[GITLAB_TOKEN]', 'g'), '\bBearer\s+[A-Za-z0-9_.\-=]+', '[REDACTED]', 'gi'), 'postgres(ql)?://[^\s)]+', '[REDACTED]', 'gi'), '(Authorization[:\s]+)(\S+\s+)?(\S+)', '\1[REDACTED]', 'gi'), '(PRIVATE-TOKEN[:\s]+)[^\s,;]+', '\1[REDACTED]', 'gi'), '(password[=:\s]+)[^\s&;,]+', '\1[REDACTED]', 'gi'), '(token[=:\s]+)[^\s&;,]+', '\1[REDACTED]', 'gi'), '(://[^:]+:)[^@]+(@)', '\1[REDACTED]\2', 'g') AS redacted FROM documents""")
+def _redact(db: Ledger):
+    return db.raw("documents").select("doc_id", text.redact(F.col("text")).alias("redacted"))
+
+
+@query("cards_trimmed", "SELECT conv_id, turn, CASE WHEN length(text) > 200 THEN substr(text, 1, 180) || '... [内容已截断]' ELSE text END AS content, length(text) > 200 AS was_trimmed, length(text)::int AS original_length FROM conversations")
+def _trim(db: Ledger):
+    return db.cards().select("conv_id", "turn", text.trim(F.col("text"), 200).alias("t")).select("conv_id", "turn", "t.*")
+
+
+@query("cards_rendered", "SELECT conv_id, turn, sha256(concat_ws(chr(10), '[Kind] FACT', '[Owner] ' || role, '[Summary] ' || substr(text, 1, 80), '[Details]' || chr(10) || text)) AS payload_sha FROM conversations WHERE text <> '' AND role <> ''")
+def _cards(db: Ledger):
+    card = text.card_markdown(F.lit("FACT"), F.col("role"), F.lit(None).cast("string"), F.substring("text", 1, 80), F.col("text"))
+    return db.cards().where("text != '' and role != ''").select("conv_id", "turn", text.card_payload_sha(card).alias("payload_sha"))
+
+
+@query("errors_classified", "SELECT job_id, CASE last_error WHEN 'HTTP 429 Too Many Requests' THEN 'rate_limit' WHEN 'read timed out' THEN 'timeout' WHEN '502 Bad Gateway' THEN 'server_error' WHEN 'connection reset by peer' THEN 'network' WHEN '401 Unauthorized' THEN 'auth_error' WHEN '403 Forbidden' THEN 'permission_denied' WHEN '404 project not found' THEN 'repo_not_found' WHEN 'repo_not_found' THEN 'repo_not_found' ELSE '' END AS category, last_error IN ('401 Unauthorized', '403 Forbidden', '404 project not found', 'repo_not_found') AS permanent, last_error IN ('HTTP 429 Too Many Requests', 'read timed out', '502 Bad Gateway', 'connection reset by peer') AS transient FROM sync_jobs")
+def _errors(db: Ledger):
+    return db.sync_jobs().select("job_id", errors.classify_last_error(F.col("last_error")).alias("e")).select("job_id", "e.category", "e.permanent", "e.transient")
+
+
+@query("backoffs", "SELECT job_id, least(3600, CASE job_type WHEN 'svn' THEN 120 WHEN 'gitlab_mrs' THEN 45 ELSE 60 END * power(2, greatest(attempts + 3, 0)))::bigint AS seconds FROM sync_jobs")
+def _backoffs(db: Ledger):
+    kind = F.when(F.col("job_type") == "svn", "rate_limit").when(F.col("job_type") == "gitlab_mrs", "connection").otherwise("other")
+    return db.sync_jobs().select("job_id", errors.backoff_seconds(kind, F.col("attempts") + 4).alias("seconds"))
+
+
+@query("cursor_ages", f"SELECT repo_id, greatest(0.0::double, (epoch_us(TIMESTAMP '{EVENTS_NOW}') - epoch_us(max(started_at))) / 1000000.0::double) AS age, strftime(max(started_at), '%Y-%m-%dT%H:%M:%SZ') AS iso FROM sync_runs GROUP BY 1")
+def _ages(db: Ledger):
+    last = db.sync_runs().groupBy("repo_id").agg(F.max("started_at").alias("at"))
+    return last.select("repo_id", timing.cursor_age(ts(EVENTS_NOW), F.col("at")).alias("age"), timing.to_iso(F.col("at")).alias("iso"))
+
+
+@query("run_counts", "SELECT run_id, hits_429::bigint AS total_429_hits, timeouts::bigint AS timeout_count, requests::bigint AS total_requests, 0::bigint AS synced_count FROM sync_runs")
+def _counts(db: Ledger):
+    return db.sync_runs().select("run_id", payloads.counts(F.col("counts")).alias("c")).select("run_id", "c.total_429_hits", "c.timeout_count", "c.total_requests", "c.synced_count")
+
+
+@query("run_statuses", "SELECT run_id, CASE status WHEN 'running' THEN 'failed' ELSE status END AS explicit, CASE WHEN synced_count % 4 = 0 THEN 'failed' WHEN synced_count % 3 = 0 THEN 'no_data' ELSE 'completed' END AS derived FROM sync_runs")
+def _statuses(db: Ledger):
+    none, k = F.lit(None).cast("string"), F.col("synced_count")
+    return db.sync_runs().select("run_id", payloads.run_status(F.col("status"), none, k, F.lit(True)).alias("explicit"), payloads.run_status(none, F.when(k % 4 == 0, "boom"), k % 3, F.lit(True)).alias("derived"))
+
+
+@query("audit_events_built", "SELECT audit_id, sha256(reason) AS payload_sha, length(reason)::int AS payload_len, strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS event_ts FROM write_audit")
+def _built(db: Ledger):
+    event = payloads.audit_event(F.lit("gateway"), F.lit("memory_store"), F.col("actor_user_id"), F.col("target_space"), F.col("action"), F.col("reason"), F.col("reason"), F.array(F.col("correlation_id")), F.col("created_at"))
+    out = db.write_audit().select("audit_id", event.alias("j"))
+    return out.select("audit_id", F.get_json_object("j", "$.payload_sha").alias("payload_sha"), F.get_json_object("j", "$.payload_len").cast("int").alias("payload_len"), F.get_json_object("j", "$.event_ts").alias("event_ts"))

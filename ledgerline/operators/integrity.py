@@ -1 +1,114 @@
-"""."""
+"""Integrity, health and garbage checks."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ledgerline.operators.joins import normalized_key, resolve_evidence
+from ledgerline.operators.lookups import expired_jobs, expired_locks, expired_runs
+from ledgerline.registry import query
+from ledgerline.schemas import duplicates, violations
+from ledgerline.sources.ledger import EVENTS_NOW, ORDERS_NOW, Ledger, age, ts
+
+
+def check_blobs(blobs: DataFrame, attachments: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Blobs with a fault, the first that holds: no evidence uri, one of a wrong form, one that leads to nothing, a file (path, sha256) that is missing or differs."""
+    uri = F.coalesce("evidence_uri", F.lit(""))
+    rows = resolve_evidence(blobs, blobs, attachments.select("attachment_id", "sha256")) if "resolution" not in blobs.columns else blobs
+    rows = rows.withColumnRenamed("resolution", "_r").drop("sha256", "kind").join(blobs.select("blob_id", "sha256"), "blob_id")
+    fault = F.when(uri == "", "missing_evidence_uri").when(F.col("_r") == "invalid", "invalid_evidence_uri").when(F.col("_r") == "not_found", "not_found").when(F.col("_r") == "hash_mismatch", "sha_mismatch")
+    if files is not None:
+        held = files.select(normalized_key(F.col("path")).alias("_key"), F.col("sha256").alias("_file_sha"))
+        rows = rows.withColumn("_key", normalized_key(F.col("uri"))).join(held, "_key", "left")
+        fault = F.coalesce(fault, F.when(F.col("uri").isNotNull() & F.col("_file_sha").isNull(), "file_missing").when(F.col("_file_sha") != F.col("sha256"), "file_differs"))
+    return rows.withColumn("fault", fault).where("fault is not null").select("blob_id", "evidence_uri", "fault")
+
+
+def check_invariants(jobs: DataFrame, runs: DataFrame, locks: DataFrame, repos: DataFrame, jobs_now: Column, runs_now: Column) -> DataFrame:
+    """(name, severity, n) of five checks; the ledger is healthy when no critical one counts anything."""
+    from ledgerline.operators.joins import orphan_jobs, orphan_locks
+
+    parts = [("expired_jobs", "critical", expired_jobs(jobs, jobs_now)), ("expired_runs", "warning", expired_runs(runs, runs_now)), ("expired_locks", "warning", expired_locks(locks, runs_now)), ("orphan_jobs", "critical", orphan_jobs(jobs, repos)), ("orphan_locks", "warning", orphan_locks(locks, jobs))]
+    counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), F.lit(severity).alias("severity"), "n") for name, severity, df in parts]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+def breaker_faults(breakers: DataFrame) -> DataFrame:
+    """Open breakers without a sample."""
+    samples = F.coalesce(F.get_json_object("value_json", "$.samples").try_cast("int"), F.lit(0))
+    return breakers.where((F.get_json_object("value_json", "$.state") == "open") & (samples == 0))
+
+
+def collect_garbage(files: DataFrame, references: DataFrame, now: Column, min_age: int = 86400, prefix: str | None = None) -> DataFrame:
+    """files (path, size, modified_at) with state: outside, referenced, too_young or candidate. Temporary files (*.tmp) need no reference, only age."""
+    used = references.where(F.col("uri").isNotNull() & (F.col("uri") != "") & ~F.col("uri").startswith("memory://")).select(normalized_key(F.col("uri")).alias("_key"), F.lit(True).alias("_used")).distinct()
+    rows = files.withColumn("_key", normalized_key(F.col("path"))).join(used, "_key", "left")
+    outside = F.lit(False) if prefix is None else ~F.col("_key").startswith(prefix)
+    state = F.when(outside, "outside").when(F.col("_used") & ~F.col("path").endswith(".tmp"), "referenced").when(age(now, F.col("modified_at")) < min_age, "too_young").otherwise("candidate")
+    return rows.withColumn("state", state).drop("_used", "_key")
+
+
+def audit_artifacts(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """rows (uri, sha256) against files (path, content or sha256): ok, mismatch or missing."""
+    digest = F.sha2("content", 256) if "content" in files.columns else F.col("sha256")
+    held = files.select(normalized_key(F.col("path")).alias("_key"), digest.alias("_sha"))
+    out = rows.withColumn("_key", normalized_key(F.col("uri"))).join(held, "_key", "left")
+    return out.withColumn("audit", F.when(F.col("_sha").isNull(), "missing").when(F.col("_sha") == F.lower("sha256"), "ok").otherwise("mismatch")).drop("_key", "_sha")
+
+
+def migration_preview(rows: DataFrame, column: str, old: str, new: str) -> DataFrame:
+    """Rows whose uri moves from one root to another, with the new uri. Only what really changes is listed."""
+    moved = F.concat(F.lit(new.rstrip("/") + "/"), F.substr(F.col(column), F.lit(len(old.rstrip("/")) + 2)))
+    return rows.where(F.col(column).startswith(old.rstrip("/") + "/")).withColumn("new_uri", moved)
+
+
+@query("blob_faults", "SELECT blob_id, evidence_uri, CASE WHEN coalesce(evidence_uri, '') = '' THEN 'missing_evidence_uri' ELSE 'invalid_evidence_uri' END AS fault FROM patch_blobs WHERE blob_id % 5 <> 0")
+def _blobs(db: Ledger):
+    return check_blobs(db.patch_blobs(), db.attachments())
+
+
+@query("invariants", f"""SELECT 'expired_jobs' AS name, 'critical' AS severity, count(*) AS n FROM sync_jobs WHERE status = 'running' AND locked_at + to_seconds(lease_seconds + 60) < TIMESTAMP '{ORDERS_NOW}'
+UNION ALL SELECT 'expired_runs', 'warning', count(*) FROM sync_runs WHERE status = 'running' AND started_at + to_seconds(1800) < TIMESTAMP '{EVENTS_NOW}'
+UNION ALL SELECT 'expired_locks', 'warning', count(*) FROM sync_locks WHERE locked_by IS NOT NULL AND locked_at + to_seconds(lease_seconds) < TIMESTAMP '{EVENTS_NOW}'
+UNION ALL SELECT 'orphan_jobs', 'critical', count(*) FROM sync_jobs WHERE status IN ('pending', 'running') AND repo_id NOT IN (SELECT repo_id FROM repos)
+UNION ALL SELECT 'orphan_locks', 'warning', count(*) FROM sync_locks l WHERE locked_by IS NOT NULL AND NOT EXISTS (SELECT 1 FROM sync_jobs j WHERE j.repo_id = l.repo_id AND j.job_type = l.job_type AND j.status = 'running')""")
+def _invariants(db: Ledger):
+    return check_invariants(db.sync_jobs(), db.sync_runs(), db.sync_locks(), db.repos(), ts(ORDERS_NOW), ts(EVENTS_NOW))
+
+
+@query("garbage", "SELECT state, count(*) AS files, sum(size)::bigint AS bytes FROM (SELECT size_bytes AS size, CASE WHEN blob_id % 3 <> 0 THEN 'referenced' WHEN epoch_us(TIMESTAMP '2024-01-01 12:00:00') - epoch_us(created_at) < 14400000000 THEN 'too_young' ELSE 'candidate' END AS state FROM (SELECT *, row_number() OVER (PARTITION BY sha256 ORDER BY blob_id) AS rn, bool_or(blob_id % 3 <> 0) OVER (PARTITION BY sha256) AS used FROM patch_blobs) WHERE NOT used OR blob_id % 3 <> 0) GROUP BY 1")
+def _garbage(db: Ledger):
+    from ledgerline.operators.aggregates import gc_summary
+
+    blobs = db.patch_blobs()
+    used = F.max((F.col("blob_id") % 3 != 0).cast("int")).over(Window.partitionBy("sha256"))
+    files = blobs.withColumn("_used", used).where((F.col("_used") == 0) | (F.col("blob_id") % 3 != 0))
+    files = files.select(F.concat(F.lit("scm/1/git/"), "sha256", F.lit(".diff")).alias("path"), F.col("size_bytes").alias("size"), F.col("created_at").alias("modified_at"))
+    return gc_summary(collect_garbage(files, blobs.select("uri"), ts("2024-01-01 12:00:00"), 14400))
+
+
+@query("artifacts_audited", "SELECT blob_id, CASE WHEN blob_id % 7 = 0 THEN 'mismatch' WHEN blob_id % 3 = 1 THEN 'ok' ELSE 'missing' END AS audit FROM patch_blobs WHERE blob_id % 3 <> 0 AND (blob_id % 7 <> 0 OR blob_id % 3 = 1)")
+def _audited(db: Ledger):
+    n = F.col("blob_id")
+    rows = db.patch_blobs().where((n % 3 != 0) & ((n % 7 != 0) | (n % 3 == 1))).withColumn("uri", F.concat(F.lit("scm/"), n, F.lit(".diff")))
+    files = rows.where(n % 3 == 1).select("uri", F.when(n % 7 == 0, F.lit("0")).otherwise(F.col("sha256")).alias("sha256"))
+    return audit_artifacts(rows, files.withColumnRenamed("uri", "path")).select("blob_id", "audit")
+
+
+@query("uris_migrated", "SELECT blob_id, 'gs://new/' || sha256 AS new_uri FROM patch_blobs WHERE evidence_uri LIKE 's3://bucket/%'")
+def _migrated(db: Ledger):
+    return migration_preview(db.patch_blobs(), "evidence_uri", "s3://bucket", "gs://new").select("blob_id", "new_uri")
+
+
+@query("rule_violations", "SELECT 'repos' AS name, 0::bigint AS n UNION ALL SELECT 'sync_jobs', 0 UNION ALL SELECT 'duplicate_blobs', count(*) FROM (SELECT sha256 FROM patch_blobs GROUP BY 1 HAVING count(*) > 1)")
+def _rules(db: Ledger):
+    parts = {"repos": violations(db.repos(), "repos"), "sync_jobs": violations(db.sync_jobs(), "sync_jobs"), "duplicate_blobs": duplicates(db.patch_blobs(), ["sha256"])}
+    out = None
+    for name, df in parts.items():
+        n = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+        out = n if out is None else out.unionByName(n)
+    return out

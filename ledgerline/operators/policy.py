@@ -1 +1,175 @@
-"""."""
+"""Decisions of the ledger as chains of conditions, the first that holds deciding."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ledgerline.registry import query
+from ledgerline.sources.ledger import EVENTS_NOW, Ledger, age, ts
+
+
+@dataclass(frozen=True)
+class WritePolicy:
+    """What a team space accepts; the defaults are the ledger's."""
+
+    team_write_enabled: bool = True
+    allowlist_users: tuple[str, ...] = ()
+    allowed_kinds: tuple[str, ...] = ()
+    require_evidence: bool = True
+    max_chars: int = 1200
+    bulk_mode: str = "very_short"
+    bulk_max_chars: int = 200
+
+
+def decide_writes(requests: DataFrame, policy: WritePolicy = WritePolicy()) -> DataFrame:
+    """requests (target_space, actor_user_id, payload_md, kind, has_evidence, is_bulk) with action, reason and final_space."""
+    space, actor, kind = F.col("target_space"), F.col("actor_user_id"), F.col("kind")
+    n = F.length("payload_md")
+    private = F.concat(F.lit("private:"), F.coalesce(F.nullif(actor, F.lit("")), F.lit("unknown")))
+    rules: list[tuple[Column, str, Column]] = [(space.startswith("private:"), "allow", F.lit("private_space")), (~(space.startswith("team:") | space.startswith("org:")), "reject", F.lit("unknown_space_type"))]
+    if not policy.team_write_enabled:
+        rules.append((F.lit(True), "redirect", F.lit("team_write_disabled")))
+    if policy.allowlist_users:
+        rules.append((~F.coalesce(actor.isin(*policy.allowlist_users), F.lit(False)), "redirect", F.lit("user_not_in_allowlist")))
+    if policy.allowed_kinds:
+        rules.append((F.coalesce((kind != "") & ~kind.isin(*policy.allowed_kinds), F.lit(False)), "redirect", F.concat(F.lit("kind_not_allowed:"), kind)))
+    if policy.require_evidence:
+        rules.append((~F.coalesce("has_evidence", F.lit(False)), "redirect", F.lit("missing_evidence")))
+    rules.append((n > policy.max_chars, "redirect", F.concat(F.lit("exceeds_max_chars:"), n.cast("string"), F.lit(f">{policy.max_chars}"))))
+    bulk = F.coalesce("is_bulk", F.lit(False))
+    if policy.bulk_mode == "very_short":
+        rules.append((bulk & (n > policy.bulk_max_chars), "redirect", F.lit("bulk_too_long")))
+    elif policy.bulk_mode == "reject":
+        rules.append((bulk, "redirect", F.lit("bulk_not_allowed")))
+    rules.append((F.lit(True), "allow", F.lit("policy_passed")))
+    verdict = None
+    for condition, action, reason in rules:
+        value = F.struct(F.lit(action).alias("action"), reason.alias("reason"))
+        verdict = F.when(condition, value) if verdict is None else verdict.when(condition, value)
+    out = requests.withColumn("_v", verdict)
+    return out.withColumns({"action": F.col("_v.action"), "reason": F.col("_v.reason"), "final_space": F.when(F.col("_v.action") == "redirect", private).otherwise(space)}).drop("_v")
+
+
+def validate_actors(requests: DataFrame, users: DataFrame, mode: str = "reject") -> DataFrame:
+    """requests with actor_state and the space they go to, for unknown users by mode: reject, degrade (to a private space) or create."""
+    known = users.select(F.col("user_id").alias("actor_user_id"), F.lit(True).alias("_known")).distinct()
+    out = requests.join(known, "actor_user_id", "left")
+    unknown = F.col("_known").isNull() & F.col("actor_user_id").isNotNull()
+    state = {"reject": "actor_unknown:reject", "degrade": "actor_unknown:degrade", "create": "actor_autocreated"}[mode]
+    space = F.when(unknown & F.lit(mode == "degrade"), F.concat(F.lit("private:"), "actor_user_id")).otherwise(F.col("target_space"))
+    return out.withColumns({"actor_state": F.when(unknown, F.lit(state)).otherwise("ok"), "target_space": space}).drop("_known")
+
+
+def store_decisions(requests: DataFrame, users: DataFrame, sent: DataFrame, policy: WritePolicy = WritePolicy(), mode: str = "degrade") -> DataFrame:
+    """The whole way of a write: actor, duplicate, policy. `outcome` is rejected, duplicate, redirected or stored, and goes into the audit."""
+    rows = validate_actors(requests, users, mode)
+    dup = sent.where("status = 'sent'").select("target_space", "payload_sha", F.lit(True).alias("_dup")).distinct()
+    rows = decide_writes(rows, policy).withColumn("payload_sha", F.sha2("payload_md", 256)).join(dup, ["target_space", "payload_sha"], "left")
+    stopped = F.col("actor_state") == "actor_unknown:reject"
+    outcome = F.when(stopped, "rejected").when(F.col("_dup"), "duplicate").when(F.col("action") == "reject", "rejected").when(F.col("action") == "redirect", "redirected").otherwise("stored")
+    reason = F.when(stopped, F.col("actor_state")).when(F.col("_dup"), "dedup_hit").otherwise(F.concat(F.lit("policy:"), "reason"))
+    return rows.withColumns({"outcome": outcome, "audit_reason": reason}).drop("_dup")
+
+
+@dataclass(frozen=True)
+class SchedulerConfig:
+    """Limits of the scheduler; the defaults are the ledger's."""
+
+    error_budget_threshold: float = 0.3
+    cursor_age_threshold_seconds: int = 3600
+    rate_limit_hit_threshold: float = 0.1
+    max_running: int = 5
+    max_queue_depth: int = 10
+    max_enqueue_per_scan: int = 100
+    per_instance: int = 3
+    per_tenant: int = 5
+    max_per_tenant_per_round: int = 1
+    job_type_priority: dict = field(default_factory=lambda: {"gitlab_commits": 1, "svn": 1, "gitlab_mrs": 2, "gitlab_reviews": 3})
+    bucket_paused_penalty: int = 1000
+    bucket_low_penalty: int = 200
+    bucket_low_share: float = 0.2
+
+
+def rates(df: DataFrame) -> DataFrame:
+    """df with failure_rate and rate_limit_rate of its recent counts, at most 1, 0 for nothing."""
+    share = lambda a, b: F.when(F.col(b) > 0, F.least(F.lit(1.0), F.col(a) / F.col(b))).otherwise(F.lit(0.0))
+    return df.withColumns({"failure_rate": share("recent_failed_count", "recent_run_count"), "rate_limit_rate": share("recent_429_hits", "recent_total_requests")})
+
+
+def repo_health(states: DataFrame, now: Column, config: SchedulerConfig = SchedulerConfig()) -> DataFrame:
+    """states with should_schedule, reason and adjustment: an overrun error budget stops; an old cursor schedules, sooner the older;
+    many 429s schedule later; else nothing is due."""
+    rows = rates(states)
+    old = F.when(F.col("cursor_updated_at").isNull(), F.lit(float("inf"))).otherwise(F.greatest(F.lit(0.0), age(now, F.col("cursor_updated_at"))))
+    fails, never = F.col("failure_rate") >= config.error_budget_threshold, F.col("cursor_updated_at").isNull()
+    stale, limited = old >= config.cursor_age_threshold_seconds, F.col("rate_limit_rate") >= config.rate_limit_hit_threshold
+    reason = F.when(fails, "error_budget_exceeded").when(never, "never_synced").when(stale, "cursor_age").when(limited, "rate_limited").otherwise("within_threshold")
+    adjustment = F.when(fails, 0).when(never, -100).when(stale, -F.floor(F.least(old / 3600, F.lit(24.0))).cast("int")).when(limited, 50).otherwise(0)
+    return rows.withColumns({"cursor_age": old, "should_schedule": ~fails & (stale | limited), "reason": reason, "adjustment": adjustment.cast("int")})
+
+
+def job_priority(job_type: Column, adjustment: Column, failure_rate: Column, rate_limit_rate: Column, config: SchedulerConfig = SchedulerConfig()) -> Column:
+    """type * 100 + adjustment + 100 * failures + 200 * 429s, fractions cut off; lower goes first."""
+    base = None
+    for name, p in config.job_type_priority.items():
+        base = F.when(job_type == name, p) if base is None else base.when(job_type == name, p)
+    return (base.otherwise(10) * 100 + adjustment + (failure_rate * 100).cast("int") + (rate_limit_rate * 200).cast("int")).cast("int")
+
+
+def bucket_penalty(paused: Column, tokens: Column, burst: Column, config: SchedulerConfig = SchedulerConfig()) -> Column:
+    return F.when(paused, config.bucket_paused_penalty).when(tokens < burst * config.bucket_low_share, config.bucket_low_penalty).otherwise(0)
+
+
+def wants_backfill(breaker_state: Column, lag_seconds: Column, repair_window_seconds: int) -> Column:
+    return breaker_state.isin("open", "half_open") | (lag_seconds > repair_window_seconds)
+
+
+def repo_states(db: Ledger, last: int = 20) -> DataFrame:
+    """The state of each repository that the scheduler decides on, by joins of its statistics and its cursor."""
+    from ledgerline.operators.windows import repo_stats
+
+    stats = repo_stats(db.sync_runs(), last)
+    repos = db.repos().select("repo_id", "repo_type", "url", "project_key")
+    return repos.join(stats, "repo_id", "left").select(
+        "repo_id", "repo_type", "url", "project_key", F.col("last_run_at").alias("cursor_updated_at"), F.coalesce("recent_runs", F.lit(0)).alias("recent_run_count"), F.coalesce("failed", F.lit(0)).alias("recent_failed_count"),
+        F.coalesce("hits_429", F.lit(0)).alias("recent_429_hits"), F.coalesce("requests", F.lit(0)).alias("recent_total_requests"),
+    )
+
+
+_STATES = """, rs AS (SELECT r.repo_id, repo_type, max(started_at) AS cur, count(run_id) AS runs, count(*) FILTER (status = 'failed') AS failed, coalesce(sum(hits_429), 0)::bigint AS hits, coalesce(sum(requests), 0)::bigint AS reqs FROM repos r LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY started_at DESC, run_id::bigint DESC) AS rn FROM sync_runs) s ON s.repo_id = r.repo_id AND rn <= 20 GROUP BY 1, 2),
+rr AS (SELECT *, CASE WHEN runs > 0 THEN least(1.0::double, failed / runs) ELSE 0.0::double END AS failure_rate, CASE WHEN reqs > 0 THEN least(1.0::double, hits / reqs) ELSE 0.0::double END AS rate_limit_rate, greatest(0.0::double, (epoch_us(TIMESTAMP '%s') - epoch_us(cur)) / 1000000.0::double) AS a FROM rs),
+rh AS (SELECT *, NOT failure_rate >= 0.3 AND (cur IS NULL OR a >= 3600 OR rate_limit_rate >= 0.1) AS should_schedule, CASE WHEN failure_rate >= 0.3 THEN 'error_budget_exceeded' WHEN cur IS NULL THEN 'never_synced' WHEN a >= 3600 THEN 'cursor_age' WHEN rate_limit_rate >= 0.1 THEN 'rate_limited' ELSE 'within_threshold' END AS reason, CASE WHEN failure_rate >= 0.3 THEN 0 WHEN cur IS NULL THEN -100 WHEN a >= 3600 THEN -floor(least(a / 3600, 24))::int WHEN rate_limit_rate >= 0.1 THEN 50 ELSE 0 END AS adjustment FROM rr)
+""" % EVENTS_NOW
+
+
+@query("repo_health", _STATES + "SELECT repo_id, should_schedule, reason, adjustment FROM rh")
+def _health(db: Ledger):
+    return repo_health(repo_states(db), ts(EVENTS_NOW)).select("repo_id", "should_schedule", "reason", "adjustment")
+
+
+@query("job_priorities", _STATES + "SELECT repo_id, CASE WHEN repo_type = 'git' THEN 'gitlab_commits' ELSE 'svn' END AS job_type, (100 + adjustment + trunc(failure_rate * 100) + trunc(rate_limit_rate * 200))::int AS priority FROM rh")
+def _priorities(db: Ledger):
+    rows = repo_health(repo_states(db), ts(EVENTS_NOW)).withColumn("job_type", F.when(F.col("repo_type") == "git", "gitlab_commits").otherwise("svn"))
+    return rows.select("repo_id", "job_type", job_priority(F.col("job_type"), F.col("adjustment"), F.col("failure_rate"), F.col("rate_limit_rate")).alias("priority"))
+
+
+def _requests(db: Ledger) -> DataFrame:
+    k = F.col("doc_id")
+    space = F.when(k % 4 == 0, "private:me").when(k % 4 == 1, "team:p").when(k % 4 == 2, "org:shared").otherwise("other")
+    return db.raw("documents").select(k.alias("request_id"), space.alias("target_space"), F.concat(F.lit("u"), k % 7).alias("actor_user_id"), F.col("text").alias("payload_md"), F.when(k % 3 == 0, "FACT").when(k % 3 == 1, "REVIEW_GUIDE").alias("kind"), (k % 5 != 0).alias("has_evidence"), (k % 2 == 0).alias("is_bulk"))
+
+
+@query("write_decisions", """SELECT request_id, CASE WHEN s = 'private:me' THEN 'allow' WHEN s = 'other' THEN 'reject' WHEN r = 'policy_passed' THEN 'allow' ELSE 'redirect' END AS action, CASE WHEN s = 'private:me' THEN 'private_space' WHEN s = 'other' THEN 'unknown_space_type' ELSE r END AS reason, CASE WHEN s IN ('private:me', 'other') OR r = 'policy_passed' THEN s ELSE 'private:u' || (request_id % 7) END AS final_space FROM (SELECT doc_id AS request_id, ['private:me', 'team:p', 'org:shared', 'other'][doc_id % 4 + 1] AS s,
+  CASE WHEN doc_id % 7 NOT IN (1, 2, 3, 4, 5) THEN 'user_not_in_allowlist' WHEN doc_id % 3 = 1 THEN 'kind_not_allowed:REVIEW_GUIDE' WHEN doc_id % 5 = 0 THEN 'missing_evidence' WHEN length(text) > 1200 THEN 'exceeds_max_chars:' || length(text) || '>1200' WHEN doc_id % 2 = 0 AND length(text) > 200 THEN 'bulk_too_long' ELSE 'policy_passed' END AS r FROM documents)""")
+def _decisions(db: Ledger):
+    policy = WritePolicy(allowlist_users=("u1", "u2", "u3", "u4", "u5"), allowed_kinds=("FACT", "DECISION"))
+    return decide_writes(_requests(db), policy).select("request_id", "action", "reason", "final_space")
+
+
+@query("write_outcomes", "SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN doc_id % 4 = 3 AND doc_id % 7 < 6 THEN 'rejected' WHEN doc_id % 7 = 6 OR doc_id % 4 = 0 THEN 'stored' WHEN doc_id % 5 = 0 OR length(text) > 1200 OR (doc_id % 2 = 0 AND length(text) > 200) THEN 'redirected' ELSE 'stored' END AS outcome FROM documents) GROUP BY 1")
+def _outcomes(db: Ledger):
+    users = db.spark.createDataFrame([(f"u{i}",) for i in range(6)], "user_id string")
+    return store_decisions(_requests(db), users, db.outbox()).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))

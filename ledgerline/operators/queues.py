@@ -1 +1,219 @@
-"""."""
+"""Queues, leases and locks: (state, commands, now) -> next state, with one writer a table."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ledgerline.functions.errors import backoff_seconds, classify_last_error
+from ledgerline.operators.windows import first_per
+from ledgerline.registry import query
+from ledgerline.schemas import all_of
+from ledgerline.sources.ledger import ORDERS_NOW, Ledger, seconds, ts
+
+
+def taken(claimable: DataFrame, limit: int, *order) -> DataFrame:
+    """The first `limit` rows in order: a top-k, so no sort of the whole table."""
+    return claimable.orderBy(*order).limit(limit)
+
+
+def outbox_claimable(now: Column, lease: int) -> Column:
+    free = F.col("locked_at").isNull() | (F.col("locked_at") < seconds(now, F.lit(-lease)))
+    return (F.col("status") == "pending") & (F.col("next_attempt_at") <= now) & free
+
+
+def claim_outbox(outbox: DataFrame, worker: str, now: Column, limit: int = 10, lease: int = 120) -> DataFrame:
+    """outbox after a worker took due rows that are free or whose lease ended; `claimed` marks them."""
+    got = taken(outbox.where(outbox_claimable(now, lease)), limit, "next_attempt_at", "created_at", "outbox_id").select("outbox_id", F.lit(True).alias("claimed"))
+    out = outbox.join(F.broadcast(got), "outbox_id", "left").withColumn("claimed", F.coalesce("claimed", F.lit(False)))
+    return out.withColumns({"locked_by": F.when(F.col("claimed"), F.lit(worker)).otherwise(F.col("locked_by")), "locked_at": F.when(F.col("claimed"), now).otherwise(F.col("locked_at"))})
+
+
+def _guarded(state: DataFrame, commands: DataFrame, key: str, status: str, owner: bool) -> tuple[DataFrame, Column]:
+    """state with its command's columns under _c, and whether the command may act: right status and, if asked, the lock's owner."""
+    rest = [c for c in commands.columns if c != key]
+    joined = state.join(commands.select(key, F.struct(F.lit(True).alias("given"), *rest).alias("_c")), key, "left")
+    may = F.col("_c").isNotNull() & (F.col("status") == status)
+    return joined, F.coalesce(may & (F.col("locked_by") == F.col("_c.worker")) if owner else may, F.lit(False))
+
+
+def settle_outbox(outbox: DataFrame, commands: DataFrame, now: Column, max_retries: int = 5, owner: bool = True) -> DataFrame:
+    """outbox after commands (outbox_id, worker, result: sent, retry or dead, backoff in seconds, error).
+
+    They act on pending rows, with `owner` only for the worker that holds the lock. A retry counts, clears the lock and waits; at
+    max_retries it is dead. `conflict` marks commands that could not act.
+    """
+    rows, may = _guarded(outbox, commands, "outbox_id", "pending", owner)
+    result = F.col("_c.result")
+    again = may & (result == "retry")
+    dead = may & ((result == "dead") | ((result == "retry") & (F.col("retry_count") + 1 >= max_retries)))
+    return rows.withColumns(
+        {
+            "status": F.when(may & (result == "sent"), "sent").when(dead, "dead").otherwise(F.col("status")),
+            "next_attempt_at": F.when(again & ~dead, seconds(now, F.col("_c.backoff"))).otherwise(F.col("next_attempt_at")),
+            "locked_by": F.when(may, F.lit(None).cast("string")).otherwise(F.col("locked_by")), "locked_at": F.when(may, F.lit(None).cast("timestamp")).otherwise(F.col("locked_at")),
+            "retry_count": F.when(again, F.col("retry_count") + 1).otherwise(F.col("retry_count")), "conflict": F.col("_c").isNotNull() & ~may,
+        }
+    ).drop("_c")
+
+
+def renew_leases(state: DataFrame, commands: DataFrame, key: str, status: str, now: Column) -> DataFrame:
+    """state with locked_at = now for commands (key, worker) of the lock's owner."""
+    rows, may = _guarded(state, commands, key, status, True)
+    return rows.withColumn("locked_at", F.when(may, now).otherwise(F.col("locked_at"))).drop("_c")
+
+
+def enqueue(jobs: DataFrame, new: DataFrame) -> DataFrame:
+    """The rows of new that are added: the first of each (repo, type, mode) that has no active job."""
+    key = ["repo_id", "job_type", "mode"]
+    active = jobs.where(F.col("status").isin("pending", "running")).select(*key).distinct()
+    return first_per(new.join(active, key, "left_anti"), key, "priority", F.col("job_id").cast("long"))
+
+
+def job_claimable(now: Column) -> Column:
+    status = F.col("status")
+    due = F.col("not_before") <= now
+    over = seconds(F.col("locked_at"), F.col("lease_seconds")) < now
+    return ((status == "pending") & due) | ((status == "running") & over) | ((status == "failed") & due & (F.col("attempts") < F.col("max_attempts")))
+
+
+def claim_jobs(jobs: DataFrame, worker: str, now: Column, limit: int = 1, types: list[str] | None = None, instances: list[str] | None = None, tenants: list[str] | None = None, fair: bool = False) -> DataFrame:
+    """jobs after a worker took claimable ones in order of priority and age; allow lists let rows without a value pass; fair: the best of each tenant first."""
+    allowed = lambda c, xs: None if xs is None else F.col(c).isNull() | F.col(c).isin(*xs)
+    free = jobs.where(all_of(job_claimable(now), None if types is None else F.col("job_type").isin(*types), allowed("instance", instances), allowed("tenant_id", tenants)))
+    order = ["priority", "created_at", F.col("job_id").cast("long")]
+    if fair:
+        free = first_per(free.withColumn("_t", F.coalesce("tenant_id", F.lit(""))), ["_t"], *order)
+    got = taken(free, limit, *order).select("job_id", F.lit(True).alias("claimed"))
+    out = jobs.join(F.broadcast(got), "job_id", "left").withColumn("claimed", F.coalesce("claimed", F.lit(False)))
+    won = F.col("claimed")
+    return out.withColumns({"status": F.when(won, "running").otherwise(F.col("status")), "attempts": F.when(won, F.col("attempts") + 1).otherwise(F.col("attempts")), "locked_by": F.when(won, F.lit(worker)).otherwise(F.col("locked_by")), "locked_at": F.when(won, now).otherwise(F.col("locked_at"))})
+
+
+def settle_jobs(jobs: DataFrame, commands: DataFrame, now: Column) -> DataFrame:
+    """jobs after commands (job_id, worker, result, backoff, error) on running jobs of the worker.
+
+    ack: completed. fail: dead at max_attempts, else failed until now + backoff. dead: dead. requeue: pending, one attempt given back.
+    """
+    rows, may = _guarded(jobs, commands, "job_id", "running", True)
+    result = F.col("_c.result")
+    spent = F.col("attempts") >= F.col("max_attempts")
+    status = F.when(result == "ack", "completed").when(result == "dead", "dead").when(result == "requeue", "pending").otherwise(F.when(spent, "dead").otherwise("failed"))
+    waits = may & result.isin("fail", "requeue") & (status != "dead")
+    return rows.withColumns(
+        {
+            "not_before": F.when(waits, seconds(now, F.col("_c.backoff"))).otherwise(F.col("not_before")),
+            "attempts": F.when(may & (result == "requeue"), F.greatest(F.lit(0), F.col("attempts") - 1)).otherwise(F.col("attempts")),
+            "last_error": F.when(may & (result != "ack"), F.col("_c.error")).otherwise(F.col("last_error")), "status": F.when(may, status).otherwise(F.col("status")),
+            "locked_by": F.when(may, F.lit(None).cast("string")).otherwise(F.col("locked_by")), "locked_at": F.when(may, F.lit(None).cast("timestamp")).otherwise(F.col("locked_at")),
+            "conflict": F.col("_c").isNotNull() & ~may,
+        }
+    ).drop("_c")
+
+
+def reset_dead(jobs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Dead jobs as pending ones without attempts, lock and error; with a limit the oldest of them."""
+    dead = jobs.where("status = 'dead'").orderBy("created_at", "job_id")
+    chosen = F.broadcast((dead if limit is None else dead.limit(limit)).select("job_id", F.lit(True).alias("_hit"))) if limit is not None else dead.select("job_id", F.lit(True).alias("_hit"))
+    none = lambda c, t: F.when(F.col("_hit"), F.lit(None).cast(t)).otherwise(F.col(c))
+    return jobs.join(chosen, "job_id", "left").withColumns({"status": F.when(F.col("_hit"), "pending").otherwise(F.col("status")), "attempts": F.when(F.col("_hit"), 0).otherwise(F.col("attempts")), "locked_by": none("locked_by", "string"), "locked_at": none("locked_at", "timestamp"), "last_error": none("last_error", "string")}).drop("_hit")
+
+
+def claim_locks(locks: DataFrame, requests: DataFrame, now: Column) -> DataFrame:
+    """requests (repo_id, job_type, worker, requested_at) with `granted`: the first of a pair gets a lock that is not there, free or over."""
+    key = ["repo_id", "job_type"]
+    held = locks.where(F.col("locked_by").isNotNull() & (seconds(F.col("locked_at"), F.col("lease_seconds")) >= now)).select(*key, F.lit(True).alias("_held"))
+    first = F.row_number().over(Window.partitionBy(*key).orderBy("requested_at", "worker")) == 1
+    return requests.withColumn("_first", first).join(held, key, "left").withColumn("granted", F.col("_first") & F.col("_held").isNull()).drop("_first", "_held")
+
+
+def release_locks(locks: DataFrame, commands: DataFrame, force: bool = False) -> DataFrame:
+    """locks after commands (lock_id, worker): free where the worker is the owner, or with force."""
+    rows = locks.join(commands.select("lock_id", F.col("worker").alias("_w")), "lock_id", "left")
+    free = F.col("_w").isNotNull() if force else F.coalesce(F.col("locked_by") == F.col("_w"), F.lit(False))
+    return rows.withColumns({"locked_at": F.when(free, F.lit(None).cast("timestamp")).otherwise(F.col("locked_at")), "locked_by": F.when(free, F.lit(None).cast("string")).otherwise(F.col("locked_by"))}).drop("_w")
+
+
+def reap(jobs: DataFrame, now: Column, grace: int = 60, to_pending: bool = False) -> DataFrame:
+    """Running jobs whose lease is over, with what becomes of them: new_status and retry_in.
+
+    In order: a permanent error is dead; a transient one fails with backoff (dead at max_attempts); spent attempts are dead; else pending or failed.
+    """
+    over = jobs.where((F.col("status") == "running") & (seconds(F.col("locked_at"), F.col("lease_seconds") + grace) < now))
+    kind = classify_last_error(F.col("last_error"))
+    out = over.withColumn("_k", kind)
+    spent = F.col("attempts") >= F.col("max_attempts")
+    transient = F.col("_k.transient")
+    status = F.when(F.col("_k.permanent"), "dead").when(spent, "dead").when(transient, "failed").otherwise("pending" if to_pending else "failed")
+    wait = F.when(status == "failed", backoff_seconds(F.col("_k.category"), F.col("attempts") + 1)).otherwise(F.lit(0))
+    return out.withColumns({"new_status": status, "retry_in": wait.cast("long"), "category": F.col("_k.category")}).drop("_k")
+
+
+def worker_outcomes(outbox: DataFrame, sent: DataFrame, stored: DataFrame, max_retries: int = 5) -> DataFrame:
+    """What a worker does with claimed rows: a payload sent before is a duplicate; else by `stored` (outbox_id, ok): success, retry or dead; with the audit's action."""
+    known = sent.where("status = 'sent'").select("target_space", "payload_sha", F.lit(True).alias("_dup")).distinct()
+    rows = outbox.join(known, ["target_space", "payload_sha"], "left").join(stored, "outbox_id", "left")
+    outcome = F.when(F.col("_dup"), "dedup_hit").when(F.col("ok"), "success").when(F.col("retry_count") + 1 < max_retries, "retry").otherwise("dead")
+    action = F.when(outcome.isin("dedup_hit", "success"), "allow").when(outcome == "retry", "redirect").otherwise("reject")
+    return rows.withColumns({"outcome": outcome, "action": action, "reason": F.concat(F.lit("outbox_flush_"), outcome)}).drop("_dup", "ok")
+
+
+@query("outbox_claimed", f"SELECT outbox_id, 'me' AS locked_by, TIMESTAMP '{ORDERS_NOW}' AS locked_at FROM outbox WHERE status = 'pending' AND next_attempt_at <= TIMESTAMP '{ORDERS_NOW}' AND (locked_at IS NULL OR locked_at < TIMESTAMP '{ORDERS_NOW}' - INTERVAL 120 SECOND) ORDER BY next_attempt_at, created_at, outbox_id LIMIT 25")
+def _claim(db: Ledger):
+    return claim_outbox(db.outbox(), "me", ts(ORDERS_NOW), 25).where("claimed").select("outbox_id", "locked_by", "locked_at")
+
+
+@query("outbox_settled", "SELECT outbox_id, CASE WHEN NOT may THEN status WHEN outbox_id % 3 = 0 THEN 'sent' WHEN outbox_id % 3 = 2 OR retry_count + 1 >= 5 THEN 'dead' ELSE status END AS status, CASE WHEN may AND outbox_id % 3 = 1 THEN retry_count + 1 ELSE retry_count END AS retry_count, given AND NOT may AS conflict FROM (SELECT *, outbox_id % 2 = 0 AS given, coalesce(outbox_id % 2 = 0 AND status = 'pending' AND locked_by = 'w1', false) AS may FROM outbox)")
+def _settle(db: Ledger):
+    box = db.outbox()
+    k = F.col("outbox_id")
+    commands = box.where(k % 2 == 0).select("outbox_id", F.lit("w1").alias("worker"), F.when(k % 3 == 0, "sent").when(k % 3 == 1, "retry").otherwise("dead").alias("result"), F.lit(60).alias("backoff"), F.lit("x").alias("error"))
+    return settle_outbox(box, commands, ts(ORDERS_NOW)).select("outbox_id", "status", "retry_count", "conflict")
+
+
+@query("jobs_enqueued", "SELECT job_id, repo_id FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, job_type, mode ORDER BY priority, job_id::bigint) AS rn FROM sync_jobs n WHERE status = 'failed' AND NOT EXISTS (SELECT 1 FROM sync_jobs a WHERE a.status IN ('pending', 'running') AND a.created_at >= TIMESTAMP '2001-01-01' AND a.repo_id = n.repo_id AND a.job_type = n.job_type AND a.mode = n.mode)) WHERE rn = 1")
+def _enqueue(db: Ledger):
+    jobs = db.sync_jobs()
+    return enqueue(jobs.where(F.col("created_at") >= ts("2001-01-01")), jobs.where("status = 'failed'")).select("job_id", "repo_id")
+
+
+_CLAIMABLE = f"((status = 'pending' AND not_before <= TIMESTAMP '{ORDERS_NOW}') OR (status = 'running' AND locked_at + to_seconds(lease_seconds) < TIMESTAMP '{ORDERS_NOW}') OR (status = 'failed' AND not_before <= TIMESTAMP '{ORDERS_NOW}' AND attempts < max_attempts))"
+
+
+@query("jobs_claimed", f"SELECT job_id, 'running' AS status, attempts + 1 AS attempts, 'me' AS locked_by FROM sync_jobs WHERE {_CLAIMABLE} AND job_type IN ('gitlab_commits', 'svn') AND (tenant_id IS NULL OR tenant_id IN ('tenant-1', 'tenant-2')) ORDER BY priority, created_at, job_id::bigint LIMIT 20")
+def _claim_jobs(db: Ledger):
+    return claim_jobs(db.sync_jobs(), "me", ts(ORDERS_NOW), 20, types=["gitlab_commits", "svn"], tenants=["tenant-1", "tenant-2"]).where("claimed").select("job_id", "status", "attempts", "locked_by")
+
+
+@query("jobs_claimed_fair", f"SELECT job_id, tenant_id FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(tenant_id, '') ORDER BY priority, created_at, job_id::bigint) AS rn FROM sync_jobs WHERE {_CLAIMABLE}) WHERE rn = 1 ORDER BY priority, created_at, job_id::bigint LIMIT 10")
+def _claim_fair(db: Ledger):
+    return claim_jobs(db.sync_jobs(), "me", ts(ORDERS_NOW), 10, fair=True).where("claimed").select("job_id", "tenant_id")
+
+
+@query("jobs_settled", "SELECT job_id, CASE WHEN NOT may THEN status WHEN k % 4 = 0 THEN 'completed' WHEN k % 4 = 1 THEN CASE WHEN attempts >= max_attempts THEN 'dead' ELSE 'failed' END WHEN k % 4 = 2 THEN 'dead' ELSE 'pending' END AS status, CASE WHEN may AND k % 4 = 3 THEN greatest(0, attempts - 1) ELSE attempts END AS attempts, NOT may AS conflict FROM (SELECT *, job_id::bigint // 3 AS k, coalesce(status = 'running' AND locked_by = 'w1', false) AS may FROM sync_jobs)")
+def _settle_jobs(db: Ledger):
+    jobs = db.sync_jobs()
+    k = F.floor(F.col("job_id").cast("long") / 3)
+    commands = jobs.select("job_id", F.lit("w1").alias("worker"), F.when(k % 4 == 0, "ack").when(k % 4 == 1, "fail").when(k % 4 == 2, "dead").otherwise("requeue").alias("result"), F.lit(30).alias("backoff"), F.lit("boom").alias("error"))
+    return settle_jobs(jobs, commands, ts(ORDERS_NOW)).select("job_id", "status", "attempts", "conflict")
+
+
+@query("locks_granted", "SELECT job_id, (rn = 1 AND NOT EXISTS (SELECT 1 FROM sync_locks l WHERE l.repo_id = j.repo_id AND l.job_type = j.t AND locked_by IS NOT NULL AND locked_at + to_seconds(lease_seconds) >= TIMESTAMP '2024-01-29')) AS granted FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, t ORDER BY created_at, job_id) AS rn FROM (SELECT *, CASE job_id::bigint % 2 WHEN 0 THEN 'click' ELSE 'view' END AS t FROM sync_jobs)) j")
+def _locks(db: Ledger):
+    requests = db.sync_jobs().select("job_id", "repo_id", F.when(F.col("job_id").cast("long") % 2 == 0, "click").otherwise("view").alias("job_type"), F.col("job_id").alias("worker"), F.col("created_at").alias("requested_at"))
+    return claim_locks(db.sync_locks(), requests, ts("2024-01-29")).select("job_id", "granted")
+
+
+@query("jobs_reaped", f"""SELECT job_id, new_status, CASE WHEN new_status = 'failed' THEN least(3600, base * power(2, attempts))::bigint ELSE 0 END AS retry_in, category FROM (SELECT *,
+  CASE WHEN category IN ('auth_error', 'permission_denied', 'repo_not_found') THEN 'dead' WHEN attempts >= max_attempts THEN 'dead' ELSE 'failed' END AS new_status, CASE category WHEN 'rate_limit' THEN 120 WHEN 'timeout' THEN 30 WHEN 'server_error' THEN 90 WHEN 'network' THEN 60 ELSE 60 END AS base
+  FROM (SELECT *, CASE last_error WHEN 'HTTP 429 Too Many Requests' THEN 'rate_limit' WHEN 'read timed out' THEN 'timeout' WHEN '502 Bad Gateway' THEN 'server_error' WHEN 'connection reset by peer' THEN 'network' WHEN '401 Unauthorized' THEN 'auth_error' WHEN '403 Forbidden' THEN 'permission_denied' WHEN '404 project not found' THEN 'repo_not_found' WHEN 'repo_not_found' THEN 'repo_not_found' ELSE '' END AS category FROM sync_jobs)
+  WHERE status = 'running' AND locked_at + to_seconds(lease_seconds + 60) < TIMESTAMP '{ORDERS_NOW}')""")
+def _reap(db: Ledger):
+    return reap(db.sync_jobs(), ts(ORDERS_NOW)).select("job_id", "new_status", "retry_in", "category")
+
+
+@query("outbox_outcomes", "SELECT outbox_id, CASE WHEN EXISTS (SELECT 1 FROM outbox s WHERE s.status = 'sent' AND s.target_space = o.target_space AND s.payload_sha = o.payload_sha) THEN 'dedup_hit' WHEN outbox_id % 2 = 0 THEN 'success' WHEN retry_count + 1 < 5 THEN 'retry' ELSE 'dead' END AS outcome FROM outbox o WHERE status = 'pending'")
+def _outcomes(db: Ledger):
+    box = db.outbox()
+    pending = box.where("status = 'pending'")
+    return worker_outcomes(pending, box, pending.select("outbox_id", (F.col("outbox_id") % 2 == 0).alias("ok"))).select("outbox_id", "outcome")

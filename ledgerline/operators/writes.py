@@ -1 +1,204 @@
-"""."""
+"""Writes as new versions of a table: state and change rows in, the next state out. Callers write the result to a new place."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ledgerline.operators.lookups import latest_per
+from ledgerline.registry import query
+from ledgerline.schemas import KEYS
+from ledgerline.sources.ledger import Ledger, seconds, ts
+
+
+def numbered(new: DataFrame, state: DataFrame, key: str, *order: str, ranges: int = 256) -> DataFrame:
+    """new with ids that go on from the largest of state, in the order of the given columns; the first is a number or a time.
+
+    Its span is cut into ranges, which are numbered inside; a small table of their counts gives where each starts.
+    """
+    first = F.col(order[0]).cast("double")
+    low, high = new.agg(F.min(first), F.max(first)).first()
+    top = state.agg(F.max(key)).first()[0] or 0
+    part = F.lit(0) if low is None or low == high else F.when(first.isNull(), 0).otherwise(F.floor((first - low) / (high - low) * (ranges - 1)) + 1)
+    rows = new.withColumn("_part", part)
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    start = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return rows.withColumn("_i", inside).join(F.broadcast(start), "_part").withColumn(key, F.lit(int(top)) + F.col("_start") + F.col("_i")).drop("_part", "_i", "_start")
+
+
+def upsert(state: DataFrame, changes: DataFrame, keys: Sequence[str], keep: Sequence[str] = (), order: Column | None = None) -> DataFrame:
+    """state with the changes: of several to one key the last by `order`; columns in `keep` keep the old value where the new is null; others are replaced."""
+    columns = [c for c in state.columns if c not in keys]
+    if order is not None:
+        changes = changes.withColumn("_o", order).withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("_o").desc()))).where("_rn = 1")
+    new = changes.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in columns], F.lit(True).alias("_changed"))
+    joined = state.withColumn("_there", F.lit(True)).join(new, list(keys), "full")
+    pick = lambda c: F.when(F.col("_changed").isNull(), F.col(c)).otherwise(F.coalesce(f"_new_{c}", c) if c in keep else F.col(f"_new_{c}")).alias(c)
+    return joined.select(*[F.col(k) if k in keys else pick(k) for k in state.columns])
+
+
+def insert_new(state: DataFrame, rows: DataFrame, keys: Sequence[str], *order) -> DataFrame:
+    """Rows whose key state does not have, the first of each key: what an insert that does nothing on conflict adds."""
+    fresh = rows.join(state.select(*keys).distinct(), list(keys), "left_anti")
+    first = fresh.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*(order or keys)))).where("_rn = 1").drop("_rn")
+    return first.select(*rows.columns)
+
+
+def add_events(items: DataFrame, events: DataFrame) -> DataFrame:
+    """items after their events: the state of the newest event that names one."""
+    last = latest_per(events.where("status_to is not null").select("item_id", "status_to", "created_at", "event_id"), ["item_id"], "created_at", "event_id")
+    return items.join(last.select("item_id", F.col("status_to").alias("_to"), F.col("created_at").alias("_at")), "item_id", "left").withColumns({"status": F.coalesce("_to", "status"), "updated_at": F.coalesce("_at", "created_at")}).drop("_to", "_at")
+
+
+def merged_json(old: Column, new: Column) -> Column:
+    """A shallow merge of two flat JSON objects as text, keys in order, the new value winning; values stay as their text."""
+    as_map = lambda j: F.coalesce(F.from_json(j, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    a, b = as_map(old), as_map(new)
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k)), b)))))
+
+
+def materialized(blobs: DataFrame, results: DataFrame) -> DataFrame:
+    """blobs after attempts (blob_id, new_uri, error): done with a uri, or failed with one attempt more."""
+    tries = F.coalesce(F.get_json_object("meta_json", "$.attempts").try_cast("int"), F.lit(0))
+    done = F.col("error").isNull()
+    patch = F.when(done, F.to_json(F.struct(F.lit("done").alias("materialize_status")))).otherwise(F.to_json(F.struct(F.lit("failed").alias("materialize_status"), (tries + 1).cast("string").alias("attempts"), F.col("error").alias("last_error"))))
+    out = blobs.join(results.withColumn("_hit", F.lit(True)), "blob_id", "left")
+    return out.withColumns({"uri": F.when(F.col("_hit") & done, F.col("new_uri")).otherwise(F.col("uri")), "meta_json": F.when(F.col("_hit"), merged_json(F.col("meta_json"), patch)).otherwise(F.col("meta_json"))}).select(*blobs.columns)
+
+
+def finished_runs(runs: DataFrame, ends: DataFrame) -> DataFrame:
+    """runs after ends (run_id, status, finished_at) of those that are still running."""
+    e = ends.select("run_id", F.col("status").alias("_s"), F.col("finished_at").alias("_f"))
+    hit = F.col("_s").isNotNull() & (F.col("status") == "running")
+    return runs.join(e, "run_id", "left").withColumns({"finished_at": F.when(hit, F.col("_f")).otherwise(F.col("finished_at")), "status": F.when(hit, F.col("_s")).otherwise(F.col("status"))}).select(*runs.columns)
+
+
+def updated_audits(audit: DataFrame, updates: DataFrame) -> DataFrame:
+    """audit after updates (audit_id, new_status, suffix, patch): only pending rows change; the suffix goes behind the reason, the patch into the JSON."""
+    hit = F.col("new_status").isNotNull() & (F.col("status") == "pending")
+    out = audit.join(updates, "audit_id", "left")
+    return out.withColumns(
+        {
+            "reason": F.when(hit & F.col("suffix").isNotNull(), F.concat(F.coalesce("reason", F.lit("")), "suffix")).otherwise(F.col("reason")),
+            "evidence_refs_json": F.when(hit & F.col("patch").isNotNull(), merged_json(F.col("evidence_refs_json"), F.col("patch"))).otherwise(F.col("evidence_refs_json")),
+            "status": F.when(hit, F.col("new_status")).otherwise(F.col("status")),
+        }
+    ).select(*audit.columns)
+
+
+def evidence_uri(source_type: Column, source_id: Column, sha256: Column) -> Column:
+    return F.concat_ws("/", F.lit("memory://patch_blobs"), source_type, source_id, sha256)
+
+
+def filled_evidence(blobs: DataFrame) -> DataFrame:
+    """blobs with an evidence uri where it is missing: the one in their meta, else the canonical one."""
+    empty = F.col("evidence_uri").isNull() | (F.col("evidence_uri") == "")
+    meta = F.nullif(F.get_json_object("meta_json", "$.evidence_uri"), F.lit(""))
+    return blobs.withColumn("evidence_uri", F.when(empty, F.coalesce(meta, evidence_uri(F.col("source_type"), F.col("source_id"), F.col("sha256")))).otherwise(F.col("evidence_uri")))
+
+
+def filled_source_ids(facts: DataFrame) -> DataFrame:
+    """facts (kind, repo_id, number, source_id) with svn:<repo>:<n>, git:<repo>:<sha> or mr:<repo>:<iid> where there is none; an iid stands behind ! or the last slash."""
+    iid = F.coalesce(F.nullif(F.regexp_extract("number", "!([0-9]+)$", 1), F.lit("")), F.element_at(F.split("number", "/"), -1))
+    number = F.when(F.col("kind") == "mr", iid).otherwise(F.col("number"))
+    return facts.withColumn("source_id", F.coalesce(F.nullif("source_id", F.lit("")), F.concat_ws(":", "kind", F.col("repo_id").cast("string"), number)))
+
+
+def without_old(df: DataFrame, status: str, when: str, now: Column, days: int) -> DataFrame:
+    """df without rows of a status that are older than `days`."""
+    return df.where(~F.coalesce((F.col("status") == status) & (F.col(when) < seconds(now, F.lit(-86400 * days))), F.lit(False)))
+
+
+def merged_identities(known: DataFrame, found: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The next identities, and one row of counts: inserted, updated (a column differs) and unchanged."""
+    columns = [c for c in known.columns if c not in keys]
+    old = known.select(*keys, F.struct(*columns).alias("_old"))
+    new = found.select(*keys, F.struct(*columns).alias("_new"))
+    both = old.join(new, list(keys), "full")
+    state = F.when(F.col("_old").isNull(), "inserted").when(F.col("_new").isNull() | F.col("_old").eqNullSafe(F.col("_new")), "unchanged").otherwise("updated")
+    counts = both.agg(*[F.count_if(state == s).alias(s) for s in ("inserted", "updated", "unchanged")])
+    return both.select(*keys, F.coalesce("_new", "_old").alias("_c")).select(*keys, "_c.*"), counts
+
+
+def facts(svn: DataFrame, git: DataFrame, mrs: DataFrame) -> DataFrame:
+    """The timeline of all sources that have a source id."""
+    return svn.unionByName(git).unionByName(mrs).where("source_id is not null")
+
+
+def ledger_facts(db: Ledger) -> DataFrame:
+    orders, lines, events = db._orders(), db.raw("lineitem"), db._events()
+    row = lambda kind, repo, number, at: [F.lit(kind).alias("source_type"), F.concat_ws(":", F.lit(kind), repo.cast("string"), number).alias("source_id"), at.cast("timestamp").alias("ts")]
+    return facts(
+        orders.select(*row("svn", F.col("o_custkey"), F.col("o_orderkey").cast("string"), F.col("o_orderdate"))),
+        lines.select(*row("git", F.col("l_suppkey"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")), F.col("l_shipdate"))),
+        events.select(*row("mr", F.col("user_id"), F.when(F.col("event_type") != "error", F.col("event_id").cast("string")), F.col("ts"))),
+    )
+
+
+@query("facts_by_source", "SELECT source_type, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, count(DISTINCT source_id) AS ids FROM (SELECT 'svn' AS source_type, 'svn:' || o_custkey || ':' || o_orderkey AS source_id, o_orderdate AS ts FROM orders UNION ALL SELECT 'git', 'git:' || l_suppkey || ':' || l_orderkey || '-' || l_linenumber, l_shipdate FROM lineitem UNION ALL SELECT 'mr', 'mr:' || user_id || CASE WHEN event_type <> 'error' THEN ':' || event_id ELSE '' END, ts FROM events) GROUP BY 1")
+def _facts(db: Ledger):
+    return ledger_facts(db).groupBy("source_type").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.countDistinct("source_id").alias("ids"))
+
+
+@query("facts_of_a_month", "SELECT source_type, source_id, ts FROM (SELECT 'svn' AS source_type, 'svn:' || o_custkey || ':' || o_orderkey AS source_id, o_orderdate AS ts FROM orders UNION ALL SELECT 'git', 'git:' || l_suppkey || ':' || l_orderkey || '-' || l_linenumber, l_shipdate FROM lineitem) WHERE ts >= TIMESTAMP '1998-03-01' AND ts < TIMESTAMP '1998-04-01'")
+def _month(db: Ledger):
+    return ledger_facts(db).where((F.col("ts") >= ts("1998-03-01")) & (F.col("ts") < ts("1998-04-01")))
+
+
+@query("items_after_events", "SELECT item_id, coalesce(s, status) AS status, coalesce(c, created_at) AS updated_at FROM items LEFT JOIN (SELECT item_id, status_to AS s, created_at AS c FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY created_at DESC, event_id DESC) AS rn FROM item_events WHERE status_to IS NOT NULL) WHERE rn = 1) USING (item_id)")
+def _items(db: Ledger):
+    return add_events(db.items(), db.item_events()).select("item_id", "status", "updated_at")
+
+
+@query("repos_upserted", "SELECT coalesce(r.repo_id, c.repo_id) AS repo_id, coalesce(c.url, r.url) AS url, coalesce(c.project_key, r.project_key) AS project_key FROM repos r FULL JOIN (SELECT DISTINCT c_nationkey + 90 AS repo_id, 'u' || (c_nationkey + 90) AS url, CASE WHEN c_nationkey % 2 = 0 THEN 'k' || c_nationkey END AS project_key FROM customer) c USING (repo_id)")
+def _repos(db: Ledger):
+    n = F.col("c_nationkey")
+    changes = db.raw("customer").select((n + 90).cast("long").alias("repo_id"), F.concat(F.lit("u"), n + 90).alias("url"), F.when(n % 2 == 0, F.concat(F.lit("k"), n)).alias("project_key"))
+    return upsert(db.repos().drop("repo_type"), changes, ["repo_id"], keep=["project_key"], order=F.col("url"))
+
+
+@query("kv_upserted", "SELECT namespace, key, value_json FROM (SELECT *, row_number() OVER (PARTITION BY namespace, key ORDER BY updated_at DESC, event_id DESC) AS rn FROM kv_changes) WHERE rn = 1")
+def _kv(db: Ledger):
+    changes = db.kv_changes()
+    cut = ts("2024-01-15")
+    old = latest_per(changes.where(F.col("updated_at") < cut), KEYS["kv"], "updated_at", "event_id").drop("event_id")
+    return upsert(old, changes.where(F.col("updated_at") >= cut), KEYS["kv"], order=F.struct("updated_at", "event_id")).select("namespace", "key", "value_json")
+
+
+@query("blobs_inserted", "SELECT min(attachment_id) AS attachment_id, sha256 FROM attachments WHERE sha256 NOT IN (SELECT sha256 FROM patch_blobs) GROUP BY sha256")
+def _insert(db: Ledger):
+    rows = db.attachments().select("attachment_id", "sha256")
+    return insert_new(db.patch_blobs().select("sha256"), rows, ["sha256"], "attachment_id")
+
+
+@query("blobs_evidence_filled", "SELECT blob_id, CASE WHEN coalesce(evidence_uri, '') = '' THEN 'memory://patch_blobs/git/' || source_id || '/' || sha256 ELSE evidence_uri END AS evidence_uri FROM patch_blobs")
+def _evidence(db: Ledger):
+    return filled_evidence(db.patch_blobs()).select("blob_id", "evidence_uri")
+
+
+@query("audit_updated", "SELECT audit_id, CASE WHEN status = 'pending' AND audit_id % 3 = 0 THEN reason || ':outbox:' || audit_id ELSE reason END AS reason, CASE WHEN status = 'pending' AND audit_id % 3 = 0 THEN 'redirected' ELSE status END AS status FROM write_audit")
+def _update(db: Ledger):
+    audit = db.write_audit()
+    updates = audit.where("audit_id % 3 = 0").select("audit_id", F.lit("redirected").alias("new_status"), F.concat(F.lit(":outbox:"), "audit_id").alias("suffix"), F.lit('{"done": "1"}').alias("patch"))
+    return updated_audits(audit, updates).select("audit_id", "reason", "status")
+
+
+@query("ids_assigned", "SELECT c_custkey, (SELECT max(s_suppkey) FROM supplier) + row_number() OVER (ORDER BY c_acctbal, c_custkey) AS repo_id FROM customer")
+def _ids(db: Ledger):
+    return numbered(db.raw("customer").select("c_custkey", "c_acctbal"), db.repos(), "repo_id", "c_acctbal", "c_custkey").select("c_custkey", "repo_id")
+
+
+@query("jobs_without_old", "SELECT job_id, status, created_at FROM sync_jobs WHERE NOT (status = 'failed' AND created_at < TIMESTAMP '2001-08-02' - INTERVAL 900 DAY)")
+def _cleanup(db: Ledger):
+    return without_old(db.sync_jobs(), "failed", "created_at", ts("2001-08-02"), 900).select("job_id", "status", "created_at")
+
+
+@query("identities_merged", "SELECT count(*) FILTER (k IS NULL) AS inserted, count(*) FILTER (k IS NOT NULL AND f IS NOT NULL AND a <> b) AS updated, count(*) FILTER (k IS NOT NULL AND (f IS NULL OR a = b)) AS unchanged FROM (SELECT s_suppkey AS k, s_name AS a FROM supplier) s FULL JOIN (SELECT c_custkey AS f, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'Supplier#' || c_custkey END AS b FROM customer WHERE c_custkey > 50) c ON k = f")
+def _identities(db: Ledger):
+    known = db.raw("supplier").select(F.col("s_suppkey").alias("user_id"), F.col("s_name").alias("name"))
+    n = F.col("c_custkey")
+    found = db.raw("customer").where(n > 50).select(n.alias("user_id"), F.when(n % 2 == 0, F.col("c_name")).otherwise(F.concat(F.lit("Supplier#"), n)).alias("name"))
+    return merged_identities(known, found, ["user_id"])[1]

@@ -1 +1,91 @@
-"""."""
+"""The scheduler's round as one batch job: candidates by joins, fair turns by windows, and a fold over what can be enqueued."""
+
+from __future__ import annotations
+
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ledgerline.functions.identifiers import instance_key, tenant_id
+from ledgerline.operators.policy import SchedulerConfig, job_priority, repo_health, repo_states
+from ledgerline.operators.windows import round_robin
+from ledgerline.registry import query
+from ledgerline.sources.ledger import EVENTS_NOW, Ledger, ts
+
+#: Physical job types of each kind of repository.
+TYPES = {"git": ("gitlab_commits", "gitlab_mrs"), "svn": ("svn",)}
+
+
+def candidates(states: DataFrame, active: DataFrame, paused: DataFrame, now: Column, config: SchedulerConfig = SchedulerConfig()) -> DataFrame:
+    """Jobs that could be enqueued, with priority: each due repository with each of its job types, less the pairs (repo_id, job_type) that are active or paused."""
+    rows = repo_health(states, now, config).where("should_schedule")
+    types = F.when(F.col("repo_type") == "git", F.array(*[F.lit(t) for t in TYPES["git"]])).otherwise(F.array(*[F.lit(t) for t in TYPES["svn"]]))
+    rows = rows.withColumn("job_type", F.explode(types))
+    skip = active.select("repo_id", "job_type").unionByName(paused.select("repo_id", "job_type")).distinct()
+    rows = rows.join(skip, ["repo_id", "job_type"], "left_anti")
+    keys = {"instance": instance_key(F.col("url")), "tenant_id": tenant_id(F.lit("{}"), F.col("project_key"))}
+    return rows.withColumns({**keys, "priority": job_priority(F.col("job_type"), F.col("adjustment"), F.col("failure_rate"), F.col("rate_limit_rate"), config), "created_at": F.lit(None).cast("timestamp"), "job_id": F.col("repo_id").cast("string")})
+
+
+def admit(rows: Iterable[dict], by_instance: dict, by_tenant: dict, config: SchedulerConfig, running: int = 0, depth: int = 0) -> list[dict]:
+    """The rows that the caps let in, in order. A row that its tenant's cap stops has already used a place of its instance; one that its instance's cap stops has used none of its tenant's."""
+    instance, tenant, out = dict(by_instance), dict(by_tenant), []
+    room = min(config.max_enqueue_per_scan, config.max_queue_depth - depth, config.max_running + config.max_queue_depth - running - depth)
+    for row in rows:
+        if len(out) >= room:
+            break
+        i, t = row["instance"], row["tenant_id"]
+        if i is not None:
+            if instance.get(i, 0) >= config.per_instance:
+                continue
+            instance[i] = instance.get(i, 0) + 1
+        if t is not None:
+            if tenant.get(t, 0) >= config.per_tenant:
+                continue
+            tenant[t] = tenant.get(t, 0) + 1
+        out.append(row)
+    return out
+
+
+def ranked(rows: DataFrame, config: SchedulerConfig = SchedulerConfig()) -> DataFrame:
+    """Candidates with turn, by which tenants take turns: round, then the tenant's best job, then the place."""
+    return round_robin(rows, config.max_per_tenant_per_round).withColumn("turn", F.struct("round", "_best", "place", "repo_id", "job_type"))
+
+
+def select_jobs(rows: DataFrame, jobs: DataFrame, config: SchedulerConfig = SchedulerConfig()) -> DataFrame:
+    """The jobs of a round. The caps depend on what came before, so they are applied to the candidates one after the other.
+
+    Only the first `per_instance` of an instance can get in, and those behind change no count, so Spark keeps no others
+    before the list is read: it grows with the instances, not with the repositories.
+    """
+    spark = rows.sparkSession
+    active = jobs.where(F.col("status").isin("pending", "running"))
+    total = active.agg(F.count_if(F.col("status") == "running").alias("running"), F.count_if(F.col("status") == "pending").alias("pending")).first()
+    counts = lambda c: {r[0]: r[1] for r in active.where(F.col(c).isNotNull()).groupBy(c).count().collect()}
+    first = F.row_number().over(Window.partitionBy("instance").orderBy("turn"))
+    ordered = ranked(rows, config).withColumn("_k", first).where(F.col("instance").isNull() | (F.col("_k") <= config.per_instance)).orderBy("turn")
+    ordered = ordered.select("repo_id", "job_type", "priority", "instance", "tenant_id", "reason")
+    chosen = admit((r.asDict() for r in ordered.toLocalIterator()), counts("instance"), counts("tenant_id"), config, total["running"] or 0, total["pending"] or 0)
+    return spark.createDataFrame([tuple(r[c] for c in ordered.columns) for r in chosen], ordered.schema)
+
+
+def new_jobs(chosen: DataFrame, breakers: DataFrame, now: Column) -> DataFrame:
+    """Rows for the queue: those whose tenant and instance have no open breaker (scope, id, state), with their payload."""
+    stopped = breakers.where("state = 'open'")
+    out = chosen.join(stopped.where("scope = 'tenant'").select(F.col("id").alias("tenant_id")), "tenant_id", "left_anti").join(stopped.where("scope = 'instance'").select(F.col("id").alias("instance")), "instance", "left_anti")
+    payload = F.to_json(F.struct(F.lit("v2").alias("version"), F.lit("incremental").alias("mode"), F.col("instance").alias("gitlab_instance"), F.col("tenant_id").alias("tenant_id"), F.col("reason").alias("reason")))
+    return out.select("repo_id", "job_type", F.lit("incremental").alias("mode"), "priority", payload.alias("payload_json"), F.lit("pending").alias("status"), now.alias("not_before"))
+
+
+@query("schedule_candidates", None)
+def _candidates(db: Ledger):
+    none = db.sync_jobs().where("false")
+    return candidates(repo_states(db), db.sync_jobs().where("status = 'running' and created_at > timestamp '2001-06-01'"), none, ts(EVENTS_NOW)).select("repo_id", "job_type", "priority", "instance", "tenant_id", "reason")
+
+
+@query("schedule_selected", None)
+def _selected(db: Ledger):
+    none = db.sync_jobs().where("false")
+    rows = candidates(repo_states(db), none, none, ts(EVENTS_NOW))
+    return select_jobs(rows, none)

@@ -1 +1,217 @@
-"""."""
+"""Keyed state machines over ordered events: token bucket, circuit breaker, degradation, patch control.
+
+Each is a small step function of (state, event); Spark sorts and groups the events of a key, and the steps run over one key's events in
+batches that keep the state, so a key may have any number of events. The same steps serve streams.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ledgerline.registry import query
+from ledgerline.sources.ledger import Ledger
+
+
+def folded(df: DataFrame, by: str, order: list[str], step: Callable, start: Callable, schema: str) -> DataFrame:
+    """step(state, row) -> (state, output) over each key's rows in order; one output a row. Keys are dealt by hash, sorted, and read as a stream."""
+    columns = df.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = object(), None
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                if (now := getattr(row, by)) != key:
+                    key, state = now, start()
+                state, result = step(state, row)
+                out.append(result)
+            if out:
+                yield pd.DataFrame(out)
+
+    return df.select(*columns).repartition(F.col(by)).sortWithinPartitions(by, *order).mapInPandas(run, schema)
+
+
+@dataclass(frozen=True)
+class Bucket:
+    tokens: float = 20.0
+    at: float | None = None
+    paused_until: float = 0.0
+
+
+def take_token(b: Bucket, now: float, rate: float = 10.0, burst: float = 20.0, cost: float = 1.0) -> tuple[Bucket, bool, float]:
+    """The bucket after a request, whether it may go, and how long it should wait otherwise."""
+    if now < b.paused_until:
+        return b, False, b.paused_until - now
+    tokens = burst if b.at is None else min(burst, b.tokens + max(0.0, now - b.at) * rate)
+    if tokens >= cost:
+        return replace(b, tokens=tokens - cost, at=now), True, 0.0
+    return replace(b, tokens=tokens, at=now), False, (cost - tokens) / rate
+
+
+def rate_limited(requests: DataFrame, rate: float = 10.0, burst: float = 20.0) -> DataFrame:
+    """requests (request_id, instance, at in seconds) with allowed and wait_seconds, instance by instance in order of time."""
+
+    def step(b, row):
+        b, allowed, wait = take_token(b, row.at, rate, burst)
+        return b, {"request_id": row.request_id, "instance": row.instance, "allowed": allowed, "wait_seconds": wait}
+
+    return folded(requests.select("request_id", "instance", "at"), "instance", ["at", "request_id"], step, lambda: Bucket(tokens=burst), "request_id long, instance string, allowed boolean, wait_seconds double")
+
+
+@dataclass(frozen=True)
+class BreakerConfig:
+    """Fixed values of the ledger's circuit breaker."""
+
+    failure: float = 0.3
+    rate_limit: float = 0.2
+    timeout: float = 0.2
+    min_samples: int = 5
+    open_seconds: float = 300.0
+    successes_to_close: int = 2
+    max_probes: int = 3
+    alpha: float = 0.5
+
+
+@dataclass(frozen=True)
+class Breaker:
+    state: str = "closed"
+    opened_at: float = 0.0
+    successes: int = 0
+    probes: int = 0
+    ema: float | None = None
+
+
+def breaker_step(b: Breaker, now: float, failed: float, limited: float, timed_out: float, samples: int, ok: bool, c: BreakerConfig = BreakerConfig()) -> Breaker:
+    """Closed opens on smoothed failures, 429s or timeouts with enough samples; open becomes half open with time; half open
+    closes after successes, and opens again on a failure or after too many probes."""
+    a = min(1.0, max(0.01, c.alpha))
+    ema = failed if b.ema is None else a * failed + (1 - a) * b.ema
+    b = replace(b, ema=ema)
+    if b.state == "open" and now - b.opened_at >= c.open_seconds:
+        b = replace(b, state="half_open", successes=0, probes=0)
+    if b.state == "closed":
+        trips = samples >= c.min_samples and (ema >= c.failure or limited >= c.rate_limit or timed_out >= c.timeout)
+        return replace(b, state="open", opened_at=now) if trips else b
+    if b.state == "half_open":
+        b = replace(b, probes=b.probes + 1, successes=b.successes + int(ok))
+        if not ok or (b.probes >= c.max_probes and b.successes < c.successes_to_close):
+            return replace(b, state="open", opened_at=now)
+        return replace(b, state="closed") if b.successes >= c.successes_to_close else b
+    return b
+
+
+def recovery_batch(successes: int, low: int = 10, high: int = 100) -> int:
+    """The batch size of a half-open breaker."""
+    return int(low + (high - low) * min(1.0, (successes + 1) / 2))
+
+
+def breaker_states(samples: DataFrame) -> DataFrame:
+    """samples (id, key, at, failed_rate, limited_rate, timeout_rate, n, ok) with the breaker's state after each."""
+
+    def step(b, row):
+        b = breaker_step(b, row.at, row.failed_rate, row.limited_rate, row.timeout_rate, int(row.n), bool(row.ok))
+        return b, {"id": row.id, "key": row.key, "state": b.state, "ema": b.ema}
+
+    return folded(samples.select("id", "key", "at", "failed_rate", "limited_rate", "timeout_rate", "n", "ok"), "key", ["at", "id"], step, Breaker, "id long, key string, state string, ema double")
+
+
+@dataclass(frozen=True)
+class Degradation:
+    """How hard a sync runs; the defaults are the ledger's."""
+
+    diff_mode: str = "best_effort"
+    batch: int = 100
+    window: int = 3600
+    paused: bool = False
+    sleep: float = 0.0
+    hits: int = 0
+    timeouts: int = 0
+    server_errors: int = 0
+    too_large: int = 0
+    streak: int = 0
+
+
+def degradation_step(d: Degradation, hits: int, timeouts: int, server_errors: int, too_large: int, succeeded: bool, retry_after: float | None = None) -> Degradation:
+    """Counts of errors in a row add a round's errors, and end with a round that succeeded without that error."""
+    grown = lambda old, new: old + new if new else (0 if succeeded else old)
+    clean = not (hits or timeouts or server_errors or too_large)
+    d = replace(d, hits=grown(d.hits, hits), timeouts=grown(d.timeouts, timeouts), server_errors=grown(d.server_errors, server_errors), too_large=grown(d.too_large, too_large), streak=d.streak + 1 if clean and succeeded else 0)
+    recovered = d.streak >= 5
+    mode = "none" if d.hits >= 3 or d.too_large >= 5 else "best_effort" if recovered else d.diff_mode
+    batch = max(10, int(d.batch * 0.5)) if hits or timeouts else min(100, int(d.batch * 1.2)) if recovered else d.batch
+    window = max(300, int(d.window * 0.5)) if hits else min(3600, int(d.window * 1.5)) if recovered else d.window
+    sleep = min(retry_after, 300.0) if retry_after else min(2.0 ** (d.hits - 1), 300.0) if d.hits else 0.0
+    return replace(d, diff_mode=mode, batch=batch, window=window, sleep=sleep, paused=d.timeouts >= 3 or d.server_errors >= 3)
+
+
+def degraded(rounds: DataFrame) -> DataFrame:
+    """rounds (id, key, at, hits, timeouts, server_errors, too_large, succeeded) with the settings after each."""
+
+    def step(d, row):
+        d = degradation_step(d, int(row.hits), int(row.timeouts), int(row.server_errors), int(row.too_large), bool(row.succeeded))
+        return d, {"id": row.id, "key": row.key, "diff_mode": d.diff_mode, "batch": d.batch, "window": d.window, "sleep": d.sleep, "paused": d.paused}
+
+    return folded(rounds.select("id", "key", "at", "hits", "timeouts", "server_errors", "too_large", "succeeded"), "key", ["at", "id"], step, Degradation, "id long, key string, diff_mode string, batch int, window int, sleep double, paused boolean")
+
+
+def patch_skips(rounds: DataFrame, most: int = 3) -> DataFrame:
+    """rounds (id, key, at, failed): patches are skipped from the `most`-th failure in a row until a success."""
+
+    def step(n, row):
+        n = n + 1 if row.failed else 0
+        return n, {"id": row.id, "key": row.key, "skip": n >= most}
+
+    return folded(rounds.select("id", "key", "at", "failed"), "key", ["at", "id"], step, lambda: 0, "id long, key string, skip boolean")
+
+
+def next_window(width: int, limited: bool, low: int = 300, high: int = 86400, shrink: float = 0.5, grow: float = 1.5) -> int:
+    """An adaptive window after a fetch."""
+    return int(min(high, max(low, width * (shrink if limited else grow))))
+
+
+def patch_skip_stream(stream: DataFrame, most: int = 3) -> DataFrame:
+    """patch_skips for a stream (id, key, failed) in order of arrival, with the number of failures in a row as a key's state."""
+
+    def run(key, batches, state):
+        n = state.get[0] if state.exists else 0
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                n = n + 1 if row.failed else 0
+                out.append((row.id, key[0], n >= most))
+            yield pd.DataFrame(out, columns=["id", "key", "skip"])
+        state.update((n,))
+
+    return stream.groupBy("key").applyInPandasWithState(run, "id long, key string, skip boolean", "n int", "append", "NoTimeout")
+
+
+def _rounds(db: Ledger) -> DataFrame:
+    e = db._events()
+    return e.select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("key"), (F.unix_micros("ts") / F.lit(1_000_000.0)).alias("at"), F.col("event_type"), F.col("k"))
+
+
+@query("rate_limited_requests", None)
+def _limited(db: Ledger):
+    return rate_limited(_rounds(db).select(F.col("id").alias("request_id"), F.col("key").alias("instance"), (F.col("at") / 3600).alias("at")), rate=0.05, burst=3.0)
+
+
+@query("breaker_states", None)
+def _states(db: Ledger):
+    bad = F.col("event_type") == "error"
+    return breaker_states(_rounds(db).select("id", "key", "at", bad.cast("double").alias("failed_rate"), ((F.col("k") % 10 == 0).cast("double") * 0.5).alias("limited_rate"), F.lit(0.0).alias("timeout_rate"), F.lit(10).alias("n"), (~bad).alias("ok")))
+
+
+@query("degradation", None)
+def _degraded(db: Ledger):
+    bad = F.col("event_type") == "error"
+    return degraded(_rounds(db).select("id", "key", "at", (bad & (F.col("k") % 2 == 0)).cast("int").alias("hits"), (bad & (F.col("k") % 2 == 1)).cast("int").alias("timeouts"), F.lit(0).alias("server_errors"), F.lit(0).alias("too_large"), (~bad).alias("succeeded")))
+
+
+@query("patch_skips", "SELECT event_id AS id, user_id::varchar AS key, coalesce(event_type = 'error' AND l1 AND l2, false) AS skip FROM (SELECT *, lag(event_type = 'error', 1) OVER w AS l1, lag(event_type = 'error', 2) OVER w AS l2 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))")
+def _skips(db: Ledger):
+    return patch_skips(_rounds(db).select("id", "key", "at", (F.col("event_type") == "error").alias("failed")))

@@ -67,7 +67,7 @@ def identity_files(spark: SparkSession, path: str) -> DataFrame:
     blocks = F.regexp_extract_all(body, F.lit(r"(?m)^([A-Za-z_][A-Za-z0-9_]*:[^\n]*(?:\n[ \t]*-[^\n]*)*)"), 1)
     rows = raw.select("path", F.explode(blocks).alias("b"))
     key, rest = F.regexp_extract("b", r"^([A-Za-z0-9_]+):", 1), F.regexp_replace("b", r"^[A-Za-z0-9_]+:[ \t]*", "")
-    items = F.when(rest.startswith("["), F.split(F.regexp_replace(rest, r"[\[\]]", ""), r"\s*,\s*")).when(F.trim(rest).startswith("-"), F.transform(F.filter(F.split(rest, "\n"), lambda x: F.trim(x) != ""), lambda x: F.regexp_replace(x, r"^\s*-\s*", ""))).otherwise(F.array(rest))
+    items = F.when(rest.startswith("["), F.split(F.regexp_replace(rest, r"[\[\]]", ""), r"\s*,\s*")).when(rest.rlike(r"^\s*-"), F.transform(F.filter(F.split(rest, "\n"), lambda x: F.trim(x) != ""), lambda x: F.regexp_replace(x, r"^\s*-\s*", ""))).otherwise(F.array(rest))
     clean = F.transform(items, lambda x: F.regexp_replace(F.trim(x), r"""^["']|["']$""", ""))
     return rows.select("path", key.alias("key"), F.filter(clean, lambda x: x != "").alias("values"))
 

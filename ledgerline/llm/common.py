@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,9 +35,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Within, tables of materialize() are kept in a list; those that are still in it at the end are removed."""
+    _scopes.append([])
+    try:
+        yield _scopes[-1]
+    finally:
+        discard(*_scopes.pop())
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove tables of materialize() that no later plan reads."""
     for df in tables:

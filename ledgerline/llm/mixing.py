@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import WORD, hash52, materialize, table
+from ledgerline.llm.common import WORD, hash52, materialize, scratch, table
 
 #: Documents of a source are shuffled into so many ranges of their hash; the queue is cut in two steps of so many ranges.
 RANGES = 1024
@@ -112,13 +112,22 @@ def _cut(entries: DataFrame, budget: int) -> tuple[int, int]:
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = (5, 2, 1), most: int = MOST, seed: str = "mix") -> DataFrame:
-    """The rows of docs as often as the mix takes them, with all their columns. Texts without words take no part."""
-    taken = mix(docs, key, text, source, weights, most, seed).groupBy(F.col(key).alias("_key"), "place", F.col(source).alias("_source")).agg(F.sum(F.try_divide("taken", "size")).cast("int").alias("_times"))
-    taken = materialize(taken.where("_times > 0"), "taken")
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(key).alias("_key"), place_of(seed, F.col(key), F.col(text)).alias("place"), F.col(source).alias("_source"))
-    rows = rows.withColumn("_once", F.row_number().over(Window.partitionBy("_key", "place", "_source").orderBy("place"))).where("_once = 1")
-    same = [rows["_key"].eqNullSafe(taken["_key"]), rows["place"] == taken["place"], rows["_source"].eqNullSafe(taken["_source"])]
-    return rows.join(taken, same).select("_row", F.explode(F.sequence(F.lit(1), "_times")).alias("_i")).select("_row.*")
+    """The rows of docs as often as the mix takes them, with all their columns. Texts without words take no part.
+
+    What a pass takes of a source is a start of its shuffled order, so the last document of each pass says it for all: a
+    row a source, which Spark broadcasts or shuffles by its size, and no text moves when it is small. Rows that repeat the
+    last document of a pass go with it.
+    """
+    place = lambda p, k: F.struct(p.alias("place"), F.coalesce(k, F.lit(-(2**63)).cast("long")).alias("key"))
+    with scratch() as tables:
+        rows = mix(docs, key, text, source, weights, most, seed).where("size > 0")
+        ends = [F.max(F.when(F.col("taken") >= F.col("size") * e, place(F.col("place"), F.col(key)))).alias(f"_end{e}") for e in range(1, most + 1)]
+        ends = materialize(rows.groupBy(source).agg(*ends).select(F.coalesce(source, F.lit("")).alias("_s"), F.col(source).isNull().alias("_null"), *[f"_end{e}" for e in range(1, most + 1)]), "ends")
+        tables.remove(ends)
+    own = place(place_of(seed, F.col(key), F.col(text)), F.col(key))
+    held = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(source, F.lit("")).alias("_s"), F.col(source).isNull().alias("_null"), own.alias("_place")).where(F.col(f"_row.{text}").rlike(WORD))
+    times = sum((F.when(F.col("_place") <= F.col(f"_end{e}"), 1).otherwise(0) for e in range(2, most + 1)), F.when(F.col("_place") <= F.col("_end1"), 1).otherwise(0))
+    return held.join(ends, ["_s", "_null"]).withColumn("_times", times).where("_times > 0").select("_row", F.explode(F.sequence(F.lit(1), "_times")).alias("_i")).select("_row.*")
 
 
 def op5(spark, sf_dir):

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_sharding": sharding.SQL, "op4_exact_dedup": exact_dedup.SQL, "op5_mixing": mixing.SQL, "op6_decontamination": decontaminate.SQL}
+    return {"op3_sharding": sharding.SQL, "op4_exact_dedup": exact_dedup.SQL, "op5_mixing": mixing.SQL, "op6_decontamination": decontaminate.SQL, "op7_url_filter": url_filter.SQL}

@@ -109,3 +109,40 @@ def judge_urls(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
 
 def op7(spark, sf_dir):
     return judge_urls(table(spark, sf_dir, "pages")).drop("url")
+
+
+def _attribute(tag: str, name: str) -> str:
+    parts = [f"nullif(regexp_extract({tag}, '(?is)\\s{name}\\s*=\\s*{p}', 1), '')" for p in ('"([^"]*)"', "''([^'']*)''", "([^\\s\"''>]+)")]
+    return f"coalesce({', '.join(parts)})"
+
+
+def _known(column: str) -> str:
+    """name_of() in SQL."""
+    rest = f"regexp_extract(regexp_extract({column}, '(?s)^([^#]*)', 1), '(?s)^.*?://[^/?#]*(.*)', 1)"
+    return f"""CASE WHEN contains(regexp_extract({column}, '(?s)^([^#]*)', 1), '://') THEN lower(regexp_extract(regexp_extract({column}, '(?s)^([^#]*)', 1), '(?s)^(.*?)://', 1)) || '://' || {_host(f"regexp_extract({column}, '(?s)^([^#]*)', 1)")} || CASE WHEN {rest} LIKE '/%' THEN {rest} ELSE '/' || {rest} END END"""
+
+
+def _host(column: str) -> str:
+    return f"translate(coalesce(regexp_extract({column}, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _rule(host: str, path: str) -> str:
+    cases = " ".join(f"WHEN ({host} = '{r.partition('/')[0]}' OR {host} LIKE '%.{r.partition('/')[0]}') AND starts_with({path}, '/{r.partition('/')[2]}') THEN '{r}'" for r in sorted({r for _, r in RULES}, key=lambda r: (-len(r), r)))
+    return f"CASE {cases} END"
+
+
+_SAYS = "CASE {0} " + " ".join(f"WHEN '{r}' THEN '{v}'" for v, r in RULES) + " END"
+_PATH = "coalesce(regexp_extract({0}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
+SQL = rf"""
+WITH RECURSIVE p AS (SELECT page_id, url, html, {_host('url')} AS host, {_PATH.format('url')} AS path, {_known('url')} AS name FROM pages),
+tags AS (SELECT name, url, unnest(list_concat(
+    list_transform(list_filter(regexp_extract_all(html, '(?is)<link\b[^>]*>'), lambda t: regexp_matches(t, '(?is)\srel\s*=\s*["'']?[^"''>]*\bcanonical\b')), lambda t: {_attribute('t', 'href')}),
+    list_transform(list_filter(regexp_extract_all(html, '(?is)<meta\b[^>]*>'), lambda t: regexp_matches(t, '(?is)\shttp-equiv\s*=\s*["'']?refresh\b')), lambda t: regexp_extract({_attribute('t', 'content')}, '(?is)url\s*=\s*[''"]?([^''"]+)', 1)))) AS raw FROM p WHERE name IS NOT NULL),
+found AS (SELECT name, url, trim(replace(raw, '&amp;', '&'), ' ') AS t, regexp_extract(url, '(?s)^(.*?://[^/?#]*(?:/[^?#]*/|/)?)', 1) AS folder FROM tags WHERE length(raw) > 0),
+aimed AS (SELECT name AS a, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN t WHEN t LIKE '//%' THEN regexp_extract(url, '(?s)^(.*?)://', 1) || ':' || t WHEN t LIKE '/%' THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || t WHEN folder LIKE '%/' THEN folder || t ELSE folder || '/' || t END AS target FROM found),
+edges AS (SELECT a, {_known('target')} AS b FROM aimed), ways AS (SELECT a, b FROM edges WHERE b IS NOT NULL UNION SELECT b, a FROM edges WHERE b IS NOT NULL),
+reach(a, b) AS (SELECT a, a FROM ways UNION SELECT r.a, e.b FROM reach r JOIN ways e ON r.b = e.a),
+said AS (SELECT a, bool_or(says = 'allow') AS ok, bool_or(says = 'block') AS no FROM (SELECT a, {_SAYS.format('(' + _rule(_host('b'), _PATH.format('b')) + ')')} AS says FROM reach) GROUP BY 1),
+r AS (SELECT *, {_rule('host', 'path')} AS rule FROM p)
+SELECT page_id, host, path, rule, coalesce({_SAYS.format('rule')}, CASE WHEN ok THEN 'allow' WHEN no THEN 'block' END, 'allow') AS verdict FROM r LEFT JOIN said ON r.name = said.a
+"""

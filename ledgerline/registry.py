@@ -16,6 +16,7 @@ MODULES = (
     "ledgerline.operators.windows",
     "ledgerline.operators.writes",
     "ledgerline.operators.queues",
+    "ledgerline.operators.state",
     "ledgerline.operators.policy",
     "ledgerline.operators.integrity",
     "ledgerline.functions.queries",

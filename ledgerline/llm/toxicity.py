@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -110,7 +111,6 @@ def fit_toxicity(docs: DataFrame, grades: DataFrame, key: str = "doc_id", text:
     sizes = {r["grade"]: r["n"] for r in known.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return None
-    level = {g: i for i, g in enumerate(sorted(sizes))}
     picked = None
     for g in sizes:
         part = known.where(F.col("grade") == g).orderBy(F.xxhash64(key), key).limit(sample)
@@ -125,16 +125,16 @@ def fit_toxicity(docs: DataFrame, grades: DataFrame, key: str = "doc_id", text:
     rate = F.col("n") / F.lit(total["n"])
     z = (F.col("bad") / F.lit(n_bad) - (F.col("n") - F.col("bad")) / F.lit(n_good)) / F.sqrt(rate * (1 - rate) * (1 / n_bad + 1 / n_good) + 1e-12)
     chosen = seen.withColumn("z", z).where(F.col("z") >= SCORE).orderBy(F.desc("z"), "f").limit(FEATURES).select("f")
-    features = np.array(sorted(r["f"] for r in chosen.collect()), dtype=np.int64)
-    got = rows.mapInArrow(_counts(features), "grade int, features array<long>, counts array<long>").collect()
+    features = np.sort(chosen.toArrow()["f"].to_numpy())
+    got = rows.mapInArrow(_counts(features), "grade int, features array<long>, counts array<long>").toArrow()
     discard(rows)
-    per = np.array([len(r["features"]) for r in got], dtype=np.int64)
-    feature = np.searchsorted(features, np.array([f for r in got for f in r["features"]], dtype=np.int64))
-    value = np.log1p(np.array([c for r in got for c in r["counts"]], dtype=float))
-    grade = np.array([level[r["grade"]] for r in got])
-    share = np.bincount(grade, minlength=len(level))
+    per = np.array(pc.list_value_length(got["features"].combine_chunks()))
+    feature = np.searchsorted(features, pc.list_flatten(got["features"]).to_numpy())
+    value = np.log1p(pc.list_flatten(got["counts"]).to_numpy().astype(float))
+    grade = np.searchsorted(sorted(sizes), got["grade"].to_numpy())
+    share = np.bincount(grade, minlength=len(sizes))
     weight = np.array([sizes[g] for g in sorted(sizes)])[grade] / share[grade]
-    weights, thresholds = fit_ordinal(np.repeat(np.arange(len(got)), per), feature, value, grade, weight, len(features), len(level))
+    weights, thresholds = fit_ordinal(np.repeat(np.arange(len(grade)), per), feature, value, grade, weight, len(features), len(sizes))
     return OrdinalModel(features, weights, thresholds)
 
 

@@ -81,6 +81,6 @@ def _statuses(db: Ledger):
 
 @query("audit_events_built", "SELECT audit_id, sha256(reason) AS payload_sha, length(reason)::int AS payload_len, strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS event_ts FROM write_audit")
 def _built(db: Ledger):
-    event = payloads.audit_event(F.lit("gateway"), F.lit("memory_store"), F.col("actor_user_id"), F.col("target_space"), F.col("action"), F.col("reason"), F.col("reason"), F.array(F.col("correlation_id")), F.col("created_at"))
+    event = payloads.audit_event(F.lit("api"), F.lit("store"), F.col("actor_user_id"), F.col("target_space"), F.col("action"), F.col("reason"), F.col("reason"), F.array(F.col("correlation_id")), F.col("created_at"))
     out = db.write_audit().select("audit_id", event.alias("j"))
     return out.select("audit_id", F.get_json_object("j", "$.payload_sha").alias("payload_sha"), F.get_json_object("j", "$.payload_len").cast("int").alias("payload_len"), F.get_json_object("j", "$.event_ts").alias("event_ts"))

@@ -217,3 +217,20 @@ def _outcomes(db: Ledger):
     box = db.outbox()
     pending = box.where("status = 'pending'")
     return worker_outcomes(pending, box, pending.select("outbox_id", (F.col("outbox_id") % 2 == 0).alias("ok"))).select("outbox_id", "outcome")
+
+
+def reconcile(outbox: DataFrame, audit: DataFrame, now: Column, stale_seconds: int = 600, reschedule: bool = False) -> tuple[DataFrame, DataFrame]:
+    """What a reconciliation adds and changes: audit rows for states without one, and the outbox, in which stale rows may be set free and due."""
+    from ledgerline.operators.joins import unaudited
+
+    missing = unaudited(outbox, audit, now, stale_seconds)
+    state = F.col("audit_state")
+    action = F.when(state == "sent", "allow").when(state == "dead", "reject").otherwise("redirect")
+    reason = F.when(state == "sent", "outbox_flush_success").when(state == "dead", "outbox_flush_dead").otherwise("outbox_stale")
+    rows = missing.select("target_space", action.alias("action"), reason.alias("reason"), F.to_json(F.struct("outbox_id")).alias("evidence_refs_json"), F.lit("success").alias("status"), now.alias("created_at"))
+    stale = missing.where(state == "stale").select("outbox_id", F.lit(True).alias("_stale"))
+    if not reschedule:
+        return rows, outbox
+    out = outbox.join(stale, "outbox_id", "left")
+    free = lambda c, t: F.when(F.col("_stale"), F.lit(None).cast(t)).otherwise(F.col(c))
+    return rows, out.withColumns({"locked_by": free("locked_by", "string"), "locked_at": free("locked_at", "timestamp"), "next_attempt_at": F.when(F.col("_stale"), now).otherwise(F.col("next_attempt_at"))}).drop("_stale")

@@ -65,12 +65,12 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), add)
 
 
-def _dressed(pattern: Column, digits: Column) -> Column:
-    """The digits in the places that the digits of pattern have, with its other signs as they are."""
+def _dressed(pattern: Column, digits: Column, kind: str = "^[0-9]$") -> Column:
+    """The signs in the places that the signs of that kind have in pattern, with its other signs as they are."""
     taken = F.aggregate(
         F.split(pattern, ""),
         F.struct(F.lit("").alias("out"), F.lit(1).alias("at")),
-        lambda acc, c: F.when(c.rlike("^[0-9]$"), F.struct(F.concat(acc["out"], F.substr(digits, acc["at"], F.lit(1))).alias("out"), (acc["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(acc["out"], c).alias("out"), acc["at"].alias("at"))),
+        lambda acc, c: F.when(c.rlike(kind), F.struct(F.concat(acc["out"], F.substr(digits, acc["at"], F.lit(1))).alias("out"), (acc["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(acc["out"], c).alias("out"), acc["at"].alias("at"))),
     )
     return taken["out"]
 
@@ -120,27 +120,30 @@ def _social(key: str, x: Column) -> Column:
     return F.element_at(F.transform(F.array(new), lambda p: F.concat_ws("-", _padded(back(F.floor(p["l"] / 99)), 3), _padded(p["l"] % 99 + 1, 2), _padded(p["r"] + 1, 4))), 1)
 
 
-_SIGNS = "abcdefghijklmnopqrstuvwxyz0123456789"
+#: Signs of an address that stand for each other.
+CLASSES = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789")
 
 
 def _email(key: str, x: Column) -> Column:
-    """The letters and digits of the local part as signs of an alphabet of 36, in two halves; other signs and the domain stay.
+    """The letters and digits of the local part in two halves; other signs and the domain stay.
 
-    Each round adds a keyed hash of one half, sign by sign, to the other. Capital letters become small first.
+    Each round moves the signs of one half inside their class by a keyed hash of the other half and the place: small
+    letters stay small letters, capitals capitals, digits digits, so the round can be undone.
     """
-    local, domain = F.lower(F.split_part(x, F.lit("@"), F.lit(1))), F.split_part(x, F.lit("@"), F.lit(2))
-    plain = F.regexp_replace(local, "[^a-z0-9]", "")
+    local, domain = F.split_part(x, F.lit("@"), F.lit(1)), F.split_part(x, F.lit("@"), F.lit(2))
+    plain = F.regexp_replace(local, "[^A-Za-z0-9]", "")
     n = F.length(plain)
     half = F.floor(n / 2).cast("int")
 
+    def moved(c: Column, noise: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for signs in CLASSES:
+            at = F.position(c, F.lit(signs))
+            out = F.when(at > 0, F.substr(F.lit(signs), F.pmod(at - 1 + noise, F.lit(len(signs))).cast("int") + 1, F.lit(1))).otherwise(out)
+        return out
+
     def shifted(part: Column, i: Column, other: Column) -> Column:
-        return F.array_join(
-            F.transform(
-                F.filter(F.split(part, ""), lambda c: c != ""),
-                lambda c, at: F.substr(F.lit(_SIGNS), F.pmod(F.position(c, F.lit(_SIGNS)) - 1 + _noise(key, "email", i, F.concat_ws("|", other, at.cast("string"))), F.lit(36)).cast("int") + 1, F.lit(1)),
-            ),
-            "",
-        )
+        return F.array_join(F.transform(F.filter(F.split(part, ""), lambda c: c != ""), lambda c, at: moved(c, _noise(key, "email", i, F.concat_ws("|", other, at.cast("string"))))), "")
 
     def step(acc: Column, i: Column) -> Column:
         return F.struct(F.when(i % 2 == 0, shifted(acc["l"], i, acc["r"])).otherwise(acc["l"]).alias("l"), F.when(i % 2 == 1, shifted(acc["r"], i, acc["l"])).otherwise(acc["r"]).alias("r"))
@@ -148,15 +151,7 @@ def _email(key: str, x: Column) -> Column:
     start = F.struct(F.substr(plain, F.lit(1), half).alias("l"), F.substr(plain, half + 1, n - half).alias("r"))
     new = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step)
     text = F.transform(F.array(new), lambda p: F.concat(p["l"], p["r"]))
-    dressed = F.transform(
-        text,
-        lambda t: F.aggregate(
-            F.split(local, ""),
-            F.struct(F.lit("").alias("out"), F.lit(1).alias("at")),
-            lambda acc, c: F.when(c.rlike("^[a-z0-9]$"), F.struct(F.concat(acc["out"], F.substr(t, acc["at"], F.lit(1))).alias("out"), (acc["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(acc["out"], c).alias("out"), acc["at"].alias("at"))),
-        )["out"],
-    )
-    return F.concat(F.element_at(dressed, 1), F.lit("@"), domain)
+    return F.concat(F.element_at(F.transform(text, lambda t: _dressed(local, t, "^[A-Za-z0-9]$")), 1), F.lit("@"), domain)
 
 
 def kind_of(x: Column) -> Column:

@@ -6,8 +6,10 @@ batches that keep the state, so a key may have any number of events. The same st
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, replace
+from dataclasses import asdict, dataclass, is_dataclass, replace
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -110,14 +112,14 @@ def recovery_batch(successes: int, low: int = 10, high: int = 100) -> int:
     return int(low + (high - low) * min(1.0, (successes + 1) / 2))
 
 
-def breaker_states(samples: DataFrame) -> DataFrame:
-    """samples (id, key, at, failed_rate, limited_rate, timeout_rate, n, ok) with the breaker's state after each."""
+def _breaker_row(b: Breaker, row) -> tuple[Breaker, dict]:
+    b = breaker_step(b, row.at, row.failed_rate, row.limited_rate, row.timeout_rate, int(row.n), bool(row.ok))
+    return b, {"id": row.id, "key": row.key, "state": b.state, "ema": b.ema}
 
-    def step(b, row):
-        b = breaker_step(b, row.at, row.failed_rate, row.limited_rate, row.timeout_rate, int(row.n), bool(row.ok))
-        return b, {"id": row.id, "key": row.key, "state": b.state, "ema": b.ema}
 
-    return folded(samples.select("id", "key", "at", "failed_rate", "limited_rate", "timeout_rate", "n", "ok"), "key", ["at", "id"], step, Breaker, "id long, key string, state string, ema double")
+def breaker_states(samples: DataFrame) -> DataFrame:
+    """samples (id, key, at, failed_rate, limited_rate, timeout_rate, n, ok) with the breaker's state after each."""
+    return folded(samples.select("id", "key", "at", "failed_rate", "limited_rate", "timeout_rate", "n", "ok"), "key", ["at", "id"], _breaker_row, Breaker, "id long, key string, state string, ema double")
 
 
 @dataclass(frozen=True)
@@ -159,14 +161,14 @@ def degraded(rounds: DataFrame) -> DataFrame:
     return folded(rounds.select("id", "key", "at", "hits", "timeouts", "server_errors", "too_large", "succeeded"), "key", ["at", "id"], step, Degradation, "id long, key string, diff_mode string, batch int, window int, sleep double, paused boolean")
 
 
-def patch_skips(rounds: DataFrame, most: int = 3) -> DataFrame:
-    """rounds (id, key, at, failed): patches are skipped from the `most`-th failure in a row until a success."""
+def _skip_row(n: int, row, most: int) -> tuple[int, dict]:
+    n = n + 1 if row.failed else 0
+    return n, {"id": row.id, "key": row.key, "skip": n >= most}
 
-    def step(n, row):
-        n = n + 1 if row.failed else 0
-        return n, {"id": row.id, "key": row.key, "skip": n >= most}
 
-    return folded(rounds.select("id", "key", "at", "failed"), "key", ["at", "id"], step, lambda: 0, "id long, key string, skip boolean")
+def patch_skips(rounds: DataFrame, most: int = 3) -> DataFrame:
+    """rounds (id, key, at, failed): patches are skipped from the `most`-th failure in a row until a success."""
+    return folded(rounds.select("id", "key", "at", "failed"), "key", ["at", "id"], partial(_skip_row, most=most), int, "id long, key string, skip boolean")
 
 
 def next_window(width: int, limited: bool, low: int = 300, high: int = 86400, shrink: float = 0.5, grow: float = 1.5) -> int:
@@ -174,20 +176,30 @@ def next_window(width: int, limited: bool, low: int = 300, high: int = 86400, sh
     return int(min(high, max(low, width * (shrink if limited else grow))))
 
 
-def patch_skip_stream(stream: DataFrame, most: int = 3) -> DataFrame:
-    """patch_skips for a stream (id, key, failed) in order of arrival, with the number of failures in a row as a key's state."""
+def folded_stream(stream: DataFrame, by: str, step: Callable, start: Callable, revive: Callable, order: list[str], schema: str) -> DataFrame:
+    """folded() for a stream: each batch's rows of a key in order, after those of earlier batches. A key's state is kept as JSON; revive turns that back."""
 
-    def run(key, batches, state):
-        n = state.get[0] if state.exists else 0
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                n = n + 1 if row.failed else 0
-                out.append((row.id, key[0], n >= most))
-            yield pd.DataFrame(out, columns=["id", "key", "skip"])
-        state.update((n,))
+    def run(key, batches, held):
+        state = revive(json.loads(held.get[0])) if held.exists else start()
+        rows = pd.concat(list(batches)).sort_values(order)
+        out = []
+        for row in rows.itertuples(index=False):
+            state, result = step(state, row)
+            out.append(result)
+        held.update((json.dumps(asdict(state) if is_dataclass(state) else state),))
+        yield pd.DataFrame(out)
+
+    return stream.groupBy(by).applyInPandasWithState(run, schema, "state string", "append", "NoTimeout")
 
-    return stream.groupBy("key").applyInPandasWithState(run, "id long, key string, skip boolean", "n int", "append", "NoTimeout")
+
+def breaker_stream(stream: DataFrame) -> DataFrame:
+    """breaker_states for a stream of the same columns."""
+    return folded_stream(stream, "key", _breaker_row, Breaker, lambda d: Breaker(**d), ["at", "id"], "id long, key string, state string, ema double")
+
+
+def patch_skip_stream(stream: DataFrame, most: int = 3) -> DataFrame:
+    """patch_skips for a stream (id, key, failed)."""
+    return folded_stream(stream, "key", partial(_skip_row, most=most), int, int, ["id"], "id long, key string, skip boolean")
 
 
 def _rounds(db: Ledger) -> DataFrame:

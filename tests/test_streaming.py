@@ -115,6 +115,19 @@ def test_state_stream(spark, tmp_path):
     assert sum(r["skip"] for r in spark.table("skips").collect()) == 2
 
 
+def test_breaker_stream_keeps_state_between_batches(spark, tmp_path):
+    shape = "id long, key string, at double, failed_rate double, limited_rate double, timeout_rate double, n int, ok boolean"
+    rows = [(i, "k", float(i * 100), 1.0 if i < 3 else 0.0, 0.0, 0.0, 10, i >= 3) for i in range(9)]
+    for i in range(0, 9, 3):
+        spark.createDataFrame(rows[i : i + 3], shape).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = c.breaker_stream(stream).writeStream.format("memory").queryName("breakers").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    want = {r["id"]: r["state"] for r in c.breaker_states(spark.createDataFrame(rows, shape)).collect()}
+    assert {r["id"]: r["state"] for r in spark.table("breakers").collect()} == want
+    assert [want[i] for i in range(9)] == ["open", "open", "open", "half_open", "closed", "closed", "closed", "closed", "closed"]
+
+
 def test_refresh(spark, tmp_path):
     path = str(tmp_path / "facts")
     assert reports.refresh(spark, spark.range(3), path, 1) == (0, 3)

@@ -50,8 +50,7 @@ def reason_category(reason: Column) -> Column:
 
 def audits_by_reason(audit: DataFrame) -> DataFrame:
     """One row for every category, with 0 where there is none."""
-    spark = audit.sparkSession
-    every = spark.createDataFrame([(c,) for c in REASON_CATEGORIES], "reason_category string")
+    every = audit.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in REASON_CATEGORIES])).alias("reason_category"))
     found = audit.groupBy(reason_category(F.col("reason")).alias("reason_category")).agg(F.count(F.lit(1)).alias("n"))
     return every.join(found, "reason_category", "left").select("reason_category", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 

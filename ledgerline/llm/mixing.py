@@ -78,25 +78,30 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     return rows.select(F.col("_key").alias(key), "source", "size", "source_size", "target", taken.cast("long").alias("taken"), F.col("_h").alias("place"))
 
 
+def _cell(f: Column) -> tuple[Column, Column]:
+    """The range of a finish time, and the range inside that: both below RANGES however late it is, and in its order."""
+    at = f / (1 + f) * RANGES
+    return F.floor(at), F.floor((at - F.floor(at)) * RANGES)
+
+
 def _last_taken(entries: DataFrame, goals: DataFrame):
     """A test of an entry: whether it stands before the cut. Sums come to the driver for 1,024 ranges twice, and one entry."""
     budget = goals.agg(F.sum("source_size")).first()[0] or 0
-    at = F.col("e.f") * RANGES
-    low, left = _cut(entries.select(F.least(F.floor(at), F.lit(RANGES * 8)).alias("r"), "e"), budget)
-    part = entries.where(F.least(F.floor(at), F.lit(RANGES * 8)) == low)
-    inner = F.floor((at - low) * RANGES)
+    coarse, inner = _cell(F.col("e.f"))
+    low, left = _cut(entries.select(coarse.alias("r"), "e"), budget)
+    part = entries.where(coarse == low)
     fine, left = _cut(part.select(inner.alias("r"), "e"), left)
     few = part.where(inner == fine).select("e", F.sum("e.size").over(Window.orderBy("e").rowsBetween(Window.unboundedPreceding, 0)).alias("sum"))
     found = few.where(F.col("sum") <= left).agg(F.max("e").alias("e")).first()
     e = found and found["e"]
 
     def test(x: Column) -> Column:
-        r = F.least(F.floor(x["f"] * RANGES), F.lit(RANGES * 8))
-        i = F.floor((x["f"] * RANGES - low) * RANGES)
+        r, i = _cell(x["f"])
+        before = (r < low) | ((r == low) & (i < fine))
         if e is None:
-            return (r < low) | ((r == low) & (i < fine))
+            return before
         edge = F.struct(F.lit(e["f"]).alias("f"), F.lit(e["null"]).alias("null"), F.lit(e["s"]).alias("s"), F.lit(e["h"]).cast("long").alias("h"), F.lit(e["key"]).cast("long").alias("key"), F.lit(e["size"]).cast("long").alias("size"))
-        return (r < low) | ((r == low) & (i < fine)) | ((r == low) & (i == fine) & (x <= edge))
+        return before | ((r == low) & (i == fine) & (x <= edge))
 
     return test
 

@@ -48,3 +48,11 @@ def test_mix(docs_of):
 def test_words_are_those_of_ascii_blanks(docs_of):
     got = {x["doc_id"]: x["size"] for x in m.mix(docs_of([(1, "a\x0bb\tc\nd"), (2, "a\xa0b"), (3, "\x1c"), (4, None)])).collect()}
     assert got == {1: 4, 2: 1, 3: 1, 4: 0}
+
+
+def test_late_finish_times(docs_of):
+    """One document is far larger than its source's target, and what is left over comes to it last."""
+    rows = [(1, "w " * 4000, None, "z"), *((i, "w " * 3, None, "a") for i in range(2, 40)), (99, "w", None, "b")]
+    got = {x["doc_id"]: x for x in m.mix(docs_of(rows), weights=(1000, 1000, 1)).collect()}
+    total = sum(x["size"] for x in got.values())
+    assert sum(x["taken"] for x in got.values()) <= total and all(got[i]["taken"] == 9 for i in range(2, 40)) and got[99]["taken"] == 3

@@ -16,6 +16,8 @@ from ledgerline.llm.common import keyed, LOWER, table, UPPER
 #: Words of a window. Test items are gathered in blocks of so many bytes of text, an automaton each; one block is held at a time.
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
+#: Texts that a task holds as words at once.
+ROWS = 256
 
 #: ASCII other than 0-9, a-z becomes a blank and A-Z small letters; bytes of other characters stay, so words keep their bytes.
 _FOLD = bytes(
@@ -92,7 +94,7 @@ def find_contamination(docs: DataFrame, bench: DataFrame, key: str = "doc_id", t
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[int, Automaton] | None = None
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             split = [t.encode().translate(_FOLD).split() for t in texts]
             hits: list[list] = [[] for _ in texts]

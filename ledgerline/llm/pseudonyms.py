@@ -14,7 +14,13 @@ EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9](?:[A-Za-z0-9-]
 ADDRESS = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 DAY = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-PHONE = r"(?<![0-9+])(?:\+1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])"
+#: Ten digits in the form of North America, whatever the first ones are; then numbers with a + and a country code, 8 to 15 digits
+#: in one piece or in groups. A group that starts a find of another kind is not part of a number that has 8 digits already.
+LOCAL = r"(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
+OTHER = r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])|[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])|" + LOCAL + r"|[A-Za-z0-9._%+-]{1,64}@)"
+FOUR = r"(?:[0-9]{13,19}(?![0-9])|[0-9]{4}(?:[ -][0-9]{4}){3}(?![ -]?[0-9]))"
+ONE = r"[ .-]?\(?[0-9]\)?"
+PHONE = rf"(?<![0-9+])(?:(?:\+1[ .-]?)?{LOCAL}|\+1[ .-]?[0-9]{{10}}(?![0-9])|\+[1-9][0-9]{{7,14}}(?![0-9])|\+[1-9](?:{ONE}){{7}}(?:(?![ .-](?:{OTHER}|{FOUR})){ONE}){{0,7}}(?![0-9])(?<![ .-][0-9]))"
 CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
 ANY = "|".join((EMAIL, ADDRESS, DAY, SOCIAL, PHONE, CARD))
 KINDS = {"email": f"^(?:{EMAIL})$", "ip": f"^(?:{ADDRESS})$", "date": f"^(?:{DAY})$", "ssn": f"^(?:{SOCIAL})$", "phone": f"^(?:{PHONE})$", "card": f"^(?:{CARD})$"}
@@ -87,13 +93,33 @@ def _card(key: str, x: Column) -> Column:
     return F.element_at(F.transform(closed, lambda t: _dressed(x, t)), 1)
 
 
+#: Country codes; those that are not listed have three digits.
+COUNTRY = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+
+
+def _halves(key: str, tag: str, d: Column) -> Column:
+    """A string of 2 to 36 digits, permuted as two halves, in an array of one."""
+    n = F.length(d)
+    half = F.floor(n / 2).cast("int")
+    ten = lambda k: F.pow(F.lit(10), k).cast("long")
+    new = permute(key, tag, _number(d, 1, half), _number(d, half + 1, n - half), ten(half), ten(n - half))
+    return F.transform(F.array(new), lambda p: F.concat(_padded(p["l"], half), _padded(p["r"], n - half)))
+
+
 def _phone(key: str, x: Column) -> Column:
-    """Area and exchange keep a first digit from 2 to 9; a leading 1 and the signs stay."""
-    d = F.right(_digits(x), F.lit(10))
-    new = permute(key, "phone", (_number(d, 1, 3) - 200) * 800 + _number(d, 4, 3) - 200, _number(d, 7, 4), 640_000, 10_000)
+    """The signs and the country code stay. Of a North American number, the first digits of area and exchange stay below 2, or
+    from 2 up, as they were."""
+    every = _digits(x)
+    d = F.right(every, F.lit(10))
+    low = [F.when(_number(d, i, 1) < 2, F.lit(0)).otherwise(F.lit(200)) for i in (1, 4)]
+    wide = [F.when(k == 0, F.lit(200)).otherwise(F.lit(800)) for k in low]
+    new = permute(key, "phone", (_number(d, 1, 3) - low[0]) * wide[1] + _number(d, 4, 3) - low[1], _number(d, 7, 4), wide[0] * wide[1], 10_000)
     country = F.when(x.startswith("+"), F.lit("1")).otherwise(F.lit(""))
-    text = F.transform(F.array(new), lambda p: F.concat(country, (F.floor(p["l"] / 800) + 200).cast("string"), (p["l"] % 800 + 200).cast("string"), _padded(p["r"], 4)))
-    return F.element_at(F.transform(text, lambda t: _dressed(x, t)), 1)
+    home = F.transform(F.array(new), lambda p: F.concat(country, _padded(F.floor(p["l"] / wide[1]) + low[0], 3), _padded(p["l"] % wide[1] + low[1], 3), _padded(p["r"], 4)))
+    code = F.regexp_extract(every, COUNTRY, 0)
+    abroad = F.transform(_halves(key, "phone abroad", F.substr(every, F.length(code) + 1)), lambda t: F.concat(code, t))
+    at_home = ~x.startswith("+") | (every.startswith("1") & (F.length(every) == 11))
+    return F.element_at(F.transform(F.when(at_home, home).otherwise(abroad), lambda t: _dressed(x, t)), 1)
 
 
 def _ip(key: str, x: Column) -> Column:
@@ -156,7 +182,7 @@ def _email(key: str, x: Column) -> Column:
 
 def kind_of(x: Column) -> Column:
     """The kind of a find if it is valid, else null: octets to 255, dates of the calendar from 1800 to 2199, numbers that were
-    given out as social security numbers can be, phones of the North American plan, cards that pass the Luhn check."""
+    given out as social security numbers can be, phones in the form of the North American plan or with a country code, cards that pass the Luhn check."""
     octets = F.forall(F.split(x, r"\."), lambda o: o.try_cast("int") <= 255)
     day = F.try_to_date(x)
     dated = day.isNotNull() & (F.date_format(day, "yyyy-MM-dd") == x) & day.between(F.lit("1800-01-01").cast("date"), F.lit("2199-12-31").cast("date"))

@@ -62,3 +62,23 @@ def test_addresses_are_permuted(spark):
     names = [f"{a}{b}.{d}@x.org" for a in "abcdefghijklmnopqrstuvwxyz" for b in "aBq" for d in range(10)]
     got = [r["text"] for r in swap(spark, names)]
     assert len(set(got)) == len(names) and all(re.fullmatch(r"[a-z][A-Za-z]\.[0-9]@x\.org", x) for x in got)
+
+
+def test_phones_of_all_forms(spark):
+    """Area codes that documents hold, + forms in one piece, and other countries; the neighbours of a number stay what they are."""
+    texts = ["call +1 (017) 555-7713 now", "call +1 (132) 555-1352", "017-155-7713", "+12125551234", "+44 20 7946 0958 2 times", "+442079460958", "+33 1 23 45 67 89", "+44 20 7946 0958 1987-02-28", "+49 (30) 1234567, +1 (212) 555-1234"]
+    rows = swap(spark, texts)
+    got = [r["text"] for r in rows]
+    shape = lambda t: re.sub("[0-9]", "d", t)
+    assert [shape(t) for t in got] == [shape(t) for t in texts] and all(a != b for a, b in zip(texts, got, strict=True))
+    assert [r["n_phone"] for r in rows] == [1, 1, 1, 1, 1, 1, 1, 1, 2] and rows[7]["n_date"] == 1
+    assert re.fullmatch(r"call \+1 \([01]\d\d\) [2-9]\d\d-\d{4} now", got[0]) and re.fullmatch(r"[01]\d\d-[01]\d\d-\d{4}", got[2])
+    assert got[4].startswith("+44 ") and got[4].endswith(" 2 times") and got[6].startswith("+33 ")
+    digits = lambda t: re.sub("[^0-9]", "", t)
+    assert digits(got[4])[:-1] == digits(got[5]) and digits(got[3]) == digits(got[8].split(", ")[1])
+
+
+def test_phones_are_permuted(spark):
+    for form in ("+1 (0%02d) 1%02d-0000", "(9%02d) 0%02d-0000", "+44 20 79%02d 00%02d"):
+        got = [r["text"] for r in swap(spark, [form % (i, j) for i in range(40) for j in range(20)])]
+        assert len(set(got)) == 800

@@ -21,7 +21,8 @@ OTHER = r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|[0-9]{3}-[0-9]{2}-[0-9]{4}(?![
 FOUR = r"(?:[0-9]{13,19}(?![0-9])|[0-9]{4}(?:[ -][0-9]{4}){3}(?![ -]?[0-9]))"
 ONE = r"[ .-]?\(?[0-9]\)?"
 PHONE = rf"(?<![0-9+])(?:(?:\+1[ .-]?)?{LOCAL}|\+1[ .-]?[0-9]{{10}}(?![0-9])|\+[1-9][0-9]{{7,14}}(?![0-9])|\+[1-9](?:{ONE}){{7}}(?:(?![ .-](?:{OTHER}|{FOUR})){ONE}){{0,7}}(?![0-9])(?<![ .-][0-9]))"
-CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+#: A run of 13 digits or more with single blanks or hyphens, to its end or to where a find of another kind starts. The cards in it: cards_in().
+CARD = rf"(?<![0-9])[0-9](?:[ -]?[0-9]){{12}}(?:(?![ -]{OTHER})[ -]?[0-9])*+(?![0-9])"
 ANY = "|".join((EMAIL, ADDRESS, DAY, SOCIAL, PHONE, CARD))
 KINDS = {"email": f"^(?:{EMAIL})$", "ip": f"^(?:{ADDRESS})$", "date": f"^(?:{DAY})$", "ssn": f"^(?:{SOCIAL})$", "phone": f"^(?:{PHONE})$", "card": f"^(?:{CARD})$"}
 
@@ -198,24 +199,56 @@ def kind_of(x: Column) -> Column:
     )
 
 
+def cards_in(x: Column) -> Column:
+    """A run of digits as pieces (x, kind) that make it up: the cards in it, and what stands around them with a null kind.
+
+    A card is 13 to 19 digits that pass the Luhn check, from the start of a group of digits to the end of one. Of cards that
+    overlap, the one with most digits is taken, then the first.
+    """
+    places = F.sequence(F.lit(1), F.length(x))
+    sign = lambda i: F.substr(x, i, F.lit(1))
+    starts = F.filter(places, lambda i: (i == 1) | F.substr(x, i - 1, F.lit(1)).isin(" ", "-"))
+    starts = F.filter(starts, lambda i: ~sign(i).isin(" ", "-"))
+    ends = F.filter(places, lambda i: ~sign(i).isin(" ", "-") & ((i == F.length(x)) | F.substr(x, i + 1, F.lit(1)).isin(" ", "-")))
+
+    def spans(both: Column) -> Column:
+        every = F.flatten(F.transform(both["s"], lambda s, k: F.transform(F.slice(both["e"], k + 1, F.lit(19)), lambda e: F.struct(s.alias("s"), e.alias("e"), _digits(F.substr(x, s, e - s + 1)).alias("d")))))
+        valid = F.filter(every, lambda c: F.length(c["d"]).between(13, 19) & (F.pmod(luhn_sum(c["d"]), F.lit(10)) == 0))
+        return F.array_sort(F.transform(valid, lambda c: F.struct((-F.length(c["d"])).alias("n"), c["s"].alias("s"), c["e"].alias("e"))))
+
+    found = F.flatten(F.transform(F.array(F.struct(starts.alias("s"), ends.alias("e"))), spans))
+    none = F.array().cast("array<struct<s:int,e:int>>")
+    apart = F.aggregate(found, none, lambda acc, c: F.when(F.exists(acc, lambda o: (o["s"] <= c["e"]) & (c["s"] <= o["e"])), acc).otherwise(F.concat(acc, F.array(F.struct(c["s"].alias("s"), c["e"].alias("e"))))))
+    piece = lambda s, e, kind: F.struct(F.substr(x, s, e - s + 1).alias("x"), F.lit(kind).cast("string").alias("kind"))
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<x:string,kind:string>>").alias("out"))
+    return F.aggregate(
+        F.array_sort(apart),
+        start,
+        lambda acc, c: F.struct((c["e"] + 1).alias("at"), F.concat(acc["out"], F.array(piece(acc["at"], c["s"] - 1, None), piece(c["s"], c["e"], "card"))).alias("out")),
+        lambda acc: F.concat(acc["out"], F.array(piece(acc["at"], F.length(x), None))),
+    )
+
+
 def pseudonymize(df: DataFrame, secret: str, text: str = "text") -> DataFrame:
     """df with the text's valid personal data replaced, and n_<kind> longs for email, ip, date, ssn, phone and card.
 
     Found are e-mail addresses, IPv4 addresses, ISO dates, social security numbers, phone numbers and cards; what fails its
-    check is left as it is. A pseudonym has the format of what it stands for and passes the same check; equal values have
+    check is left as it is, but cards are looked for inside a run of digits that is none as a whole. A pseudonym has the format of what it stands for and passes the same check; equal values have
     equal pseudonyms in all documents, and a permutation under the secret gives each, so different values stay different.
     Null texts stay null and empty ones empty, with counts of 0; columns named like an added one are replaced. No
     shuffle; rows are independent, and only texts with a find are taken apart.
     """
     t = F.col(text)
     finds = F.regexp_extract_all(t, F.lit(ANY), 0)
-    named = F.transform(finds, lambda x: F.struct(x.alias("x"), kind_of(x).alias("kind")))
+    one = lambda x, kind: F.array(F.struct(x.alias("x"), kind.alias("kind")))
+    taken = lambda p: F.when(p["kind"].isNull() & p["x"].rlike(KINDS["card"]), cards_in(p["x"])).otherwise(one(p["x"], p["kind"]))
+    named = F.transform(F.transform(finds, lambda x: F.struct(x.alias("x"), kind_of(x).alias("kind"))), taken)
     new = lambda x, kind: F.when(kind == "email", _email(secret, x)).when(kind == "ip", _ip(secret, x)).when(kind == "date", _date(secret, x)).when(kind == "ssn", _social(secret, x)).when(kind == "phone", _phone(secret, x)).when(kind == "card", _card(secret, x)).otherwise(x)
     out = df.withColumn("_named", F.when(t.rlike("[0-9]|@"), named))
     parts = F.split(t, ANY, -1)
-    swapped = F.transform(F.col("_named"), lambda p: new(p["x"], p["kind"]))
+    swapped = F.transform(F.col("_named"), lambda pieces: F.array_join(F.transform(pieces, lambda p: new(p["x"], p["kind"])), ""))
     joined = F.array_join(F.zip_with(parts, swapped, lambda part, s: F.concat(part, F.coalesce(s, F.lit("")))), "")
-    of = lambda k: F.size(F.filter("_named", lambda p: p["kind"] == k))
+    of = lambda k: F.size(F.filter(F.flatten("_named"), lambda p: p["kind"] == k))
     counts = {f"n_{k}": F.coalesce(of(k), F.lit(0)).cast("long") for k in KINDS}
     return out.withColumns({**{k: F.greatest(v, F.lit(0)) for k, v in counts.items()}, text: F.when(F.size("_named") > 0, joined).otherwise(t)}).drop("_named")
 

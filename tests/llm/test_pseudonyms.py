@@ -82,3 +82,17 @@ def test_phones_are_permuted(spark):
     for form in ("+1 (0%02d) 1%02d-0000", "(9%02d) 0%02d-0000", "+44 20 79%02d 00%02d"):
         got = [r["text"] for r in swap(spark, [form % (i, j) for i in range(40) for j in range(20)])]
         assert len(set(got)) == 800
+
+
+def test_cards_beside_other_numbers(spark):
+    card = "4111 1111 1111 1111"
+    texts = [f"{card} 123", f"paid 12 {card}", "4111111111111111 12/25", f"{card} 1987-02-28", f"11 22 33 {card} 5", f"{card} 5500 0000 0000 0004", f"{card} 212-555-0100", f"{card} 10.0.0.1", "1 2 3 4 5 6 7 8 9 1 2 3 5", card]
+    rows = swap(spark, texts)
+    got = [r["text"] for r in rows]
+    new = got[-1]
+    assert new != card and luhn(new) % 10 == 0
+    assert got[:3] == [f"{new} 123", f"paid 12 {new}", re.sub(" ", "", new) + " 12/25"]
+    assert got[4] == f"11 22 33 {new} 5" and got[5].startswith(f"{new} ") and luhn(got[5][20:]) % 10 == 0 and got[5][20:] != texts[5][20:]
+    assert all(got[i].startswith(f"{new} ") and got[i] != f"{new}{texts[i][19:]}" for i in (3, 5, 6, 7))
+    assert [r["n_card"] for r in rows] == [1, 1, 1, 1, 1, 2, 1, 1, 0, 1]
+    assert (rows[3]["n_date"], rows[6]["n_phone"], rows[7]["n_ip"]) == (1, 1, 1) and got[8] == texts[8]

@@ -53,10 +53,10 @@ def collect_garbage(files: DataFrame, references: DataFrame, now: Column, min_ag
 
 
 def audit_artifacts(rows: DataFrame, files: DataFrame) -> DataFrame:
-    """rows (uri, sha256) against files (path, content or sha256): ok, mismatch or missing."""
+    """rows (uri, sha256) against files (path, content or sha256): ok, mismatch or missing; missing too where the uri is null or empty."""
     digest = F.sha2("content", 256) if "content" in files.columns else F.col("sha256")
     held = files.select(normalized_key(F.col("path")).alias("_key"), digest.alias("_sha"))
-    out = rows.withColumn("_key", normalized_key(F.col("uri"))).join(held, "_key", "left")
+    out = rows.withColumn("_key", F.when(F.col("uri") != "", normalized_key(F.col("uri")))).join(held, "_key", "left")
     return out.withColumn("audit", F.when(F.col("_sha").isNull(), "missing").when(F.col("_sha") == F.lower("sha256"), "ok").otherwise("mismatch")).drop("_key", "_sha")
 
 
@@ -99,6 +99,15 @@ def _audited(db: Ledger):
     return audit_artifacts(rows, files.withColumnRenamed("uri", "path")).select("blob_id", "audit")
 
 
+@query("artifacts_audited_all", "SELECT blob_id, CASE WHEN blob_id % 3 <> 1 THEN 'missing' WHEN blob_id % 7 = 0 THEN 'mismatch' ELSE 'ok' END AS audit FROM patch_blobs")
+def _audited_all(db: Ledger):
+    """Every blob: of three, one has a file (each seventh of these another one's), one a uri only, one no uri."""
+    n = F.col("blob_id")
+    blobs = db.patch_blobs().withColumn("uri", F.when(n % 3 != 0, F.concat(F.lit("scm/"), n, F.lit(".diff"))))
+    files = blobs.where(n % 3 == 1).select(F.col("uri").alias("path"), F.when(n % 7 == 0, F.lit("0")).otherwise(F.col("sha256")).alias("sha256"))
+    return audit_artifacts(blobs, files).select("blob_id", "audit")
+
+
 @query("uris_migrated", "SELECT blob_id, 'gs://new/' || sha256 AS new_uri FROM patch_blobs WHERE evidence_uri LIKE 's3://bucket/%'")
 def _migrated(db: Ledger):
     return migration_preview(db.patch_blobs(), "evidence_uri", "s3://bucket", "gs://new").select("blob_id", "new_uri")

@@ -165,3 +165,10 @@ def test_schema_rules(spark):
     assert sorted(r["run_id"] for r in violations(conform(runs, "sync_runs"), "sync_runs").collect()) == ["1", "2"]
     assert duplicates(runs, ["run_id"]).count() == 1
     assert schema_drift(conform(runs, "sync_runs"), "sync_runs") == [] and ("status", "string", "string") not in schema_drift(runs, "sync_runs")
+
+
+def test_audit_answers_each_row(spark):
+    rows = spark.createDataFrame([(1, "a/b", "aa"), (2, None, "aa"), (3, "", "aa"), (4, "a/c", "aa"), (5, "none", "aa")], "blob_id long, uri string, sha256 string")
+    files = spark.createDataFrame([("a/b", "aa"), ("a/c", "bb"), (".", "aa")], "path string, sha256 string")
+    got = {r["blob_id"]: r["audit"] for r in integrity.audit_artifacts(rows, files).collect()}
+    assert got == {1: "ok", 2: "missing", 3: "missing", 4: "mismatch", 5: "missing"}

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where all run in one process, one of our own if that is unset."""
     context = spark.sparkContext
     if found := context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir():
         return found
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ledgerline-"))
     return context.getCheckpointDir()
 
@@ -35,22 +38,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
-    if _scopes:
-        _scopes[-1].append(out)
+    if (held := _scope.get()) is not None:
+        held.append(out)
     return out
 
 
-_scopes: list[list[DataFrame]] = []
+_scope: ContextVar[list[DataFrame] | None] = ContextVar("_scope", default=None)
 
 
 @contextmanager
 def scratch() -> Iterator[list[DataFrame]]:
-    """Within, tables of materialize() are kept in a list; those that are still in it at the end are removed."""
-    _scopes.append([])
+    """Within, tables of materialize() are kept in a list; those that are still in it at the end are removed.
+
+    Each thread has its own list. What a lazy result still reads is taken from it with keep().
+    """
+    token = _scope.set(held := [])
     try:
-        yield _scopes[-1]
+        yield held
     finally:
-        discard(*_scopes.pop())
+        _scope.reset(token)
+        discard(*held)
+
+
+def keep(held: list[DataFrame], *tables: DataFrame) -> None:
+    """Take tables from the list of a scope: something lazy reads them."""
+    for df in tables:
+        held[:] = [x for x in held if x is not df]
 
 
 def discard(*tables: DataFrame) -> None:
@@ -60,6 +73,14 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A name like this one that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def keyed(df: DataFrame, key: str, rest: str) -> StructType:
     """The schema of df's key and of the columns in rest, which is DDL."""
     return StructType([df.schema[key], *StructType.fromDDL(rest).fields])

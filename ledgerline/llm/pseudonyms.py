@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import table
+from ledgerline.llm.common import table, unused
 
 ROUNDS = 8
 
-#: What is looked for, in this order where two could start at one place. The kinds are told apart again by KIND.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+"
+#: What is looked for, in this order where two could start at one place. The kinds are told apart again by KIND. An address has labels of 63 signs
+#: and 127 labels at most, as names of hosts have; what follows in a longer row of labels is not a part of it. Every repeat is bounded or
+#: possessive, so no text makes the matcher recurse.
+LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?(?![A-Za-z0-9])"
+EMAIL = rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}@{LABEL}(?:\.{LABEL}){{1,126}}"
 ADDRESS = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 DAY = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
@@ -202,31 +205,54 @@ def kind_of(x: Column) -> Column:
 def cards_in(x: Column) -> Column:
     """A run of digits as pieces (x, kind) that make it up: the cards in it, and what stands around them with a null kind.
 
-    A card is 13 to 19 digits that pass the Luhn check, from the start of a group of digits to the end of one. Of cards that
-    overlap, the one with most digits is taken, then the first.
+    A card is 13 to 19 digits that pass the Luhn check, from the start of a group of digits to the end of one. From left to right, the
+    longest that starts at a group is taken, unless one with more digits starts inside it. A run of any length takes time in proportion.
     """
-    places = F.sequence(F.lit(1), F.length(x))
-    sign = lambda i: F.substr(x, i, F.lit(1))
-    starts = F.filter(places, lambda i: (i == 1) | F.substr(x, i - 1, F.lit(1)).isin(" ", "-"))
-    starts = F.filter(starts, lambda i: ~sign(i).isin(" ", "-"))
-    ends = F.filter(places, lambda i: ~sign(i).isin(" ", "-") & ((i == F.length(x)) | F.substr(x, i + 1, F.lit(1)).isin(" ", "-")))
-
-    def spans(both: Column) -> Column:
-        every = F.flatten(F.transform(both["s"], lambda s, k: F.transform(F.slice(both["e"], k + 1, F.lit(19)), lambda e: F.struct(s.alias("s"), e.alias("e"), _digits(F.substr(x, s, e - s + 1)).alias("d")))))
-        valid = F.filter(every, lambda c: F.length(c["d"]).between(13, 19) & (F.pmod(luhn_sum(c["d"]), F.lit(10)) == 0))
-        return F.array_sort(F.transform(valid, lambda c: F.struct((-F.length(c["d"])).alias("n"), c["s"].alias("s"), c["e"].alias("e"))))
-
-    found = F.flatten(F.transform(F.array(F.struct(starts.alias("s"), ends.alias("e"))), spans))
-    none = F.array().cast("array<struct<s:int,e:int>>")
-    apart = F.aggregate(found, none, lambda acc, c: F.when(F.exists(acc, lambda o: (o["s"] <= c["e"]) & (c["s"] <= o["e"])), acc).otherwise(F.concat(acc, F.array(F.struct(c["s"].alias("s"), c["e"].alias("e"))))))
-    piece = lambda s, e, kind: F.struct(F.substr(x, s, e - s + 1).alias("x"), F.lit(kind).cast("string").alias("kind"))
-    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<x:string,kind:string>>").alias("out"))
-    return F.aggregate(
-        F.array_sort(apart),
-        start,
-        lambda acc, c: F.struct((c["e"] + 1).alias("at"), F.concat(acc["out"], F.array(piece(acc["at"], c["s"] - 1, None), piece(c["s"], c["e"], "card"))).alias("out")),
-        lambda acc: F.concat(acc["out"], F.array(piece(acc["at"], F.length(x), None))),
-    )
+    bound = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)  # noqa: E731  a value is computed once, not for each element
+    pieces = F.regexp_extract_all(x, F.lit("[0-9]+|[^0-9]+"), 0)  # groups at odd places, one sign between each two
+
+    def longest(b: Column) -> Column:
+        """For each group the card with most digits that starts with it: (n digits, k groups), or null."""
+
+        def of(g: Column, i: Column) -> Column:
+            sums = F.aggregate(
+                F.slice(b["lengths"], i + 1, F.lit(19)),
+                F.struct(F.lit(0).alias("n"), F.lit(0).alias("k"), F.array().cast("array<struct<n:int,k:int>>").alias("out")),
+                lambda acc, m: F.struct((acc["n"] + m).alias("n"), (acc["k"] + 1).alias("k"), F.when((acc["n"] + m).between(13, 19), F.concat(acc["out"], F.array(F.struct((acc["n"] + m).alias("n"), (acc["k"] + 1).alias("k"))))).otherwise(acc["out"]).alias("out")),
+                lambda acc: acc["out"],
+            )
+            valid = F.filter(sums, lambda c: bound(F.array_join(F.slice(b["groups"], i + 1, c["k"]), ""), lambda d: F.pmod(luhn_sum(d), F.lit(10)) == 0))
+            return F.array_max(valid)
+
+        return F.transform(b["groups"], of)
+
+    def taken(b: Column) -> Column:
+        """(first group, groups) of each card, in order."""
+
+        def step(acc: Column, c: Column, i: Column) -> Column:
+            beaten = F.exists(F.slice(b["best"], i + 1, c["k"] - 1), lambda o: F.coalesce(o["n"] > c["n"], F.lit(False)))
+            take = c.isNotNull() & (i >= acc["free"]) & ~beaten
+            return F.when(take, F.struct((i + c["k"]).alias("free"), F.concat(acc["out"], F.array(F.struct(i.alias("s"), c["k"].alias("k")))).alias("out"))).otherwise(acc)
+
+        start = F.struct(F.lit(1).alias("free"), F.array().cast("array<struct<s:int,k:int>>").alias("out"))
+        placed = F.transform(b["best"], lambda c, i: F.struct(c.alias("c"), (i + 1).alias("i")))
+        return F.aggregate(placed, start, lambda acc, p: step(acc, p["c"], p["i"]), lambda acc: acc["out"])
+
+    def cut(b: Column) -> Column:
+        text = lambda start, n: F.array_join(F.slice(b["pieces"], start, F.greatest(n, F.lit(0))), "")
+        piece = lambda t, kind: F.struct(t.alias("x"), F.lit(kind).cast("string").alias("kind"))
+        return F.aggregate(
+            b["cards"],
+            F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<x:string,kind:string>>").alias("out")),
+            lambda acc, c: F.struct((2 * (c["s"] + c["k"] - 1)).alias("at"), F.concat(acc["out"], F.array(piece(text(acc["at"], 2 * c["s"] - 1 - acc["at"]), None), piece(text(2 * c["s"] - 1, 2 * c["k"] - 1), "card"))).alias("out")),
+            lambda acc: F.concat(acc["out"], F.array(piece(text(acc["at"], F.size(b["pieces"]) + 1 - acc["at"]), None))),
+        )
+
+    groups = lambda p: F.filter(p, lambda t, i: i % 2 == 0)
+    with_groups = lambda p: F.struct(p.alias("pieces"), groups(p).alias("groups"), F.transform(groups(p), lambda g: F.length(g)).alias("lengths"))
+    with_best = lambda b: F.struct(b["pieces"].alias("pieces"), longest(b).alias("best"))
+    with_cards = lambda b: F.struct(b["pieces"].alias("pieces"), taken(b).alias("cards"))
+    return bound(bound(bound(bound(pieces, with_groups), with_best), with_cards), cut)
 
 
 def pseudonymize(df: DataFrame, secret: str, text: str = "text") -> DataFrame:
@@ -235,24 +261,29 @@ def pseudonymize(df: DataFrame, secret: str, text: str = "text") -> DataFrame:
     Found are e-mail addresses, IPv4 addresses, ISO dates, social security numbers, phone numbers and cards; what fails its
     check is left as it is, but cards are looked for inside a run of digits that is none as a whole. A pseudonym has the format of what it stands for and passes the same check; equal values have
     equal pseudonyms in all documents, and a permutation under the secret gives each, so different values stay different.
-    Null texts stay null and empty ones empty, with counts of 0; columns named like an added one are replaced. No
-    shuffle; rows are independent, and only texts with a find are taken apart.
+    Null texts stay null and empty ones empty, with counts of 0; columns named like an added one are replaced, all others stay. No
+    shuffle; rows are independent, and only texts with a find are taken apart. Texts may be of any length, and of any signs.
     """
+    held = unused(df, "_named")
     t = F.col(text)
     finds = F.regexp_extract_all(t, F.lit(ANY), 0)
     one = lambda x, kind: F.array(F.struct(x.alias("x"), kind.alias("kind")))
     taken = lambda p: F.when(p["kind"].isNull() & p["x"].rlike(KINDS["card"]), cards_in(p["x"])).otherwise(one(p["x"], p["kind"]))
     named = F.transform(F.transform(finds, lambda x: F.struct(x.alias("x"), kind_of(x).alias("kind"))), taken)
     new = lambda x, kind: F.when(kind == "email", _email(secret, x)).when(kind == "ip", _ip(secret, x)).when(kind == "date", _date(secret, x)).when(kind == "ssn", _social(secret, x)).when(kind == "phone", _phone(secret, x)).when(kind == "card", _card(secret, x)).otherwise(x)
-    out = df.withColumn("_named", F.when(t.rlike("[0-9]|@"), named))
+    out = df.withColumn(held, F.when(t.rlike("[0-9]|@"), named))
     parts = F.split(t, ANY, -1)
-    swapped = F.transform(F.col("_named"), lambda pieces: F.array_join(F.transform(pieces, lambda p: new(p["x"], p["kind"])), ""))
+    swapped = F.transform(F.col(held), lambda pieces: F.array_join(F.transform(pieces, lambda p: new(p["x"], p["kind"])), ""))
     joined = F.array_join(F.zip_with(parts, swapped, lambda part, s: F.concat(part, F.coalesce(s, F.lit("")))), "")
-    of = lambda k: F.size(F.filter(F.flatten("_named"), lambda p: p["kind"] == k))
+    of = lambda k: F.size(F.filter(F.flatten(held), lambda p: p["kind"] == k))
     counts = {f"n_{k}": F.coalesce(of(k), F.lit(0)).cast("long") for k in KINDS}
-    return out.withColumns({**{k: F.greatest(v, F.lit(0)) for k, v in counts.items()}, text: F.when(F.size("_named") > 0, joined).otherwise(t)}).drop("_named")
+    return out.withColumns({**{k: F.greatest(v, F.lit(0)) for k, v in counts.items()}, text: F.when(F.size(held) > 0, joined).otherwise(t)}).drop(held)
+
+
+#: The setting of the session that holds the secret. Without it the value below is taken, which is public: for tests only.
+SECRET, TEST_SECRET = "spark.ledgerline.pseudonyms.secret", "for tests only"
 
 
 def op9(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonymize(docs, secret="ledgerline")
+    return pseudonymize(docs, spark.conf.get(SECRET, TEST_SECRET))

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import ascii_lower, materialize, table
+from ledgerline.llm.common import ascii_lower, keep, materialize, scratch, table
 
 #: Counters of a Misra-Gries summary; a digest of more than one row in COUNTERS / 2 is always found.
 COUNTERS = 1024
@@ -33,11 +33,18 @@ def misra_gries(digests: DataFrame, counters: int = COUNTERS) -> DataFrame:
         if rows:
             yield pd.DataFrame({"digest": [*kept.index, None], "low": [*kept, rows]})
 
-    parts = materialize(digests.select("digest", "_copies").mapInPandas(summary, "digest string, low long"), "misra-gries")
+    kind = dict(digests.dtypes)["digest"]
+    parts = materialize(digests.select("digest", "_copies").mapInPandas(summary, f"digest {kind}, low long"), "misra-gries")
     n = parts.where("digest is null").agg(F.sum("low")).first()[0] or 0
     return parts.where("digest is not null").groupBy("digest").agg(F.sum("low").alias("low")).where(F.col("low") >= max(2.0, n / counters))
 
 
+def split_heavy(rows: DataFrame, winners: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of a winner's digest, with its columns, and all others: both where they are read, without a shuffle."""
+    split = rows.join(F.broadcast(winners), "digest", "left")
+    return split.where("group_size is not null"), split.where("group_size is null").select(*rows.columns)
+
+
 def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text", counters: int = COUNTERS) -> DataFrame:
     """For each row of df: key, keep_id, group_size, kept and text_sha256.
 
@@ -45,20 +52,23 @@ def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text", counter
     group. The row with the largest key stays; a null key is below all others. Of repeated rows (equal key and text)
     exactly one is kept. An empty input gives no rows.
 
-    Rows become (key, digest, copies) once, in a table of the shared folder. Misra-Gries finds the frequent digests; their
-    exact count and winner are counted before they are trusted, and these few rows are broadcast, so that rows of large
-    groups are settled where they are read. All others are grouped by an ordinary shuffle, in which no group is large.
+    The scan writes (key, number of the row, digest) to the shared folder, and Misra-Gries reads that where it lies. The
+    digests that it finds are counted exactly, row by row into one row a task, before they are trusted; these few winners, `counters` at most, are
+    broadcast, so that rows of large groups are settled where they are read and never shuffled. All others are shuffled
+    once by their digest, for the aggregate and for its way back, in groups of less than 1 / `counters` of the rows each.
     """
-    digest = F.sha2(ascii_lower(F.coalesce(F.col(text), F.lit(""))), 256)
-    rows = materialize(df.select(F.col(key).alias("_key"), digest.alias("digest")).groupBy("_key", "digest").agg(F.count(F.lit(1)).alias("_copies")), "digests")
-    total = [F.max("_key").alias("keep_id"), F.sum("_copies").alias("group_size")]
-    winners = materialize(rows.join(F.broadcast(misra_gries(rows, counters).select("digest")), "digest", "left_semi").groupBy("digest").agg(*total), "winners")
-    split = rows.join(F.broadcast(winners), "digest", "left")
-    heavy = split.where("group_size is not null")
-    rest = split.where("group_size is null").drop("keep_id", "group_size")
-    rest = rest.join(materialize(rest.groupBy("digest").agg(*total), "groups"), "digest")
-    one = heavy.unionByName(rest).select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_i"))
-    return one.select(F.col("_key").alias(key), "keep_id", "group_size", (F.col("_key").eqNullSafe(F.col("keep_id")) & (F.col("_i") == 1)).alias("kept"), F.col("digest").alias("text_sha256"))
+    digest = F.unhex(F.sha2(ascii_lower(F.coalesce(F.col(text), F.lit(""))), 256))
+    with scratch() as tables:
+        rows = materialize(df.select(F.col(key).alias("_key"), F.monotonically_increasing_id().alias("_id"), digest.alias("digest")), "digests")
+        total = [F.max(F.struct("_key", "_id")).alias("_best"), F.count(F.lit(1)).alias("group_size")]
+        often = misra_gries(rows.withColumn("_copies", F.lit(1).cast("long")), counters).select("digest")
+        winners = materialize(rows.join(F.broadcast(often), "digest", "left_semi").groupBy("digest").agg(*total), "winners")
+        keep(tables, rows, winners)
+    heavy, rest = split_heavy(rows, winners)
+    rest = rest.repartition("digest")
+    rest = rest.join(rest.groupBy("digest").agg(*total), "digest")
+    one = heavy.select("_key", "_id", "digest", "_best", "group_size").unionByName(rest.select("_key", "_id", "digest", "_best", "group_size"))
+    return one.select(F.col("_key").alias(key), F.col("_best._key").alias("keep_id"), "group_size", (F.col("_id") == F.col("_best._id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def op4(spark, sf_dir):

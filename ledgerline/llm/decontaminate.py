@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ledgerline.llm.common import keyed, LOWER, table, UPPER
+from ledgerline.llm.common import keep, keyed, LOWER, materialize, scratch, table, UPPER
 
-#: Words of a window. Test items are gathered in blocks of so many bytes of text, an automaton each; one block is held at a time.
+#: Words of a window. A benchmark of more bytes of text than this is dealt to blocks of about so many, and each block is a pass of its own. A window
+#: word takes two nodes of 50 bytes, so a block takes 200 MB, and 600 MB at most, where all words are single letters.
 WINDOW = 10
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 1 << 20
 #: Texts that a task holds as words at once.
 ROWS = 256
 
@@ -32,44 +34,32 @@ def item_windows(text: str | None, n: int = WINDOW) -> list[bytes]:
     return [b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))] if words else []
 
 
-def _blocks(bench: DataFrame, item: str, text: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    block, held = [], 0
-    for row in bench.select(F.col(item).cast("string"), text).toLocalIterator():
-        if row[1]:
-            block.append((row[0] or "", row[1]))
-            held += len(row[1])
-            if held >= block_bytes:
-                yield block
-                block, held = [], 0
-    yield block
+class Automaton:
+    """Finds windows in a text. It runs over words: each word of a window has a number and stands as two characters, its digits to the base 256."""
 
+    NONE = "\0\0"
 
-class Automaton:
-    """Finds the windows of a block of items in a text."""
-
-    def __init__(self, items: list[tuple[str, str]], n: int):
-        self.n = n
-        windows: dict[bytes, set[str]] = {}
-        for item, text in items:
-            for w in item_windows(text, n):
-                windows.setdefault(w, set()).add(item)
-        self.machine = ahocorasick.Automaton()
-        for w, ids in windows.items():
-            self.machine.add_word(f" {w.decode('latin-1')} ", (len(w), w.count(b" ") + 1, sorted(ids)))
+    def __init__(self, windows: dict[bytes, set[str]]):
+        self.code: dict[bytes, str] = {}
+        self.found = [(w.count(b" ") + 1, sorted(items)) for w, items in windows.items()]
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for i, w in enumerate(windows):
+            self.machine.add_word("".join(self._name(x) for x in w.split(b" ")), i)
         self.machine.make_automaton()
-        self.empty = not windows
+
+    def _name(self, word: bytes) -> str:
+        if (name := self.code.get(word)) is None:
+            high, low = divmod(len(self.code), 256)
+            self.code[word] = name = chr(0x200 + high) + chr(0x100 + low)
+        return name
 
     def hits(self, words: list[bytes]) -> list[tuple[int, int, list[str]]]:
         """(first word, words, items) of each occurrence."""
-        if self.empty or not words:
-            return []
-        line = b" " + b" ".join(words) + b" "
-        found = list(self.machine.iter(line.decode("latin-1")))  # one character a byte: places are places of bytes
-        if not found:
+        if not self.found or not words:
             return []
-        blanks = np.flatnonzero(np.frombuffer(line, dtype=np.uint8) == 0x20)
-        starts = np.searchsorted(blanks, [end - length - 1 for end, (length, _, _) in found])
-        return [(int(s), count, ids) for s, (_, (_, count, ids)) in zip(starts, found, strict=True)]
+        get, none = self.code.get, self.NONE
+        line = "".join([get(w, none) for w in words])
+        return [((end >> 1) - self.found[i][0] + 1, *self.found[i]) for end, i in self.machine.iter(line)]
 
 
 def word_offsets(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -81,50 +71,106 @@ def word_offsets(text: str) -> tuple[np.ndarray, np.ndarray]:
     return chars[np.flatnonzero(edges == 1)], chars[np.flatnonzero(edges == -1)]
 
 
+def _windows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """(item, text) to rows (window, item)."""
+    for batch in batches:
+        rows = [(w, item or "") for item, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for w in item_windows(t, n)]
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.binary()), pa.array([i for _, i in rows], pa.string())], names=["window", "item"])
+
+
+def _grouped(windows: pa.Table) -> dict[bytes, set[str]]:
+    out: dict[bytes, set[str]] = {}
+    for w, item in zip(windows["window"].to_pylist(), windows["item"].to_pylist(), strict=True):
+        out.setdefault(w, set()).add(item)
+    return out
+
+
+SPANS = "array<struct<start: long, end: long>>"
+_HITS, _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32()), ("items", pa.list_(pa.string()))])), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS))
+
+
+def _report(keys: pa.Array, name: str, texts: list, found: list) -> pa.RecordBatch:
+    """The rows of find_contamination() for texts and the hits (first word, words, items) in each."""
+    out: dict[str, list] = {"n_words": [], "n_hit": [], "items": [], "spans": []}
+    for t, own in zip(texts, found, strict=True):
+        n = len(t.encode().translate(_FOLD).split()) if t else 0
+        spans, hit = [], np.zeros(0, dtype=bool)
+        if own:
+            cover = np.zeros(n + 1, dtype=np.int64)
+            np.add.at(cover, [start for start, *_ in own], 1)
+            np.add.at(cover, [start + count for start, count, _ in own], -1)
+            hit = np.cumsum(cover)[:-1] > 0
+            first, end = word_offsets(t)
+            edges = np.diff(np.concatenate(([False], hit, [False])).astype(np.int8))
+            spans = [{"start": int(first[a]), "end": int(end[z - 1])} for a, z in zip(np.flatnonzero(edges == 1), np.flatnonzero(edges == -1), strict=True)]
+        for column, value in zip(out.values(), (n, int(hit.sum()), sorted({i for *_, ids in own for i in ids}), spans), strict=True):
+            column.append(value)
+    kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), _SPANS)
+    return pa.RecordBatch.from_arrays([keys, *[pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)]], names=[name, *out])
+
+
 def find_contamination(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", n: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """For each row of docs: key, n_words, n_hit, items (sorted strings), spans (characters [start, end) of the text).
 
     Both sides are lower-cased (A-Z) and cut into words of 0-9, letters and all beyond ASCII. A word inside any occurrence of a window is hit; spans join
     hit words that touch. Null and empty texts have no words; null items count as the id ''; repeated rows each get
-    their result; an empty benchmark hits nothing. Each text is scanned once a block of items, without a shuffle; the
-    items go out in blocks of a stated size, so a large benchmark needs more passes in a task, not more memory.
+    their result; an empty benchmark hits nothing.
+
+    A benchmark of up to block_bytes of text is one automaton, and each text is scanned once, without a shuffle. A larger one is a table of windows, dealt to
+    blocks by hash; block after block, its windows alone are broadcast and a job over all texts writes what it finds, and the finds come back to the rows by
+    a hash of the text. So a larger benchmark takes more passes, and neither the driver nor a task holds more than a block.
     """
-    spark: SparkSession = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(bench, item, item_text, block_bytes)]
+    shape = keyed(docs, key, f"n_words long, n_hit long, items array<string>, spans {SPANS}")
+    items = bench.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text"))
+    windows = items.mapInArrow(lambda batches: _windows(batches, n), "window binary, item string")
+    held = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if held > block_bytes:
+        return _by_blocks(docs, windows, key, text, -(-held // block_bytes), shape)
+    known = docs.sparkSession.sparkContext.broadcast(_grouped(windows.toArrow()))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int, Automaton] | None = None
-        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            split = [t.encode().translate(_FOLD).split() for t in texts]
-            hits: list[list] = [[] for _ in texts]
-            for b, block in enumerate(blocks):
-                if held is None or held[0] != b:
-                    held = None
-                    held = (b, Automaton(block.value, n))
-                for k, words in enumerate(split):
-                    hits[k] += held[1].hits(words)
-            out: dict[str, list] = {"n_hit": [], "items": [], "spans": []}
-            for t, words, own in zip(texts, split, hits, strict=True):
-                cover = np.zeros(len(words) + 1, dtype=np.int32)
-                for start, count, _ in own:
-                    cover[start] += 1
-                    cover[start + count] -= 1
-                hit = np.cumsum(cover)[:-1] > 0 if own else np.zeros(0, dtype=bool)
-                spans = []
-                if own:
-                    first, end = word_offsets(t)
-                    edges = np.diff(np.concatenate(([False], hit, [False])).astype(np.int8))
-                    spans = [{"start": int(first[a]), "end": int(end[z - 1])} for a, z in zip(np.flatnonzero(edges == 1), np.flatnonzero(edges == -1), strict=True)]
-                out["n_hit"].append(int(hit.sum()))
-                out["items"].append(sorted({i for *_, ids in own for i in ids}))
-                out["spans"].append(spans)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(w) for w in split], pa.int64()), pa.array(out["n_hit"], pa.int64()), pa.array(out["items"], pa.list_(pa.string())), pa.array(out["spans"], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                names=[key, "n_words", "n_hit", "items", "spans"],
-            )
-
-    return docs.select(key, text).mapInArrow(scan, keyed(docs, key, "n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>"))
+        machine = Automaton(known.value)
+        for batch in _slices(batches):
+            texts = batch.column(1).to_pylist()
+            yield _report(batch.column(0), key, texts, [machine.hits(t.encode().translate(_FOLD).split()) if t else [] for t in texts])
+
+    return docs.select(key, text).mapInArrow(scan, shape)
+
+
+def _by_blocks(docs: DataFrame, windows: DataFrame, key: str, text: str, blocks: int, shape: StructType) -> DataFrame:
+    """find_contamination() in a pass over the texts for each block of windows. Finds are a table of the few texts that have some."""
+    spark = docs.sparkSession
+    sign = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit("and"), F.col(text)).alias("b"))
+    texts = docs.select(sign.alias("sign"), F.col(text).alias("text"))
+    with scratch() as tables:
+        dealt = materialize(windows.distinct().withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks))), "windows")
+        found = []
+        for b in range(blocks):
+            known = spark.sparkContext.broadcast(_grouped(dealt.where(F.col("block") == b).toArrow()))
+
+            def scan(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
+                machine = Automaton(known.value)
+                for batch in _slices(batches):
+                    rows = [(i, own) for i, t in enumerate(batch.column(1).to_pylist()) if t and (own := machine.hits(t.encode().translate(_FOLD).split()))]
+                    hits = [[{"start": s, "words": k, "items": ids} for s, k, ids in own] for _, own in rows]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i for i, _ in rows], pa.int64())), pa.array(hits, _HITS)], names=["sign", "hits"])
+
+            part = texts.mapInArrow(scan, "sign struct<a: long, b: long>, hits array<struct<start: int, words: int, items: array<string>>>")
+            found.append(materialize(part.groupBy("sign").agg(F.first("hits").alias("hits")), "hits"))
+            known.destroy()
+        every = materialize(reduce(DataFrame.unionByName, found).groupBy("sign").agg(F.flatten(F.collect_list("hits")).alias("hits")), "found")
+        keep(tables, every)
+
+    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            yield _report(batch.column(0), key, batch.column(1).to_pylist(), [[tuple(h.values()) for h in own or ()] for own in batch.column(2).to_pylist()])
+
+    held = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), sign.alias("sign"))
+    return held.join(every, "sign", "left").select("_key", "_text", "hits").mapInArrow(report, shape)
 
 
 def keep_uncontaminated(docs: DataFrame, bench: DataFrame, text: str = "text") -> DataFrame:

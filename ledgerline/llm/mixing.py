@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.common import WORD, hash52, materialize, scratch, table
 
-#: Documents of a source are shuffled into so many ranges of their hash; the queue is cut in two steps of so many ranges.
-RANGES = 1024
+#: Documents of a source are shuffled into so many ranges of their hash, or more, of about ROWS documents; the queue is cut in steps of so
+#: many ranges, until one has FEW entries at most.
+RANGES, ROWS, FEW = 1024, 200_000, 4096
 #: No source, and no document, is taken more often than this.
 MOST = 3
 
@@ -53,69 +54,79 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     documents take 0 words; repeated rows are documents of their own. An empty input gives no rows.
 
     The cumulative sums run inside (source, range of the hash), with a table of range sums for what comes before, so a
-    source of a third of all rows is many tasks. The cut of the queue is found from counts of 1,024 ranges of
-    the finish time, then 1,024 ranges inside the one that is cut, and only the few entries of that are put in order.
+    source of a third of all rows is many tasks, the more the larger the input; rows that repeat key and text go through that as one row with a
+    count. The cut of the queue is found from sums of 1,024 ranges of the finish time, then 1,024 ranges inside the one that is cut, and
+    so on, until the few entries of a range are put in order. Keys are of any type that has an order.
     """
     h = place_of(seed, F.col(key), F.col(text))
-    docs = materialize(df.select(F.col(key).alias("_key"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), h.alias("_h")).withColumn("_range", F.shiftright("_h", 52 - 10)), "sizes")
-    ranges = docs.groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
-    goals = source_targets(ranges.groupBy("source").agg(F.sum("_sum").alias("source_size")), weights, most)
-    before = F.sum("_sum").over(Window.partitionBy("source").orderBy("_range")) - F.col("_sum")
-    start = ranges.select("source", "_range", before.alias("_before"))
-    goals, start = (materialize(x.withColumn("_s", F.coalesce(F.col("source"), F.lit(""))).withColumn("_null", F.col("source").isNull()).drop("source"), "mix") for x in (goals, start))
+    kind = dict(df.dtypes)[key]
+    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+    docs = df.select(F.col(key).alias("_key"), F.coalesce(F.col(source), F.lit("")).alias("_s"), F.col(source).isNull().alias("_null"), size.alias("size"), h.alias("_h"))
+    docs = materialize(docs.groupBy("_key", "_s", "_null", "size", "_h").agg(F.count(F.lit(1)).alias("_n")), "sizes")
+    step = 2**52 // max(RANGES, docs.count() // ROWS) + 1
+    docs = docs.withColumn("_range", F.floor(F.col("_h") / step))
+    ranges = docs.groupBy("_s", "_null", "_range").agg(F.sum(F.col("size") * F.col("_n")).alias("_sum"))
+    named = F.when(~F.col("_null"), F.col("_s"))
+    goals = source_targets(ranges.groupBy("_s", "_null").agg(F.sum("_sum").alias("source_size")).select(named.alias("source"), "source_size"), weights, most)
+    goals = materialize(goals.withColumn("_s", F.coalesce(F.col("source"), F.lit(""))).withColumn("_null", F.col("source").isNull()).drop("source"), "goals")
+    before = F.sum("_sum").over(Window.partitionBy("_s", "_null").orderBy("_range")) - F.col("_sum")
+    start = materialize(ranges.select("_s", "_null", "_range", before.alias("_before")), "start")
 
     inside = Window.partitionBy("_s", "_null", "_range").orderBy("_h", F.col("_key").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, 0)
-    rows = docs.withColumn("_s", F.coalesce(F.col("source"), F.lit(""))).withColumn("_null", F.col("source").isNull())
-    rows = rows.withColumn("_cum", F.sum("size").over(inside)).join(start, ["_s", "_null", "_range"]).join(goals, ["_s", "_null"])
-    rows = materialize(rows.withColumn("_cum", F.col("_cum") + F.col("_before")).drop("_before", "_range"), "queue")
+    rows = docs.withColumn("_end", F.sum(F.col("size") * F.col("_n")).over(inside)).join(start, ["_s", "_null", "_range"]).join(goals, ["_s", "_null"])
+    rows = rows.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    rows = materialize(rows.withColumn("_cum", F.col("_before") + F.col("_end") - F.col("_i") * F.col("size")).drop("_before", "_end", "_range", "_n", "_i"), "queue")
 
-    passes = F.when(F.col("target") > 0, F.least(F.lit(most), F.ceil(F.col("target") / F.col("source_size")))).otherwise(0)
+    passes = F.when((F.col("target") > 0) & (F.col("size") > 0), F.least(F.lit(most), F.ceil(F.col("target") / F.col("source_size")))).otherwise(0)
     finish = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda e: F.when(e < passes, (e * F.col("source_size") + F.col("_cum")) / F.col("target")))
-    entry = lambda f: F.struct(f.alias("f"), F.col("_null").alias("null"), F.col("_s").alias("s"), F.col("_h").alias("h"), F.coalesce(F.col("_key"), F.lit(-(2**63)).cast("long")).alias("key"), F.col("size").alias("size"))
+    entry = lambda f: F.struct(f.alias("f"), F.col("_null").alias("null"), F.col("_s").alias("s"), F.col("_h").alias("h"), F.col("_key").isNotNull().alias("keyed"), F.col("_key").alias("key"), F.col("size").alias("size"))
     rows = rows.withColumn("_entries", F.filter(F.transform(finish, entry), lambda e: e["f"].isNotNull()))
-    last = _last_taken(rows.select(F.explode("_entries").alias("e")), goals)
+    last = _last_taken(rows.select(F.explode("_entries").alias("e")), goals, kind)
     taken = F.size(F.filter("_entries", lambda e: last(e))) * F.col("size")
-    return rows.select(F.col("_key").alias(key), "source", "size", "source_size", "target", taken.cast("long").alias("taken"), F.col("_h").alias("place"))
+    return rows.select(F.col("_key").alias(key), named.alias("source"), "size", "source_size", "target", taken.cast("long").alias("taken"), F.col("_h").alias("place"))
 
 
-def _cell(f: Column) -> tuple[Column, Column]:
-    """The range of a finish time, and the range inside that: both below RANGES however late it is, and in its order."""
+def _cell(f: Column, level: int) -> Column:
+    """The range of a finish time inside its range of the level above: below RANGES however late it is, and in its order."""
     at = f / (1 + f) * RANGES
-    return F.floor(at), F.floor((at - F.floor(at)) * RANGES)
-
-
-def _last_taken(entries: DataFrame, goals: DataFrame):
-    """A test of an entry: whether it stands before the cut. Sums come to the driver for 1,024 ranges twice, and one entry."""
-    budget = goals.agg(F.sum("source_size")).first()[0] or 0
-    coarse, inner = _cell(F.col("e.f"))
-    low, left = _cut(entries.select(coarse.alias("r"), "e"), budget)
-    part = entries.where(coarse == low)
-    fine, left = _cut(part.select(inner.alias("r"), "e"), left)
-    few = part.where(inner == fine).select("e", F.sum("e.size").over(Window.orderBy("e").rowsBetween(Window.unboundedPreceding, 0)).alias("sum"))
-    found = few.where(F.col("sum") <= left).agg(F.max("e").alias("e")).first()
+    for _ in range(level):
+        at = (at - F.floor(at)) * RANGES
+    return F.floor(at)
+
+
+def _last_taken(entries: DataFrame, goals: DataFrame, kind: str):
+    """A test of an entry: whether it stands before the cut. Sums come to the driver for 1,024 ranges a step, and one entry."""
+    left = goals.agg(F.sum("source_size")).first()[0] or 0
+    path, part = [], entries
+    while True:
+        cell = _cell(F.col("e.f"), len(path))
+        sums = sorted((row["r"], row["n"], row["k"]) for row in part.groupBy(cell.alias("r")).agg(F.sum("e.size").alias("n"), F.count(F.lit(1)).alias("k")).collect())
+        r, few = (sums[-1][0] + 1 if sums else 0), 0
+        for at, n, k in sums:
+            if n > left:
+                r, few = at, k
+                break
+            left -= n
+        path.append(r)
+        part = part.where(cell == r)
+        if few <= FEW or len(path) == 5:  # five steps are all bits of a finish time
+            break
+    found = part.select("e", F.sum("e.size").over(Window.orderBy("e").rowsBetween(Window.unboundedPreceding, 0)).alias("sum")).where(F.col("sum") <= left).agg(F.max("e").alias("e")).first()
     e = found and found["e"]
 
     def test(x: Column) -> Column:
-        r, i = _cell(x["f"])
-        before = (r < low) | ((r == low) & (i < fine))
+        before, same = F.lit(False), F.lit(True)
+        for level, r in enumerate(path):
+            cell = _cell(x["f"], level)
+            before, same = before | (same & (cell < r)), same & (cell == r)
         if e is None:
             return before
-        edge = F.struct(F.lit(e["f"]).alias("f"), F.lit(e["null"]).alias("null"), F.lit(e["s"]).alias("s"), F.lit(e["h"]).cast("long").alias("h"), F.lit(e["key"]).cast("long").alias("key"), F.lit(e["size"]).cast("long").alias("size"))
-        return before | ((r == low) & (i == fine) & (x <= edge))
+        kinds = {"f": "double", "null": "boolean", "s": "string", "h": "long", "keyed": "boolean", "key": kind, "size": "long"}
+        return before | (same & (x <= F.struct(*[F.lit(e[c]).cast(k).alias(c) for c, k in kinds.items()])))
 
     return test
 
 
-def _cut(entries: DataFrame, budget: int) -> tuple[int, int]:
-    """The range in which the running sum passes the budget, or one beyond the last; what of the budget is left at its start."""
-    sums = sorted((row["r"], row["n"]) for row in entries.groupBy("r").agg(F.sum("e.size").alias("n")).collect())
-    for r, n in sums:
-        if n > budget:
-            return r, budget
-        budget -= n
-    return (sums[-1][0] + 1 if sums else 0), budget
-
-
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = (5, 2, 1), most: int = MOST, seed: str = "mix") -> DataFrame:
     """The rows of docs as often as the mix takes them, with all their columns. Texts without words take no part.
 
@@ -123,7 +134,7 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     row a source, which Spark broadcasts or shuffles by its size, and no text moves when it is small. Rows that repeat the
     last document of a pass go with it.
     """
-    place = lambda p, k: F.struct(p.alias("place"), F.coalesce(k, F.lit(-(2**63)).cast("long")).alias("key"))
+    place = lambda p, k: F.struct(p.alias("place"), k.isNotNull().alias("keyed"), k.alias("key"))
     with scratch() as tables:
         rows = mix(docs, key, text, source, weights, most, seed).where("size > 0")
         ends = [F.max(F.when(F.col("taken") >= F.col("size") * e, place(F.col("place"), F.col(key)))).alias(f"_end{e}") for e in range(1, most + 1)]

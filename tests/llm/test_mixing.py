@@ -56,3 +56,21 @@ def test_late_finish_times(docs_of):
     got = {x["doc_id"]: x for x in m.mix(docs_of(rows), weights=(1000, 1000, 1)).collect()}
     total = sum(x["size"] for x in got.values())
     assert sum(x["taken"] for x in got.values()) <= total and all(got[i]["taken"] == 9 for i in range(2, 40)) and got[99]["taken"] == 3
+
+
+def test_keys_of_text_and_repeated_rows(spark, docs_of, monkeypatch):
+    """Keys are of any type; a row that makes up a third of all, with one key and text, counts as often as it stands there."""
+    monkeypatch.setattr(m, "FEW", 3)
+    r = random.Random(8)
+    rows = [(f"k{i}", "w " * r.randint(0, 9), r.choice(["a", "b", None])) for i in range(300)] + [("hot", "x y z", "a")] * 150 + [(None, "n n", "b")] * 3
+    docs = spark.createDataFrame(rows, "doc_id string, text string, source string")
+    got = m.mix(docs).collect()
+    assert len(got) == len(rows)
+    total, longest = sum(x["size"] for x in got), max(x["size"] for x in got)
+    assert total - longest <= sum(x["taken"] for x in got) <= total
+    with monkeypatch.context() as few:
+        few.setattr(m, "RANGES", 8)
+        few.setattr(m, "ROWS", 40)
+        assert sorted(map(str, m.mix(docs).collect())) == sorted(map(str, got))
+    taken = m.mixed(docs)
+    assert taken.columns == docs.columns and {x["doc_id"] for x in taken.collect()} == {x["doc_id"] for x in got if x["taken"]}

@@ -35,7 +35,16 @@ def _evidence(db: Ledger):
     return db.patch_blobs().select("blob_id", uris.parse_evidence(F.col("evidence_uri")).alias("p")).select("blob_id", "p.id", "p.sha256", "p.valid")
 
 
-@query("texts_redacted", r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\b(glp[a-z]{1,2}-[A-Za-z0-9_-]{10,})\b', '[GITLAB_TOKEN]', 'g'), '\bBearer\s+[A-Za-z0-9_.\-=]+', '[REDACTED]', 'gi'), 'postgres(ql)?://[^\s)]+', '[REDACTED]', 'gi'), '(Authorization[:\s]+)(\S+\s+)?(\S+)', '\1[REDACTED]', 'gi'), '(PRIVATE-TOKEN[:\s]+)[^\s,;]+', '\1[REDACTED]', 'gi'), '(password[=:\s]+)[^\s&;,]+', '\1[REDACTED]', 'gi'), '(token[=:\s]+)[^\s&;,]+', '\1[REDACTED]', 'gi'), '(://[^:]+:)[^@]+(@)', '\1[REDACTED]\2', 'g') AS redacted FROM documents""")
+def _redacted(column: str) -> str:
+    """The same list of patterns as SQL: $1 becomes \\1, and a leading (?i) the option i."""
+    out = column
+    for pattern, new in text.REDACTIONS:
+        bare, by = pattern.removeprefix("(?i)"), new.replace("$", "\\")
+        out = f"regexp_replace({out}, '{bare}', '{by}', '{'gi' if bare != pattern else 'g'}')"
+    return out
+
+
+@query("texts_redacted", f"SELECT doc_id, {_redacted('text')} AS redacted FROM documents")
 def _redact(db: Ledger):
     return db.raw("documents").select("doc_id", text.redact(F.col("text")).alias("redacted"))
 
@@ -45,10 +54,53 @@ def _trim(db: Ledger):
     return db.cards().select("conv_id", "turn", text.trim(F.col("text"), 200).alias("t")).select("conv_id", "turn", "t.*")
 
 
-@query("cards_rendered", "SELECT conv_id, turn, sha256(concat_ws(chr(10), '[Kind] FACT', '[Owner] ' || role, '[Summary] ' || substr(text, 1, 80), '[Details]' || chr(10) || text)) AS payload_sha FROM conversations WHERE text <> '' AND role <> ''")
+_POINTER = "[%s 内容已移除，仅保留指针]' || chr(10) || '- uri: memory://local/content' || chr(10) || '- sha256: "
+_SHORT = "CASE WHEN length(d) > 500 THEN substr(d, 1, 480) || '... [内容已截断]' ELSE d END"
+_LOG = r"^\[\d{4}-\d{2}-\d{2}|^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}|^[A-Z]+:\s|^\[INFO\]|^\[DEBUG\]|^\[ERROR\]|^\[WARN\]"
+
+
+@query("cards_rendered", rf"""SELECT conv_id, turn, sha256(CASE WHEN length(md) > 4000 THEN substr(md, 1, 3950) || chr(10) || chr(10) || '[... 内容已截断 ...]' ELSE md END) AS payload_sha, length(md) > 4000 AS cut FROM (SELECT conv_id, turn,
+  array_to_string(['[Kind] FACT', '[Owner] ' || role, '[Module] m' || conv_id, '[Visibility] team', '[TTL] long', '[Confidence] high', '', '[Summary]', CASE WHEN length(text) > 200 THEN substr(text, 1, 180) || '... [内容已截断]' ELSE text END, '', '[Details]'], chr(10)) || chr(10)
+  || array_to_string(list_transform(range(1, 11), lambda i: i || ') ' || CASE (i - 1) % 4
+      WHEN 0 THEN list_transform([CASE WHEN regexp_matches(text, '(?m)^[-+]{{3}}\s|^@@\s|^diff\s--git|^Index:\s') THEN '{_POINTER % "diff"}' || sha256(text) WHEN regexp_matches(text, '(?m){_LOG}') THEN '{_POINTER % "log"}' || sha256(text) ELSE text END], lambda d: {_SHORT})[1]
+      WHEN 1 THEN '{_POINTER % "diff"}' || sha256('+++ b/' || role || chr(10) || '+x') WHEN 2 THEN '{_POINTER % "log"}' || sha256('at' || chr(10) || 'ERROR: ' || role) ELSE role END), chr(10)) || chr(10) || chr(10) || '[Evidence]' || chr(10)
+  || '- uri=memory://patch_blobs/git/1:a/' || repeat('a', 64) || chr(10) || '  sha256=' || repeat('a', 64) || chr(10) || '  git_commit=' || conv_id AS md FROM conversations WHERE text <> '' AND role <> '')""")
 def _cards(db: Ledger):
-    card = text.card_markdown(F.lit("FACT"), F.col("role"), F.lit(None).cast("string"), F.substring("text", 1, 80), F.col("text"))
-    return db.cards().where("text != '' and role != ''").select("conv_id", "turn", text.card_payload_sha(card).alias("payload_sha"))
+    rows = db.cards().where("text != '' and role != ''")
+    kinds = F.array(F.col("text"), F.concat(F.lit("+++ b/"), "role", F.lit("\n+x")), F.concat(F.lit("at\nERROR: "), "role"), F.col("role"))
+    details = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.get(kinds, i % 4))
+    sha, none = F.lit("a" * 64), F.lit(None).cast("string")
+    evidence = F.array(F.struct(F.concat(F.lit("memory://patch_blobs/git/1:a/"), sha).alias("uri"), sha.alias("sha256"), none.alias("event_id"), none.alias("svn_rev"), F.col("conv_id").cast("string").alias("git_commit"), none.alias("mr")))
+    card = text.card_markdown(F.lit("fact"), F.col("role"), F.concat(F.lit("m"), "conv_id"), F.col("text"), details, evidence, F.lit("high"), F.lit("team"), F.lit("long"))
+    return rows.select("conv_id", "turn", text.card_payload_sha(card).alias("payload_sha"), F.endswith(card, F.lit(text.CARD_MARK)).alias("cut"))
+
+
+@query("texts_detected", rf"""SELECT doc_id, form, regexp_matches(t, '(?m)^[-+]{{3}}\s|^@@\s|^diff\s--git|^Index:\s') AS diff, regexp_matches(t, '(?m){_LOG}') AS log FROM (SELECT doc_id, form, substr(text, 1, 60) || chr(10) || CASE form WHEN 0 THEN '+++ b.txt' WHEN 1 THEN '@@ x' WHEN 2 THEN 'Index: a' WHEN 3 THEN 'ERROR: x' WHEN 4 THEN '[2024-01-01] x' WHEN 5 THEN '2024-01-01T10:00' WHEN 6 THEN '[INFO] x' WHEN 7 THEN 'diff --git a b' WHEN 8 THEN '++ no' ELSE 'error: no' END AS t FROM documents, range(10) f(form))""")
+def _detected(db: Ledger):
+    forms = F.array(*[F.lit(x) for x in ("+++ b.txt", "@@ x", "Index: a", "ERROR: x", "[2024-01-01] x", "2024-01-01T10:00", "[INFO] x", "diff --git a b", "++ no", "error: no")])
+    rows = db.raw("documents").select("doc_id", F.substring("text", 1, 60).alias("head"), F.posexplode(forms).alias("form", "line"))
+    t = F.concat("head", F.lit("\n"), "line")
+    return rows.select("doc_id", F.col("form").cast("long").alias("form"), text.is_diff(t).alias("diff"), text.is_log(t).alias("log"))
+
+
+@query("diffs_summarized", """SELECT doc_id, source || ' | 1 insertion(s)(+), 2 deletion(s)(-)' || chr(10) || 'x.txt | ' || (2 + n) || ' insertion(s)(+), 0 deletion(s)(-)' || chr(10) || '2 file(s) changed, ' || (3 + n) || ' insertion(s)(+), 2 deletion(s)(-)' AS by_index,
+  '2 file(s) changed, ' || (3 + n) || ' insertion(s)(+), 2 deletion(s)(-)' AS by_patch,
+  CASE WHEN n = 0 THEN '' ELSE array_to_string(list_transform(range(n), lambda i: CASE WHEN i % 2 = 0 THEN 'f' || (i // 2) ELSE 'f' || (i // 2) || ' (new)' END), chr(10)) || chr(10) || ((n + 1) // 2) || ' file(s) changed' END AS by_api,
+  'ministat [' || substr(sha256(source), 1, 8) || '] degraded: ' || n || ' file(s) changed, 7 insertion(s)(+), 0 deletion(s)(-)' AS by_counts, 'ministat [' || substr('abc:' || source, 1, 7) || '] degraded: ' || n || ' file(s) changed, 7 insertion(s)(+), 0 deletion(s)(-)' AS by_source,
+  CASE WHEN n = 0 THEN '' ELSE 'ministat for r' || doc_id || ' (degraded)' || chr(10) || n || ' path(s) changed, ' || (n // 2) || ' modified, ' || ((n + 1) // 2) || ' added, 0 deleted, 0 replaced' || chr(10) || array_to_string(list_transform(range(least(n, 5)), lambda i: CASE WHEN i % 2 = 0 THEN '- ' || repeat('p', 40) || '...' || repeat('p', 20) ELSE '- q (dir)' END), chr(10)) END AS by_paths
+  FROM (SELECT doc_id, coalesce(source, 'none') AS source, doc_id % 7 AS n FROM documents)""")
+def _diffs(db: Ledger):
+    n = (F.col("doc_id") % 7).cast("int")
+    rows = db.raw("documents").select("doc_id", F.coalesce("source", F.lit("none")).alias("source"), n.alias("n"))
+    diff = F.concat(F.lit("Index: "), "source", F.lit("\n=====\n--- a\n+++ b\n@@ -1 +1 @@\n+one\n-two\n-three\nIndex: x.txt \n--- a\n+++ b\n"), F.repeat(F.lit("+more\n"), F.col("n") + 2))
+    upto = lambda f: F.when(F.col("n") > 0, F.transform(F.sequence(F.lit(0), F.col("n") - 1), f))
+    api = upto(lambda i: F.struct(F.concat(F.lit("f"), F.floor(i / 2)).alias("new_path"), F.lit("old").alias("old_path"), (i % 2 == 1).alias("new_file")))
+    paths = upto(lambda i: F.struct(F.when(i % 2 == 0, "A").otherwise("M").alias("action"), F.when(i % 2 == 0, F.repeat(F.lit("p"), F.lit(90))).otherwise("q").alias("path"), F.when(i % 2 == 1, "dir").otherwise("file").alias("kind")))
+    stats = F.create_map(F.lit("total"), F.col("n"), F.lit("additions"), F.lit(7))
+    return rows.select(
+        "doc_id", text.diffstat_of_index(diff).alias("by_index"), text.diffstat_of_patch(diff).alias("by_patch"), text.diffstat_of_api(api).alias("by_api"), text.ministat_of_counts(stats, F.sha2("source", 256)).alias("by_counts"),
+        text.ministat_of_source(stats, F.concat(F.lit("9:abc:"), "source")).alias("by_source"), text.ministat_of_paths(paths, F.col("doc_id")).alias("by_paths"),
+    )
 
 
 @query("errors_classified", "SELECT job_id, CASE last_error WHEN 'HTTP 429 Too Many Requests' THEN 'rate_limit' WHEN 'read timed out' THEN 'timeout' WHEN '502 Bad Gateway' THEN 'server_error' WHEN 'connection reset by peer' THEN 'network' WHEN '401 Unauthorized' THEN 'auth_error' WHEN '403 Forbidden' THEN 'permission_denied' WHEN '404 project not found' THEN 'repo_not_found' WHEN 'repo_not_found' THEN 'repo_not_found' ELSE '' END AS category, last_error IN ('401 Unauthorized', '403 Forbidden', '404 project not found', 'repo_not_found') AS permanent, last_error IN ('HTTP 429 Too Many Requests', 'read timed out', '502 Bad Gateway', 'connection reset by peer') AS transient FROM sync_jobs")

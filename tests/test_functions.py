@@ -114,11 +114,16 @@ def test_trim(spark, n):
 
 def test_diff_and_log(spark):
     diff = "intro\ndiff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1 +1 @@\n-a\n+b\n+c"
-    log = "2024-01-01 10:00:00 something ERROR bad"
+    log = "2024-01-01T10:00:00 something ERROR bad"
     assert value(spark, diff, f=text.is_diff) and not value(spark, diff, f=text.is_log)
     assert value(spark, log, f=text.is_log) and value(spark, log, f=text.pointerized).startswith("[log ")
     assert value(spark, "plain", f=text.pointerized) == "plain"
-    assert tuple(value(spark, diff, f=text.diffstat)) == (1, 2, 1)
+    assert value(spark, diff, f=text.diffstat_of_patch) == "2 file(s) changed, 2 insertion(s)(+), 1 deletion(s)(-)" and value(spark, diff, f=text.diffstat_of_index) == ""
+
+
+@pytest.mark.parametrize(("line", "diff", "log"), [("+++ b.txt", True, False), ("@@ x", True, False), ("Index: a", True, False), ("ERROR: x", False, True), ("[2024-01-01] x", False, True), ("2024-01-01T10:00", False, True), ("+++b", False, False), ("at [INFO] x", False, False)])
+def test_what_is_a_diff_or_log(spark, line, diff, log):
+    assert (value(spark, f"first\n{line}", f=text.is_diff), value(spark, f"first\n{line}", f=text.is_log)) == (diff, log)
 
 
 @pytest.mark.parametrize(

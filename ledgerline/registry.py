@@ -30,7 +30,7 @@ _found: dict[str, tuple[Callable[[Ledger], DataFrame], str | None]] = {}
 
 
 def query(name: str, sql: str | None = None):
-    """Register a function of a Ledger under a name, with the SELECT that follows the ledger's common table expressions."""
+    """Register a function of a Ledger under a name, with the SELECT that follows the ledger's common table expressions, or SQL with its own."""
 
     def put(f: Callable[[Ledger], DataFrame]) -> Callable[[Ledger], DataFrame]:
         _found[name] = (f, sql)
@@ -51,4 +51,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     _load()
-    return {name: f"{PRELUDE.rstrip()}{sql}" if sql.lstrip().startswith(",") else f"{PRELUDE}{sql}" for name, (_, sql) in _found.items() if sql}
+    return {name: sql if sql.lstrip().startswith("WITH") else f"{PRELUDE.rstrip()}{sql}" if sql.lstrip().startswith(",") else f"{PRELUDE}{sql}" for name, (_, sql) in _found.items() if sql}

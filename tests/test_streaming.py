@@ -46,17 +46,42 @@ def test_token_bucket():
 
 
 def test_breaker_walk():
-    b = c.breaker_step(c.Breaker(), 0, 1.0, 0, 0, 4, False)
-    assert b.state == "closed"  # too few samples
-    b = c.breaker_step(b, 1, 1.0, 0, 0, 5, False)
-    assert b.state == "open"
-    assert c.breaker_step(b, 300, 0, 0, 0, 5, True).state == "open"
-    half = c.breaker_step(b, 301, 0, 0, 0, 5, True)
-    assert half.state == "half_open" and c.breaker_step(half, 302, 0, 0, 0, 5, True).state == "closed"
-    assert c.breaker_step(half, 302, 0, 0, 0, 5, False).state == "open"
+    b, d = c.breaker_check(c.Breaker(), 0, 1.0, 0, 0, 4)
+    assert b == c.Breaker() and d == c.Decision()  # too few samples: nothing is smoothed
+    b, d = c.breaker_check(b, 1, 1.0, 0, 0, 5)
+    assert (b.state, b.reason, d.allow_sync, d.backfill_only, d.batch, d.window, d.diff_mode, d.wait_seconds) == ("open", "failure_rate", True, True, 10, 300, "none", 600.0)
+    b, d = c.breaker_check(b, 300, 0, 0, 0, 5)
+    assert b.state == "open" and d.wait_seconds == 1.0 and b.failed == 1.0  # the mean rests while open
+    half, d = c.breaker_check(b, 301, 0, 0, 0, 5)
+    assert half.state == "half_open" and d.probe and d.probe_budget == 2 and d.probe_types == ("commits",) and d.batch == 10
+    once = c.breaker_result(half, 301, True)
+    assert once.state == "half_open" and c.breaker_result(once, 302, True).state == "closed"
+    assert (c.breaker_check(once, 302, 0, 0, 0, 5)[1].diff_mode, c.breaker_check(once, 302, 0, 0, 0, 5)[1].backfill_only) == ("best_effort", False)
+    assert c.breaker_result(half, 302, False).opened_at == 302
+    spent = c.Breaker(state="half_open", probes=3, successes=1)
+    assert c.breaker_check(spent, 9, 0, 0, 0, 5)[0].state == "open" and c.breaker_check(spent, 9, 0, 0, 0, 5)[1].wait_seconds == 300.0
     assert [c.recovery_batch(n) for n in (0, 1, 2)] == [55, 100, 100]
 
 
+def test_breaker_smooths_all_rates():
+    b = c.breaker_check(c.Breaker(), 0, 0.0, 0.0, 0.0, 5)[0]
+    b = c.breaker_check(b, 1, 0.2, 0.38, 0.1, 5)[0]
+    assert (b.state, b.failed, b.limited, b.timed_out) == ("closed", 0.1, 0.19, 0.05)
+    assert c.breaker_check(b, 2, 0.0, 0.3, 0.0, 5)[0].reason == "rate_limit_rate"
+
+
+def test_patch_limits_apart():
+    p = c.Patches()
+    for category in ["timeout", "timeout", "content_too_large", "timeout", "timeout", "other"]:
+        p = c.patch_step(p, category)
+    assert not p.skip and p.timeouts == 2
+    p = c.patch_step(p, "timeout")
+    assert p.skip and p.reason == "consecutive_timeout=3>=threshold=3" and c.patch_step(p, "other").skip and not c.patch_step(p, None).skip
+    for _ in range(5):
+        p = c.patch_step(p, "content_too_large")
+    assert p.reason == "consecutive_content_too_large=5>=threshold=5"
+
+
 def test_degradation_walk():
     d = c.Degradation()
     for _ in range(3):
@@ -67,12 +92,17 @@ def test_degradation_walk():
     assert (d.diff_mode, d.batch, d.sleep) == ("best_effort", 14, 0.0)
     for _ in range(3):
         d = c.degradation_step(d, 0, 1, 0, 0, False)
-    assert d.paused
+    assert d.paused and d.sleep == 8.0  # the pause's own length
+    d = c.Degradation(diff_mode="always")
+    for _ in range(6):
+        d = c.degradation_step(d, 0, 0, 0, 0, True)
+    assert d.diff_mode == "always" and d.streak == 6 and d.batch == 100
+    assert c.degradation_step(d, 0, 0, 0, 0, True, unknown=1).streak == 0
 
 
 def test_folds_by_key(spark):
-    rows = [(i, str(i % 3), float(i), i % 4 == 0 or i > 50) for i in range(90)]
-    got = {r["id"]: r["skip"] for r in c.patch_skips(spark.createDataFrame(rows, "id long, key string, at double, failed boolean")).collect()}
+    rows = [(i, str(i % 3), float(i), "timeout" if i % 4 == 0 or i > 50 else None) for i in range(90)]
+    got = {r["id"]: r["skip"] for r in c.patch_skips(spark.createDataFrame(rows, "id long, key string, at double, category string")).collect()}
     run: dict = {}
     for i, key, _, failed in rows:
         run[key] = run.get(key, 0) + 1 if failed else 0
@@ -108,8 +138,8 @@ def test_streams(spark, tmp_path):
 
 
 def test_state_stream(spark, tmp_path):
-    spark.createDataFrame([(i, "k", True) for i in range(4)], "id long, key string, failed boolean").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("id long, key string, failed boolean").parquet(str(tmp_path / "in"))
+    spark.createDataFrame([(i, "k", "timeout") for i in range(4)], "id long, key string, category string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long, key string, category string").parquet(str(tmp_path / "in"))
     q = c.patch_skip_stream(stream).writeStream.format("memory").queryName("skips").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sum(r["skip"] for r in spark.table("skips").collect()) == 2
@@ -125,7 +155,7 @@ def test_breaker_stream_keeps_state_between_batches(spark, tmp_path):
     q.awaitTermination(120)
     want = {r["id"]: r["state"] for r in c.breaker_states(spark.createDataFrame(rows, shape)).collect()}
     assert {r["id"]: r["state"] for r in spark.table("breakers").collect()} == want
-    assert [want[i] for i in range(9)] == ["open", "open", "open", "half_open", "closed", "closed", "closed", "closed", "closed"]
+    assert [want[i] for i in range(9)] == ["open", "open", "open", "half_open", "closed", "open", "open", "open", "half_open"]
 
 
 def test_refresh(spark, tmp_path):

@@ -13,7 +13,7 @@ from ledgerline.sources.ledger import Ledger, ts
 def items_with_latest_event(items: DataFrame, events: DataFrame, limit: int | None = None) -> DataFrame:
     """Items with their newest event, if any; the most recently active first. The newest is found by a partial aggregate on each side of the shuffle."""
     last = latest_per(events.select("item_id", "event_id", "event_type", F.col("created_at").alias("event_at")), ["item_id"], "event_at", "event_id")
-    out = items.join(last, "item_id", "left").withColumn("active_at", F.coalesce("event_at", "created_at"))
+    out = items.join(last, "item_id", "left").withColumn("active_at", F.coalesce("event_at", "updated_at", "created_at"))
     return out if limit is None else out.orderBy(F.col("active_at").desc_nulls_first(), "item_id").limit(limit)
 
 
@@ -106,7 +106,7 @@ def dangling(df: DataFrame, column: str, parent: DataFrame, key: str) -> DataFra
     return df.where(F.col(column).isNotNull()).join(parent.select(F.col(key).alias(column)).distinct(), column, "left_anti")
 
 
-@query("items_latest_event", "SELECT item_id, title, event_id, event_type, coalesce(event_at, created_at) AS active_at FROM items LEFT JOIN (SELECT item_id, event_id, event_type, created_at AS event_at FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY created_at DESC, event_id DESC) AS rn FROM item_events) WHERE rn = 1) USING (item_id) ORDER BY active_at DESC NULLS FIRST, item_id LIMIT 200")
+@query("items_latest_event", "SELECT item_id, title, event_id, event_type, coalesce(event_at, updated_at, created_at) AS active_at FROM items LEFT JOIN (SELECT item_id, event_id, event_type, created_at AS event_at FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY created_at DESC, event_id DESC) AS rn FROM item_events) WHERE rn = 1) USING (item_id) ORDER BY active_at DESC NULLS FIRST, item_id LIMIT 200")
 def _latest(db: Ledger):
     return items_with_latest_event(db.items(), db.item_events(), 200).select("item_id", "title", "event_id", "event_type", "active_at")
 

@@ -116,13 +116,6 @@ def active_pairs(jobs: DataFrame) -> DataFrame:
     return jobs.where(F.col("status").isin("pending", "running")).select("repo_id", "job_type").distinct()
 
 
-def rate_buckets(kv: DataFrame, now: Column, rate: float = 10.0, burst: float = 20.0) -> DataFrame:
-    """Buckets of a rate limiter kept as JSON: tokens at `now`, and the wait for the next one."""
-    tokens = F.coalesce(F.get_json_object("value_json", "$.tokens").try_cast("double"), F.get_json_object("value_json", "$.k").try_cast("double"), F.lit(burst))
-    full = F.least(F.lit(burst), tokens / 10 + age(now, F.col("updated_at")) / 86400 * rate)
-    return kv.select("namespace", "key", F.round(full, 6).alias("tokens"), F.round(F.greatest(F.lit(0.0), (1 - full) / rate), 6).alias("wait_seconds"))
-
-
 def sampled(df: DataFrame, uri: str, prefix: str | None = None, one_in: int = 1) -> DataFrame:
     """Rows under a prefix, one in `one_in` of them by the hash of the uri, so that a rerun takes the same."""
     return df.where(all_of(None if prefix is None else F.col(uri).startswith(prefix), None if one_in == 1 else F.pmod(F.crc32(F.col(uri)), F.lit(one_in)) == 0))
@@ -248,11 +241,6 @@ def _repos(db: Ledger):
     return by_key(db.repos(), repo_type="git").orderBy("repo_id").limit(100).select("repo_id", "repo_type", "url")
 
 
-@query("rate_limit_buckets", f"SELECT namespace, key, round(f, 6) AS tokens, round(greatest(0.0::double, (1 - f) / 10.0::double), 6) AS wait_seconds FROM (SELECT *, least(20.0::double, try_cast(json_extract_string(value_json, '$.k') AS DOUBLE) / 10 + (epoch_us(TIMESTAMP '{EVENTS_NOW}') - epoch_us(updated_at)) / 1000000.0::double / 86400 * 10.0::double) AS f FROM (SELECT *, row_number() OVER (PARTITION BY namespace, key ORDER BY updated_at DESC, event_id DESC) AS rn FROM kv_changes) WHERE rn = 1)")
-def _buckets(db: Ledger):
-    return rate_buckets(latest_per(db.kv_changes(), ["namespace", "key"], "updated_at", "event_id"), ts(EVENTS_NOW))
-
-
 @query("blobs_of_attachments", "SELECT attachment_id, blob_id FROM attachments JOIN patch_blobs USING (sha256)")
 def _shared_content(db: Ledger):
     return blobs_of_attachments(db.attachments(), db.patch_blobs()).select("attachment_id", "blob_id")

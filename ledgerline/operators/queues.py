@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.errors import backoff_seconds, classify_last_error
+from ledgerline.functions.text import redact
 from ledgerline.operators.windows import first_per
+from ledgerline.operators.writes import hashed
 from ledgerline.registry import query
 from ledgerline.schemas import all_of
-from ledgerline.sources.ledger import ORDERS_NOW, Ledger, seconds, ts
+from ledgerline.sources.ledger import EVENTS_NOW, ORDERS_NOW, Ledger, seconds, ts
 
 
 def taken(claimable: DataFrame, limit: int, *order) -> DataFrame:
@@ -41,20 +43,23 @@ def settle_outbox(outbox: DataFrame, commands: DataFrame, now: Column, max_retri
     """outbox after commands (outbox_id, worker, result: sent, retry or dead, backoff in seconds, error).
 
     They act on pending rows, with `owner` only for the worker that holds the lock. A retry counts, clears the lock and waits; at
-    max_retries it is dead. `conflict` marks commands that could not act.
+    max_retries it is dead. What acts sets the row's updated_at, and its last_error to the command's (null for sent ones without a note). `conflict`
+    marks commands that could not act.
     """
     rows, may = _guarded(outbox, commands, "outbox_id", "pending", owner)
     result = F.col("_c.result")
     again = may & (result == "retry")
     dead = may & ((result == "dead") | ((result == "retry") & (F.col("retry_count") + 1 >= max_retries)))
-    return rows.withColumns(
+    changes = (
         {
             "status": F.when(may & (result == "sent"), "sent").when(dead, "dead").otherwise(F.col("status")),
             "next_attempt_at": F.when(again & ~dead, seconds(now, F.col("_c.backoff"))).otherwise(F.col("next_attempt_at")),
             "locked_by": F.when(may, F.lit(None).cast("string")).otherwise(F.col("locked_by")), "locked_at": F.when(may, F.lit(None).cast("timestamp")).otherwise(F.col("locked_at")),
             "retry_count": F.when(again, F.col("retry_count") + 1).otherwise(F.col("retry_count")), "conflict": F.col("_c").isNotNull() & ~may,
         }
-    ).drop("_c")
+    )
+    told = {"last_error": F.col("_c.error"), "updated_at": now}
+    return rows.withColumns(changes | {c: F.when(may, v).otherwise(F.col(c)) for c, v in told.items() if c in rows.columns}).drop("_c")
 
 
 def renew_leases(state: DataFrame, commands: DataFrame, key: str, status: str, now: Column) -> DataFrame:
@@ -70,6 +75,16 @@ def enqueue(jobs: DataFrame, new: DataFrame) -> DataFrame:
     return first_per(new.join(active, key, "left_anti"), key, "priority", F.col("job_id").cast("long"))
 
 
+def enqueue_results(jobs: DataFrame, new: DataFrame) -> DataFrame:
+    """A result for each row of new: added, or existing, the id of the active job (the least) or of the row of new before it (first is false) that stands in its way."""
+    key = ["repo_id", "job_type", "mode"]
+    active = jobs.where(F.col("status").isin("pending", "running")).groupBy(*key).agg(F.min(F.col("job_id").cast("long")).cast("string").alias("_active"))
+    best = new.groupBy(*key).agg(F.min_by("job_id", F.struct("priority", F.col("job_id").cast("long"))).alias("_best"))
+    out = new.join(best, key).join(active, key, "left")
+    first = F.col("job_id") == F.col("_best")
+    return out.withColumns({"first": first, "added": first & F.col("_active").isNull(), "existing": F.coalesce("_active", F.when(~first, F.col("_best")))}).drop("_best", "_active")
+
+
 def job_claimable(now: Column) -> Column:
     status = F.col("status")
     due = F.col("not_before") <= now
@@ -127,6 +142,17 @@ def claim_locks(locks: DataFrame, requests: DataFrame, now: Column) -> DataFrame
     return requests.withColumn("_first", first).join(held, key, "left").withColumn("granted", F.col("_first") & F.col("_held").isNull()).drop("_first", "_held")
 
 
+def claimed_locks(locks: DataFrame, requests: DataFrame, now: Column, lease: int = 60) -> DataFrame:
+    """locks after requests: what claim_locks() grants is held by its worker from now, with a new row and id where there was none."""
+    key = ["repo_id", "job_type"]
+    won = claim_locks(locks, requests, now).where("granted").select(*key, F.col("worker").alias("_worker"))
+    out = locks.join(won, key, "full")
+    got = F.col("_worker").isNotNull()
+    out = out.withColumns({"locked_by": F.when(got, F.col("_worker")).otherwise(F.col("locked_by")), "locked_at": F.when(got, now).otherwise(F.col("locked_at")), "lease_seconds": F.when(got, F.lit(lease)).otherwise(F.col("lease_seconds"))})
+    fresh = hashed(out.where("lock_id is null").drop("lock_id"), locks, "lock_id", *key)
+    return out.where("lock_id is not null").select(*locks.columns).unionByName(fresh.select(*locks.columns))
+
+
 def release_locks(locks: DataFrame, commands: DataFrame, force: bool = False) -> DataFrame:
     """locks after commands (lock_id, worker): free where the worker is the owner, or with force."""
     rows = locks.join(commands.select("lock_id", F.col("worker").alias("_w")), "lock_id", "left")
@@ -134,19 +160,52 @@ def release_locks(locks: DataFrame, commands: DataFrame, force: bool = False) ->
     return rows.withColumns({"locked_at": F.when(free, F.lit(None).cast("timestamp")).otherwise(F.col("locked_at")), "locked_by": F.when(free, F.lit(None).cast("string")).otherwise(F.col("locked_by"))}).drop("_w")
 
 
-def reap(jobs: DataFrame, now: Column, grace: int = 60, to_pending: bool = False) -> DataFrame:
-    """Running jobs whose lease is over, with what becomes of them: new_status and retry_in.
+#: Fixed values of the ledger's contract: what a reaper writes.
+REAPED = {"permanent": "Reaped: permanent error", "transient": "Reaped: transient error", "spent": "Reaped: job expired after max attempts", "over": "Reaped: job lock expired"}
+REAPED_RUN = '{"error_type":"lease_lost","error_category":"timeout","message":"Reaped: sync run timed out"}'
+
 
-    In order: a permanent error is dead; a transient one fails with backoff (dead at max_attempts); spent attempts are dead; else pending or failed.
+def reap(jobs: DataFrame, now: Column, grace: int = 60, to_pending: bool = False, retry_delay: int = 60, multiplier: float = 1.0, longest: int = 1800) -> DataFrame:
+    """Running jobs whose lease is over, with what becomes of them: new_status, retry_in, category and error.
+
+    In order: a permanent error is dead; a transient one fails and waits by its category, attempts and the multiplier, whatever its attempts; spent
+    attempts are dead, where 0 is no limit; all others are pending, or fail and wait the flat delay.
     """
     over = jobs.where((F.col("status") == "running") & (seconds(F.col("locked_at"), F.col("lease_seconds") + grace) < now))
-    kind = classify_last_error(F.col("last_error"))
-    out = over.withColumn("_k", kind)
-    spent = F.col("attempts") >= F.col("max_attempts")
-    transient = F.col("_k.transient")
-    status = F.when(F.col("_k.permanent"), "dead").when(spent, "dead").when(transient, "failed").otherwise("pending" if to_pending else "failed")
-    wait = F.when(status == "failed", backoff_seconds(F.col("_k.category"), F.col("attempts") + 1)).otherwise(F.lit(0))
-    return out.withColumns({"new_status": status, "retry_in": wait.cast("long"), "category": F.col("_k.category")}).drop("_k")
+    out = over.withColumn("_k", classify_last_error(F.col("last_error")))
+    tries, most = F.coalesce("attempts", F.lit(0)), F.coalesce("max_attempts", F.lit(0))
+    case = F.when(F.col("_k.permanent"), "permanent").when(F.col("_k.transient"), "transient").when((most != 0) & (tries >= most), "spent").otherwise("over")
+    out = out.withColumn("_case", case)
+    status = F.when(F.col("_case").isin("permanent", "spent"), "dead").when(F.col("_case") == "transient", "failed").otherwise("pending" if to_pending else "failed")
+    wait = F.when(F.col("_case") == "transient", F.floor(backoff_seconds(F.col("_k.category"), tries + 1, F.col("last_error"), longest) * multiplier)).when(status == "failed", F.lit(retry_delay)).otherwise(F.lit(0))
+    said = F.coalesce(*[F.when(F.col("_case") == c, F.lit(text)) for c, text in REAPED.items()])
+    kind = F.when(F.col("_case").isin("permanent", "transient") & (F.col("_k.category") != ""), F.concat(F.lit(" ("), "_k.category", F.lit(")"))).otherwise(F.lit(""))
+    before = F.when(F.coalesce("last_error", F.lit("")) != "", F.concat(F.lit(": "), "last_error")).otherwise(F.lit(""))
+    error = F.when(status == "pending", F.col("last_error")).otherwise(redact(F.concat(said, kind, before)))
+    return out.withColumns({"new_status": status, "retry_in": wait.cast("long"), "category": F.col("_k.category"), "error": error}).drop("_k", "_case")
+
+
+def reaped_jobs(jobs: DataFrame, now: Column, **options) -> DataFrame:
+    """jobs after a reaper's round: what is over has its new state, error and time, and no lock; attempts stay."""
+    done = reap(jobs, now, **options).select("job_id", F.struct("new_status", "retry_in", "error").alias("_r"))
+    hit, r = F.col("_r").isNotNull(), lambda c: F.col(f"_r.{c}")
+    free = lambda c: F.when(~hit, F.col(c)).alias(c)
+    changes = {"status": F.when(hit, r("new_status")).otherwise(F.col("status")), "last_error": F.when(hit, r("error")).otherwise(F.col("last_error")), "not_before": F.when(hit & (r("new_status") == "failed"), seconds(now, r("retry_in"))).otherwise(F.col("not_before")), "locked_by": free("locked_by"), "locked_at": free("locked_at")}
+    if "updated_at" in jobs.columns:
+        changes["updated_at"] = F.when(hit, now).otherwise(F.col("updated_at"))
+    return jobs.join(done, "job_id", "left").withColumns(changes).select(*jobs.columns)
+
+
+def reaped_runs(runs: DataFrame, now: Column, longest: int = 1800) -> DataFrame:
+    """runs after a reaper's round: running ones that began more than `longest` seconds ago have failed now, with the reason."""
+    over = (F.col("status") == "running") & F.coalesce(seconds(F.col("started_at"), F.lit(longest)) < now, F.lit(False))
+    return runs.withColumn("_over", over).withColumns({"status": F.when(F.col("_over"), "failed").otherwise(F.col("status")), "finished_at": F.when(F.col("_over"), now).otherwise(F.col("finished_at")), "error_summary_json": F.when(F.col("_over"), F.lit(REAPED_RUN)).otherwise(F.col("error_summary_json") if "error_summary_json" in runs.columns else F.lit(None).cast("string"))}).drop("_over")
+
+
+def reaped_locks(locks: DataFrame, now: Column) -> DataFrame:
+    """locks after a reaper's round: what is held beyond its lease is free."""
+    over = F.col("locked_by").isNotNull() & F.coalesce(seconds(F.col("locked_at"), F.col("lease_seconds")) < now, F.lit(False))
+    return locks.withColumn("_over", over).withColumns({"locked_by": F.when(~F.col("_over"), F.col("locked_by")), "locked_at": F.when(~F.col("_over"), F.col("locked_at"))}).drop("_over")
 
 
 def worker_outcomes(outbox: DataFrame, sent: DataFrame, stored: DataFrame, max_retries: int = 5) -> DataFrame:
@@ -163,18 +222,21 @@ def _claim(db: Ledger):
     return claim_outbox(db.outbox(), "me", ts(ORDERS_NOW), 25).where("claimed").select("outbox_id", "locked_by", "locked_at")
 
 
-@query("outbox_settled", "SELECT outbox_id, CASE WHEN NOT may THEN status WHEN outbox_id % 3 = 0 THEN 'sent' WHEN outbox_id % 3 = 2 OR retry_count + 1 >= 5 THEN 'dead' ELSE status END AS status, CASE WHEN may AND outbox_id % 3 = 1 THEN retry_count + 1 ELSE retry_count END AS retry_count, given AND NOT may AS conflict FROM (SELECT *, outbox_id % 2 = 0 AS given, coalesce(outbox_id % 2 = 0 AND status = 'pending' AND locked_by = 'w1', false) AS may FROM outbox)")
+@query("outbox_settled", f"SELECT outbox_id, CASE WHEN NOT may THEN status WHEN outbox_id % 3 = 0 THEN 'sent' WHEN outbox_id % 3 = 2 OR retry_count + 1 >= 5 THEN 'dead' ELSE status END AS status, CASE WHEN may AND outbox_id % 3 = 1 THEN retry_count + 1 ELSE retry_count END AS retry_count, CASE WHEN NOT may THEN last_error WHEN outbox_id % 3 = 0 THEN NULL ELSE 'x' END AS last_error, CASE WHEN may THEN TIMESTAMP '{ORDERS_NOW}' ELSE updated_at END AS updated_at, given AND NOT may AS conflict FROM (SELECT *, outbox_id % 2 = 0 AS given, coalesce(outbox_id % 2 = 0 AND status = 'pending' AND locked_by = 'w1', false) AS may FROM outbox)")
 def _settle(db: Ledger):
     box = db.outbox()
     k = F.col("outbox_id")
-    commands = box.where(k % 2 == 0).select("outbox_id", F.lit("w1").alias("worker"), F.when(k % 3 == 0, "sent").when(k % 3 == 1, "retry").otherwise("dead").alias("result"), F.lit(60).alias("backoff"), F.lit("x").alias("error"))
-    return settle_outbox(box, commands, ts(ORDERS_NOW)).select("outbox_id", "status", "retry_count", "conflict")
+    commands = box.where(k % 2 == 0).select("outbox_id", F.lit("w1").alias("worker"), F.when(k % 3 == 0, "sent").when(k % 3 == 1, "retry").otherwise("dead").alias("result"), F.lit(60).alias("backoff"), F.when(k % 3 != 0, "x").alias("error"))
+    return settle_outbox(box, commands, ts(ORDERS_NOW)).select("outbox_id", "status", "retry_count", "last_error", "updated_at", "conflict")
 
 
-@query("jobs_enqueued", "SELECT job_id, repo_id FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, job_type, mode ORDER BY priority, job_id::bigint) AS rn FROM sync_jobs n WHERE status = 'failed' AND NOT EXISTS (SELECT 1 FROM sync_jobs a WHERE a.status IN ('pending', 'running') AND a.created_at >= TIMESTAMP '2001-01-01' AND a.repo_id = n.repo_id AND a.job_type = n.job_type AND a.mode = n.mode)) WHERE rn = 1")
+@query("jobs_enqueued", "SELECT job_id, repo_id, existing IS NULL AS added, existing FROM (SELECT n.*, row_number() OVER (PARTITION BY n.repo_id, n.job_type, n.mode ORDER BY priority, job_id::bigint) AS rn, (SELECT min(a.job_id::bigint)::varchar FROM sync_jobs a WHERE a.status IN ('pending', 'running') AND a.repo_id = n.repo_id AND a.job_type = n.job_type AND a.mode = n.mode) AS existing FROM (SELECT * REPLACE (job_id::bigint % 1000 AS repo_id) FROM sync_jobs WHERE status = 'failed') n) WHERE rn = 1")
 def _enqueue(db: Ledger):
+    """Failed jobs again, for other repositories: the first of each key, added or with the active job that stands in its way."""
     jobs = db.sync_jobs()
-    return enqueue(jobs.where(F.col("created_at") >= ts("2001-01-01")), jobs.where("status = 'failed'")).select("job_id", "repo_id")
+    new = jobs.where("status = 'failed'").withColumn("repo_id", F.col("job_id").cast("long") % 1000)
+    out = enqueue_results(jobs, new)
+    return out.where("first").select("job_id", "repo_id", "added", F.col("existing").alias("existing"))
 
 
 _CLAIMABLE = f"((status = 'pending' AND not_before <= TIMESTAMP '{ORDERS_NOW}') OR (status = 'running' AND locked_at + to_seconds(lease_seconds) < TIMESTAMP '{ORDERS_NOW}') OR (status = 'failed' AND not_before <= TIMESTAMP '{ORDERS_NOW}' AND attempts < max_attempts))"
@@ -204,12 +266,44 @@ def _locks(db: Ledger):
     return claim_locks(db.sync_locks(), requests, ts("2024-01-29")).select("job_id", "granted")
 
 
-@query("jobs_reaped", f"""SELECT job_id, new_status, CASE WHEN new_status = 'failed' THEN least(3600, base * power(2, attempts))::bigint ELSE 0 END AS retry_in, category FROM (SELECT *,
-  CASE WHEN category IN ('auth_error', 'permission_denied', 'repo_not_found') THEN 'dead' WHEN attempts >= max_attempts THEN 'dead' ELSE 'failed' END AS new_status, CASE category WHEN 'rate_limit' THEN 120 WHEN 'timeout' THEN 30 WHEN 'server_error' THEN 90 WHEN 'network' THEN 60 ELSE 60 END AS base
-  FROM (SELECT *, CASE last_error WHEN 'HTTP 429 Too Many Requests' THEN 'rate_limit' WHEN 'read timed out' THEN 'timeout' WHEN '502 Bad Gateway' THEN 'server_error' WHEN 'connection reset by peer' THEN 'network' WHEN '401 Unauthorized' THEN 'auth_error' WHEN '403 Forbidden' THEN 'permission_denied' WHEN '404 project not found' THEN 'repo_not_found' WHEN 'repo_not_found' THEN 'repo_not_found' ELSE '' END AS category FROM sync_jobs)
-  WHERE status = 'running' AND locked_at + to_seconds(lease_seconds + 60) < TIMESTAMP '{ORDERS_NOW}')""")
+@query("locks_after_claims", """, rq AS (SELECT repo_id, job_type, worker FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, job_type ORDER BY created_at, worker) AS rn FROM (SELECT repo_id, CASE job_id::bigint % 2 WHEN 0 THEN 'click' ELSE 'view' END AS job_type, job_id AS worker, created_at FROM sync_jobs)) WHERE rn = 1),
+lj AS (SELECT repo_id, job_type, lock_id, locked_by, locked_at, worker, worker IS NOT NULL AND (locked_by IS NULL OR locked_at + to_seconds(lease_seconds) < TIMESTAMP '2024-01-29') AS got FROM sync_locks FULL JOIN rq USING (repo_id, job_type))
+SELECT repo_id, job_type, CASE WHEN got THEN worker ELSE locked_by END AS locked_by, CASE WHEN got THEN TIMESTAMP '2024-01-29' ELSE locked_at END AS locked_at, lock_id IS NULL AS added FROM lj""")
+def _claimed_locks(db: Ledger):
+    locks = db.sync_locks()
+    requests = db.sync_jobs().select("repo_id", F.when(F.col("job_id").cast("long") % 2 == 0, "click").otherwise("view").alias("job_type"), F.col("job_id").alias("worker"), F.col("created_at").alias("requested_at"))
+    out = claimed_locks(locks, requests, ts("2024-01-29")).withColumnRenamed("lock_id", "_id")
+    known = locks.select("repo_id", "job_type", F.lit(False).alias("_new"))
+    return out.join(known, ["repo_id", "job_type"], "left").select("repo_id", "job_type", "locked_by", "locked_at", F.coalesce("_new", F.lit(True)).alias("added"))
+
+
+#: The reaper's rules as SQL, in the order in which they are asked.
+_REAPED = f""", rk AS (SELECT *, CASE last_error WHEN 'HTTP 429 Too Many Requests' THEN 'rate_limit' WHEN 'read timed out' THEN 'timeout' WHEN '502 Bad Gateway' THEN 'server_error' WHEN 'connection reset by peer' THEN 'network' WHEN '401 Unauthorized' THEN 'auth_error' WHEN '403 Forbidden' THEN 'permission_denied' WHEN '404 project not found' THEN 'repo_not_found' WHEN 'repo_not_found' THEN 'repo_not_found' ELSE '' END AS category,
+  coalesce(status = 'running' AND locked_at + to_seconds(lease_seconds + 60) < TIMESTAMP '{ORDERS_NOW}', false) AS over FROM sync_jobs),
+rc AS (SELECT *, CASE WHEN category IN ('auth_error', 'permission_denied', 'repo_not_found') THEN 'permanent' WHEN category <> '' THEN 'transient' WHEN max_attempts <> 0 AND attempts >= max_attempts THEN 'spent' ELSE 'over' END AS reaped_as FROM rk),
+rr AS (SELECT *, CASE WHEN reaped_as IN ('permanent', 'spent') THEN 'dead' ELSE 'failed' END AS new_status, CASE reaped_as WHEN 'transient' THEN least(1800, CASE category WHEN 'rate_limit' THEN 120 WHEN 'timeout' THEN 30 WHEN 'server_error' THEN 90 ELSE 60 END * power(2, attempts))::bigint WHEN 'over' THEN 60 ELSE 0 END AS retry_in,
+  CASE reaped_as WHEN 'permanent' THEN 'Reaped: permanent error (' || category || ')' WHEN 'transient' THEN 'Reaped: transient error (' || category || ')' WHEN 'spent' THEN 'Reaped: job expired after max attempts' ELSE 'Reaped: job lock expired' END || CASE WHEN last_error <> '' THEN ': ' || last_error ELSE '' END AS error FROM rc)
+"""
+
+
+@query("jobs_reaped", _REAPED + "SELECT job_id, new_status, retry_in, category, error FROM rr WHERE over")
 def _reap(db: Ledger):
-    return reap(db.sync_jobs(), ts(ORDERS_NOW)).select("job_id", "new_status", "retry_in", "category")
+    return reap(db.sync_jobs(), ts(ORDERS_NOW)).select("job_id", "new_status", "retry_in", "category", "error")
+
+
+@query("jobs_after_reaper", _REAPED + f"SELECT job_id, CASE WHEN over THEN new_status ELSE status END AS status, attempts, CASE WHEN over THEN error ELSE last_error END AS last_error, CASE WHEN over AND new_status = 'failed' THEN TIMESTAMP '{ORDERS_NOW}' + to_seconds(retry_in) ELSE not_before END AS not_before, CASE WHEN NOT over THEN locked_by END AS locked_by FROM rr")
+def _reaped(db: Ledger):
+    return reaped_jobs(db.sync_jobs(), ts(ORDERS_NOW)).select("job_id", "status", "attempts", "last_error", "not_before", "locked_by")
+
+
+@query("runs_after_reaper", f"SELECT run_id, CASE WHEN over THEN 'failed' ELSE status END AS status, CASE WHEN over THEN TIMESTAMP '{EVENTS_NOW}' ELSE finished_at END AS finished_at, CASE WHEN over THEN 'lease_lost' END AS error_type FROM (SELECT *, status = 'running' AND started_at + to_seconds(1800) < TIMESTAMP '{EVENTS_NOW}' AS over FROM sync_runs)")
+def _reaped_runs(db: Ledger):
+    return reaped_runs(db.sync_runs(), ts(EVENTS_NOW)).select("run_id", "status", "finished_at", F.get_json_object("error_summary_json", "$.error_type").alias("error_type"))
+
+
+@query("locks_after_reaper", f"SELECT lock_id, CASE WHEN NOT over THEN locked_by END AS locked_by, CASE WHEN NOT over THEN locked_at END AS locked_at FROM (SELECT *, coalesce(locked_by IS NOT NULL AND locked_at + to_seconds(lease_seconds) < TIMESTAMP '{EVENTS_NOW}', false) AS over FROM sync_locks)")
+def _reaped_locks(db: Ledger):
+    return reaped_locks(db.sync_locks(), ts(EVENTS_NOW)).select("lock_id", "locked_by", "locked_at")
 
 
 @query("outbox_outcomes", "SELECT outbox_id, CASE WHEN EXISTS (SELECT 1 FROM outbox s WHERE s.status = 'sent' AND s.target_space = o.target_space AND s.payload_sha = o.payload_sha) THEN 'dedup_hit' WHEN outbox_id % 2 = 0 THEN 'success' WHEN retry_count + 1 < 5 THEN 'retry' ELSE 'dead' END AS outcome FROM outbox o WHERE status = 'pending'")

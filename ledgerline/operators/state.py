@@ -12,6 +12,10 @@ from ledgerline.schemas import KEYS
 from ledgerline.sources.ledger import EVENTS_NOW, Ledger, age, seconds, ts
 
 
+#: Fixed values of the ledger's contract: namespaces of key-value rows.
+PAUSES, HEALTH, BUCKETS, CURSORS = "scm.sync_pauses", "scm.sync_health", "scm.rate_limit", "scm.sync"
+
+
 def kv_set(kv: DataFrame, rows: DataFrame, order: Column | None = None) -> DataFrame:
     """kv with rows (namespace, key, value_json, updated_at) set; the last of a key wins."""
     return upsert(kv, rows, KEYS["kv"], order=F.col("updated_at") if order is None else order)
@@ -24,13 +28,13 @@ def kv_delete(kv: DataFrame, keys: DataFrame) -> DataFrame:
 def pause_rows(pauses: DataFrame) -> DataFrame:
     """pauses (repo_id, job_type, paused_until, reason, updated_at) as key-value rows."""
     value = F.to_json(F.struct(F.date_format("paused_until", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("paused_until"), "reason"))
-    return pauses.select(F.lit("sync.pauses").alias("namespace"), F.concat_ws(":", F.col("repo_id").cast("string"), "job_type").alias("key"), value.alias("value_json"), "updated_at")
+    return pauses.select(F.lit(PAUSES).alias("namespace"), F.concat_ws(":", F.col("repo_id").cast("string"), "job_type").alias("key"), value.alias("value_json"), "updated_at")
 
 
 def pauses(kv: DataFrame, now: Column, expired: bool | None = False) -> DataFrame:
     """(repo_id, job_type, paused_until, reason) of key-value rows: those that hold, those that are over, or all for None."""
     until = F.try_to_timestamp(F.regexp_replace(F.get_json_object("value_json", "$.paused_until"), "Z$", "+00:00"))
-    rows = kv.where("namespace = 'sync.pauses'").select(F.split_part("key", F.lit(":"), F.lit(1)).try_cast("long").alias("repo_id"), F.split_part("key", F.lit(":"), F.lit(2)).alias("job_type"), until.alias("paused_until"), F.get_json_object("value_json", "$.reason").alias("reason"))
+    rows = kv.where(F.col("namespace") == PAUSES).select(F.split_part("key", F.lit(":"), F.lit(1)).try_cast("long").alias("repo_id"), F.split_part("key", F.lit(":"), F.lit(2)).alias("job_type"), until.alias("paused_until"), F.get_json_object("value_json", "$.reason").alias("reason"))
     return rows if expired is None else rows.where((F.col("paused_until") <= now) if expired else (F.col("paused_until") > now))
 
 
@@ -39,14 +43,38 @@ def paused_pairs(kv: DataFrame, now: Column) -> DataFrame:
 
 
 def bucket_status(kv: DataFrame, now: Column, rate: float = 10.0, burst: float = 20.0) -> DataFrame:
-    """Buckets (value {tokens, paused_until}) as they stand at now: paused, tokens, and seconds until one may be taken."""
-    tokens = F.least(F.lit(burst), F.coalesce(F.get_json_object("value_json", "$.tokens").try_cast("double"), F.lit(burst)) + age(now, F.col("updated_at")) * rate)
-    until = F.get_json_object("value_json", "$.paused_until").try_cast("double")
-    left = F.greatest(F.lit(0.0), F.coalesce(until - F.unix_micros(now.cast("timestamp")) / F.lit(1_000_000.0), F.lit(0.0)))
-    wait = F.when(left > 0, left).otherwise(F.greatest(F.lit(0.0), (1 - tokens) / rate))
+    """Buckets (value {tokens, last_refill, rate, burst, paused_until}) as they stand at now: paused, tokens, and seconds until one may be taken.
+
+    rate and burst stand for what a bucket does not say itself, and its updated_at for the time of its last refill.
+    """
+    said = lambda c: F.get_json_object("value_json", f"$.{c}").try_cast("double")
+    r, most = F.coalesce(said("rate"), F.lit(rate)), F.coalesce(said("burst"), F.lit(burst))
+    at = F.unix_micros(now.cast("timestamp")) / F.lit(1_000_000.0)
+    since = F.coalesce(at - said("last_refill"), age(now, F.col("updated_at")))
+    tokens = F.least(most, F.coalesce(said("tokens"), most) + since * r)
+    left = F.greatest(F.lit(0.0), F.coalesce(said("paused_until") - at, F.lit(0.0)))
+    wait = F.when(left > 0, left).otherwise(F.greatest(F.lit(0.0), (1 - tokens) / r))
     return kv.select("namespace", "key", (left > 0).alias("paused"), F.round(tokens, 6).alias("tokens"), F.round(wait, 6).alias("wait_seconds"))
 
 
+def bucket_rows(buckets: DataFrame) -> DataFrame:
+    """buckets (instance, tokens, last_refill in seconds, rate, burst, paused_until in seconds, updated_at) as key-value rows."""
+    value = F.to_json(F.struct("tokens", "last_refill", "rate", "burst", "paused_until"))
+    return buckets.select(F.lit(BUCKETS).alias("namespace"), F.concat(F.lit("bucket:"), "instance").alias("key"), value.alias("value_json"), "updated_at")
+
+
+def cursor_rows(cursors: DataFrame) -> DataFrame:
+    """cursors (repo_id, job_type, cursor_at, cursor_key, updated_at) as key-value rows of version 2."""
+    mark = F.struct(F.date_format("cursor_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("last_ts"), F.col("cursor_key").alias("last_key"))
+    return cursors.select(F.lit(CURSORS).alias("namespace"), F.concat(F.col("job_type"), F.lit("_cursor:"), F.col("repo_id")).alias("key"), F.to_json(F.struct(F.lit(2).alias("version"), mark.alias("watermark"))).alias("value_json"), "updated_at")
+
+
+def cursor_list(kv: DataFrame) -> DataFrame:
+    """(repo_id, job_type, cursor_at, cursor_key) of the key-value rows of cursors."""
+    parts = F.split("key", "_cursor:")
+    return kv.where((F.col("namespace") == CURSORS) & F.col("key").contains("_cursor:")).select(F.get(parts, 1).try_cast("long").alias("repo_id"), F.get(parts, 0).alias("job_type"), F.try_to_timestamp(F.regexp_replace(F.get_json_object("value_json", "$.watermark.last_ts"), "Z$", "+00:00")).alias("cursor_at"), F.get_json_object("value_json", "$.watermark.last_key").alias("cursor_key"))
+
+
 def chunking_backfilled(df: DataFrame, version: str) -> DataFrame:
     """df with the chunking version in its column and in meta_json."""
     return df.withColumns({"chunking_version": F.lit(version), "meta_json": merged_json(F.col("meta_json"), F.to_json(F.struct(F.lit(version).alias("chunking_version"))))})
@@ -151,3 +179,22 @@ def _materialized(db: Ledger):
     results = blobs.where(k % 4 != 3).select("blob_id", F.when(k % 2 == 0, F.concat(F.lit("new/"), k)).alias("new_uri"), F.when(k % 2 != 0, F.lit("boom")).alias("error"))
     out = materialized(blobs, results)
     return out.select("blob_id", "uri", F.get_json_object("meta_json", "$.materialize_status").alias("state"), F.get_json_object("meta_json", "$.attempts").cast("int").alias("attempts"))
+
+
+@query("cursors_listed", "SELECT repo_id, job_type, date_trunc('second', started_at) AS cursor_at, run_id AS cursor_key FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, job_type ORDER BY started_at DESC, run_id::bigint DESC) AS rn FROM sync_runs) WHERE rn = 1")
+def _cursors(db: Ledger):
+    """Cursors that every run writes, the last of a pair standing, read back."""
+    runs = db.sync_runs().select("repo_id", "job_type", F.col("started_at").alias("cursor_at"), F.col("run_id").alias("cursor_key"), F.col("started_at").alias("updated_at"))
+    none = db.spark.createDataFrame([], "namespace string, key string, value_json string, updated_at timestamp")
+    order = F.struct("updated_at", F.get_json_object("value_json", "$.watermark.last_key").cast("long"))
+    return cursor_list(kv_set(none, cursor_rows(runs), order))
+
+
+@query("rate_limit_buckets", f"""SELECT 'scm.rate_limit' AS namespace, 'bucket:' || user_id || ':' || event_type AS key, k % 4 = 0 AS paused, round(f, 6) AS tokens, round(CASE WHEN k % 4 = 0 THEN 60.0::double ELSE greatest(0.0::double, (1 - f) / r) END, 6) AS wait_seconds
+FROM (SELECT *, least(b, k / 10.0::double + (epoch_us(TIMESTAMP '{EVENTS_NOW}') / 1000000.0::double - epoch_us(ts) / 1000000.0::double) * r) AS f FROM (SELECT *, CASE WHEN k % 2 = 0 THEN 0.00001::double ELSE 10.0::double END AS r, CASE WHEN k % 3 = 0 THEN 5.0::double ELSE 20.0::double END AS b, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM l_e) WHERE rn = 1)""")
+def _rate_buckets(db: Ledger):
+    k = F.col("k")
+    last = db._events().groupBy("user_id", "event_type").agg(F.max_by(F.struct("ts", "k"), F.struct("ts", "event_id")).alias("m")).select("user_id", "event_type", "m.*")
+    at = lambda c: F.unix_micros(c) / F.lit(1_000_000.0)
+    buckets = last.select(F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("instance"), (k / 10).alias("tokens"), at(F.col("ts")).alias("last_refill"), F.when(k % 2 == 0, 0.00001).alias("rate"), F.when(k % 3 == 0, 5).alias("burst"), F.when(k % 4 == 0, at(ts(EVENTS_NOW)) + 60).alias("paused_until"), F.col("ts").alias("updated_at"))
+    return bucket_status(bucket_rows(buckets), ts(EVENTS_NOW))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,12 +51,13 @@ def round_robin(jobs: DataFrame, per_round: int = 1) -> DataFrame:
 def smoothed(df: DataFrame, by: str, order: list[str], value: str, alpha: float) -> DataFrame:
     """df with ema, the exponential mean alpha * x + (1 - alpha) * previous, alpha kept to [0.01, 1]; it starts at the first value.
 
-    The values of a group up to each row are folded in order: for groups of a bounded length, such as the last runs of a repository.
+    Values so far back that they weigh less than a double can tell are left out, so each row folds a bounded number of values, however long a group is.
     """
     a = min(1.0, max(0.01, alpha))
-    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    reach = 1 if a == 1.0 else math.ceil(60 * math.log(2) / -math.log(1 - a))
+    w = Window.partitionBy(by).orderBy(*order).rowsBetween(-reach, 0)
     seen = F.collect_list(F.col(value).cast("double")).over(w)
-    fold = F.aggregate(F.slice(seen, 2, 2_000_000_000), F.get(seen, F.lit(0)), lambda acc, x: F.lit(a) * x + F.lit(1 - a) * acc)
+    fold = F.aggregate(F.slice(seen, 2, reach + 1), F.get(seen, F.lit(0)), lambda acc, x: F.lit(a) * x + F.lit(1 - a) * acc)
     return df.withColumn("ema", fold)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,30 +17,50 @@ from ledgerline.sources.ledger import Ledger, seconds, ts
 def numbered(new: DataFrame, state: DataFrame, key: str, *order: str, ranges: int = 256) -> DataFrame:
     """new with ids that go on from the largest of state, in the order of the given columns; the first is a number or a time.
 
-    Its span is cut into ranges, which are numbered inside; a small table of their counts gives where each starts.
+    Its span is cut into ranges, which are numbered inside; a small table of their counts gives where each starts. Where any order will do,
+    a hash comes first: see hashed().
     """
     first = F.col(order[0]).cast("double")
-    low, high = new.agg(F.min(first), F.max(first)).first()
-    top = state.agg(F.max(key)).first()[0] or 0
-    part = F.lit(0) if low is None or low == high else F.when(first.isNull(), 0).otherwise(F.floor((first - low) / (high - low) * (ranges - 1)) + 1)
-    rows = new.withColumn("_part", part)
+    span = new.agg(F.min(first).alias("_low"), F.max(first).alias("_high")).join(state.agg(F.coalesce(F.max(key).cast("long"), F.lit(0).cast("long")).alias("_top")))
+    inner = F.least(F.floor((first - F.col("_low")) / (F.col("_high") - F.col("_low")) * (ranges - 1)), F.lit(ranges - 2)) + 1
+    rows = new.join(F.broadcast(span)).withColumn("_part", F.when(first.isNull() | (F.col("_low") == F.col("_high")), 0).otherwise(inner))  # one row: no cross product
     sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     start = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return rows.withColumn("_i", inside).join(F.broadcast(start), "_part").withColumn(key, F.lit(int(top)) + F.col("_start") + F.col("_i")).drop("_part", "_i", "_start")
+    return rows.withColumn("_i", inside).join(F.broadcast(start), "_part").withColumn(key, F.col("_top") + F.col("_start") + F.col("_i")).drop("_part", "_i", "_start", "_low", "_high", "_top")
+
+
+def hashed(new: DataFrame, state: DataFrame, key: str, *columns: str) -> DataFrame:
+    """numbered() in an order by hash, which spreads over all ranges whatever the columns hold."""
+    return numbered(new.withColumn("_hash", F.xxhash64(*columns)), state, key, "_hash", *columns).drop("_hash")
 
 
 def upsert(state: DataFrame, changes: DataFrame, keys: Sequence[str], keep: Sequence[str] = (), order: Column | None = None) -> DataFrame:
-    """state with the changes: of several to one key the last by `order`; columns in `keep` keep the old value where the new is null; others are replaced."""
+    """state with the changes: of several to one key the last by `order`, by an aggregate of one row a key.
+
+    Where state has the columns of `order` too, a change that stands before the row in state is late and changes nothing. Columns in
+    `keep` keep the old value where the new is null; others are replaced.
+    """
     columns = [c for c in state.columns if c not in keys]
     if order is not None:
-        changes = changes.withColumn("_o", order).withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("_o").desc()))).where("_rn = 1")
+        rest = [c for c in changes.columns if c not in keys]
+        changes = changes.withColumn("_o", order).groupBy(*keys).agg(F.max_by(F.struct(*rest), "_o").alias("_last"), F.max("_o").alias("_o")).select(*keys, "_last.*", "_o")
+        if (stands := _order_of(state, order)) is not None:
+            changes = changes.join(stands.select(*keys, "_stands"), list(keys), "left").where("_stands is null or _o >= _stands")
     new = changes.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in columns], F.lit(True).alias("_changed"))
-    joined = state.withColumn("_there", F.lit(True)).join(new, list(keys), "full")
+    joined = state.join(new, list(keys), "full")
     pick = lambda c: F.when(F.col("_changed").isNull(), F.col(c)).otherwise(F.coalesce(f"_new_{c}", c) if c in keep else F.col(f"_new_{c}")).alias(c)
     return joined.select(*[F.col(k) if k in keys else pick(k) for k in state.columns])
 
 
+def _order_of(state: DataFrame, order: Column) -> DataFrame | None:
+    """state with _stands, its own value of order, if it has the columns for that."""
+    try:
+        return state.withColumn("_stands", order)
+    except AnalysisException:
+        return None
+
+
 def insert_new(state: DataFrame, rows: DataFrame, keys: Sequence[str], *order) -> DataFrame:
     """Rows whose key state does not have, the first of each key: what an insert that does nothing on conflict adds."""
     fresh = rows.join(state.select(*keys).distinct(), list(keys), "left_anti")
@@ -48,9 +69,65 @@ def insert_new(state: DataFrame, rows: DataFrame, keys: Sequence[str], *order) -
 
 
 def add_events(items: DataFrame, events: DataFrame) -> DataFrame:
-    """items after their events: the state of the newest event that names one."""
+    """items after their events: the state of the newest event that names one, and its time; items without one stay as they are."""
     last = latest_per(events.where("status_to is not null").select("item_id", "status_to", "created_at", "event_id"), ["item_id"], "created_at", "event_id")
-    return items.join(last.select("item_id", F.col("status_to").alias("_to"), F.col("created_at").alias("_at")), "item_id", "left").withColumns({"status": F.coalesce("_to", "status"), "updated_at": F.coalesce("_at", "created_at")}).drop("_to", "_at")
+    return items.join(last.select("item_id", F.col("status_to").alias("_to"), F.col("created_at").alias("_at")), "item_id", "left").withColumns({"status": F.coalesce("_to", "status"), "updated_at": F.coalesce("_at", "updated_at")}).drop("_to", "_at")
+
+
+def create_items(items: DataFrame, new: DataFrame, now: Column) -> DataFrame:
+    """items with new ones (item_type, title and what else is known): ids go on from the largest, in an order by hash; open unless said otherwise."""
+    known = lambda c, value: F.coalesce(F.col(c), value) if c in new.columns else value
+    rows = new.withColumns({"status": known("status", F.lit("open")), "scope_json": known("scope_json", F.lit("{}")), "created_at": now, "updated_at": now})
+    return items.unionByName(hashed(rows, items, "item_id", "item_type", "title").select(*[c for c in items.columns if c in (*rows.columns, "item_id")]), allowMissingColumns=True)
+
+
+def attached(attachments: DataFrame, new: DataFrame, items: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """attachments with new ones (item_id, kind, uri, sha256, size_bytes) of items that are there, and the rows whose item is not."""
+    there = items.select("item_id").distinct()
+    rows = hashed(new.join(there, "item_id", "left_semi").withColumn("created_at", now), attachments, "attachment_id", "item_id", "uri", "sha256")
+    return attachments.unionByName(rows.select(*attachments.columns), allowMissingColumns=True), new.join(there, "item_id", "left_anti")
+
+
+#: Fixed values of the ledger's contract: states of an audit row.
+AUDIT_STATES = ("success", "failed", "redirected", "pending")
+SHA256 = "^[0-9a-fA-F]{64}$"
+
+
+def audit_fault(evidence: Column) -> Column:
+    """Why an audit row's evidence JSON may not be stored; null if it may. An empty or null one may.
+
+    patches and attachments are lists of objects with artifact_uri and sha256; a patch also names its source, and the uri's hash is the object's.
+    """
+    refs = lambda name: F.from_json(F.get_json_object(evidence, f"$.{name}"), "array<struct<artifact_uri:string,sha256:string,source_id:string,source_type:string,kind:string>>")
+    held = lambda name: F.get_json_object(evidence, f"$.{name}")
+    empty = lambda c: c.isNull() | (c == "")
+    said = lambda r: F.lower(F.regexp_extract(r["artifact_uri"], "/([0-9a-fA-F]{64})$", 1))
+    wrong = lambda r, pattern: empty(r["artifact_uri"]) | empty(r["sha256"]) | ~r["artifact_uri"].rlike(pattern) | (said(r) != F.lower(r["sha256"]))
+    patch = lambda r: F.coalesce(wrong(r, "^memory://patch_blobs/[^/]+/.+/[0-9a-fA-F]{64}$") | ~r["sha256"].rlike(SHA256) | empty(r["source_id"]) | empty(r["source_type"]), F.lit(True))
+    attachment = lambda r: F.coalesce(wrong(r, "^memory://attachments/[0-9]+/[0-9a-fA-F]{64}$"), F.lit(True))
+    return (
+        F.when(empty(evidence), F.lit(None).cast("string"))
+        .when(~F.coalesce(evidence.rlike(r"^\s*\{") & F.try_parse_json(evidence).isNotNull(), F.lit(False)), "not_an_object")
+        .when(held("patches").isNotNull() & ~held("patches").startswith("["), "patches_not_a_list")
+        .when(F.exists(F.coalesce(refs("patches"), F.array()), patch), "invalid_patch")
+        .when(held("attachments").isNotNull() & ~held("attachments").startswith("["), "attachments_not_a_list")
+        .when(F.exists(F.coalesce(refs("attachments"), F.array()), attachment), "invalid_attachment")
+    )
+
+
+def inserted_audits(audit: DataFrame, users: DataFrame, new: DataFrame, now: Column, validate: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(audit, users, refused) after new rows (actor_user_id, target_space, action, reason, evidence_refs_json, correlation_id, status).
+
+    Ids go on from the largest. Unknown actors become users; an empty correlation id is none, an absent state success. Refused, with a `fault`, are
+    states that are not known and, with `validate`, evidence of a wrong form.
+    """
+    rows = new.withColumns({"status": F.coalesce("status", F.lit("success")), "correlation_id": F.nullif("correlation_id", F.lit("")), "evidence_refs_json": F.coalesce("evidence_refs_json", F.lit("{}")), "created_at": now})
+    fault = F.when(~F.col("status").isin(*AUDIT_STATES), "invalid_status")
+    rows = rows.withColumn("fault", F.coalesce(fault, audit_fault(F.col("evidence_refs_json"))) if validate else fault)
+    good = rows.where("fault is null")
+    there = audit.unionByName(hashed(good, audit, "audit_id", "target_space", "action", "reason", "actor_user_id", "correlation_id", "evidence_refs_json").select(*audit.columns), allowMissingColumns=True)
+    fresh = good.where("actor_user_id != ''").select(F.col("actor_user_id").alias("user_id")).distinct().join(users.select("user_id"), "user_id", "left_anti")
+    return there, users.unionByName(fresh.withColumn("display_name", F.col("user_id")).select(*[c for c in users.columns if c in ("user_id", "display_name")]), allowMissingColumns=True), rows.where("fault is not null")
 
 
 def merged_json(old: Column, new: Column) -> Column:
@@ -148,7 +225,7 @@ def _month(db: Ledger):
     return ledger_facts(db).where((F.col("ts") >= ts("1998-03-01")) & (F.col("ts") < ts("1998-04-01")))
 
 
-@query("items_after_events", "SELECT item_id, coalesce(s, status) AS status, coalesce(c, created_at) AS updated_at FROM items LEFT JOIN (SELECT item_id, status_to AS s, created_at AS c FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY created_at DESC, event_id DESC) AS rn FROM item_events WHERE status_to IS NOT NULL) WHERE rn = 1) USING (item_id)")
+@query("items_after_events", "SELECT item_id, coalesce(s, status) AS status, coalesce(c, updated_at) AS updated_at FROM items LEFT JOIN (SELECT item_id, status_to AS s, created_at AS c FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY created_at DESC, event_id DESC) AS rn FROM item_events WHERE status_to IS NOT NULL) WHERE rn = 1) USING (item_id)")
 def _items(db: Ledger):
     return add_events(db.items(), db.item_events()).select("item_id", "status", "updated_at")
 

@@ -7,25 +7,35 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.functions.identifiers import instance_key, tenant_id
-from ledgerline.operators.policy import SchedulerConfig, job_priority, repo_health, repo_states
+from ledgerline.functions.identifiers import instance_key, physical_job_type, tenant_id
+from ledgerline.operators.policy import _STATES, SchedulerConfig, bucket_penalty, job_priority, repo_health, repo_states
 from ledgerline.operators.windows import round_robin
 from ledgerline.registry import query
-from ledgerline.sources.ledger import EVENTS_NOW, Ledger, ts
+from ledgerline.sources.ledger import EVENTS_NOW, Ledger, seconds, ts
 
 #: Physical job types of each kind of repository.
 TYPES = {"git": ("gitlab_commits", "gitlab_mrs"), "svn": ("svn",)}
 
 
-def candidates(states: DataFrame, active: DataFrame, paused: DataFrame, now: Column, config: SchedulerConfig = SchedulerConfig()) -> DataFrame:
-    """Jobs that could be enqueued, with priority: each due repository with each of its job types, less the pairs (repo_id, job_type) that are active or paused."""
+def candidates(states: DataFrame, active: DataFrame, paused: DataFrame, now: Column, config: SchedulerConfig = SchedulerConfig(), buckets: DataFrame | None = None, skip_paused_buckets: bool = False) -> DataFrame:
+    """Jobs that could be enqueued, with priority: each due repository with each of its job types, less the pairs (repo_id, job_type) that are active or paused.
+
+    buckets (instance, paused, tokens, burst): the bucket of an instance makes its jobs wait, by a penalty on the priority, or with skip_paused_buckets stops them.
+    """
     rows = repo_health(states, now, config).where("should_schedule")
     types = F.when(F.col("repo_type") == "git", F.array(*[F.lit(t) for t in TYPES["git"]])).otherwise(F.array(*[F.lit(t) for t in TYPES["svn"]]))
     rows = rows.withColumn("job_type", F.explode(types))
     skip = active.select("repo_id", "job_type").unionByName(paused.select("repo_id", "job_type")).distinct()
     rows = rows.join(skip, ["repo_id", "job_type"], "left_anti")
-    keys = {"instance": instance_key(F.col("url")), "tenant_id": tenant_id(F.lit("{}"), F.col("project_key"))}
-    return rows.withColumns({**keys, "priority": job_priority(F.col("job_type"), F.col("adjustment"), F.col("failure_rate"), F.col("rate_limit_rate"), config), "created_at": F.lit(None).cast("timestamp"), "job_id": F.col("repo_id").cast("string")})
+    rows = rows.withColumns({"instance": instance_key(F.col("url")), "tenant_id": tenant_id(F.lit("{}"), F.col("project_key"))})
+    penalty = F.struct(F.lit(0).alias("penalty"), F.lit(None).cast("string").alias("reason"))
+    if buckets is not None:
+        rows = rows.join(buckets.select("instance", F.col("paused").alias("_paused"), F.col("tokens").alias("_tokens"), F.col("burst").alias("_burst")), "instance", "left")
+        rows = rows.where(~F.coalesce("_paused", F.lit(False))) if skip_paused_buckets else rows
+        penalty = bucket_penalty(F.col("_paused"), F.col("_tokens"), F.col("_burst"), config)
+    base = job_priority(F.col("job_type"), F.col("adjustment"), F.col("failure_rate"), F.col("rate_limit_rate"), config)
+    rows = rows.withColumn("_p", penalty)
+    return rows.withColumns({"priority": (base + F.col("_p.penalty")).cast("int"), "bucket_reason": F.col("_p.reason"), "created_at": F.lit(None).cast("timestamp"), "job_id": F.col("repo_id").cast("string")}).drop("_p", "_paused", "_tokens", "_burst")
 
 
 def admit(rows: Iterable[dict], by_instance: dict, by_tenant: dict, config: SchedulerConfig, running: int = 0, depth: int = 0) -> list[dict]:
@@ -56,20 +66,45 @@ def ranked(rows: DataFrame, config: SchedulerConfig = SchedulerConfig()) -> Data
 def select_jobs(rows: DataFrame, jobs: DataFrame, config: SchedulerConfig = SchedulerConfig()) -> DataFrame:
     """The jobs of a round. The caps depend on what came before, so they are applied to the candidates one after the other.
 
-    Only the first `per_instance` of an instance can get in, and those behind change no count, so Spark keeps no others
-    before the list is read: it grows with the instances, not with the repositories.
+    Only the first `per_instance` of an instance can get in, and those behind change no count; of rows without an instance the same holds
+    of the first `per_tenant` of a tenant, and of rows with neither of the first that the round has room for. Spark keeps no others
+    before the list is read: it grows with the instances and tenants, not with the repositories.
     """
     spark = rows.sparkSession
     active = jobs.where(F.col("status").isin("pending", "running"))
     total = active.agg(F.count_if(F.col("status") == "running").alias("running"), F.count_if(F.col("status") == "pending").alias("pending")).first()
     counts = lambda c: {r[0]: r[1] for r in active.where(F.col(c).isNotNull()).groupBy(c).count().collect()}
-    first = F.row_number().over(Window.partitionBy("instance").orderBy("turn"))
-    ordered = ranked(rows, config).withColumn("_k", first).where(F.col("instance").isNull() | (F.col("_k") <= config.per_instance)).orderBy("turn")
+    group = F.when(F.col("instance").isNotNull(), F.concat(F.lit("instance:"), "instance")).when(F.col("tenant_id").isNotNull(), F.concat(F.lit("tenant:"), "tenant_id")).otherwise("neither")
+    most = F.when(F.col("instance").isNotNull(), config.per_instance).when(F.col("tenant_id").isNotNull(), config.per_tenant).otherwise(config.max_enqueue_per_scan)
+    first = F.row_number().over(Window.partitionBy("_g").orderBy("turn"))
+    ordered = ranked(rows, config).withColumn("_g", group).withColumn("_k", first).where(F.col("_k") <= most).orderBy("turn")
     ordered = ordered.select("repo_id", "job_type", "priority", "instance", "tenant_id", "reason")
     chosen = admit((r.asDict() for r in ordered.toLocalIterator()), counts("instance"), counts("tenant_id"), config, total["running"] or 0, total["pending"] or 0)
     return spark.createDataFrame([tuple(r[c] for c in ordered.columns) for r in chosen], ordered.schema)
 
 
+def build_jobs(chosen: DataFrame, states: DataFrame, breakers: DataFrame, now: Column, probe: bool = False, backfill_only: bool = False, batch: int | None = None, diff_mode: str | None = None, probe_types: tuple[str, ...] = ("commits",)) -> tuple[DataFrame, DataFrame]:
+    """(jobs, skipped): rows for the queue of chosen logical jobs (repo_id, job_type, priority, reason), and those that are left out, with the first reason that holds.
+
+    Reasons: state_not_found, tenant_circuit_open and instance_circuit_open by breakers (scope, id, allow_sync, wait_seconds), of which a half open one lets
+    jobs pass, and invalid_job_type_combination. The global breaker's decision gives the mode, probe before backfill, and what the payload suggests.
+    """
+    known = states.select("repo_id", F.col("repo_type").alias("_type"), F.col("instance").alias("_instance"), F.col("tenant_id").alias("_tenant"))
+    of = lambda scope, name: breakers.where(F.col("scope") == scope).select(F.col("id").alias(name), (~F.col("allow_sync")).alias(f"{name}_stopped"), F.col("wait_seconds").alias(f"{name}_wait"))
+    rows = chosen.select("repo_id", "job_type", "priority", "reason").join(known, "repo_id", "left").join(of("tenant", "_tenant"), "_tenant", "left").join(of("instance", "_instance"), "_instance", "left")
+    rows = rows.withColumn("_physical", physical_job_type(F.col("_type"), F.col("job_type")))
+    tenant, instance = F.coalesce("_tenant_stopped", F.lit(False)), F.coalesce("_instance_stopped", F.lit(False))
+    skip = F.when(F.col("_type").isNull(), "state_not_found").when(tenant, "tenant_circuit_open").when(instance, "instance_circuit_open").when(F.col("_physical.job_type").isNull(), "invalid_job_type_combination")
+    rows = rows.withColumn("_skip", skip)
+    mode = F.lit("probe" if probe else "backfill" if backfill_only else "incremental")
+    suggested = [F.lit(batch).cast("int").alias("suggested_batch_size"), F.lit(diff_mode).cast("string").alias("suggested_diff_mode")] if probe or backfill_only else []
+    probing = [F.lit(True).alias("is_probe_mode"), F.array(*[F.lit(x) for x in probe_types]).alias("probe_job_types_allowlist")] if probe else []
+    payload = F.to_json(F.struct(F.lit("v2").alias("version"), mode.alias("mode"), F.col("reason").alias("reason"), F.col("job_type").alias("logical_job_type"), F.col("_instance").alias("gitlab_instance"), F.col("_tenant").alias("tenant_id"), *suggested, *probing))
+    jobs = rows.where("_skip is null").select("repo_id", F.col("_physical.job_type").alias("job_type"), mode.alias("mode"), "priority", payload.alias("payload_json"), F.lit("pending").alias("status"), now.alias("not_before"))
+    wait = F.when(F.col("_skip") == "tenant_circuit_open", F.col("_tenant_wait")).when(F.col("_skip") == "instance_circuit_open", F.col("_instance_wait"))
+    return jobs, rows.where("_skip is not null").select("repo_id", "job_type", F.col("_skip").alias("reason"), wait.alias("wait_seconds"))
+
+
 def new_jobs(chosen: DataFrame, breakers: DataFrame, now: Column) -> DataFrame:
     """Rows for the queue: those whose tenant and instance have no open breaker (scope, id, state), with their payload."""
     stopped = breakers.where("state = 'open'")
@@ -78,14 +113,64 @@ def new_jobs(chosen: DataFrame, breakers: DataFrame, now: Column) -> DataFrame:
     return out.select("repo_id", "job_type", F.lit("incremental").alias("mode"), "priority", payload.alias("payload_json"), F.lit("pending").alias("status"), now.alias("not_before"))
 
 
-@query("schedule_candidates", None)
+_TYPED = """, sc AS (SELECT repo_id, t AS job_type, reason, 'gl' || (repo_id % 4) || '.example.com' AS instance, split_part(project_key, '/', 1) AS tenant_id, (CASE t WHEN 'gitlab_mrs' THEN 200 ELSE 100 END + adjustment + trunc(failure_rate * 100) + trunc(rate_limit_rate * 200))::int AS base
+  FROM rh JOIN repos r USING (repo_id), (SELECT unnest(['gitlab_commits', 'gitlab_mrs', 'svn']) AS t) WHERE should_schedule AND (r.repo_type = 'git') = (t <> 'svn')
+"""
+
+
+@query("schedule_candidates", _STATES.rstrip() + _TYPED + """ AND NOT EXISTS (SELECT 1 FROM sync_jobs j WHERE j.status = 'running' AND j.repo_id = rh.repo_id AND j.job_type = t) AND NOT (repo_id % 10 = 3 AND t = 'svn'))
+SELECT repo_id, job_type, base + CASE instance WHEN 'gl1.example.com' THEN 1000 WHEN 'gl2.example.com' THEN 200 ELSE 0 END AS priority, instance, tenant_id, reason, CASE instance WHEN 'gl1.example.com' THEN 'bucket_paused' WHEN 'gl2.example.com' THEN 'bucket_low_tokens' END AS bucket_reason FROM sc""")
 def _candidates(db: Ledger):
-    none = db.sync_jobs().where("false")
-    return candidates(repo_states(db), db.sync_jobs().where("status = 'running' and created_at > timestamp '2001-06-01'"), none, ts(EVENTS_NOW)).select("repo_id", "job_type", "priority", "instance", "tenant_id", "reason")
+    """All running jobs and some paused pairs are left out; of four instances one's bucket is paused and one's is low."""
+    paused = db.repos().where("repo_id % 10 = 3").select("repo_id", F.lit("svn").alias("job_type"))
+    buckets = db.spark.createDataFrame([("gl1.example.com", True, 9.0, 20.0), ("gl2.example.com", False, 3.9, 20.0), ("gl3.example.com", False, 4.0, 20.0)], "instance string, paused boolean, tokens double, burst double")
+    rows = candidates(repo_states(db), db.sync_jobs().where("status = 'running'"), paused, ts(EVENTS_NOW), buckets=buckets)
+    return rows.select("repo_id", "job_type", "priority", "instance", "tenant_id", "reason", "bucket_reason")
+
 
+#: When the round below looks at the queue: jobs that are running then.
+_ROUND_AT = "1998-03-01 00:03:00"
 
-@query("schedule_selected", None)
+
+@query("schedule_selected", _STATES.rstrip() + f""", lv AS (SELECT repo_id, job_type, instance, tenant_id FROM sync_jobs WHERE status = 'running' AND locked_at <= TIMESTAMP '{_ROUND_AT}' AND locked_at + to_seconds(lease_seconds) >= TIMESTAMP '{_ROUND_AT}')
+""" + _TYPED.strip() + """ AND NOT EXISTS (SELECT 1 FROM lv WHERE lv.repo_id = rh.repo_id AND lv.job_type = t)),
+tr AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY base, repo_id) AS place, min((base, repo_id)) OVER (PARTITION BY tenant_id) AS best FROM sc),
+tn AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY place, best, repo_id, job_type) AS rn FROM tr),
+fo(rn, repo_id, job_type, base, instance, tenant_id, reason, n, room, ui, ut, got) AS (SELECT 0::bigint, NULL::bigint, NULL::varchar, NULL::int, NULL::varchar, NULL::varchar, NULL::varchar, 0, (SELECT least(10, 15 - count(*)) FROM lv), (SELECT coalesce(list(instance), []) FROM lv), (SELECT coalesce(list(tenant_id) FILTER (tenant_id IS NOT NULL), []) FROM lv), false
+  UNION ALL SELECT rn, repo_id, job_type, base, instance, tenant_id, reason, CASE WHEN i AND t THEN n + 1 ELSE n END, room, CASE WHEN i THEN list_append(ui, instance) ELSE ui END, CASE WHEN i AND t THEN list_append(ut, tenant_id) ELSE ut END, i AND t
+  FROM (SELECT tn.*, fo.n, fo.room, fo.ui, fo.ut, fo.n < fo.room AND len(list_filter(fo.ui, lambda x: x = tn.instance)) < 4 AS i, len(list_filter(fo.ut, lambda x: x = tn.tenant_id)) < 2 AS t FROM fo JOIN tn ON tn.rn = fo.rn + 1))
+SELECT repo_id, job_type, base AS priority, instance, tenant_id, reason FROM fo WHERE got""")
 def _selected(db: Ledger):
-    none = db.sync_jobs().where("false")
-    rows = candidates(repo_states(db), none, none, ts(EVENTS_NOW))
-    return select_jobs(rows, none)
+    """A round over what is queued at a stated time, with small caps."""
+    at = ts(_ROUND_AT)
+    live = db.sync_jobs().where((F.col("status") == "running") & (F.col("locked_at") <= at) & (seconds(F.col("locked_at"), F.col("lease_seconds")) >= at))
+    config = SchedulerConfig(per_instance=4, per_tenant=2)
+    rows = candidates(repo_states(db), live, live.where("false"), ts(EVENTS_NOW), config)
+    return select_jobs(rows, live, config)
+
+
+_BUILT = """, ch AS (SELECT l_suppkey AS repo_id, CASE l_suppkey % 4 WHEN 0 THEN 'commits' WHEN 1 THEN 'mrs' WHEN 2 THEN 'reviews' ELSE 'x' END AS logical FROM (SELECT DISTINCT l_suppkey FROM lineitem)),
+bj AS (SELECT ch.*, r.repo_type, split_part(project_key, '/', 1) AS tenant, 'gl' || (repo_id % 4) || '.example.com' AS instance, CASE WHEN logical = 'commits' THEN CASE r.repo_type WHEN 'git' THEN 'gitlab_commits' ELSE 'svn' END WHEN r.repo_type = 'git' AND logical = 'mrs' THEN 'gitlab_mrs' WHEN r.repo_type = 'git' AND logical = 'reviews' THEN 'gitlab_reviews' END AS job_type
+  FROM ch LEFT JOIN (SELECT * FROM repos WHERE repo_id % 7 <> 5) r USING (repo_id)),
+bs AS (SELECT *, CASE WHEN repo_type IS NULL THEN 'state_not_found' WHEN tenant IN ('group3', 'group11') THEN 'tenant_circuit_open' WHEN repo_id % 4 = 2 THEN 'instance_circuit_open' WHEN job_type IS NULL THEN 'invalid_job_type_combination' END AS skip FROM bj)
+"""
+
+
+def _built(db: Ledger, **decision) -> tuple[DataFrame, DataFrame]:
+    k = F.col("l_suppkey")
+    chosen = db.raw("lineitem").select(k).distinct().select(k.alias("repo_id"), F.when(k % 4 == 0, "commits").when(k % 4 == 1, "mrs").when(k % 4 == 2, "reviews").otherwise("x").alias("job_type"), F.lit(5).alias("priority"), F.lit("due").alias("reason"))
+    states = db.repos().where("repo_id % 7 != 5").select("repo_id", "repo_type", instance_key(F.col("url")).alias("instance"), tenant_id(F.lit("{}"), F.col("project_key")).alias("tenant_id"))
+    breakers = db.spark.createDataFrame([("tenant", "group3", False, 30.0), ("tenant", "group11", False, 30.0), ("tenant", "group5", True, 0.0), ("instance", "gl2.example.com", False, 60.0)], "scope string, id string, allow_sync boolean, wait_seconds double")
+    return build_jobs(chosen, states, breakers, ts(EVENTS_NOW), **decision)
+
+
+@query("jobs_built", _BUILT + "SELECT repo_id, job_type, 'probe' AS mode, logical, 10 AS batch FROM bs WHERE skip IS NULL")
+def _jobs_built(db: Ledger):
+    jobs = _built(db, probe=True, backfill_only=True, batch=10, diff_mode="none")[0]
+    said = lambda c: F.get_json_object("payload_json", f"$.{c}")
+    return jobs.select("repo_id", "job_type", "mode", said("logical_job_type").alias("logical"), said("suggested_batch_size").cast("int").alias("batch"))
+
+
+@query("jobs_not_built", _BUILT + "SELECT repo_id, logical AS job_type, skip AS reason, CASE skip WHEN 'tenant_circuit_open' THEN 30.0::double WHEN 'instance_circuit_open' THEN 60.0::double END AS wait_seconds FROM bs WHERE skip IS NOT NULL")
+def _jobs_not_built(db: Ledger):
+    return _built(db)[1]

@@ -43,7 +43,7 @@ class Ledger:
         return c.select(
             F.col("c_custkey").alias("item_id"), F.col("c_mktsegment").alias("item_type"), F.col("c_name").alias("title"),
             F.concat(F.lit("p"), F.col("c_nationkey")).alias("project_key"), F.when(F.col("c_acctbal") < 0, "blocked").otherwise("open").alias("status"),
-            F.concat(F.lit("u"), F.col("c_custkey") % 50).alias("owner_user_id"), seconds(ts("1995-01-01"), F.col("c_custkey") * 60).alias("created_at"),
+            F.concat(F.lit("u"), F.col("c_custkey") % 50).alias("owner_user_id"), seconds(ts("1995-01-01"), F.col("c_custkey") * 60).alias("created_at"), seconds(ts("1995-01-01"), F.col("c_custkey") * 60 + F.col("c_custkey") % 2500 * 86400).alias("updated_at"),
         )
 
     def item_events(self) -> DataFrame:
@@ -61,7 +61,7 @@ class Ledger:
             F.when(F.col("o_orderstatus") == "O", "pending").when(F.col("o_orderstatus") == "F", "sent").otherwise("dead").alias("status"),
             (key % 6).cast("int").alias("retry_count"), seconds(F.col("o_orderdate"), (key % 7) * 3600).alias("next_attempt_at"),
             F.when(key % 5 == 0, seconds(F.col("o_orderdate"), (key % 11) * 60)).alias("locked_at"), F.when(key % 5 == 0, F.concat(F.lit("w"), key % 3)).alias("locked_by"),
-            F.col("o_orderdate").alias("created_at"), seconds(F.col("o_orderdate"), (key % 48) * 3600).alias("updated_at"),
+            F.col("o_orderdate").alias("created_at"), seconds(F.col("o_orderdate"), (key % 48) * 3600).alias("updated_at"), F.when(key % 4 == 0, F.concat(F.lit("old "), key)).alias("last_error"),
         )
 
     def sync_runs(self) -> DataFrame:
@@ -80,7 +80,7 @@ class Ledger:
         return o.select(
             key.cast("string").alias("job_id"), (F.col("o_custkey") % 120 + 1).alias("repo_id"), job_type(key).alias("job_type"), F.when(key % 2 == 0, "incremental").otherwise("backfill").alias("mode"),
             (F.substring("o_orderpriority", 1, 1).try_cast("int") * 100).alias("priority"), F.when(F.col("o_orderstatus") == "O", "pending").when(running, "running").otherwise("failed").alias("status"),
-            (key % 4).cast("int").alias("attempts"), F.lit(3).alias("max_attempts"), seconds(F.col("o_orderdate"), (key % 10) * 86400).alias("not_before"),
+            (key % 4).cast("int").alias("attempts"), F.when(key % 8 == 0, 0).otherwise(3).alias("max_attempts"), seconds(F.col("o_orderdate"), (key % 10) * 86400).alias("not_before"),
             F.when(running, seconds(F.col("o_orderdate"), (key % 13) * 600)).alias("locked_at"), F.when(running, F.concat(F.lit("w"), key % 4)).alias("locked_by"), (300 + (key % 5) * 60).cast("int").alias("lease_seconds"),
             F.when(F.col("o_custkey") % 11 != 0, F.concat(F.lit("tenant-"), F.col("o_custkey") % 25)).alias("tenant_id"), F.concat(F.lit("gl"), F.col("o_custkey") % 4, F.lit(".example.com")).alias("instance"),
             F.get(errors, (key % len(JOB_ERRORS)).cast("int")).alias("last_error"), F.col("o_orderdate").alias("created_at"),
@@ -148,15 +148,15 @@ def _case(values: tuple[str, ...], key: str) -> str:
 
 #: The same mapping for SQL engines, as common table expressions.
 PRELUDE = f"""
-WITH l_e AS (SELECT *, try_cast(json_extract_string(props, '$.k') AS INT) AS k FROM events),
-items AS (SELECT c_custkey AS item_id, c_mktsegment AS item_type, c_name AS title, 'p' || c_nationkey AS project_key, CASE WHEN c_acctbal < 0 THEN 'blocked' ELSE 'open' END AS status, 'u' || (c_custkey % 50) AS owner_user_id, TIMESTAMP '1995-01-01' + to_seconds(c_custkey * 60) AS created_at FROM customer),
+WITH RECURSIVE l_e AS (SELECT *, try_cast(json_extract_string(props, '$.k') AS INT) AS k FROM events),
+items AS (SELECT c_custkey AS item_id, c_mktsegment AS item_type, c_name AS title, 'p' || c_nationkey AS project_key, CASE WHEN c_acctbal < 0 THEN 'blocked' ELSE 'open' END AS status, 'u' || (c_custkey % 50) AS owner_user_id, TIMESTAMP '1995-01-01' + to_seconds(c_custkey * 60) AS created_at, TIMESTAMP '1995-01-01' + to_seconds(c_custkey * 60 + c_custkey % 2500 * 86400) AS updated_at FROM customer),
 item_events AS (SELECT o_orderkey AS event_id, o_custkey AS item_id, o_orderpriority AS event_type, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END AS status_to, 'u' || (o_orderkey % 50) AS actor_user_id, o_orderdate AS created_at FROM orders),
 outbox AS (SELECT o_orderkey AS outbox_id, o_custkey AS item_id, 'team:' || o_orderpriority AS target_space, md5(o_custkey || '|' || o_orderpriority) AS payload_sha, CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'F' THEN 'sent' ELSE 'dead' END AS status, (o_orderkey % 6)::int AS retry_count, o_orderdate + to_seconds((o_orderkey % 7) * 3600) AS next_attempt_at,
-  CASE WHEN o_orderkey % 5 = 0 THEN o_orderdate + to_seconds((o_orderkey % 11) * 60) END AS locked_at, CASE WHEN o_orderkey % 5 = 0 THEN 'w' || (o_orderkey % 3) END AS locked_by, o_orderdate AS created_at, o_orderdate + to_seconds((o_orderkey % 48) * 3600) AS updated_at FROM orders),
+  CASE WHEN o_orderkey % 5 = 0 THEN o_orderdate + to_seconds((o_orderkey % 11) * 60) END AS locked_at, CASE WHEN o_orderkey % 5 = 0 THEN 'w' || (o_orderkey % 3) END AS locked_by, o_orderdate AS created_at, o_orderdate + to_seconds((o_orderkey % 48) * 3600) AS updated_at, CASE WHEN o_orderkey % 4 = 0 THEN 'old ' || o_orderkey END AS last_error FROM orders),
 sync_runs AS (SELECT event_id::varchar AS run_id, user_id AS repo_id, CASE event_id % 3 WHEN 0 THEN 'gitlab_commits' WHEN 1 THEN 'gitlab_mrs' ELSE 'svn' END AS job_type, CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'no_data' WHEN 'click' THEN 'running' ELSE 'completed' END AS status, ts AS started_at,
   CASE WHEN event_type <> 'click' THEN ts + to_seconds(k) END AS finished_at, k AS synced_count, k % 5 AS hits_429, k % 3 AS timeouts, k + 1 AS requests FROM l_e),
 sync_jobs AS (SELECT o_orderkey::varchar AS job_id, o_custkey % 120 + 1 AS repo_id, CASE o_orderkey % 3 WHEN 0 THEN 'gitlab_commits' WHEN 1 THEN 'gitlab_mrs' ELSE 'svn' END AS job_type, CASE WHEN o_orderkey % 2 = 0 THEN 'incremental' ELSE 'backfill' END AS mode, substr(o_orderpriority, 1, 1)::int * 100 AS priority,
-  CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'P' THEN 'running' ELSE 'failed' END AS status, (o_orderkey % 4)::int AS attempts, 3 AS max_attempts, o_orderdate + to_seconds((o_orderkey % 10) * 86400) AS not_before, CASE WHEN o_orderstatus = 'P' THEN o_orderdate + to_seconds((o_orderkey % 13) * 600) END AS locked_at,
+  CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'P' THEN 'running' ELSE 'failed' END AS status, (o_orderkey % 4)::int AS attempts, CASE WHEN o_orderkey % 8 = 0 THEN 0 ELSE 3 END AS max_attempts, o_orderdate + to_seconds((o_orderkey % 10) * 86400) AS not_before, CASE WHEN o_orderstatus = 'P' THEN o_orderdate + to_seconds((o_orderkey % 13) * 600) END AS locked_at,
   CASE WHEN o_orderstatus = 'P' THEN 'w' || (o_orderkey % 4) END AS locked_by, (300 + (o_orderkey % 5) * 60)::int AS lease_seconds, CASE WHEN o_custkey % 11 <> 0 THEN 'tenant-' || (o_custkey % 25) END AS tenant_id, 'gl' || (o_custkey % 4) || '.example.com' AS instance, {_case(JOB_ERRORS, 'o_orderkey')} AS last_error, o_orderdate AS created_at FROM orders),
 sync_locks AS (SELECT event_id AS lock_id, user_id AS repo_id, event_type AS job_type, CASE WHEN event_id % 9 <> 0 THEN 'w' || (event_id % 7) END AS locked_by, CASE WHEN event_id % 9 <> 0 THEN ts END AS locked_at, (3600 * (1 + event_id % 24))::int AS lease_seconds FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1),
 kv_changes AS (SELECT event_type AS namespace, user_id::varchar AS key, props AS value_json, ts AS updated_at, event_id FROM events),

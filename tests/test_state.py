@@ -42,7 +42,7 @@ def test_reconcile(spark):
 
 def test_small_rules(spark):
     df = spark.createDataFrame([(True, 20.0), (False, 3.9), (False, 4.0)], "paused boolean, tokens double")
-    assert [r[0] for r in df.select(policy.bucket_penalty(F.col("paused"), F.col("tokens"), F.lit(20.0))).collect()] == [1000, 200, 0]
+    assert [tuple(r[0]) for r in df.select(policy.bucket_penalty(F.col("paused"), F.col("tokens"), F.lit(20.0))).collect()] == [(1000, "bucket_paused"), (200, "bucket_low_tokens"), (0, None)]
     df = spark.createDataFrame([("open", 0), ("closed", 11), ("closed", 10)], "s string, lag int")
     assert [r[0] for r in df.select(policy.wants_backfill(F.col("s"), F.col("lag"), 10)).collect()] == [True, True, False]
     assert (next_window(600, True), next_window(600, False), next_window(400, True)) == (300, 900, 300)
@@ -57,7 +57,7 @@ def test_actors_and_accounts(spark):
     requests = spark.createDataFrame([("u1", "team:p"), ("x", "team:p"), (None, "team:p")], "actor_user_id string, target_space string")
     users = spark.createDataFrame([("u1",)], "user_id string")
     got = {r["actor_user_id"]: (r["actor_state"], r["target_space"]) for r in policy.validate_actors(requests, users, "degrade").collect()}
-    assert got == {"u1": ("ok", "team:p"), "x": ("actor_unknown:degrade", "private:x"), None: ("ok", "team:p")}
+    assert got == {"u1": ("ok", "team:p"), "x": ("actor_unknown:degrade", "private:unknown"), None: ("ok", "team:p")}
     accounts = spark.createDataFrame([("git", "a", "u1")], "account_type string, account_name string, user_id string")
     new = spark.createDataFrame([("u2", "git", "a"), ("u3", "git", "b"), ("u2", "git", "b")], "user_id string, account_type string, account_name string")
     u, a = state.accounts_ensured(users, accounts, new)

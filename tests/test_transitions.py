@@ -75,7 +75,7 @@ def test_enqueue_keeps_one_active(spark):
 def test_reaper(spark):
     rows = [job(1, "running", 1, at(-500), "w", error="404"), job(2, "running", 1, at(-500), "w", error="timeout"), job(3, "running", 3, at(-500), "w", error="timeout"), job(4, "running", 1, at(-500), "w", error="odd"), job(5, "running", 1, at(-100), "w")]
     got = {r["job_id"]: (r["new_status"], r["retry_in"]) for r in queues.reap(spark.createDataFrame(rows, JOBS), ts(str(NOW))).collect()}
-    assert got == {"1": ("dead", 0), "2": ("failed", 60), "3": ("dead", 0), "4": ("failed", 120)}
+    assert got == {"1": ("dead", 0), "2": ("failed", 60), "3": ("failed", 240), "4": ("failed", 60)}
 
 
 def test_locks(spark):
@@ -152,7 +152,7 @@ def test_health_order(spark):
     rows = [(1, at(-10), 10, 3, 0, 0), (2, None, 10, 2, 0, 0), (3, at(-7200), 0, 0, 0, 0), (4, at(-3599), 10, 0, 1, 10), (5, at(-3599), 10, 0, 0, 10), (6, at(-3600), 0, 0, 0, 0)]
     df = spark.createDataFrame(rows, "repo_id long, cursor_updated_at timestamp, recent_run_count int, recent_failed_count int, recent_429_hits int, recent_total_requests int")
     got = [(r["should_schedule"], r["reason"], r["adjustment"]) for r in policy.repo_health(df, ts(str(NOW))).orderBy("repo_id").collect()]
-    assert got == [(False, "error_budget_exceeded", 0), (True, "never_synced", -100), (True, "cursor_age", -2), (True, "rate_limited", 50), (False, "within_threshold", 0), (True, "cursor_age", -1)]
+    assert got == [(False, "error_budget_exceeded:30.00%", 0), (True, "never_synced", -100), (True, "cursor_age=7200s", -2), (True, "rate_limited:10.00%", 50), (False, "within_threshold", 0), (True, "cursor_age=3600s", -1)]
 
 
 def test_smoothing_and_turns(spark):

@@ -19,7 +19,7 @@ SAMPLE, FEATURES = 6_000, 4_096
 #: A feature is taken from this standard score on, and from so many rows of the sample.
 SCORE, ROWS = 4.0, 4
 #: Words whose features a task remembers.
-REMEMBER = 300_000
+REMEMBER = 150_000
 
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -80,12 +80,17 @@ def fit_ordinal(row: np.ndarray, feature: np.ndarray, value: np.ndarray, grade:
     return free[:n_features], np.concatenate(([raw[0]], raw[0] + np.cumsum(np.log1p(np.exp(raw[1:])))))
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most so many rows, which bounds what a task holds as Python objects."""
+    return (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
+
+
 def _counts(only: np.ndarray | None):
     """(grade, text) to rows (grade, row, features, counts) of each text, or of the given features alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = None if only is None else set(only.tolist())
-        for batch in batches:
+        for batch in _slices(batches, 128):
             feats, counts = [], []
             for text in batch.column("text").to_pylist():
                 own: dict[int, int] = {}
@@ -150,7 +155,7 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel | None, key: str = "doc_
         model = held.value
         place = {int(f): i for i, f in enumerate(model.features)} if model else {}
         seen: dict[bytes, tuple[int, ...]] = {}
-        for batch in batches:
+        for batch in _slices(batches, 512):
             scores = np.zeros(batch.num_rows)
             for i, t in enumerate(batch.column(1).to_pylist()):
                 own: dict[int, int] = {}

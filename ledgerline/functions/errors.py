@@ -13,6 +13,7 @@ PERMANENT_WORDS = ("401", "403", "404", "authentication failed", "unauthorized",
 TRANSIENT_CATEGORIES = ("rate_limit", "timeout", "network", "server_error", "connection", "lease_lost")
 TRANSIENT_WORDS = ("429", "rate limit", "too many requests", "timeout", "timed out", "connection", "connect", "network", "502", "503", "504", "bad gateway", "service unavailable", "gateway timeout", "temporary", "retry")
 BASE_WAIT = {"rate_limit": 120, "timeout": 30, "network": 60, "server_error": 90, "connection": 45, "lease_lost": 0, "lock_held": 0}
+IGNORED_CATEGORIES = ("lock_held",)
 DEFAULT_WAIT, LONGEST_WAIT = 60, 3600
 RATE_LIMIT_WORDS = ("429", "rate limit", "too many requests")
 TIMEOUT_WORDS = ("timeout", "timed out")
@@ -46,6 +47,11 @@ def is_permanent(category: Column) -> Column:
     return F.coalesce(F.lower(category).isin(*PERMANENT_CATEGORIES), F.lit(False))
 
 
+def is_ignored(category: Column) -> Column:
+    """Whether an outcome is no failure at all, such as a lock that another worker holds: it counts for no attempt and no rate."""
+    return F.coalesce(F.lower(category).isin(*IGNORED_CATEGORIES), F.lit(False))
+
+
 def classify_last_error(text: Column) -> Column:
     """(permanent, transient, category) of a job's last error; category '' where it says nothing."""
     low = F.lower(F.coalesce(text, F.lit("")))

@@ -75,5 +75,14 @@ def parse_breaker_key(key: Column) -> Column:
     return F.struct(F.get(parts, F.lit(0)).alias("project"), F.coalesce(F.nullif(F.get(parts, F.lit(1)), F.lit("")), F.lit("global")).alias("scope"), F.get(parts, F.lit(2)).alias("id"))
 
 
+def legacy_breaker_keys(key: Column) -> Column:
+    """Keys under which older versions kept a breaker, in the order in which they are asked: the scope, its bare name, then the key itself."""
+    rest = F.regexp_extract(key, "^[^:]*:(.*)$", 1)
+    named = F.regexp_extract(rest, "^(?:pool|instance|tenant):(.*)$", 1)
+    scoped = F.when(rest == "global", F.array(F.lit("global"))).when(rest.rlike("^(pool|instance|tenant):"), F.array(rest, named)).otherwise(F.array().cast("array<string>"))
+    own = F.when(key.contains(":") & ~key.startswith("worker:"), F.array(key)).otherwise(F.array().cast("array<string>"))
+    return F.when(key.contains(":"), F.concat(scoped, own)).otherwise(F.array().cast("array<string>"))
+
+
 def space_kind(space: Column) -> Column:
     return F.split_part(space, F.lit(":"), F.lit(1))

@@ -45,6 +45,14 @@ def redact_map(values: Column) -> Column:
     return F.transform_values(values, lambda k, v: F.when(F.lower(k).isin(*SECRET_KEYS), F.lit("[REDACTED]")).when(v.isNotNull(), redact(v)))
 
 
+def redact_json(raw: Column) -> Column:
+    """A JSON text of any depth with the texts under secret keys hidden, and each other text redacted by itself."""
+    keys = "|".join(SECRET_KEYS)
+    hidden = F.regexp_replace(raw, rf'(?i)("(?:{keys})"\s*:\s*)"(?:[^"\\]|\\.)*+"', '$1"[REDACTED]"')
+    parts = F.regexp_extract_all(hidden, F.lit(r'"(?:[^"\\]|\\.)*+"|[^"]+'), 0)
+    return F.array_join(F.transform(parts, lambda p: F.when(p.startswith('"'), F.concat(F.lit('"'), redact(F.substr(p, F.lit(2), F.length(p) - 2)), F.lit('"'))).otherwise(p)), "")
+
+
 def trim(text: Column, longest: int) -> Column:
     """(content, was_trimmed, original_length): texts over `longest` end 20 characters before it, with a mark."""
     n = F.length(text)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.functions.payloads import COUNTERS
 from ledgerline.registry import query
 from ledgerline.sources.ledger import EVENTS_NOW, ORDERS_NOW, Ledger, age, seconds, ts
 
@@ -131,9 +132,11 @@ def health_stats(runs: DataFrame, now: Column, minutes: int = 60) -> DataFrame:
     return out.withColumns({"failed_rate": F.round(rate(F.col("failed_runs"), F.col("total_runs")), 6), "rate_limit_rate": F.round(rate(F.col("hits_429"), F.col("requests")), 6), "timeout_rate": F.round(rate(F.col("timeouts"), F.col("requests")), 6)})
 
 
-def budget(jobs: DataFrame, by: str | None = None) -> DataFrame:
-    """Running, pending and active jobs, in all or by instance or tenant; a null group is left out."""
+def budget(jobs: DataFrame, by: str | None = None, payload_key: str | None = None) -> DataFrame:
+    """Running, pending and active jobs, in all or by instance or tenant; a null group is left out. Where the column is null, payload_key of payload_json stands for it."""
     active = jobs.where(F.col("status").isin("pending", "running"))
+    if by is not None and payload_key is not None:
+        active = active.withColumn(by, F.coalesce(by, F.get_json_object("payload_json", f"$.{payload_key}")))
     parts = [count_if(F.col("status") == "running", "running"), count_if(F.col("status") == "pending", "pending"), F.count(F.lit(1)).alias("active")]
     return active.agg(*parts) if by is None else active.where(F.col(by).isNotNull()).groupBy(by).agg(*parts)
 
@@ -154,10 +157,10 @@ def breaker_summary(breakers: DataFrame) -> DataFrame:
 
 
 def merged_results(chunks: DataFrame, by: str) -> DataFrame:
-    """Results of chunks together: counters summed, and a state: skipped without chunks that ran, failed if all failed, partial if some did, else success."""
+    """Results of chunks together: all counters of their JSON summed, and a state: skipped without chunks that ran, failed if all failed, partial if some did, else success."""
     failed = F.count_if(F.col("status") == "failed")
     ran = F.count_if(F.col("status") != "running")
-    return chunks.groupBy(by).agg(F.coalesce(F.sum("synced_count"), F.lit(0)).alias("synced_count"), F.count(F.lit(1)).alias("chunks"), failed.alias("failed_chunks"), F.when(ran == 0, "skipped").when(failed == ran, "failed").when(failed > 0, "partial").otherwise("success").alias("state"))
+    return chunks.groupBy(by).agg(F.coalesce(F.sum("synced_count"), F.lit(0)).alias("synced_count"), *[F.sum(_counter(c)).alias(c) for c in COUNTERS if c != "synced_count"], F.count(F.lit(1)).alias("chunks"), failed.alias("failed_chunks"), F.when(ran == 0, "skipped").when(failed == ran, "failed").when(failed > 0, "partial").otherwise("success").alias("state"))
 
 
 def request_stats(runs: DataFrame) -> DataFrame:
@@ -172,9 +175,10 @@ def gc_summary(files: DataFrame) -> DataFrame:
 
 
 def reconcile_totals(outbox: DataFrame, missing: DataFrame) -> DataFrame:
-    """Of each outbox state: rows, and rows without an audit."""
-    lost = missing.groupBy(F.col("status").alias("_s")).agg(F.count(F.lit(1)).alias("missing"))
-    return outbox.groupBy("status").agg(F.count(F.lit(1)).alias("rows")).join(lost, F.col("status") == F.col("_s"), "left").select("status", "rows", F.coalesce("missing", F.lit(0)).alias("missing"))
+    """Of each outbox state: rows, rows without an audit, and of those the ones that a reconciliation has fixed (fixed, false where there is none)."""
+    fixed = F.coalesce("fixed", F.lit(False)) if "fixed" in missing.columns else F.lit(False)
+    lost = missing.groupBy(F.col("status").alias("_s")).agg(F.count(F.lit(1)).alias("missing"), F.count_if(fixed).alias("fixed"))
+    return outbox.groupBy("status").agg(F.count(F.lit(1)).alias("rows")).join(lost, F.col("status") == F.col("_s"), "left").select("status", "rows", F.coalesce("missing", F.lit(0)).alias("missing"), F.coalesce("fixed", F.lit(0)).alias("fixed"))
 
 
 def evidence_summary(refs: Column) -> Column:
@@ -256,9 +260,9 @@ def _breakers(db: Ledger):
     return breaker_summary(db.sync_locks().select(key.alias("key"), state.alias("state"), (k % 7).alias("failures"), (k % 5).alias("successes")))
 
 
-@query("chunk_results", "SELECT repo_id, coalesce(sum(synced_count), 0)::bigint AS synced_count, count(*) AS chunks, count(*) FILTER (status = 'failed') AS failed_chunks, CASE WHEN count(*) FILTER (status <> 'running') = 0 THEN 'skipped' WHEN count(*) FILTER (status = 'failed') = count(*) FILTER (status <> 'running') THEN 'failed' WHEN count(*) FILTER (status = 'failed') > 0 THEN 'partial' ELSE 'success' END AS state FROM sync_runs GROUP BY 1")
+@query("chunk_results", "SELECT repo_id, coalesce(sum(synced_count), 0)::bigint AS synced_count, sum(hits_429)::bigint AS total_429_hits, sum(timeouts)::bigint AS timeout_count, sum(requests)::bigint AS total_requests, 0::bigint AS diff_count, count(*) AS chunks, count(*) FILTER (status = 'failed') AS failed_chunks, CASE WHEN count(*) FILTER (status <> 'running') = 0 THEN 'skipped' WHEN count(*) FILTER (status = 'failed') = count(*) FILTER (status <> 'running') THEN 'failed' WHEN count(*) FILTER (status = 'failed') > 0 THEN 'partial' ELSE 'success' END AS state FROM sync_runs GROUP BY 1")
 def _chunks(db: Ledger):
-    return merged_results(db.sync_runs(), "repo_id")
+    return merged_results(db.sync_runs(), "repo_id").drop("bulk_count", "degraded_count", "skipped_count")
 
 
 @query("request_stats", "SELECT job_type, sum(requests)::bigint AS requests, sum(hits_429)::bigint AS hits_429, sum(timeouts)::bigint AS timeouts, min(t) AS min_s, round(avg(t), 6) AS avg_s, max(t) AS max_s FROM (SELECT *, (epoch_us(finished_at) - epoch_us(started_at)) / 1000000.0::double AS t FROM sync_runs WHERE finished_at IS NOT NULL) GROUP BY 1")
@@ -266,9 +270,9 @@ def _requests(db: Ledger):
     return request_stats(db.sync_runs())
 
 
-@query("reconcile_totals", "SELECT status, count(*) AS rows, count(*) FILTER (NOT EXISTS (SELECT 1 FROM write_audit a WHERE a.ref_outbox_id = o.outbox_id AND CASE o.status WHEN 'sent' THEN a.reason IN ('outbox_flush_success', 'outbox_flush_dedup_hit') ELSE a.reason LIKE 'outbox_flush_dead%' END)) AS missing FROM outbox o WHERE status <> 'pending' GROUP BY 1")
+@query("reconcile_totals", "SELECT status, count(*) AS rows, count(*) FILTER (NOT EXISTS (SELECT 1 FROM write_audit a WHERE a.ref_outbox_id = o.outbox_id AND CASE o.status WHEN 'sent' THEN a.reason IN ('outbox_flush_success', 'outbox_flush_dedup_hit') ELSE a.reason LIKE 'outbox_flush_dead%' END)) AS missing, count(*) FILTER (outbox_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM write_audit a WHERE a.ref_outbox_id = o.outbox_id AND CASE o.status WHEN 'sent' THEN a.reason IN ('outbox_flush_success', 'outbox_flush_dedup_hit') ELSE a.reason LIKE 'outbox_flush_dead%' END)) AS fixed FROM outbox o WHERE status <> 'pending' GROUP BY 1")
 def _reconcile(db: Ledger):
     from ledgerline.operators.joins import unaudited
 
     box = db.outbox().where("status != 'pending'")
-    return reconcile_totals(box, unaudited(box, db.write_audit()))
+    return reconcile_totals(box, unaudited(box, db.write_audit()).withColumn("fixed", F.col("outbox_id") % 2 == 0))

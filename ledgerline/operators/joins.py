@@ -81,24 +81,41 @@ def unreferenced_files(files: DataFrame, references: DataFrame, prefix: str | No
 
 
 def resolve_evidence(uris: DataFrame, blobs: DataFrame, attachments: DataFrame) -> DataFrame:
-    """uris (evidence_uri) with kind, id, sha256 and resolution: ok, hash_mismatch, not_found or invalid.
+    """uris (evidence_uri) with kind, id, sha256, blob_id and resolution: ok, hash_mismatch, not_found or invalid.
 
-    memory://patch_blobs/<type>/<source id>/<sha256> and memory://attachments/<id>/<sha256>; a source id may hold slashes.
+    memory://patch_blobs/<type>/<source id>/<sha256> and memory://attachments/<id>/<sha256>, where the hash is compared; a source id may hold slashes.
+    Blobs also by sha256/<sha256>, by blob_id/<id>, and by <type>/<source id> alone, where the least blob_id of several is meant.
     """
     u = F.col("evidence_uri")
-    patch, attach = u.startswith("memory://patch_blobs/"), u.startswith("memory://attachments/")
-    out = uris.withColumns(
+    rest = F.regexp_extract(u, r"^memory://patch_blobs/(.+)$", 1)
+    hexed = r"[0-9a-fA-F]{64}"
+    way = (
+        F.when(rest.rlike(rf"^sha256/{hexed}$"), "sha256").when(rest.rlike(r"^blob_id/[0-9]{1,18}$"), "blob_id").when(rest.rlike(rf"^(?!sha256/|blob_id/)[^/]+/.+/{hexed}$"), "patch_blobs")
+        .when(rest.rlike(r"^(?!sha256/|blob_id/)[^/]+/.+$"), "legacy").when(u.rlike(rf"^memory://attachments/[0-9]{{1,18}}/{hexed}$"), "attachments")
+    )
+    part = lambda pattern: F.nullif(F.regexp_extract(u, pattern, 1), F.lit(""))
+    whole = F.col("kind") == "patch_blobs"
+    out = uris.withColumns({"kind": way, "sha256": F.lower(part(rf"/({hexed})$"))})
+    out = out.withColumns(
         {
-            "kind": F.when(patch & u.rlike(r"^memory://patch_blobs/[^/]+/.+/[0-9a-f]{64}$"), "patch_blobs").when(attach & u.rlike(r"^memory://attachments/[0-9]+/[0-9a-f]{64}$"), "attachments"),
-            "_type": F.regexp_extract(u, r"^memory://patch_blobs/([^/]+)/", 1), "_source": F.regexp_extract(u, r"^memory://patch_blobs/[^/]+/(.+)/[^/]+$", 1),
-            "_attachment": F.regexp_extract(u, r"^memory://attachments/([0-9]+)/", 1).try_cast("long"), "sha256": F.nullif(F.regexp_extract(u, r"/([0-9a-f]{64})$", 1), F.lit("")),
+            "_type": F.when(F.col("kind").isin("patch_blobs", "legacy"), part(r"^memory://patch_blobs/([^/]+)/")), "_source": F.when(whole, part(r"^memory://patch_blobs/[^/]+/(.+)/[^/]+$")).when(F.col("kind") == "legacy", part(r"^memory://patch_blobs/[^/]+/(.+)$")),
+            "_blob": F.when(F.col("kind") == "blob_id", part(r"/blob_id/([0-9]+)$").try_cast("long")), "_sha": F.when(F.col("kind") == "sha256", F.col("sha256")), "_attachment": F.when(F.col("kind") == "attachments", part(r"^memory://attachments/([0-9]+)/").try_cast("long")),
         }
     )
-    b = blobs.groupBy(F.col("source_type").alias("_type"), F.col("source_id").alias("_source")).agg(F.collect_set("sha256").alias("_blob_shas"))
-    a = attachments.select(F.col("attachment_id").alias("_attachment"), F.col("sha256").alias("_attachment_sha"))
-    out = out.join(b, ["_type", "_source"], "left").join(a, "_attachment", "left")
-    known = F.when(F.col("kind") == "patch_blobs", F.when(F.array_contains("_blob_shas", F.col("sha256")), "ok").when(F.col("_blob_shas").isNotNull(), "hash_mismatch")).when(F.col("kind") == "attachments", F.when(F.col("_attachment_sha") == F.col("sha256"), "ok").when(F.col("_attachment_sha").isNotNull(), "hash_mismatch"))
-    return out.withColumn("resolution", F.when(F.col("kind").isNull(), "invalid").otherwise(F.coalesce(known, F.lit("not_found")))).select(*uris.columns, "kind", "sha256", "resolution")
+    if "blob_id" not in blobs.columns:
+        blobs = blobs.withColumn("blob_id", F.lit(None).cast("long"))
+    source = blobs.groupBy(F.col("source_type").alias("_type"), F.col("source_id").alias("_source")).agg(F.collect_set(F.lower("sha256")).alias("_shas"), F.min("blob_id").alias("_first"))
+    by_sha = blobs.groupBy(F.lower("sha256").alias("_sha")).agg(F.min("blob_id").alias("_of_sha"))
+    by_id = blobs.select(F.col("blob_id").alias("_blob"), F.col("blob_id").alias("_of_id"))
+    a = attachments.select(F.col("attachment_id").alias("_attachment"), F.lower("sha256").alias("_attachment_sha"))
+    for other, key in ((source, ["_type", "_source"]), (by_sha, "_sha"), (by_id, "_blob"), (a, "_attachment")):
+        out = out.join(other, key, "left")
+    blob = F.coalesce("_of_sha", "_of_id", F.when(F.col("kind") == "legacy", F.col("_first")))
+    known = (
+        F.when(whole, F.when(F.array_contains("_shas", F.col("sha256")), "ok").when(F.col("_shas").isNotNull(), "hash_mismatch"))
+        .when(F.col("kind") == "attachments", F.when(F.col("_attachment_sha") == F.col("sha256"), "ok").when(F.col("_attachment_sha").isNotNull(), "hash_mismatch")).when(blob.isNotNull(), "ok")
+    )
+    return out.withColumns({"resolution": F.when(F.col("kind").isNull(), "invalid").otherwise(F.coalesce(known, F.lit("not_found"))), "found_blob_id": blob}).select(*uris.columns, "kind", "sha256", "resolution", "found_blob_id")
 
 
 def dangling(df: DataFrame, column: str, parent: DataFrame, key: str) -> DataFrame:

@@ -117,8 +117,8 @@ def active_pairs(jobs: DataFrame) -> DataFrame:
 
 
 def sampled(df: DataFrame, uri: str, prefix: str | None = None, one_in: int = 1) -> DataFrame:
-    """Rows under a prefix, one in `one_in` of them by the hash of the uri, so that a rerun takes the same."""
-    return df.where(all_of(None if prefix is None else F.col(uri).startswith(prefix), None if one_in == 1 else F.pmod(F.crc32(F.col(uri)), F.lit(one_in)) == 0))
+    """Rows under a prefix, one in `one_in` of them by the MD5 of the uri, so that a rerun takes the same."""
+    return df.where(all_of(None if prefix is None else F.col(uri).startswith(prefix), None if one_in == 1 else F.conv(F.substring(F.md5(uri), 1, 8), 16, 10).cast("long") % one_in == 0))
 
 
 def blobs_of_attachments(attachments: DataFrame, blobs: DataFrame) -> DataFrame:

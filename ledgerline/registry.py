@@ -24,6 +24,7 @@ MODULES = (
     "ledgerline.streaming.controllers",
     "ledgerline.plans.scheduler",
     "ledgerline.plans.reports",
+    "ledgerline.sources.queries",
 )
 
 _found: dict[str, tuple[Callable[[Ledger], DataFrame], str | None]] = {}

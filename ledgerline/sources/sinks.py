@@ -2,29 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MANIFEST = ("item_id", "item_type", "title", "project_key", "status", "owner_user_id", "event_id", "event_type", "created_at", "active_at")
 
 
-def manifest_lines(items: DataFrame, generated_at: str) -> list[str]:
-    """The lines of manifest.csv for a bounded list of items: three of comment, the header, and a row an item."""
+def manifest_rows(items: DataFrame) -> DataFrame:
+    """(item_id, line): the row of each item in manifest.csv, cells quoted where they need it."""
 
-    def cell(x) -> str:
-        text = "" if x is None else str(x)
-        return '"' + text.replace('"', '""') + '"' if any(c in text for c in ',"\n\r') else text
+    def cell(c: str) -> Column:
+        text = F.coalesce(F.col(c).cast("string"), F.lit("")) if c in items.columns else F.lit("")
+        return F.when(text.rlike('[,"\\n\\r]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
 
-    rows = items.select([F.col(c) if c in items.columns else F.lit(None).alias(c) for c in MANIFEST]).collect()
-    return ["# manifest of items", f"# generated_at: {generated_at}", f"# rows: {len(rows)}", ",".join(MANIFEST), *(",".join(cell(x) for x in r) for r in rows)]
+    return items.select("item_id", F.concat_ws(",", *[cell(c) for c in MANIFEST]).alias("line"))
 
 
-def index_lines(items: DataFrame, limit: int = 50) -> list[str]:
-    """The lines of index.md: a table of the first `limit` items, bars escaped."""
+def index_rows(items: DataFrame) -> DataFrame:
+    """(item_id, line): the row of each item in index.md, bars escaped."""
     cell = lambda c: F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("-")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
-    line = F.concat(F.lit("| "), F.concat_ws(" | ", cell("item_id"), cell("item_type"), cell("title"), cell("status"), cell("active_at")), F.lit(" |"))
-    rows = items.limit(limit).select(line.alias("l")).collect()
-    return ["# Items", "", "| id | type | title | status | active |", "| --- | --- | --- | --- | --- |", *(r["l"] for r in rows)]
+    return items.select("item_id", F.concat(F.lit("| "), F.concat_ws(" | ", cell("item_id"), cell("item_type"), cell("title"), cell("status"), cell("active_at")), F.lit(" |")).alias("line"))
+
+
+def manifest_lines(items: DataFrame, generated_at: str, limit: int = 1000) -> list[str]:
+    """The lines of manifest.csv for the first `limit` items: three of comment, the header, and a row an item."""
+    rows = [r["line"] for r in manifest_rows(items.limit(limit)).collect()]
+    return ["# manifest of items", f"# generated_at: {generated_at}", f"# rows: {len(rows)}", ",".join(MANIFEST), *rows]
+
+
+def index_lines(items: DataFrame, limit: int = 50) -> list[str]:
+    """The lines of index.md: a table of the first `limit` items."""
+    return ["# Items", "", "| id | type | title | status | active |", "| --- | --- | --- | --- | --- |", *(r["line"] for r in index_rows(items.limit(limit)).collect())]
 
 
 def write_lines(spark: SparkSession, lines: list[str], path: str) -> None:

@@ -104,7 +104,10 @@ def judge_urls(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
     said = materialize(comp.join(materialize(said, "said"), "component").select(F.col("node").alias("_name"), F.when(F.coalesce("_allow", F.lit(False)), "allow").when(F.col("_block"), "block").alias("_alias")), "verdicts")
     rows = known.select(key, "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), name_of(F.col("url")).alias("_name"))
     rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
-    return rows.join(said, "_name", "left").select(key, "url", "host", "path", "rule", F.coalesce(verdict_of(F.col("rule"), rules), "_alias", F.lit("allow")).alias("verdict"))
+    own = verdict_of(F.col("rule"), rules)
+    asks = own.isNull() & F.col("_name").isNotNull()  # only these need their aliases: no others go through the join, so null urls meet nowhere
+    told = rows.where(asks).join(said, "_name", "left").select(key, "url", "host", "path", "rule", F.coalesce("_alias", F.lit("allow")).alias("verdict"))
+    return told.unionByName(rows.where(~asks).select(key, "url", "host", "path", "rule", F.coalesce(own, F.lit("allow")).alias("verdict")))
 
 
 def op7(spark, sf_dir):

@@ -42,3 +42,29 @@ def test_hub(spark):
     assert {r["verdict"] for r in judged(spark, rows).values()} == {"block"}
     extra = spark.createDataFrame(rows[:2], PAGES).withColumn("component", F.lit(1)).withColumn("verdict", F.lit("mine"))
     assert u.judge_urls(extra).count() == 2
+
+
+def test_links_against_sql(spark, tmp_path):
+    """The query and its SQL over pages that name canonical forms and redirects: chains, stars, rings, hubs, targets without a page, odd urls, and no url."""
+    import random
+
+    from oracle import assert_same, connect
+
+    r = random.Random(7)
+    hosts = ["a.example.net", "example.net", "example.com", "b.org", "c.org", "x.test", "y.test", "EXAMPLE.net"]
+    paths = ["/en/a", "/de/a", "/fr/a", "/", "", "/q?x=1", "/#f"]
+    url = lambda i: f"{r.choice(['http', 'https'])}://{hosts[i % len(hosts)]}{r.choice(paths)}{'/' + str(i) if i % 3 else ''}"
+    urls = [url(i) for i in range(160)]
+    rows = []
+    for i, address in enumerate(urls):
+        to = r.choice(urls) if i % 4 else f"//z{i}.net/x"
+        html = {0: f'<link rel="canonical" href="{to}">', 1: f"<LINK href='{to}' rel=canonical>", 2: f'<meta http-equiv="refresh" content="0; url={to}">', 3: "<p>plain</p>", 4: f'<link rel="alternate" href="{to}"><a href="{to}">canonical</a>', 5: None}[r.randrange(6)]
+        rows.append((i, address, html))
+    rows += [(500 + i, f"http://x.test/copy{i}", '<link rel="canonical" href="http://example.com/de/hub">') for i in range(40)]
+    rows += [(600, None, "<link rel=canonical href=http://b.net/>"), (601, "no scheme", "<link rel=canonical href=/x>"), (602, "http://x.test", None), (603, urls[0], None), (603, urls[0], None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1).write.parquet(str(tmp_path / "raw"))
+    next((tmp_path / "raw").glob("*.parquet")).rename(tmp_path / "pages.parquet")
+    got = u.op7(spark, str(tmp_path))
+    assert_same(got, u.SQL, connect(str(tmp_path)))
+    verdicts = [x["verdict"] for x in got.where("rule is null").collect()]
+    assert verdicts.count("block") > 20 and verdicts.count("allow") > 20

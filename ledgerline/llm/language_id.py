@@ -6,25 +6,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import discard, keyed, materialize, table
 
-#: Documents and different words of each language that a model is trained on, at most.
-SAMPLE_DOCS, SAMPLE_WORDS = 400, 4_000
-#: Sizes of the network; bytes of a stretch, over which the states run; words that a task remembers.
-EMBED, HIDDEN, STRETCH, REMEMBER = 12, 24, 24, 300_000
+#: Documents, and spans of SPAN_TRAIN bytes, of each language that a model is trained on, at most.
+SAMPLE_DOCS, SAMPLE_SPANS, SPAN_TRAIN = 400, 3_000, 64
+#: Sizes of the network. The states run over spans of SPAN bytes that overlap: what lies within CONTEXT bytes of a span's end is only context for
+#: the rest, unless the text begins or ends there. Shorter spans end in blanks, up to a multiple of STEP bytes; SPANS go through the network at once.
+EMBED, HIDDEN, SPAN, CONTEXT, STEP, SPANS = 12, 8, 256, 16, 32, 1024
 
-_LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+_SMALL = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Bytes of letters: a to z and all beyond ASCII.
+_LETTER = np.array([97 <= c <= 122 or c >= 128 for c in range(256)], dtype=np.float32)
 
 
-def stretches_of(text: str | None) -> list[bytes]:
-    """The bytes of a text's letters in stretches: words of small letters, cut after STRETCH bytes."""
-    words = text.encode().translate(_LETTERS).split() if text else []
-    if any(len(w) > STRETCH for w in words):
-        return [w[i : i + STRETCH] for w in words for i in range(0, len(w), STRETCH)]
-    return words
+def folded(text: str | None) -> bytes:
+    """The bytes of a text, A-Z as small letters."""
+    return text.encode().translate(_SMALL) if text else b""
+
+
+def spans_of(n: int) -> list[int]:
+    """Where the spans of a text of n bytes start."""
+    return [0] if n <= SPAN else list(range(0, n - 2 * CONTEXT, SPAN - 2 * CONTEXT))
 
 
 def has_letter(text: str | None) -> bool:
@@ -92,7 +97,8 @@ class BiGru:
         scale = (weight / weight.sum() / mask.sum(axis=1))[:, None, None] * mask[:, :, None]
         value = -float((scale * target[:, None, :] * np.log(y + 1e-12)).sum())
         dy = (y - target[:, None, :]) * scale
-        g = {"O": np.einsum("nth,ntl->hl", both, dy), "o": dy.sum(axis=(0, 1))}
+        flat = lambda a: a.reshape(-1, a.shape[-1])
+        g = {"O": flat(both).T @ flat(dy), "o": dy.sum(axis=(0, 1))}
         d_both = dy @ self.p["O"].T
         h = fs.shape[2]
         dx = np.zeros_like(x)
@@ -112,10 +118,12 @@ class BiGru:
                 du[:, 2 * h :] += (r * state).T @ dg
                 d_pre[:, i] = np.concatenate((dzr, dg), axis=1)
                 carry = np.where(mask[:, i, None], real * (1 - z) + d_rs * r + dzr @ u[:, : 2 * h].T, up)
-            g |= {f"U{d}": du, f"W{d}": np.einsum("nte,ntk->ek", x, d_pre), f"c{d}": d_pre.sum(axis=(0, 1))}
+            g |= {f"U{d}": du, f"W{d}": flat(x).T @ flat(d_pre), f"c{d}": d_pre.sum(axis=(0, 1))}
             dx += d_pre @ w.T
         g["E"] = np.zeros_like(self.p["E"])
-        np.add.at(g["E"], b[mask], dx[mask])
+        by = np.argsort(b[mask], kind="stable")
+        seen, start = np.unique(b[mask][by], return_index=True)
+        g["E"][seen] = np.add.reduceat(dx[mask][by], start, axis=0)
         return value, g
 
     def train(self, words: list[bytes], target: np.ndarray, weight: np.ndarray, steps: int = 400, batch: int = 256, rate: float = 0.01, seed: int = 0) -> None:
@@ -131,112 +139,125 @@ class BiGru:
                 x -= rate * (1 - t / (steps + 1)) * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
 
     def lighter(self) -> BiGru:
+        """The network in single precision, with what each byte adds to the gates in a table."""
         self.p = {k: x.astype(np.float32) for k, x in self.p.items()}
+        self.table = {d: self.p["E"] @ self.p[f"W{d}"] + self.p[f"c{d}"] for d in "fb"}
         return self
 
+    def label(self, x: np.ndarray) -> np.ndarray:
+        """(positions, spans, languages) of probabilities for bytes x (positions, spans): every position of every span, by both directions."""
+        h = self.p["Uf"].shape[0]
+        y = np.empty((*x.shape, len(self.languages)), np.float32)
+        for d, order, out in (("f", range(len(x)), self.p["O"][:h]), ("b", range(len(x) - 1, -1, -1), self.p["O"][h:])):
+            table, gates, cand = self.table[d], np.ascontiguousarray(self.p[f"U{d}"][:, : 2 * h]), np.ascontiguousarray(self.p[f"U{d}"][:, 2 * h :])
+            state = np.zeros((x.shape[1], h), np.float32)
+            for i in order:
+                pre = table.take(x[i], axis=0)
+                zr = state @ gates
+                zr += pre[:, : 2 * h]
+                np.negative(zr, zr)
+                np.exp(zr, zr)
+                zr += 1
+                np.reciprocal(zr, zr)
+                g = (zr[:, h:] * state) @ cand
+                g += pre[:, 2 * h :]
+                np.tanh(g, g)
+                g -= state
+                g *= zr[:, :h]
+                state = state + g
+                if d == "f":
+                    np.matmul(state, out, out=y[i])
+                else:
+                    y[i] += state @ out
+        y += self.p["o"]
+        np.exp(y, y)
+        y /= y.sum(axis=2, keepdims=True)
+        return y
+
+
+def pooled(model: BiGru, texts: list[bytes]) -> np.ndarray:
+    """(texts, languages): the mean of the labels of all positions of letters, each counted in one span; zeros for a text without any."""
+    sums = np.zeros((len(texts), len(model.languages) + 1))
+    flat = np.frombuffer(b"".join(t + b" " * SPAN for t in texts), dtype=np.uint8)
+    size = np.array([len(t) for t in texts], dtype=np.int64)
+    offset = np.cumsum(size + SPAN) - size - SPAN
+    each = [spans_of(len(t)) if t else [] for t in texts]
+    doc, start = np.repeat(np.arange(len(texts)), [len(e) for e in each]), np.array([i for e in each for i in e], dtype=np.int64)
+    length = np.minimum(SPAN, size[doc] - start)
+    wide = -(-length // STEP) * STEP
+    for width in np.unique(wide):
+        chosen = np.flatnonzero(wide == width)
+        place = np.arange(width)[:, None]
+        for at in range(0, len(chosen), SPANS):
+            c = chosen[at : at + SPANS]
+            x = flat[offset[doc[c]] + start[c] + place]
+            low = np.where(start[c] > 0, CONTEXT, 0)
+            high = np.where(start[c] + SPAN < size[doc[c]], SPAN - CONTEXT, length[c])
+            counts = _LETTER[x] * ((place >= low) & (place < high))
+            y = model.label(x)
+            part = np.concatenate((np.einsum("tnl,tn->nl", y, counts), counts.sum(axis=0)[:, None]), axis=1)
+            np.add.at(sums, doc[c], part)
+    return sums[:, :-1] / np.maximum(sums[:, -1:], 1)
+
+
+def _train_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, text) to rows (lang, span) of SPAN_TRAIN bytes with a letter, cut through the whole text."""
+    for batch in batches:
+        rows = [(name, raw[i : i + SPAN_TRAIN]) for name, raw in zip(batch.column("lang").to_pylist(), map(folded, batch.column("text").to_pylist()), strict=True) for i in range(0, len(raw), SPAN_TRAIN)]
+        rows = [(name, part) for name, part in rows if _LETTER[np.frombuffer(part, dtype=np.uint8)].any()]
+        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in rows], pa.string()), pa.array([b for _, b in rows], pa.binary())], names=["lang", "span"])
 
-class Pool:
-    """Sums of the positions' probabilities over a text; each different word goes through the network once while it is remembered."""
-
-    def __init__(self, model: BiGru):
-        self.model, self.place = model, {}
-        self.sums = np.zeros((0, len(model.languages) + 1), dtype=np.float32)
-
-    def learn(self, words: list[bytes]) -> None:
-        new = sorted({w for w in words if w not in self.place}, key=len)
-        if len(self.place) + len(new) > REMEMBER:
-            self.place, new = {}, sorted(set(words), key=len)
-            self.sums = self.sums[:0]
-        found = [self.sums]
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            p, mask = self.model.positions(part)
-            found.append(np.concatenate(((p * mask[:, :, None]).sum(axis=1), mask.sum(axis=1, keepdims=True)), axis=1).astype(np.float32))
-            self.place.update(zip(part, range(len(self.place), len(self.place) + len(part)), strict=True))
-        self.sums = np.concatenate(found) if len(found) > 1 else self.sums
 
-    def probabilities(self, words: list[bytes]) -> np.ndarray:
-        at = np.fromiter(map(self.place.__getitem__, words), dtype=np.int64, count=len(words))
-        total = self.sums[at].sum(axis=0, dtype=np.float64)
-        return total[:-1] / total[-1]
+def _first(df: DataFrame, by: str, n: int, *order: str) -> DataFrame:
+    """The n rows of each group with the least hash of `order`: a rank that Spark limits before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.xxhash64(*order), *order))
+    return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lang, word, n = [], [], []
-        for name, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            own: dict[bytes, int] = {}
-            for w in stretches_of(text):
-                own[w] = own.get(w, 0) + 1
-            lang += [name] * len(own)
-            word += own
-            n += own.values()
-        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(word, pa.binary()), pa.array(n, pa.int64())], names=["lang", "word", "n"])
-
-
-def train_language_id(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE_DOCS, words: int = SAMPLE_WORDS, seed: int = 0) -> BiGru | None:
+def train_language_id(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE_DOCS, spans: int = SAMPLE_SPANS, seed: int = 0) -> BiGru | None:
     """A model of the languages in docs, or None if no row has a language and a letter.
 
-    Trained on the `words` most frequent words in the `sample` rows of each language with the least key hash; these
-    bounds are parameters. A word's label at each position is its languages' shares of it.
+    Trained on `spans` spans of bytes of each language, out of the `sample` rows of it with the least key hash; these bounds are parameters. Every
+    position of a span bears the document's language. Numpy goes back through time over whole spans, word borders, digits and signs included.
     """
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(key).alias("key"))
-    names = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
-    picked = None
-    for name in names:
-        part = rows.where(F.col("lang") == name).orderBy(F.xxhash64("key"), "key").limit(sample).select("key").distinct()
-        picked = part if picked is None else picked.unionByName(part)
-    if picked is None:
-        return None
-    chosen = F.broadcast(materialize(picked.distinct(), "picked"))
-    known = docs.where(F.col(lang).isNotNull()).select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(chosen, "key").select("lang", "text")
-    counts = materialize(known.mapInArrow(_words, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
-    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    got: dict[bytes, np.ndarray] = {}
-    for i, name in enumerate(names):
-        for r in counts.where(F.col("lang") == name).orderBy(F.desc("n"), "word").limit(words).collect():
-            got.setdefault(bytes(r["word"]), np.zeros(len(names)))[i] = r["n"] / totals[name]
-    discard(counts)
-    if not got:
+    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    picked = materialize(_first(known.select(F.col(lang).alias("lang"), F.col(key).alias("key")), "lang", sample, "key").distinct(), "picked")
+    rows = known.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(F.broadcast(picked), ["key", "lang"], "left_semi")
+    cut = materialize(rows.select("lang", "text").mapInArrow(_train_spans, "lang string, span binary"), "spans")
+    got = _first(cut.distinct(), "lang", spans, "span").orderBy("lang", "span").toArrow()
+    discard(cut, picked)
+    if not got.num_rows:
         return None
-    kept = sorted(got)
-    share = np.array([got[w] for w in kept])
+    label, held = got["lang"].to_pylist(), got["span"].to_pylist()
+    names = sorted(set(label))
+    target = np.eye(len(names))[[names.index(n) for n in label]]
+    weight = 1 / target.sum(axis=0)[target.argmax(axis=1)]
     model = BiGru(names, seed)
-    model.train(kept, share / share.sum(axis=1, keepdims=True), np.sqrt(share.sum(axis=1)), seed=seed)
+    model.train(held, target, weight, steps=200, batch=128, rate=0.02, seed=seed)
     return model.lighter()
 
 
 def identify_language(docs: DataFrame, model: BiGru | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """For each row of docs: key, lang_pred, score (0 to 1).
 
-    The network labels every byte of every letter in the whole text, its states running over a word (at most STRETCH bytes);
-    the document's probabilities are the means over all positions, lang_pred the largest (the first of equals) and score its
-    probability. Null texts and texts without a letter, and all without a model, are `und` with a score of 0. Rows are independent: no
-    shuffle; repeated rows each get their language; an empty input gives no rows.
+    The network labels every byte of the whole text, its states running over overlapping spans that cross the borders of words; the document's
+    probabilities are the means over all positions of letters, lang_pred the largest (the first of equals) and score its probability. A span's
+    labels depend on its own bytes only, so a text has one result wherever it is read. Null texts and texts without a letter, and all without a model, are
+    `und` with a score of 0. Rows are independent: no shuffle; repeated rows each get their language; an empty input gives no rows.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        pool = Pool(model) if model else None
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 texts = part.column(1).to_pylist()
-                words = [stretches_of(t) if pool and has_letter(t) else [] for t in texts]
-                if pool:
-                    pool.learn([w for own in words for w in own])
-                names, scores = [], []
-                for own in words:
-                    if own:
-                        p = pool.probabilities(own)
-                        k = int(p.argmax())
-                        names.append(model.languages[k])
-                        scores.append(min(1.0, float(p[k])))
-                    else:
-                        names.append("und")
-                        scores.append(0.0)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[key, "lang_pred", "score"])
+                raw = [folded(t) if model and has_letter(t) else b"" for t in texts]
+                p = pooled(model, raw) if model and any(raw) else np.zeros((len(raw), 1))
+                best = p.argmax(axis=1)
+                names = [model.languages[k] if r else "und" for k, r in zip(best.tolist(), raw, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(np.minimum(p[np.arange(len(raw)), best], 1.0), pa.float64())], names=[key, "lang_pred", "score"])
 
     return docs.select(key, text).mapInArrow(run, keyed(docs, key, "lang_pred string, score double"))
 

@@ -43,27 +43,39 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-_scope: ContextVar[list[DataFrame] | None] = ContextVar("_scope", default=None)
+class Held(list):
+    """Tables of a scope, and those that were taken from it."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.kept: list[DataFrame] = []
+
+
+_scope: ContextVar[Held | None] = ContextVar("_scope", default=None)
 
 
 @contextmanager
-def scratch() -> Iterator[list[DataFrame]]:
+def scratch() -> Iterator[Held]:
     """Within, tables of materialize() are kept in a list; those that are still in it at the end are removed.
 
-    Each thread has its own list. What a lazy result still reads is taken from it with keep().
+    Each thread has its own list. What a lazy result still reads is taken from it with keep(), and belongs to the scope around, if there is one.
     """
-    token = _scope.set(held := [])
+    outer = _scope.get()
+    token = _scope.set(held := Held())
     try:
         yield held
     finally:
         _scope.reset(token)
         discard(*held)
+        if outer is not None:
+            outer.extend(held.kept)
 
 
-def keep(held: list[DataFrame], *tables: DataFrame) -> None:
+def keep(held: Held, *tables: DataFrame) -> None:
     """Take tables from the list of a scope: something lazy reads them."""
     for df in tables:
         held[:] = [x for x in held if x is not df]
+        held.kept.append(df)
 
 
 def discard(*tables: DataFrame) -> None:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import WORD, hash52, materialize, scratch, table
+from ledgerline.llm.common import WORD, hash52, keep, materialize, scratch, table
 
 #: Documents of a source are shuffled into so many ranges of their hash, or more, of about ROWS documents; the queue is cut in steps of so
 #: many ranges, until one has FEW entries at most.
@@ -58,32 +58,34 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     count. The cut of the queue is found from sums of 1,024 ranges of the finish time, then 1,024 ranges inside the one that is cut, and
     so on, until the few entries of a range are put in order. Keys are of any type that has an order.
     """
-    h = place_of(seed, F.col(key), F.col(text))
-    kind = dict(df.dtypes)[key]
-    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    docs = df.select(F.col(key).alias("_key"), F.coalesce(F.col(source), F.lit("")).alias("_s"), F.col(source).isNull().alias("_null"), size.alias("size"), h.alias("_h"))
-    docs = materialize(docs.groupBy("_key", "_s", "_null", "size", "_h").agg(F.count(F.lit(1)).alias("_n")), "sizes")
-    step = 2**52 // max(RANGES, docs.count() // ROWS) + 1
-    docs = docs.withColumn("_range", F.floor(F.col("_h") / step))
-    ranges = docs.groupBy("_s", "_null", "_range").agg(F.sum(F.col("size") * F.col("_n")).alias("_sum"))
-    named = F.when(~F.col("_null"), F.col("_s"))
-    goals = source_targets(ranges.groupBy("_s", "_null").agg(F.sum("_sum").alias("source_size")).select(named.alias("source"), "source_size"), weights, most)
-    goals = materialize(goals.withColumn("_s", F.coalesce(F.col("source"), F.lit(""))).withColumn("_null", F.col("source").isNull()).drop("source"), "goals")
-    before = F.sum("_sum").over(Window.partitionBy("_s", "_null").orderBy("_range")) - F.col("_sum")
-    start = materialize(ranges.select("_s", "_null", "_range", before.alias("_before")), "start")
-
-    inside = Window.partitionBy("_s", "_null", "_range").orderBy("_h", F.col("_key").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, 0)
-    rows = docs.withColumn("_end", F.sum(F.col("size") * F.col("_n")).over(inside)).join(start, ["_s", "_null", "_range"]).join(goals, ["_s", "_null"])
-    rows = rows.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
-    rows = materialize(rows.withColumn("_cum", F.col("_before") + F.col("_end") - F.col("_i") * F.col("size")).drop("_before", "_end", "_range", "_n", "_i"), "queue")
-
-    passes = F.when((F.col("target") > 0) & (F.col("size") > 0), F.least(F.lit(most), F.ceil(F.col("target") / F.col("source_size")))).otherwise(0)
-    finish = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda e: F.when(e < passes, (e * F.col("source_size") + F.col("_cum")) / F.col("target")))
-    entry = lambda f: F.struct(f.alias("f"), F.col("_null").alias("null"), F.col("_s").alias("s"), F.col("_h").alias("h"), F.col("_key").isNotNull().alias("keyed"), F.col("_key").alias("key"), F.col("size").alias("size"))
-    rows = rows.withColumn("_entries", F.filter(F.transform(finish, entry), lambda e: e["f"].isNotNull()))
-    last = _last_taken(rows.select(F.explode("_entries").alias("e")), goals, kind)
-    taken = F.size(F.filter("_entries", lambda e: last(e))) * F.col("size")
-    return rows.select(F.col("_key").alias(key), named.alias("source"), "size", "source_size", "target", taken.cast("long").alias("taken"), F.col("_h").alias("place"))
+    with scratch() as tables:
+        h = place_of(seed, F.col(key), F.col(text))
+        kind = dict(df.dtypes)[key]
+        size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+        docs = df.select(F.col(key).alias("_key"), F.coalesce(F.col(source), F.lit("")).alias("_s"), F.col(source).isNull().alias("_null"), size.alias("size"), h.alias("_h"))
+        docs = materialize(docs.groupBy("_key", "_s", "_null", "size", "_h").agg(F.count(F.lit(1)).alias("_n")), "sizes")
+        step = 2**52 // max(RANGES, docs.count() // ROWS) + 1
+        docs = docs.withColumn("_range", F.floor(F.col("_h") / step))
+        ranges = docs.groupBy("_s", "_null", "_range").agg(F.sum(F.col("size") * F.col("_n")).alias("_sum"))
+        named = F.when(~F.col("_null"), F.col("_s"))
+        goals = source_targets(ranges.groupBy("_s", "_null").agg(F.sum("_sum").alias("source_size")).select(named.alias("source"), "source_size"), weights, most)
+        goals = materialize(goals.withColumn("_s", F.coalesce(F.col("source"), F.lit(""))).withColumn("_null", F.col("source").isNull()).drop("source"), "goals")
+        before = F.sum("_sum").over(Window.partitionBy("_s", "_null").orderBy("_range")) - F.col("_sum")
+        start = materialize(ranges.select("_s", "_null", "_range", before.alias("_before")), "start")
+
+        inside = Window.partitionBy("_s", "_null", "_range").orderBy("_h", F.col("_key").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, 0)
+        rows = docs.withColumn("_end", F.sum(F.col("size") * F.col("_n")).over(inside)).join(start, ["_s", "_null", "_range"]).join(goals, ["_s", "_null"])
+        rows = rows.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+        rows = queue = materialize(rows.withColumn("_cum", F.col("_before") + F.col("_end") - F.col("_i") * F.col("size")).drop("_before", "_end", "_range", "_n", "_i"), "queue")
+
+        passes = F.when((F.col("target") > 0) & (F.col("size") > 0), F.least(F.lit(most), F.ceil(F.col("target") / F.col("source_size")))).otherwise(0)
+        finish = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda e: F.when(e < passes, (e * F.col("source_size") + F.col("_cum")) / F.col("target")))
+        entry = lambda f: F.struct(f.alias("f"), F.col("_null").alias("null"), F.col("_s").alias("s"), F.col("_h").alias("h"), F.col("_key").isNotNull().alias("keyed"), F.col("_key").alias("key"), F.col("size").alias("size"))
+        rows = rows.withColumn("_entries", F.filter(F.transform(finish, entry), lambda e: e["f"].isNotNull()))
+        last = _last_taken(rows.select(F.explode("_entries").alias("e")), goals, kind)
+        taken = F.size(F.filter("_entries", lambda e: last(e))) * F.col("size")
+        keep(tables, queue)
+        return rows.select(F.col("_key").alias(key), named.alias("source"), "size", "source_size", "target", taken.cast("long").alias("taken"), F.col("_h").alias("place"))
 
 
 def _cell(f: Column, level: int) -> Column:
@@ -139,7 +141,7 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
         rows = mix(docs, key, text, source, weights, most, seed).where("size > 0")
         ends = [F.max(F.when(F.col("taken") >= F.col("size") * e, place(F.col("place"), F.col(key)))).alias(f"_end{e}") for e in range(1, most + 1)]
         ends = materialize(rows.groupBy(source).agg(*ends).select(F.coalesce(source, F.lit("")).alias("_s"), F.col(source).isNull().alias("_null"), *[f"_end{e}" for e in range(1, most + 1)]), "ends")
-        tables.remove(ends)
+        keep(tables, ends)
     own = place(place_of(seed, F.col(key), F.col(text)), F.col(key))
     held = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(source, F.lit("")).alias("_s"), F.col(source).isNull().alias("_null"), own.alias("_place")).where(F.col(f"_row.{text}").rlike(WORD))
     times = sum((F.when(F.col("_place") <= F.col(f"_end{e}"), 1).otherwise(0) for e in range(2, most + 1)), F.when(F.col("_place") <= F.col("_end1"), 1).otherwise(0))

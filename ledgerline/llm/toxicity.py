@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import discard, keyed, materialize, table
+from ledgerline.llm.common import keyed, materialize, scratch, table
 
 #: Labelled rows that a model is fitted on, at most, for each grade; features that it has at most.
 SAMPLE, FEATURES = 6_000, 4_096
@@ -105,13 +105,7 @@ def _counts(only: np.ndarray | None):
     return run
 
 
-def fit_toxicity(docs: DataFrame, grades: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> OrdinalModel | None:
-    """A model of `grades` (key, grade from 0), or None without two different grades.
-
-    It is fitted on the `sample` rows of each grade with the least key hash, weighted back to the grades' shares; that bound is
-    the only one. Features that come with grades above 0 far more often than chance are counted in Spark, and the few that
-    are kept go to the driver with the sample's counts of them.
-    """
+def _fit(docs: DataFrame, grades: DataFrame, key: str, text: str, sample: int) -> OrdinalModel | None:
     known = grades.where("grade is not null").groupBy(key).agg(F.max("grade").cast("int").alias("grade"))
     sizes = {r["grade"]: r["n"] for r in known.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
@@ -132,7 +126,6 @@ def fit_toxicity(docs: DataFrame, grades: DataFrame, key: str = "doc_id", text:
     chosen = seen.withColumn("z", z).where(F.col("z") >= SCORE).orderBy(F.desc("z"), "f").limit(FEATURES).select("f")
     features = np.sort(chosen.toArrow()["f"].to_numpy())
     got = rows.mapInArrow(_counts(features), "grade int, features array<long>, counts array<long>").toArrow()
-    discard(rows)
     per = np.array(pc.list_value_length(got["features"].combine_chunks()))
     feature = np.searchsorted(features, pc.list_flatten(got["features"]).to_numpy())
     value = np.log1p(pc.list_flatten(got["counts"]).to_numpy().astype(float))
@@ -143,6 +136,17 @@ def fit_toxicity(docs: DataFrame, grades: DataFrame, key: str = "doc_id", text:
     return OrdinalModel(features, weights, thresholds)
 
 
+def fit_toxicity(docs: DataFrame, grades: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> OrdinalModel | None:
+    """A model of `grades` (key, grade from 0), or None without two different grades.
+
+    It is fitted on the `sample` rows of each grade with the least key hash, weighted back to the grades' shares; that bound is
+    the only one. Features that come with grades above 0 far more often than chance are counted in Spark, and the few that
+    are kept go to the driver with the sample's counts of them.
+    """
+    with scratch():
+        return _fit(docs, grades, key, text, sample)
+
+
 def score_toxicity(docs: DataFrame, model: OrdinalModel | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """For each row of docs: key, severity (the expected grade), p_toxic (of a grade above the lowest), toxic (p_toxic >= 0.5).
 

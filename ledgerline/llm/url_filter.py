@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import ascii_lower, materialize, table
+from ledgerline.llm.common import ascii_lower, keep, materialize, scratch, table
 from ledgerline.llm.graph import components
 
 #: (verdict, rule): a host, a slash and the start of a path.
@@ -96,12 +96,9 @@ def judge_urls(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
     """
     address = F.col(url)
     known = pages.select(F.col(key), address.alias("url"), F.col(html).alias("_html"))
-    edges = known.select(name_of(F.col("url")).alias("a"), F.explode(links_of(F.col("_html"), F.col("url"))).alias("t")).select("a", name_of(F.col("t")).alias("b"))
-    edges = materialize(edges.where("a is not null and b is not null and a != b").distinct(), "edges")
-    rule = lambda x: rule_of(host_of(x), path_of(x), rules)
-    comp = materialize(components(edges).withColumn("_says", verdict_of(rule(F.col("node")), rules)), "aliases")
-    said = comp.groupBy("component").agg(F.bool_or(F.col("_says") == "allow").alias("_allow"), F.bool_or(F.col("_says") == "block").alias("_block"))
-    said = materialize(comp.join(materialize(said, "said"), "component").select(F.col("node").alias("_name"), F.when(F.coalesce("_allow", F.lit(False)), "allow").when(F.col("_block"), "block").alias("_alias")), "verdicts")
+    with scratch() as tables:
+        said = _verdicts(known, rules)
+        keep(tables, said)
     rows = known.select(key, "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), name_of(F.col("url")).alias("_name"))
     rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     own = verdict_of(F.col("rule"), rules)
@@ -110,6 +107,16 @@ def judge_urls(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
     return told.unionByName(rows.where(~asks).select(key, "url", "host", "path", "rule", F.coalesce(own, F.lit("allow")).alias("verdict")))
 
 
+def _verdicts(known: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
+    """(_name, _alias): what the aliases of each url that has some say; null for nothing. known: (url, _html)."""
+    edges = known.select(name_of(F.col("url")).alias("a"), F.explode(links_of(F.col("_html"), F.col("url"))).alias("t")).select("a", name_of(F.col("t")).alias("b"))
+    edges = materialize(edges.where("a is not null and b is not null and a != b").distinct(), "edges")
+    rule = lambda x: rule_of(host_of(x), path_of(x), rules)
+    comp = materialize(components(edges).withColumn("_says", verdict_of(rule(F.col("node")), rules)), "aliases")
+    said = comp.groupBy("component").agg(F.bool_or(F.col("_says") == "allow").alias("_allow"), F.bool_or(F.col("_says") == "block").alias("_block"))
+    return materialize(comp.join(materialize(said, "said"), "component").select(F.col("node").alias("_name"), F.when(F.coalesce("_allow", F.lit(False)), "allow").when(F.col("_block"), "block").alias("_alias")), "verdicts")
+
+
 def op7(spark, sf_dir):
     return judge_urls(table(spark, sf_dir, "pages")).drop("url")
 

@@ -74,3 +74,16 @@ def test_keys_of_text_and_repeated_rows(spark, docs_of, monkeypatch):
         assert sorted(map(str, m.mix(docs).collect())) == sorted(map(str, got))
     taken = m.mixed(docs)
     assert taken.columns == docs.columns and {x["doc_id"] for x in taken.collect()} == {x["doc_id"] for x in got if x["taken"]}
+
+
+def test_scratch_tables_go(spark, docs_of):
+    """Of all tables on the way, those stay that the result reads."""
+    import os
+
+    from ledgerline.llm.common import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    taken = m.mixed(docs_of([(i, "w " * (i % 5), None, "ab"[i % 2]) for i in range(50)]))
+    assert len(taken.collect()) > 0
+    assert [n.split("-")[0] for n in set(os.listdir(folder)) - before] == ["ends"]

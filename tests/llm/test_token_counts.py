@@ -37,3 +37,19 @@ def test_rows(docs_of):
     got = sorted((tuple(r) for r in t.token_counts(rows, PATH, limit=1).collect()), key=str)
     n = library("Ünï code")
     assert got == sorted([(1, 0, 0, False), (2, 0, 0, False), (3, 10, n, True), (None, 1, 1, False), (3, 10, n, True)], key=str)
+
+
+def test_other_special_tokens(tmp_path):
+    """Special strings that start with another sign are found; those with rules of their own are refused."""
+    import json
+
+    spec = json.loads(open(PATH).read())
+    n = max(spec["model"]["vocab"].values())
+    spec["added_tokens"].append(spec["added_tokens"][0] | {"content": "[CLS]", "id": n + 7})
+    (tmp_path / "a.json").write_text(json.dumps(spec))
+    text = "a [CLS]b <|endoftext|> [cls] [CLS][CLS]"
+    assert t.MergeCounter(str(tmp_path / "a.json")).count(text) == len(Tokenizer.from_file(str(tmp_path / "a.json")).encode(text, add_special_tokens=False).ids)
+    spec["added_tokens"][-1]["lstrip"] = True
+    (tmp_path / "b.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="CLS"):
+        t.MergeCounter(str(tmp_path / "b.json"))

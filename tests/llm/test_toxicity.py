@@ -53,3 +53,28 @@ def test_without_labels_and_odd_rows(spark, docs_of):
     assert [r["grade"] for r in t.label_grades(labels).collect()] == [0, 1, 2, None, 1]
     kept = t.keep_clean(docs.withColumnRenamed("lang", "toxic"), labels.limit(0))
     assert kept.count() == 4 and "toxic" in kept.columns
+
+
+def test_scores_equal_a_plain_loop(spark, docs_of):
+    """Severity and probability of each row, a word at a time."""
+    from math import exp, log1p
+
+    r = np.random.default_rng(4)
+    words = ["alpha", "beta", "Gamma", "delta9", "épsilon", "ze"]
+    feats = sorted({f for w in words for f in t.word_features(w.encode().translate(t._LETTERS).split()[0])})
+    model = t.OrdinalModel(np.array(feats), r.normal(size=len(feats)), np.array([0.3, 1.1]))
+    rows = [(i, " ".join(r.choice(words, r.integers(0, 12)))) for i in range(60)] + [(90, None), (91, ""), (92, "none of these"), (92, "none of these")]
+    got = sorted((x["doc_id"], x["severity"], x["p_toxic"], x["toxic"]) for x in t.score_toxicity(docs_of(rows), model).collect())
+    want = []
+    for key, text in rows:
+        counts = {}
+        for w in t.words_of(text):
+            for f in t.word_features(w):
+                counts[f] = counts.get(f, 0) + 1
+        score = sum(model.weights[feats.index(f)] * log1p(n) for f, n in counts.items() if f in feats)
+        p = [1 / (1 + exp(c - score)) for c in model.thresholds]
+        want.append((key, sum(p), p[0], p[0] >= 0.5))
+    want.sort()
+    assert len(got) == len(want)
+    for a, b in zip(got, want, strict=True):
+        assert a[0] == b[0] and abs(a[1] - b[1]) < 1e-9 and abs(a[2] - b[2]) < 1e-9 and a[3] == b[3]

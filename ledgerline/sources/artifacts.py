@@ -57,8 +57,24 @@ class ArtifactStore:
             stream.close()
 
     def info(self, key: str) -> ArtifactInfo:
-        content = self.get(key)
-        return ArtifactInfo(self._key(key), len(content), hashlib.sha256(content).hexdigest())
+        """Size and hash, which a task reads: the content does not come to the driver."""
+        clean = self._key(key)
+        row = self.spark.read.format("binaryFile").load(f"{self.root}/{clean}").select("length", F.sha2("content", 256).alias("sha256")).first()
+        return ArtifactInfo(clean, row["length"], row["sha256"])
+
+    def put_file(self, key: str, source: str) -> None:
+        """Store a file of any file system that Spark reaches: a stream from one to the other in bounded parts, put in place by a rename."""
+        clean = self._key(key)
+        target, part, origin = self._path(clean), self._path(f"{clean}.copy.tmp"), self.jvm.org.apache.hadoop.fs.Path(source)
+        conf = self.spark._jsparkSession.sessionState().newHadoopConf()
+        if self.fs.exists(target) and self.overwrite == "never":
+            raise FileExistsError(clean)
+        self.jvm.org.apache.hadoop.fs.FileUtil.copy(origin.getFileSystem(conf), origin, self.fs, part, False, True, conf)
+        if self.fs.exists(target) and self.overwrite == "same" and self.info(f"{clean}.copy.tmp").sha256 != self.info(clean).sha256:
+            self.fs.delete(part, False)
+            raise FileExistsError(clean)
+        self.fs.delete(target, False)
+        self.fs.rename(part, target)
 
     def put(self, key: str, content: bytes, sha256: str | None = None) -> ArtifactInfo:
         """Store content; a given hash must be its own. What is there already stays or is replaced by the policy."""

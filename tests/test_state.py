@@ -25,6 +25,13 @@ def test_store(spark, tmp_path):
     with pytest.raises(FileExistsError):
         ArtifactStore(spark, str(tmp_path), "never").put("scm/2/x.diff", b"other")
     assert [(r["key"], r["size"]) for r in store.listing().collect()] == [("scm/2/x.diff", 5)]
+    (tmp_path / "outside.bin").write_bytes(b"other")
+    store.put_file("scm/2/x.diff", str(tmp_path / "outside.bin"))
+    (tmp_path / "outside.bin").write_bytes(b"another one")
+    with pytest.raises(FileExistsError):
+        store.put_file("scm/2/x.diff", str(tmp_path / "outside.bin"))
+    store.put_file("scm/3/y.diff", str(tmp_path / "outside.bin"))
+    assert store.get("scm/3/y.diff") == b"another one" and store.get("scm/2/x.diff") == b"other" and not list(tmp_path.glob("scm/*/*.tmp"))
 
 
 def test_reconcile(spark):
@@ -68,3 +75,43 @@ def test_actors_and_accounts(spark):
 def test_old_rows_go(spark):
     jobs = spark.createDataFrame([("completed", T - dt.timedelta(days=31)), ("completed", T), ("failed", T - dt.timedelta(days=99)), (None, None)], "status string, at timestamp")
     assert writes.without_old(jobs, "completed", "at", ts(str(T)), 30).count() == 3
+
+
+def test_late_changes_stay_behind(spark):
+    """A change that is older than the row in state changes nothing; of several the last counts; without an order in state all do."""
+    old = spark.createDataFrame([("a", 10, "x"), ("b", 1, "x")], "k string, o int, v string")
+    new = spark.createDataFrame([("a", 3, "late"), ("b", 5, "early"), ("b", 7, "new"), ("c", 2, "first")], "k string, o int, v string")
+    got = {r["k"]: (r["o"], r["v"]) for r in writes.upsert(old, new, ["k"], order=F.col("o")).collect()}
+    assert got == {"a": (10, "x"), "b": (7, "new"), "c": (2, "first")}
+    got = {r["k"]: r["v"] for r in writes.upsert(old.drop("o"), new, ["k"], order=F.col("o")).collect()}
+    assert got == {"a": "late", "b": "new", "c": "first"}
+
+
+def test_numbers_are_gapless(spark):
+    """In order, from behind the largest id, whatever the values are: equal, null, negative; and for nothing."""
+    values = [5.0, None, -3.0, 5.0, 5.0, 1e12, -1e12, 0.0]
+    state_ = spark.createDataFrame([(41,)], "id long")
+    rows = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v double, i int")
+    got = sorted((r["id"], r["v"], r["i"]) for r in writes.numbered(rows, state_, "id", "v", "i", ranges=4).collect())
+    want = sorted(((v, i) for i, v in enumerate(values)), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    assert [g[0] for g in got] == list(range(42, 50)) and [g[1:] for g in got] == want
+    assert writes.numbered(rows.where("false"), state_.where("false"), "id", "v", "i").count() == 0
+    assert sorted(r["id"] for r in writes.hashed(rows.select("i"), state_.where("false"), "id", "i").collect()) == list(range(1, 9))
+
+
+def test_items_without_events_stay(spark):
+    items = spark.createDataFrame([(1, "open", T, T + dt.timedelta(days=9)), (2, "open", T, T)], "item_id long, status string, created_at timestamp, updated_at timestamp")
+    events = spark.createDataFrame([(7, 2, "done", T + dt.timedelta(days=1)), (8, 2, None, T + dt.timedelta(days=2))], "event_id long, item_id long, status_to string, created_at timestamp")
+    got = {r["item_id"]: (r["status"], r["updated_at"]) for r in writes.add_events(items, events).collect()}
+    assert got == {1: ("open", T + dt.timedelta(days=9)), 2: ("done", T + dt.timedelta(days=1))}
+
+
+def test_only_allowed_roots(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.txt").write_text("x")
+    from ledgerline.sources import connectors
+
+    assert connectors.allowed_files(spark, f"file://{tmp_path}/a", [str(tmp_path)]).count() == 1
+    for path in (f"{tmp_path}/a/../..", "/etc", f"{tmp_path}-other"):
+        with pytest.raises(ValueError, match="allowed"):
+            connectors.allowed_files(spark, path, [str(tmp_path)])

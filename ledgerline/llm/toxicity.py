@@ -86,21 +86,21 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordB
 
 
 def _counts(only: np.ndarray | None):
-    """(grade, text) to rows (grade, row, features, counts) of each text, or of the given features alone."""
+    """(grade, text) to rows (grade, features, counts) of each text: hashes of all its features, or places of the given ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = None if only is None else set(only.tolist())
+        place = None if only is None else {f: i for i, f in enumerate(only.tolist())}
         for batch in _slices(batches, 128):
             feats, counts = [], []
             for text in batch.column("text").to_pylist():
                 own: dict[int, int] = {}
                 for w in words_of(text):
                     for f in word_features(w):
-                        if wanted is None or f in wanted:
+                        if place is None or (f := place.get(f)) is not None:
                             own[f] = own.get(f, 0) + 1
                 feats.append(list(own))
                 counts.append(list(own.values()))
-            yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array(feats, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))], names=["grade", "features", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array(feats, pa.list_(pa.int64() if only is None else pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=["grade", "features", "counts"])
 
     return run
 
@@ -115,7 +115,7 @@ def _fit(docs: DataFrame, grades: DataFrame, key: str, text: str, sample: int) -
         part = known.where(F.col("grade") == g).orderBy(F.xxhash64(key), key).limit(sample)
         picked = part if picked is None else picked.unionByName(part)
     rows = materialize(docs.select(key, F.col(text).alias("text")).join(F.broadcast(materialize(picked, "picked")), key).select("grade", "text"), "sample")
-    every = rows.mapInArrow(_counts(None), "grade int, features array<long>, counts array<long>")
+    every = rows.mapInArrow(_counts(None), "grade int, features array<long>, counts array<int>")
     seen = every.select((F.col("grade") > 0).cast("long").alias("bad"), F.explode("features").alias("f")).groupBy("f").agg(F.sum("bad").alias("bad"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= ROWS)
     total = rows.agg(F.sum((F.col("grade") > 0).cast("long")).alias("bad"), F.count(F.lit(1)).alias("n")).first()
     n_bad, n_good = total["bad"] or 0, (total["n"] or 0) - (total["bad"] or 0)
@@ -125,9 +125,9 @@ def _fit(docs: DataFrame, grades: DataFrame, key: str, text: str, sample: int) -
     z = (F.col("bad") / F.lit(n_bad) - (F.col("n") - F.col("bad")) / F.lit(n_good)) / F.sqrt(rate * (1 - rate) * (1 / n_bad + 1 / n_good) + 1e-12)
     chosen = seen.withColumn("z", z).where(F.col("z") >= SCORE).orderBy(F.desc("z"), "f").limit(FEATURES).select("f")
     features = np.sort(chosen.toArrow()["f"].to_numpy())
-    got = rows.mapInArrow(_counts(features), "grade int, features array<long>, counts array<long>").toArrow()
+    got = rows.mapInArrow(_counts(features), "grade int, features array<int>, counts array<int>").toArrow()
     per = np.array(pc.list_value_length(got["features"].combine_chunks()))
-    feature = np.searchsorted(features, pc.list_flatten(got["features"]).to_numpy())
+    feature = pc.list_flatten(got["features"]).to_numpy()
     value = np.log1p(pc.list_flatten(got["counts"]).to_numpy().astype(float))
     grade = np.searchsorted(sorted(sizes), got["grade"].to_numpy())
     share = np.bincount(grade, minlength=len(sizes))

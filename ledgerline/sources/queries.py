@@ -23,41 +23,45 @@ def _answers(db: Ledger, key: str, *fields):
     return db._orders().groupBy(F.col("o_custkey").alias(key)).agg(F.to_json(F.collect_list(F.struct(*fields))).alias("value"))
 
 
-_ID = F.col("o_orderkey").cast("string")
-_AT = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+def _id():
+    return F.col("o_orderkey").cast("string")
+
+
+def _at():
+    return F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 @query("commits_read", "SELECT o_custkey AS repo_id, o_orderkey::varchar AS commit_sha, 'git:' || o_custkey || ':' || o_orderkey AS source_id, o_orderstatus || ' <' || o_orderpriority || '>' AS author_raw, date_trunc('second', o_orderdate) AS ts, o_orderkey % 3 = 0 AS is_merge, o_orderkey % 7 AS additions FROM orders")
 def _commits(db: Ledger):
     parents = F.when(F.col("o_orderkey") % 3 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a")))
-    raw = _answers(db, "repo_id", _ID.alias("id"), F.col("o_orderstatus").alias("author_name"), F.col("o_orderpriority").alias("author_email"), _AT.alias("committed_date"), F.lit("m").alias("message"), parents.alias("parent_ids"), F.struct((F.col("o_orderkey") % 7).alias("additions")).alias("stats"))
+    raw = _answers(db, "repo_id", _id().alias("id"), F.col("o_orderstatus").alias("author_name"), F.col("o_orderpriority").alias("author_email"), _at().alias("committed_date"), F.lit("m").alias("message"), parents.alias("parent_ids"), F.struct((F.col("o_orderkey") % 7).alias("additions")).alias("stats"))
     return connectors.commits_of(raw).select("repo_id", "commit_sha", "source_id", "author_raw", "ts", "is_merge", F.col("stats.additions").alias("additions"))
 
 
 @query("diffs_read", "SELECT o_custkey AS repo_id, 'c' AS commit_sha, CASE WHEN o_orderkey % 5 = 0 THEN 'old/' || o_orderkey ELSE 'new/' || o_orderkey END AS path, CASE WHEN o_orderkey % 4 = 0 THEN 'added' WHEN o_orderkey % 4 = 1 THEN 'deleted' WHEN o_orderkey % 4 = 2 THEN 'renamed' ELSE 'modified' END AS change FROM orders")
 def _diffs(db: Ledger):
     k = F.col("o_orderkey")
-    raw = _answers(db, "repo_id", F.concat(F.lit("old/"), _ID).alias("old_path"), F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("new/"), _ID)).alias("new_path"), (k % 4 == 0).alias("new_file"), (k % 4 == 1).alias("deleted_file"), (k % 4 == 2).alias("renamed_file"), F.lit("@@").alias("diff"))
+    raw = _answers(db, "repo_id", F.concat(F.lit("old/"), _id()).alias("old_path"), F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("new/"), _id())).alias("new_path"), (k % 4 == 0).alias("new_file"), (k % 4 == 1).alias("deleted_file"), (k % 4 == 2).alias("renamed_file"), F.lit("@@").alias("diff"))
     return connectors.diffs_of(raw.withColumn("commit_sha", F.lit("c"))).select("repo_id", "commit_sha", "path", "change")
 
 
 @query("merge_requests_read", "SELECT o_custkey AS repo_id, 'mr:' || o_custkey || ':' || o_orderkey AS source_id, o_orderkey AS iid, o_orderstatus AS status, o_orderpriority AS author, date_trunc('second', o_orderdate) AS updated_at FROM orders")
 def _requests(db: Ledger):
-    raw = _answers(db, "repo_id", F.col("o_orderkey").alias("iid"), F.lit("t").alias("title"), F.col("o_orderstatus").alias("state"), _AT.alias("updated_at"), F.struct(F.col("o_orderpriority").alias("username")).alias("author"))
+    raw = _answers(db, "repo_id", F.col("o_orderkey").alias("iid"), F.lit("t").alias("title"), F.col("o_orderstatus").alias("state"), _at().alias("updated_at"), F.struct(F.col("o_orderpriority").alias("username")).alias("author"))
     return connectors.merge_requests_of(raw).select("repo_id", "source_id", "iid", "status", "author", "updated_at")
 
 
 @query("review_events_read", "SELECT o_custkey::varchar AS mr_id, 'note:' || o_orderkey AS source_event_id, o_orderpriority AS author, date_trunc('second', o_orderdate) AS ts FROM orders")
 def _reviews(db: Ledger):
-    raw = _answers(db, "mr_id", _ID.alias("id"), F.lit("b").alias("body"), _AT.alias("created_at"), F.struct(F.col("o_orderpriority").alias("username")).alias("author"))
+    raw = _answers(db, "mr_id", _id().alias("id"), F.lit("b").alias("body"), _at().alias("created_at"), F.struct(F.col("o_orderpriority").alias("username")).alias("author"))
     out = connectors.review_events_of(raw.withColumn("mr_id", F.col("mr_id").cast("string")), "note")
     return out.select("mr_id", "source_event_id", F.get_json_object("payload_json", "$.author").alias("author"), "ts")
 
 
 @query("discussions_read", "SELECT o_custkey::varchar AS mr_id, 'd' || o_orderkey AS discussion_id, 'note:' || o_orderkey || '-' || n AS source_event_id, n = 1 AND o_orderkey % 2 = 0 AS resolved FROM orders, range(2) t(n)")
 def _discussions(db: Ledger):
-    note = lambda n: F.struct(F.concat(_ID, F.lit(f"-{n}")).alias("id"), F.lit("b").alias("body"), _AT.alias("created_at"), F.when(F.lit(n == 1), F.col("o_orderkey") % 2 == 0).alias("resolved"))
-    raw = _answers(db, "mr_id", F.concat(F.lit("d"), _ID).alias("id"), F.array(note(0), note(1)).alias("notes"))
+    note = lambda n: F.struct(F.concat(_id(), F.lit(f"-{n}")).alias("id"), F.lit("b").alias("body"), _at().alias("created_at"), F.when(F.lit(n == 1), F.col("o_orderkey") % 2 == 0).alias("resolved"))
+    raw = _answers(db, "mr_id", F.concat(F.lit("d"), _id()).alias("id"), F.array(note(0), note(1)).alias("notes"))
     return connectors.discussions_of(raw.withColumn("mr_id", F.col("mr_id").cast("string"))).select("mr_id", "discussion_id", "source_event_id", "resolved")
 
 
@@ -66,7 +70,7 @@ def _revisions(db: Ledger):
     """A log of each repository in XML, with none, one or two changed paths."""
     k = F.col("o_orderkey")
     path = F.lit('<path action="M" kind="file">/a</path>')
-    entry = F.concat(F.lit('<logentry revision="'), k.cast("string"), F.lit('"><author>'), "o_orderpriority", F.lit("</author><date>"), _AT, F.lit("</date><paths>"), F.repeat(path, (k % 3).cast("int")), F.lit("</paths><msg>m</msg></logentry>"))
+    entry = F.concat(F.lit('<logentry revision="'), k.cast("string"), F.lit('"><author>'), "o_orderpriority", F.lit("</author><date>"), _at(), F.lit("</date><paths>"), F.repeat(path, (k % 3).cast("int")), F.lit("</paths><msg>m</msg></logentry>"))
     raw = db._orders().groupBy(F.col("o_custkey").alias("repo_id")).agg(F.concat(F.lit("<log>"), F.array_join(F.collect_list(entry), ""), F.lit("</log>")).alias("value"))
     return connectors.revisions_of(raw).select("repo_id", "rev_num", "source_id", "author_raw", "ts", F.col("changed_paths").cast("int").alias("changed_paths"))
 

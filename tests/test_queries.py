@@ -1,8 +1,11 @@
 """Every registered query against the equivalent SQL, and that the entry point imports."""
 
 import re
+import subprocess
+import sys
 
 import pytest
+from conftest import ROOT
 from oracle import DATA, assert_same, connect
 
 from ledgerline import registry
@@ -21,6 +24,12 @@ def test_equals_sql(spark, con, name):
     assert_same(QUERIES[name](spark, DATA), SQL[name], con)
 
 
+def test_queries_are_known_without_a_session():
+    """The entry point is read in a process that has no session."""
+    code = "import __spark_entry__ as e; assert len(e.queries()) >= len(e.oracle_sql()) > 100"
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
+
+
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
 

@@ -5,8 +5,7 @@ import subprocess
 import sys
 
 import pytest
-from conftest import ROOT
-from oracle import DATA, assert_same, connect
+from oracle import DATA, ROOT, assert_same, connect
 
 from ledgerline import registry
 

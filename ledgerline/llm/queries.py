@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import decontaminate, exact_dedup, filter_audit, language_id, mixing, ngram_join, pseudonyms, secret_scan, sharding, token_counts, toxicity, url_filter
+from ledgerline.llm import conversation_trie, decontaminate, exact_dedup, filter_audit, language_id, mixing, ngram_join, pseudonyms, secret_scan, sharding, token_counts, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -17,10 +17,11 @@ def queries() -> dict:
         "op8_toxicity": toxicity.op8,
         "op9_pseudonyms": pseudonyms.op9,
         "op10_language_id": language_id.op10,
+        "op11_conversation_trie": conversation_trie.op11,
         "op12_secret_scan": secret_scan.op12,
         "op13_filter_audit": filter_audit.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_sharding": sharding.SQL, "op4_exact_dedup": exact_dedup.SQL, "op5_mixing": mixing.SQL, "op6_decontamination": decontaminate.SQL, "op7_url_filter": url_filter.SQL, "op12_secret_scan": secret_scan.SQL, "op13_filter_audit": filter_audit.SQL}
+    return {"op3_sharding": sharding.SQL, "op4_exact_dedup": exact_dedup.SQL, "op5_mixing": mixing.SQL, "op6_decontamination": decontaminate.SQL, "op7_url_filter": url_filter.SQL, "op11_conversation_trie": conversation_trie.SQL, "op12_secret_scan": secret_scan.SQL, "op13_filter_audit": filter_audit.SQL}

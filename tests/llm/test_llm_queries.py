@@ -14,7 +14,7 @@ def test_equals_sql(spark, name):
 @pytest.fixture(scope="module")
 def empty(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("empty")
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "conversations"):
         spark.read.parquet(f"{DATA}/{t}.parquet").limit(0).write.parquet(f"{folder}/{t}.parquet")
     return str(folder)
 

@@ -84,19 +84,27 @@ def whole(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(owner, depth, conv) in order to chunks (owner, depth, first, ids), the ids comma-joined."""
-    node, ids = None, []
+    node, ids, chunks, held = None, [], [], 0
+
+    def close() -> None:
+        if ids:
+            chunks.append((*node, ids[0], ",".join(map(str, ids))))
 
     def told() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([node[0]], pa.int64()), pa.array([node[1]], pa.int64()), pa.array([ids[0]], pa.int64()), pa.array([",".join(map(str, ids))])], names=["owner", "depth", "first", "ids"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*chunks, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["owner", "depth", "first", "ids"])
 
     for batch in batches:
         for owner, depth, conv in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
             if node != (owner, depth) or len(ids) >= CHUNK:
-                if ids:
+                close()
+                if held >= 8 * CHUNK:
                     yield told()
+                    chunks, held = [], 0
                 node, ids = (owner, depth), []
             ids.append(conv)
-    if ids:
+            held += 1
+    close()
+    if chunks:
         yield told()
 
 

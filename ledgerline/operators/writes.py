@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +12,7 @@ from ledgerline.operators.lookups import latest_per
 from ledgerline.registry import query
 from ledgerline.schemas import KEYS
 from ledgerline.sources.ledger import Ledger, seconds, ts
+from ledgerline.sources.versions import BucketedTable, shared_folder
 
 
 def numbered(new: DataFrame, state: DataFrame, key: str, *order: str, ranges: int = 256) -> DataFrame:
@@ -39,26 +40,27 @@ def upsert(state: DataFrame, changes: DataFrame, keys: Sequence[str], keep: Sequ
     """state with the changes: of several to one key the last by `order`, by an aggregate of one row a key.
 
     Where state has the columns of `order` too, a change that stands before the row in state is late and changes nothing. Columns in
-    `keep` keep the old value where the new is null; others are replaced.
+    `keep` keep the old value where the new is null; others are replaced. The two meet in one join.
     """
     columns = [c for c in state.columns if c not in keys]
+    taken = F.col("_changed")
     if order is not None:
         rest = [c for c in changes.columns if c not in keys]
+        known = set(names_in(changes, order)) <= set(state.columns)
         changes = changes.withColumn("_o", order).groupBy(*keys).agg(F.max_by(F.struct(*rest), "_o").alias("_last"), F.max("_o").alias("_o")).select(*keys, "_last.*", "_o")
-        if (stands := _order_of(state, order)) is not None:
-            changes = changes.join(stands.select(*keys, "_stands"), list(keys), "left").where("_stands is null or _o >= _stands")
-    new = changes.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in columns], F.lit(True).alias("_changed"))
-    joined = state.join(new, list(keys), "full")
-    pick = lambda c: F.when(F.col("_changed").isNull(), F.col(c)).otherwise(F.coalesce(f"_new_{c}", c) if c in keep else F.col(f"_new_{c}")).alias(c)
-    return joined.select(*[F.col(k) if k in keys else pick(k) for k in state.columns])
+        if known:
+            state = state.withColumn("_stands", order)
+            taken = taken & (F.col("_stands").isNull() | F.coalesce(F.col("_o") >= F.col("_stands"), F.lit(False)))
+    new = changes.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in columns], *(["_o"] if order is not None else []), F.lit(True).alias("_changed"))
+    joined = state.join(new, list(keys), "full").withColumn("_taken", F.coalesce(taken, F.lit(False)))
+    pick = lambda c: F.when(~F.col("_taken"), F.col(c)).otherwise(F.coalesce(f"_new_{c}", c) if c in keep else F.col(f"_new_{c}")).alias(c)
+    return joined.select(*[F.col(k) if k in keys else pick(k) for k in state.columns if k != "_stands"])
 
 
-def _order_of(state: DataFrame, order: Column) -> DataFrame | None:
-    """state with _stands, its own value of order, if it has the columns for that."""
-    try:
-        return state.withColumn("_stands", order)
-    except AnalysisException:
-        return None
+def names_in(df: DataFrame, column: Column) -> list[str]:
+    """The columns of df that an expression reads."""
+    found = df.select(column.alias("_"))._jdf.queryExecution().analyzed().references().toSeq()
+    return [found.apply(i).name() for i in range(found.size())]
 
 
 def insert_new(state: DataFrame, rows: DataFrame, keys: Sequence[str], *order) -> DataFrame:
@@ -245,6 +247,41 @@ def _kv(db: Ledger):
     return upsert(old, changes.where(F.col("updated_at") >= cut), KEYS["kv"], order=F.struct("updated_at", "event_id")).select("namespace", "key", "value_json")
 
 
+#: When the changes below begin: the last hours of the log, which few keys change in.
+_LATE = "2024-01-30 22:00:00"
+_BUCKET = "('0x' || substr(md5(namespace || '|' || key), 1, 8))::bigint % 32"
+
+
+def kv_table(db: Ledger) -> BucketedTable:
+    """The key-value state before the last hours as a table of 32 buckets, then what came in the last hours, with changes that are late again among it, as its next version."""
+    changes, cut = db.kv_changes(), ts(_LATE)
+    old = latest_per(changes.where(F.col("updated_at") < cut), KEYS["kv"], "updated_at", "event_id")
+    table = BucketedTable(db.spark, f"{shared_folder(db.spark)}/kv-{uuid.uuid4().hex}", KEYS["kv"], 32)
+    step = lambda state, new: upsert(state, new, KEYS["kv"], order=F.struct("updated_at", "event_id"))
+    table.apply(old, step)
+    fresh = changes.where(F.col("updated_at") >= cut)
+    late = changes.where(F.col("updated_at") < cut).join(fresh.select(*KEYS["kv"]).distinct(), KEYS["kv"], "left_semi")
+    table.apply(fresh.unionByName(late), step)
+    return table
+
+
+@query("kv_incremental", f"""SELECT namespace, key, value_json, b AS bucket, max((last >= TIMESTAMP '{_LATE}')::int) OVER (PARTITION BY b) AS version FROM (SELECT *, {_BUCKET} AS b, updated_at AS last, row_number() OVER (PARTITION BY namespace, key ORDER BY updated_at DESC, event_id DESC) AS rn FROM kv_changes) WHERE rn = 1""")
+def _kv_incremental(db: Ledger):
+    """The whole state after an incremental change: a bucket is of the first version unless one of its keys changed."""
+    table = kv_table(db)
+    rows = table.read().withColumn("bucket", table.bucket()).join(F.broadcast(table.manifest()), "bucket")  # a row a bucket
+    return rows.select("namespace", "key", "value_json", F.col("bucket").cast("long").alias("bucket"), F.col("v").cast("int").alias("version"))
+
+
+@query("kv_buckets", f"""SELECT b AS bucket, count(*) AS n, max(rewritten) AS rewritten FROM (SELECT {_BUCKET} AS b, namespace, key, max((updated_at >= TIMESTAMP '{_LATE}')::int) AS rewritten FROM kv_changes GROUP BY ALL) GROUP BY 1""")
+def _kv_buckets(db: Ledger):
+    """Rows of each bucket, and whether the change rewrote it: the files of the older manifest, and of the newer one, are not the same."""
+    table = kv_table(db)
+    files = lambda v: table.read(v).select(table.bucket().alias("b"), F.input_file_name().alias("file")).groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("file")).alias("files"))
+    old, new = files(0).select("b", F.col("files").alias("before")), files(1)
+    return new.join(old, "b", "left").select(F.col("b").cast("long").alias("bucket"), "n", F.coalesce((F.col("files") != F.col("before")).cast("int"), F.lit(1)).alias("rewritten"))
+
+
 @query("blobs_inserted", "SELECT min(attachment_id) AS attachment_id, sha256 FROM attachments WHERE sha256 NOT IN (SELECT sha256 FROM patch_blobs) GROUP BY sha256")
 def _insert(db: Ledger):
     rows = db.attachments().select("attachment_id", "sha256")

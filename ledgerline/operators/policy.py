@@ -101,7 +101,7 @@ def store_decisions(requests: DataFrame, users: DataFrame, sent: DataFrame, poli
 
 @dataclass(frozen=True)
 class SchedulerConfig:
-    """Limits of the scheduler; the defaults are the ledger's."""
+    """Limits of the scheduler; the defaults are the ledger's. Job types are logical ones; with mvp_job_types, none but these are scheduled."""
 
     error_budget_threshold: float = 0.3
     cursor_age_threshold_seconds: int = 3600
@@ -112,7 +112,9 @@ class SchedulerConfig:
     per_instance: int = 3
     per_tenant: int = 5
     max_per_tenant_per_round: int = 1
-    job_type_priority: dict = field(default_factory=lambda: {"gitlab_commits": 1, "svn": 1, "gitlab_mrs": 2, "gitlab_reviews": 3})
+    tenant_fairness: bool = False
+    job_type_priority: dict = field(default_factory=lambda: {"commits": 1, "mrs": 2, "reviews": 3})
+    mvp_job_types: tuple[str, ...] | None = None
     bucket_paused_penalty: int = 1000
     bucket_low_penalty: int = 200
     bucket_low_share: float = 0.2
@@ -179,9 +181,10 @@ def _health(db: Ledger):
     return repo_health(repo_states(db), ts(EVENTS_NOW)).select("repo_id", "should_schedule", "reason", "adjustment")
 
 
-@query("job_priorities", _STATES + "SELECT repo_id, CASE WHEN repo_type = 'git' THEN 'gitlab_commits' ELSE 'svn' END AS job_type, (100 + adjustment + trunc(failure_rate * 100) + trunc(rate_limit_rate * 200))::int AS priority FROM rh")
+@query("job_priorities", _STATES + "SELECT repo_id, t AS job_type, (CASE t WHEN 'commits' THEN 100 WHEN 'mrs' THEN 200 WHEN 'reviews' THEN 300 ELSE 1000 END + adjustment + trunc(failure_rate * 100) + trunc(rate_limit_rate * 200))::int AS priority FROM rh, (SELECT unnest(['commits', 'mrs', 'reviews', 'svn']) AS t)")
 def _priorities(db: Ledger):
-    rows = repo_health(repo_states(db), ts(EVENTS_NOW)).withColumn("job_type", F.when(F.col("repo_type") == "git", "gitlab_commits").otherwise("svn"))
+    """Of each logical type, and of a name that is none."""
+    rows = repo_health(repo_states(db), ts(EVENTS_NOW)).withColumn("job_type", F.explode(F.array(*[F.lit(t) for t in ("commits", "mrs", "reviews", "svn")])))
     return rows.select("repo_id", "job_type", job_priority(F.col("job_type"), F.col("adjustment"), F.col("failure_rate"), F.col("rate_limit_rate")).alias("priority"))
 
 

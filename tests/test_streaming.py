@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -115,6 +116,43 @@ def test_caps_are_asymmetric():
     assert [r["n"] for r in scheduler.admit(rows, {}, {}, config)] == [1, 4, 5]  # 2 used a place of a, so 3 found none and y stayed free
 
 
+def test_rounds_equal_the_rows_one_after_the_other(spark):
+    """Random candidates and queues: what the ranks let in is what the fold lets in, with and without turns of tenants."""
+    shape = "repo_id long, job_type string, priority int, instance string, tenant_id string, reason string"
+    for seed in range(6):
+        r = random.Random(seed)
+        rows = [(i, k, r.randrange(4), r.choice(("a", "b", "c", None)), r.choice(("x", "y", "z", None)), "due") for i in range(25) for k in ("commits", "mrs", "reviews")]
+        jobs = [(r.choice(("pending", "running", "failed")), r.choice(("a", "b", None)), r.choice(("x", None))) for _ in range(5)]
+        config = SchedulerConfig(per_instance=r.choice((0, 2, 9)), per_tenant=r.choice((1, 3, 9)), max_queue_depth=r.choice((4, 12, 60)), max_running=r.choice((2, 9)), max_enqueue_per_scan=r.choice((5, 100)), tenant_fairness=seed % 2 == 1, max_per_tenant_per_round=1 + seed % 3)
+        df = spark.createDataFrame(rows, shape)
+        got = [tuple(x) for x in scheduler.select_jobs(df, spark.createDataFrame(jobs, "status string, instance string, tenant_id string"), config).collect()]
+        live = [j for j in jobs if j[0] != "failed"]
+        count = lambda k: {v: sum(j[k] == v for j in live) for v in {j[k] for j in live} if v is not None}
+        turns = [x.asDict() for x in scheduler.ranked(df, config).orderBy("turn").collect()]
+        want = scheduler.admit(turns, count(1), count(2), config, sum(j[0] == "running" for j in live), sum(j[0] == "pending" for j in live))
+        assert sorted(got, key=str) == sorted((tuple(w[c] for c in df.columns) for w in want), key=str)
+
+
+def test_turns_of_tenants(spark):
+    """One of each tenant in a round, tenants by their best job; none is a tenant too."""
+    rows = [(1, "commits", 5, "x"), (2, "commits", 1, "y"), (2, "mrs", 2, "y"), (3, "commits", 3, None), (1, "mrs", 6, "x"), (4, "reviews", 1, "y")]
+    df = spark.createDataFrame(rows, "repo_id long, job_type string, priority int, tenant_id string")
+    order = lambda **k: [(r["repo_id"], r["job_type"]) for r in scheduler.ranked(df, SchedulerConfig(**k)).orderBy("turn").collect()]
+    assert order() == [(2, "commits"), (4, "reviews"), (2, "mrs"), (3, "commits"), (1, "commits"), (1, "mrs")]
+    assert order(tenant_fairness=True) == [(2, "commits"), (3, "commits"), (1, "commits"), (4, "reviews"), (1, "mrs"), (2, "mrs")]
+    assert order(tenant_fairness=True, max_per_tenant_per_round=2) == [(2, "commits"), (4, "reviews"), (3, "commits"), (1, "commits"), (1, "mrs"), (2, "mrs")]
+
+
+def test_candidates_are_logical(spark):
+    """Reviews are scheduled, physical names in the queue count, and with a list of its own a scheduler keeps to it."""
+    state = spark.createDataFrame([(1, "git", "https://a/x.git", "t/x", None, 0, 0, 0, 0)], "repo_id long, repo_type string, url string, project_key string, cursor_updated_at timestamp, recent_run_count long, recent_failed_count long, recent_429_hits long, recent_total_requests long")
+    pair = lambda *names: spark.createDataFrame([(1, n) for n in names], "repo_id long, job_type string")
+    types = lambda active, paused, **k: sorted((r["job_type"], r["priority"]) for r in scheduler.candidates(state, active, paused, ts("2024-01-01"), SchedulerConfig(**k)).collect())
+    assert types(pair(), pair()) == [("commits", 0), ("mrs", 100), ("reviews", 200)]
+    assert types(pair("gitlab_commits"), pair("mrs")) == [("reviews", 200)]
+    assert types(pair(), pair(), mvp_job_types=("commits",)) == [("commits", 0)] and types(pair(), pair(), mvp_job_types=()) == []
+
+
 def test_new_jobs_respect_breakers(spark):
     chosen = spark.createDataFrame([(1, "svn", 1, "i", "t", "r"), (2, "svn", 1, "i", "u", "r"), (3, "svn", 1, "j", None, "r")], "repo_id long, job_type string, priority int, instance string, tenant_id string, reason string")
     breakers = spark.createDataFrame([("tenant", "t", "open"), ("instance", "j", "open"), ("instance", "i", "closed")], "scope string, id string, state string")

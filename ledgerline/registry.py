@@ -25,6 +25,7 @@ MODULES = (
     "ledgerline.plans.scheduler",
     "ledgerline.plans.reports",
     "ledgerline.sources.queries",
+    "ledgerline.sources.objects",
 )
 
 _found: dict[str, tuple[Callable[[Ledger], DataFrame], str | None]] = {}

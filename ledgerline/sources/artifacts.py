@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -95,6 +97,38 @@ class ArtifactStore:
         self.fs.rename(part, target)
         return ArtifactInfo(clean, len(content), digest)
 
+    def parts(self, key: str, size: int = 8 << 20) -> Iterator[bytes]:
+        """The content in parts of a bounded size."""
+        stream = self.fs.open(self._path(self._key(key)))
+        try:
+            while part := bytes(stream.readNBytes(size)):
+                yield part
+        finally:
+            stream.close()
+
+    def put_parts(self, key: str, parts: Iterable[bytes], sha256: str | None = None) -> ArtifactInfo:
+        """Store content that comes in parts, each written as it comes. The policy holds as for put(), once the hash of all is known."""
+        clean, digest, size = self._key(key), hashlib.sha256(), 0
+        target, part = self._path(clean), self._path(f"{clean}.{uuid.uuid4().hex[:12]}.tmp")
+        out = self.fs.create(part, True)
+        try:
+            for piece in parts:
+                out.write(bytearray(piece))
+                digest.update(piece)
+                size += len(piece)
+        finally:
+            out.close()
+        done, there = ArtifactInfo(clean, size, digest.hexdigest()), self.fs.exists(target)
+        wrong = sha256 is not None and sha256.lower() != done.sha256
+        if wrong or (there and (self.overwrite == "never" or (self.overwrite == "same" and self.info(clean).sha256 != done.sha256))):
+            self.fs.delete(part, False)
+            if wrong:
+                raise ValueError(f"{key}: the content's hash is {done.sha256}")
+            raise FileExistsError(clean)
+        self.fs.delete(target, False)
+        self.fs.rename(part, target)
+        return done
+
     def listing(self) -> DataFrame:
         """(key, path, size, modified_at) of all objects."""
         raw = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(self.root).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,6 +87,9 @@ def resolve_evidence(uris: DataFrame, blobs: DataFrame, attachments: DataFrame)
 
     memory://patch_blobs/<type>/<source id>/<sha256> and memory://attachments/<id>/<sha256>, where the hash is compared; a source id may hold slashes.
     Blobs also by sha256/<sha256>, by blob_id/<id>, and by <type>/<source id> alone, where the least blob_id of several is meant.
+
+    References are split by kind, and each kind meets only the table that it names: no join sees a key that is null, and the other side of each has one
+    row a key, so Spark can split a source that many references name.
     """
     u = F.col("evidence_uri")
     rest = F.regexp_extract(u, r"^memory://patch_blobs/(.+)$", 1)
@@ -95,27 +100,36 @@ def resolve_evidence(uris: DataFrame, blobs: DataFrame, attachments: DataFrame)
     )
     part = lambda pattern: F.nullif(F.regexp_extract(u, pattern, 1), F.lit(""))
     whole = F.col("kind") == "patch_blobs"
-    out = uris.withColumns({"kind": way, "sha256": F.lower(part(rf"/({hexed})$"))})
-    out = out.withColumns(
-        {
-            "_type": F.when(F.col("kind").isin("patch_blobs", "legacy"), part(r"^memory://patch_blobs/([^/]+)/")), "_source": F.when(whole, part(r"^memory://patch_blobs/[^/]+/(.+)/[^/]+$")).when(F.col("kind") == "legacy", part(r"^memory://patch_blobs/[^/]+/(.+)$")),
-            "_blob": F.when(F.col("kind") == "blob_id", part(r"/blob_id/([0-9]+)$").try_cast("long")), "_sha": F.when(F.col("kind") == "sha256", F.col("sha256")), "_attachment": F.when(F.col("kind") == "attachments", part(r"^memory://attachments/([0-9]+)/").try_cast("long")),
-        }
-    )
+    rows = uris.withColumns({"kind": way, "sha256": F.lower(part(rf"/({hexed})$"))})
     if "blob_id" not in blobs.columns:
         blobs = blobs.withColumn("blob_id", F.lit(None).cast("long"))
-    source = blobs.groupBy(F.col("source_type").alias("_type"), F.col("source_id").alias("_source")).agg(F.collect_set(F.lower("sha256")).alias("_shas"), F.min("blob_id").alias("_first"))
-    by_sha = blobs.groupBy(F.lower("sha256").alias("_sha")).agg(F.min("blob_id").alias("_of_sha"))
-    by_id = blobs.select(F.col("blob_id").alias("_blob"), F.col("blob_id").alias("_of_id"))
-    a = attachments.select(F.col("attachment_id").alias("_attachment"), F.lower("sha256").alias("_attachment_sha"))
-    for other, key in ((source, ["_type", "_source"]), (by_sha, "_sha"), (by_id, "_blob"), (a, "_attachment")):
-        out = out.join(other, key, "left")
-    blob = F.coalesce("_of_sha", "_of_id", F.when(F.col("kind") == "legacy", F.col("_first")))
-    known = (
-        F.when(whole, F.when(F.array_contains("_shas", F.col("sha256")), "ok").when(F.col("_shas").isNotNull(), "hash_mismatch"))
-        .when(F.col("kind") == "attachments", F.when(F.col("_attachment_sha") == F.col("sha256"), "ok").when(F.col("_attachment_sha").isNotNull(), "hash_mismatch")).when(blob.isNotNull(), "ok")
-    )
-    return out.withColumns({"resolution": F.when(F.col("kind").isNull(), "invalid").otherwise(F.coalesce(known, F.lit("not_found"))), "found_blob_id": blob}).select(*uris.columns, "kind", "sha256", "resolution", "found_blob_id")
+    pair = {"_type": F.col("source_type"), "_source": F.col("source_id")}
+    sources = blobs.groupBy(*[c.alias(n) for n, c in pair.items()]).agg(F.min("blob_id").alias("_id"), F.lit(True).alias("_there"))
+    whole = blobs.select(*[c.alias(n) for n, c in pair.items()], F.lower("sha256").alias("_sha")).distinct().withColumn("_same", F.lit(True))
+    by_sha = blobs.groupBy(F.lower("sha256").alias("_sha")).agg(F.min("blob_id").alias("_id"))
+    by_id = blobs.where("blob_id is not null").groupBy(F.col("blob_id").alias("_blob")).agg(F.min("blob_id").alias("_id"))
+    held = attachments.select(F.col("attachment_id").alias("_attachment"), F.lower("sha256").alias("_sha"))
+
+    def of(kind: str, **parts) -> DataFrame:
+        return rows.where(F.col("kind") == kind).withColumns(parts)
+
+    def told(df: DataFrame, resolution: Column, blob: Column = F.lit(None).cast("long")) -> DataFrame:  # noqa: B008
+        return df.select(*[c for c in uris.columns if c not in ("kind", "sha256")], "kind", "sha256", resolution.alias("resolution"), blob.alias("found_blob_id"))
+
+    exact = of("patch_blobs", _type=part(r"^memory://patch_blobs/([^/]+)/"), _source=part(r"^memory://patch_blobs/[^/]+/(.+)/[^/]+$"), _sha=F.col("sha256")).join(whole, ["_type", "_source", "_sha"], "left")
+    sure, unsure = exact.where("_same"), exact.where("_same is null").join(sources, ["_type", "_source"], "left")
+    found = F.when(F.col("_id").isNotNull(), "ok").otherwise("not_found")
+    hashed = F.when(F.col("_sha").isNull(), "not_found").when(F.col("_sha") == F.col("sha256"), "ok").otherwise("hash_mismatch")
+    parts = [
+        told(sure, F.lit("ok")),
+        told(unsure, F.when(F.col("_there"), "hash_mismatch").otherwise("not_found")),
+        told(of("legacy", _type=part(r"^memory://patch_blobs/([^/]+)/"), _source=part(r"^memory://patch_blobs/[^/]+/(.+)$")).join(sources, ["_type", "_source"], "left"), found, F.col("_id")),
+        told(of("sha256", _sha=F.col("sha256")).join(by_sha, "_sha", "left"), found, F.col("_id")),
+        told(of("blob_id", _blob=part(r"/blob_id/([0-9]+)$").try_cast("long")).join(by_id, "_blob", "left"), found, F.col("_id")),
+        told(of("attachments", _attachment=part(r"^memory://attachments/([0-9]+)/").try_cast("long")).join(held, "_attachment", "left"), hashed),
+        told(rows.where("kind is null"), F.lit("invalid")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def dangling(df: DataFrame, column: str, parent: DataFrame, key: str) -> DataFrame:

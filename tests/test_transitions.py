@@ -167,6 +167,40 @@ def test_schema_rules(spark):
     assert schema_drift(conform(runs, "sync_runs"), "sync_runs") == [] and ("status", "string", "string") not in schema_drift(runs, "sync_runs")
 
 
+def test_each_kind_of_reference_meets_its_own_table(spark):
+    """Rows that reach each exchange are those of one kind; none of them has a null key, and a source that most name is no list."""
+    sha = lambda i: f"{i:064x}"
+    blobs = spark.createDataFrame([(i, "git", f"git:1:{i % 3}", sha(i)) for i in range(30)], "blob_id long, source_type string, source_id string, sha256 string")
+    attachments = spark.createDataFrame([(i, sha(100 + i)) for i in range(5)], "attachment_id long, sha256 string")
+    uris = [f"memory://patch_blobs/git/git:1:0/{sha(0)}"] * 40 + [f"memory://patch_blobs/git/git:1:0/{sha(1)}"] * 3 + ["memory://patch_blobs/git/git:1:1"] * 5 + [f"memory://patch_blobs/sha256/{sha(7)}"] * 2 + ["memory://patch_blobs/blob_id/9"] * 4 + [f"memory://attachments/2/{sha(102)}"] * 6 + ["s3://x/y", None, "memory://attachments/77/" + sha(1)]
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate(uris)], "n long, evidence_uri string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = joins.resolve_evidence(rows, blobs, attachments)
+        got = sorted((r["kind"] or "", r["resolution"], r["found_blob_id"]) for r in df.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(got) == len(uris)
+    counts = {k: got.count(k) for k in set(got)}
+    assert counts == {("patch_blobs", "ok", None): 40, ("patch_blobs", "hash_mismatch", None): 3, ("legacy", "ok", 1): 5, ("sha256", "ok", 7): 2, ("blob_id", "ok", 9): 4, ("attachments", "ok", None): 6, ("attachments", "not_found", None): 1, ("", "invalid", None): 2}
+    plan = df._jdf.queryExecution().executedPlan()
+
+    def exchanges(node):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            yield from exchanges(node.executedPlan())
+        elif "QueryStage" in name:
+            yield from exchanges(node.plan())
+        else:
+            if name == "Exchange":
+                yield int(node.metrics().apply("shuffleRecordsWritten").value()), node.output().mkString(",")
+            for i in range(node.children().size()):
+                yield from exchanges(node.children().apply(i))
+
+    sizes = sorted({n for n, columns in exchanges(plan) if "evidence_uri" in columns})
+    assert sizes and set(sizes) <= {43, 40, 3, 5, 2, 4, 7}
+
+
 def test_audit_answers_each_row(spark):
     rows = spark.createDataFrame([(1, "a/b", "aa"), (2, None, "aa"), (3, "", "aa"), (4, "a/c", "aa"), (5, "none", "aa")], "blob_id long, uri string, sha256 string")
     files = spark.createDataFrame([("a/b", "aa"), ("a/c", "bb"), (".", "aa")], "path string, sha256 string")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerline.operators.aggregates import audit_stats, evidence_coverage, evidence_modes, intercept_stats, outbox_stats
 from ledgerline.registry import query
 from ledgerline.sources.ledger import EVENTS_NOW, ORDERS_NOW, Ledger, ts
+from ledgerline.sources.versions import Folder
 
 
 def reliability_report(outbox: DataFrame, audit: DataFrame, blobs: DataFrame, attachments: DataFrame, outbox_now: Column, audit_now: Column) -> DataFrame:
@@ -23,14 +24,9 @@ def reliability_report(outbox: DataFrame, audit: DataFrame, blobs: DataFrame, at
 
 def refresh(spark: SparkSession, df: DataFrame, path: str, version: int) -> tuple[int, int]:
     """Write df as the next version of a table (path/v=<version>); the rows before and after."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        before = spark.read.parquet(f"{path}/v={version - 1}").count()
-    except AnalysisException:
-        before = 0
+    count = lambda v: spark.read.parquet(f"{path}/v={v}").count() if f"v={v}" in Folder(spark, path).names("") else 0
     df.write.mode("overwrite").parquet(f"{path}/v={version}")
-    return before, spark.read.parquet(f"{path}/v={version}").count()
+    return count(version - 1), count(version)
 
 
 @query("reliability_report", f"""SELECT section, metric, value FROM (SELECT 'outbox' AS section, count(*)::double AS total, count(*) FILTER (status = 'pending')::double AS pending, count(*) FILTER (status = 'sent')::double AS sent, count(*) FILTER (status = 'dead')::double AS dead, avg(retry_count)::double AS avg_retry_count, (epoch_us(TIMESTAMP '{ORDERS_NOW}') - epoch_us(min(created_at) FILTER (status = 'pending'))) / 1000000.0::double AS oldest_pending_age_seconds FROM outbox) UNPIVOT (value FOR metric IN (total, pending, sent, dead, avg_retry_count, oldest_pending_age_seconds))

@@ -26,6 +26,8 @@ MODULES = (
     "ledgerline.plans.reports",
     "ledgerline.sources.queries",
     "ledgerline.sources.objects",
+    "ledgerline.sources.migrations",
+    "ledgerline.sources.readback",
 )
 
 _found: dict[str, tuple[Callable[[Ledger], DataFrame], str | None]] = {}

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import discard, keep, materialize, scratch, table
+from ledgerline.llm.common import discard, keep, materialize, scanned, scratch, table
 
 #: A conversation's first turns that another may take over, at most; families of conversations are so many ids.
 HEAD, FAMILY = 8, 5
@@ -18,30 +18,6 @@ HEAD, FAMILY = 8, 5
 CHUNK = 4096
 
 
-def _merged(kind: str, a: Column, b: Column) -> Column:
-    both = {"sum": lambda: a + b, "max": lambda: F.greatest(a, b), "xor": lambda: a.bitwiseXOR(b)}[kind]()
-    return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(both)
-
-
-def scanned(df: DataFrame, group: Sequence[str], order: Sequence[Column], values: dict[str, tuple[str, Column]]) -> DataFrame:
-    """df with, for each name, the sum, max or xor of a column over the rows that come before a row in its group; null where there are none.
-
-    Rows are sorted into ranges of (group, order), so one large group is spread over many tasks: each range is summed inside, and of the few groups
-    that reach over several ranges, two a range at most, the sums of the ranges before are added.
-    """
-    agg = {"sum": F.sum, "max": F.max, "xor": F.bit_xor}
-    held = materialize(df.repartitionByRange(*[F.col(g) for g in group], *order).withColumn("_p", F.spark_partition_id()), "ranges")
-    ends = held.groupBy("_p").agg(F.min(F.struct(*group)).alias("a"), F.max(F.struct(*group)).alias("z"))
-    wide = ends.select("_p", F.explode(F.array_distinct(F.array("a", "z"))).alias("_g")).groupBy("_g").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select("_g.*")
-    total = held.join(F.broadcast(wide), [*group], "left_semi").groupBy(*group, "_p").agg(*[agg[k](c).alias(name) for name, (k, c) in values.items()])
-    earlier = Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offset = materialize(total.select(*group, "_p", *[agg[k](name).over(earlier).alias(f"_of_{name}") for name, (k, _) in values.items()]), "offsets")
-    before = Window.partitionBy(*group, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = held.withColumns({name: agg[k](c).over(before) for name, (k, c) in values.items()})
-    out = local.join(F.broadcast(offset), [*group, "_p"], "left")
-    return out.select(*df.columns, *[_merged(k, F.col(name), F.col(f"_of_{name}")).alias(name) for name, (k, _) in values.items()])
-
-
 def turns_of(df: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv, pos, digest, bytes): the turns of each conversation, numbered from 1 in order of turn (null first), then role, then text.
 

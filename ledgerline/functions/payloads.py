@@ -68,3 +68,53 @@ def normalized_evidence(old: Column, new: Column) -> Column:
     """Evidence of version 2: the new one, or the old list of texts as external references."""
     external = F.transform(old, lambda u: F.struct(u.alias("uri"), F.lit(None).cast("string").alias("sha256"), F.lit("external").alias("kind")))
     return F.when(F.size(new) > 0, new).otherwise(F.coalesce(external, F.array().cast("array<struct<uri:string,sha256:string,kind:string>>")))
+
+
+#: An item of evidence as a struct. origin is LEGACY where a bare text has become an item.
+ITEM = "struct<uri: string, sha256: string, origin: string>"
+#: Fixed values of the contract: the mark of items that were bare texts, and the codes of faults with what is named behind them.
+LEGACY = "evidence_refs_legacy"
+FAULT = "struct<place: int, code: string, error: boolean, said: string>"
+
+
+def items_of(old: Column, new: Column) -> Column:
+    """(items, source) of evidence: the new one (an array of ITEM), else the old list of texts without its empty ones, each as an item without a hash; source is v2, v1_mapped or none."""
+    mapped = F.transform(F.filter(old, lambda u: u.isNotNull() & (u != "")), lambda u: F.struct(u.alias("uri"), F.lit("").alias("sha256"), F.lit(LEGACY).alias("origin")))
+    has = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    none = F.array().cast(f"array<{ITEM}>")
+    return F.struct(F.when(has(new), new).when(has(old), mapped).otherwise(none).alias("items"), F.when(has(new), "v2").when(has(old), "v1_mapped").otherwise("none").alias("source"))
+
+
+def evidence_faults(items: Column) -> Column:
+    """What is wrong with each item, an array of (place, code, error, said): the first rule that holds; an item without a fault has no row. Legacy items without a hash are warned of only."""
+    empty = lambda c: F.coalesce(c == "", F.lit(True))
+
+    def rules(item: Column, place: Column) -> Column:
+        at = F.concat(F.lit("evidence["), place.cast("string"), F.lit("]"))
+        table = (
+            ("EVIDENCE_MISSING_URI", True, empty(item["uri"]), at),
+            ("EVIDENCE_LEGACY_NO_SHA256", False, empty(item["sha256"]) & F.coalesce(item["origin"] == LEGACY, F.lit(False)), F.concat_ws(":", at, item["uri"])),
+            ("EVIDENCE_MISSING_SHA256", True, empty(item["sha256"]), F.concat_ws(":", at, item["uri"])),
+            ("EVIDENCE_INVALID_SHA256", True, ~item["sha256"].rlike("^[0-9a-fA-F]{64}$"), F.concat(at, F.lit(":"), F.substring(item["sha256"], 1, 16), F.lit("..."))),
+        )
+        out = None
+        for code, error, holds, named in table:
+            fault = F.struct(place.cast("int").alias("place"), F.lit(code).alias("code"), F.lit(error).alias("error"), F.concat_ws(":", F.lit(code), named).alias("said"))
+            out = F.when(holds, fault) if out is None else out.when(holds, fault)
+        return out
+
+    return F.filter(F.transform(F.coalesce(items, F.array().cast(f"array<{ITEM}>")), rules), lambda f: f.isNotNull())
+
+
+def validated_evidence(items: Column) -> Column:
+    """(is_valid, error_codes, compat_warnings) of items; none is valid."""
+    faults = evidence_faults(items)
+    of = lambda error: F.transform(F.filter(faults, lambda f: f["error"] == F.lit(error)), lambda f: f["said"])
+    return F.struct((~F.exists(faults, lambda f: f["error"])).alias("is_valid"), of(True).alias("error_codes"), of(False).alias("compat_warnings"))
+
+
+def evidence_gate(mode: Column, items: Column) -> Column:
+    """(action, reason) of a write by its evidence: strict refuses what is not valid, with the first code as its reason; compat, and no mode, let all pass."""
+    first = F.get(F.filter(evidence_faults(items), lambda f: f["error"]), F.lit(0))["code"]
+    stop = (F.coalesce(mode, F.lit("compat")) == "strict") & first.isNotNull()
+    return F.struct(F.when(stop, "reject").otherwise("allow").alias("action"), F.when(stop, F.concat(F.lit("evidence_validation:"), F.lower(first))).otherwise("evidence_accepted").alias("reason"))

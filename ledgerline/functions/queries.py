@@ -136,3 +136,32 @@ def _built(db: Ledger):
     event = payloads.audit_event(F.lit("api"), F.lit("store"), F.col("actor_user_id"), F.col("target_space"), F.col("action"), F.col("reason"), F.col("reason"), F.array(F.col("correlation_id")), F.col("created_at"))
     out = db.write_audit().select("audit_id", event.alias("j"))
     return out.select("audit_id", F.get_json_object("j", "$.payload_sha").alias("payload_sha"), F.get_json_object("j", "$.payload_len").cast("int").alias("payload_len"), F.get_json_object("j", "$.event_ts").alias("event_ts"))
+
+
+_EVIDENCE = """, ev AS (SELECT doc_id, doc_id % 3 AS n, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN coalesce(source, '') ELSE 'memory://' || doc_id END AS uri, CASE doc_id % 4 WHEN 0 THEN sha256(coalesce(text, '')) WHEN 1 THEN substr(sha256(coalesce(text, '')), 1, 63) WHEN 2 THEN '' END AS sha, coalesce(source, '') AS src, lang FROM documents),
+li AS (SELECT doc_id, CASE n WHEN 0 THEN [{'uri': uri, 'sha': sha, 'old': false}, {'uri': src, 'sha': sha, 'old': false}] WHEN 1 THEN list_filter([{'uri': uri, 'sha': '', 'old': true}, {'uri': lang, 'sha': '', 'old': true}], lambda x: x.uri <> '') ELSE [] END AS l FROM ev),
+it AS (SELECT doc_id, i, l[i + 1].uri AS uri, l[i + 1].sha AS sha, l[i + 1].old AS old FROM (SELECT *, unnest(range(len(l))) AS i FROM li)),
+fa AS (SELECT *, CASE WHEN coalesce(uri, '') = '' THEN 'EVIDENCE_MISSING_URI' WHEN coalesce(sha, '') = '' AND old THEN 'EVIDENCE_LEGACY_NO_SHA256' WHEN coalesce(sha, '') = '' THEN 'EVIDENCE_MISSING_SHA256' WHEN length(sha) <> 64 THEN 'EVIDENCE_INVALID_SHA256' END AS code FROM it)
+"""
+
+
+def _evidence_items(db: Ledger):
+    """Documents with evidence of version 2, as old texts, and without any: uris and hashes of every right and wrong form."""
+    k, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    uri = F.when(k % 5 == 0, "").when(k % 5 == 2, F.coalesce("source", F.lit(""))).when(k % 5 != 1, F.concat(F.lit("memory://"), k.cast("string")))
+    sha = F.when(k % 4 == 0, F.sha2(text, 256)).when(k % 4 == 1, F.substring(F.sha2(text, 256), 1, 63)).when(k % 4 == 2, "")
+    item = lambda u: F.struct(u.alias("uri"), sha.alias("sha256"), F.lit(None).cast("string").alias("origin"))
+    new = F.when(k % 3 == 0, F.array(item(uri), item(F.coalesce("source", F.lit("")))))
+    return db.raw("documents").select("doc_id", F.when(k % 8 < 4, "strict").when(k % 8 < 6, "compat").alias("mode"), payloads.items_of(F.when(k % 3 == 1, F.array(uri, F.col("lang"))), new).alias("e"))
+
+
+@query("evidence_faults", _EVIDENCE + "SELECT doc_id, i::int AS place, code, code <> 'EVIDENCE_LEGACY_NO_SHA256' AS error, code || ':evidence[' || i || ']' || CASE code WHEN 'EVIDENCE_MISSING_URI' THEN '' WHEN 'EVIDENCE_INVALID_SHA256' THEN ':' || substr(sha, 1, 16) || '...' ELSE ':' || uri END AS said FROM fa WHERE code IS NOT NULL")
+def _evidence_faults(db: Ledger):
+    return _evidence_items(db).select("doc_id", F.explode(payloads.evidence_faults(F.col("e.items"))).alias("f")).select("doc_id", "f.*")
+
+
+@query("evidence_gate", _EVIDENCE + """SELECT doc_id, CASE n WHEN 0 THEN 'v2' WHEN 1 THEN 'v1_mapped' ELSE 'none' END AS source, bad IS NULL AS is_valid, CASE WHEN doc_id % 8 < 4 AND bad IS NOT NULL THEN 'reject' ELSE 'allow' END AS action, CASE WHEN doc_id % 8 < 4 AND bad IS NOT NULL THEN 'evidence_validation:' || lower(bad) ELSE 'evidence_accepted' END AS reason
+FROM ev LEFT JOIN (SELECT doc_id, arg_min(code, i) AS bad FROM fa WHERE code <> 'EVIDENCE_LEGACY_NO_SHA256' GROUP BY 1) USING (doc_id)""")
+def _evidence_gate(db: Ledger):
+    gate = payloads.evidence_gate(F.col("mode"), F.col("e.items"))
+    return _evidence_items(db).select("doc_id", F.col("e.source").alias("source"), payloads.validated_evidence(F.col("e.items"))["is_valid"].alias("is_valid"), gate["action"].alias("action"), gate["reason"].alias("reason"))

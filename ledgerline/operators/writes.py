@@ -133,10 +133,13 @@ def inserted_audits(audit: DataFrame, users: DataFrame, new: DataFrame, now: Col
 
 
 def merged_json(old: Column, new: Column) -> Column:
-    """A shallow merge of two flat JSON objects as text, keys in order, the new value winning; values stay as their text."""
-    as_map = lambda j: F.coalesce(F.from_json(j, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    """A shallow merge of two JSON objects as text, keys in order, the new value winning; nested values and numbers stay what they are, and what is no object counts as an empty one."""
+    kind = "map<string,variant>"
+    as_map = lambda j: F.coalesce(F.from_json(j, kind), F.from_json(F.lit("{}"), kind))
     a, b = as_map(old), as_map(new)
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k)), b)))))
+    both = F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k)), b)
+    bound = F.transform(F.array(both), lambda m: F.map_from_arrays(F.array_sort(F.map_keys(m)), F.transform(F.array_sort(F.map_keys(m)), lambda k: F.element_at(m, k))))
+    return F.to_json(F.get(bound, F.lit(0)))
 
 
 def materialized(blobs: DataFrame, results: DataFrame) -> DataFrame:
@@ -173,10 +176,13 @@ def evidence_uri(source_type: Column, source_id: Column, sha256: Column) -> Colu
 
 
 def filled_evidence(blobs: DataFrame) -> DataFrame:
-    """blobs with an evidence uri where it is missing: the one in their meta, else the canonical one."""
+    """blobs with an evidence uri where it is missing: the one in their meta, else the canonical one; and with it in their meta, where that has none."""
     empty = F.col("evidence_uri").isNull() | (F.col("evidence_uri") == "")
     meta = F.nullif(F.get_json_object("meta_json", "$.evidence_uri"), F.lit(""))
-    return blobs.withColumn("evidence_uri", F.when(empty, F.coalesce(meta, evidence_uri(F.col("source_type"), F.col("source_id"), F.col("sha256")))).otherwise(F.col("evidence_uri")))
+    uri = F.when(empty, F.coalesce(meta, evidence_uri(F.col("source_type"), F.col("source_id"), F.col("sha256")))).otherwise(F.col("evidence_uri"))
+    out = blobs.withColumn("evidence_uri", uri)
+    said = F.to_json(F.struct(F.col("evidence_uri").alias("evidence_uri")))
+    return out.withColumn("meta_json", F.when(meta.isNull() & F.col("evidence_uri").isNotNull(), merged_json(F.col("meta_json"), said)).otherwise(F.col("meta_json")))
 
 
 def filled_source_ids(facts: DataFrame) -> DataFrame:
@@ -293,6 +299,17 @@ def _evidence(db: Ledger):
     return filled_evidence(db.patch_blobs()).select("blob_id", "evidence_uri")
 
 
+@query("blobs_meta_filled", """SELECT blob_id, uri AS evidence_uri, CASE WHEN blob_id % 3 = 0 AND blob_id % 2 = 0 THEN 'old://' || blob_id ELSE uri END AS in_meta, CASE WHEN blob_id % 3 = 0 THEN blob_id % 7 END AS depth FROM (SELECT blob_id, CASE WHEN coalesce(evidence_uri, '') <> '' THEN evidence_uri WHEN blob_id % 3 = 0 AND blob_id % 2 = 0 THEN 'old://' || blob_id ELSE 'memory://patch_blobs/git/' || source_id || '/' || sha256 END AS uri FROM patch_blobs)""")
+def _meta(db: Ledger):
+    """Meta with a uri and without, nested and absent: the uri is written back where there was none, and what is nested stays so."""
+    k = F.col("blob_id")
+    nested = F.struct((k % 7).alias("depth"))
+    meta = F.when(k % 3 == 0, F.to_json(F.struct(F.when(k % 2 == 0, F.concat(F.lit("old://"), k.cast("string"))).alias("evidence_uri"), nested.alias("more")))).when(k % 3 == 1, "{}")
+    out = filled_evidence(db.patch_blobs().withColumn("meta_json", meta))
+    said = lambda path: F.get_json_object("meta_json", path)
+    return out.select("blob_id", "evidence_uri", said("$.evidence_uri").alias("in_meta"), said("$.more.depth").cast("long").alias("depth"))
+
+
 @query("audit_updated", "SELECT audit_id, CASE WHEN status = 'pending' AND audit_id % 3 = 0 THEN reason || ':outbox:' || audit_id ELSE reason END AS reason, CASE WHEN status = 'pending' AND audit_id % 3 = 0 THEN 'redirected' ELSE status END AS status FROM write_audit")
 def _update(db: Ledger):
     audit = db.write_audit()

@@ -103,6 +103,11 @@ def test_merged_json(spark):
     assert [r[0] for r in df.select(writes.merged_json(F.col("o"), F.col("n"))).collect()] == ['{"a":"x","b":"2"}', '{"z":"1"}', '{"a":"1"}']
 
 
+def test_merged_json_keeps_what_is_nested(spark):
+    df = spark.createDataFrame([('{"b": {"x": [1, 2]}, "n": 5, "d": "t"}', '{"a": null, "c": {"k": true}}'), ("no object", '{"q": 1.5}'), ("[1]", None)], "o string, n string")
+    assert [r[0] for r in df.select(writes.merged_json(F.col("o"), F.col("n"))).collect()] == ['{"a":null,"b":{"x":[1,2]},"c":{"k":true},"d":"t","n":5}', '{"q":1.5}', "{}"]
+
+
 def test_numbering(spark):
     state = spark.createDataFrame([(7,)], "id long")
     got = writes.numbered(spark.range(1000).select((F.col("id") * 7 % 1000).alias("v")), state, "id", "v").orderBy("v").collect()

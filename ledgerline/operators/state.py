@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.functions.identifiers import legacy_breaker_keys
 from ledgerline.operators.lookups import latest_per
 from ledgerline.operators.writes import merged_json, upsert
 from ledgerline.registry import query
@@ -31,6 +32,32 @@ def pause_rows(pauses: DataFrame) -> DataFrame:
     return pauses.select(F.lit(PAUSES).alias("namespace"), F.concat_ws(":", F.col("repo_id").cast("string"), "job_type").alias("key"), value.alias("value_json"), "updated_at")
 
 
+#: Fixed values of the ledger's contract: what a breaker keeps, with its type, and the states that it can be in; any other counts as closed.
+BREAKER = {"state": "string", "opened_at": "double", "half_open_attempts": "int", "half_open_successes": "int", "last_failure_reason": "string", "smoothed_failure_rate": "double", "smoothed_rate_limit_rate": "double", "smoothed_timeout_rate": "double"}
+BREAKER_STATES = ("closed", "open", "half_open")
+
+
+def breaker_rows(breakers: DataFrame) -> DataFrame:
+    """breakers (key, updated_at and what BREAKER names, absent columns being null) as key-value rows."""
+    held = [(F.col(c) if c in breakers.columns else F.lit(None)).cast(kind).alias(c) for c, kind in BREAKER.items()]
+    return breakers.select(F.lit(HEALTH).alias("namespace"), "key", F.to_json(F.struct(*held, F.col("key").alias("key")), {"ignoreNullFields": "false"}).alias("value_json"), "updated_at")
+
+
+def loaded_breakers(kv: DataFrame, keys: DataFrame) -> DataFrame:
+    """For each of keys (key): found_key and what BREAKER names, from the row of that key, or of the first of its older forms that there is.
+
+    A breaker without a row is closed, without samples, and has no found_key; so is, but for its times, one whose state is unknown.
+    """
+    asked = keys.select("key").distinct().select("key", F.posexplode(F.concat(F.array("key"), legacy_breaker_keys(F.col("key")))).alias("place", "_k"))
+    rows = kv.where(F.col("namespace") == HEALTH).select(F.col("key").alias("_k"), "value_json")
+    found = asked.join(rows, "_k").groupBy("key").agg(F.min_by(F.struct("_k", "value_json"), "place").alias("f"))
+    said = F.from_json("f.value_json", ", ".join(f"{c} {kind}" for c, kind in BREAKER.items()))
+    out = keys.select("key").distinct().join(found, "key", "left").withColumn("_s", said)
+    state = F.when(F.col("_s.state").isin(*BREAKER_STATES), F.col("_s.state")).otherwise("closed")
+    count = lambda c: F.coalesce(f"_s.{c}", F.lit(0)).alias(c)
+    return out.select("key", F.col("f._k").alias("found_key"), state.alias("state"), *[count(c) if kind == "int" else F.col(f"_s.{c}").alias(c) for c, kind in BREAKER.items() if c != "state"])
+
+
 def pauses(kv: DataFrame, now: Column, expired: bool | None = False) -> DataFrame:
     """(repo_id, job_type, paused_until, reason) of key-value rows: those that hold, those that are over, or all for None."""
     until = F.try_to_timestamp(F.regexp_replace(F.get_json_object("value_json", "$.paused_until"), "Z$", "+00:00"))
@@ -198,3 +225,17 @@ def _rate_buckets(db: Ledger):
     at = lambda c: F.unix_micros(c) / F.lit(1_000_000.0)
     buckets = last.select(F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("instance"), (k / 10).alias("tokens"), at(F.col("ts")).alias("last_refill"), F.when(k % 2 == 0, 0.00001).alias("rate"), F.when(k % 3 == 0, 5).alias("burst"), F.when(k % 4 == 0, at(ts(EVENTS_NOW)) + 60).alias("paused_until"), F.col("ts").alias("updated_at"))
     return bucket_status(bucket_rows(buckets), ts(EVENTS_NOW))
+
+
+@query("breakers_loaded", """SELECT 'p:instance:gl' || u AS key, CASE u % 4 WHEN 0 THEN 'p:instance:gl' || u WHEN 1 THEN 'instance:gl' || u WHEN 2 THEN 'gl' || u END AS found_key, CASE WHEN u % 4 = 3 OR k % 3 = 2 THEN 'closed' WHEN k % 3 = 0 THEN 'open' ELSE 'half_open' END AS state,
+  CASE WHEN u % 4 < 3 AND k % 3 = 0 THEN epoch_us(ts) / 1000000.0::double END AS opened_at, CASE WHEN u % 4 < 3 AND k % 3 = 1 THEN k % 5 ELSE 0 END::int AS half_open_attempts, CASE WHEN u % 4 < 3 AND k % 2 = 0 THEN k / 100.0::double END AS smoothed_failure_rate
+  FROM (SELECT user_id AS u, ts, k FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM l_e) WHERE rn = 1)""")
+def _breakers(db: Ledger):
+    """Breakers that are kept under their key, under two older forms of it, or not at all; where a key and an older form are both there, the key counts."""
+    last = db._events().groupBy(F.col("user_id").alias("u")).agg(F.max_by(F.struct("ts", "k"), F.struct("ts", "event_id")).alias("m")).select("u", "m.*")
+    u, k, name = F.col("u"), F.col("k"), F.concat(F.lit("gl"), F.col("u").cast("string"))
+    key = F.when(u % 4 == 0, F.concat(F.lit("p:instance:"), name)).when(u % 4 == 1, F.concat(F.lit("instance:"), name)).when(u % 4 == 2, name)
+    held = last.where(u % 4 < 3).select(key.alias("key"), F.when(k % 3 == 0, "open").when(k % 3 == 1, "half_open").otherwise("strange").alias("state"), F.when(k % 3 == 0, F.unix_micros("ts") / 1_000_000.0).alias("opened_at"), F.when(k % 3 == 1, k % 5).alias("half_open_attempts"), F.when(k % 2 == 0, k / 100.0).alias("smoothed_failure_rate"), F.col("ts").alias("updated_at"))
+    older = last.where(u % 4 == 0).select(name.alias("key"), F.lit("open").alias("state"), F.col("ts").alias("updated_at"))
+    kv = breaker_rows(held).unionByName(breaker_rows(older))
+    return loaded_breakers(kv, last.select(F.concat(F.lit("p:instance:"), name).alias("key"))).select("key", "found_key", "state", "opened_at", "half_open_attempts", "smoothed_failure_rate")

@@ -75,10 +75,10 @@ def _cards(db: Ledger):
     return rows.select("conv_id", "turn", text.card_payload_sha(card).alias("payload_sha"), F.endswith(card, F.lit(text.CARD_MARK)).alias("cut"))
 
 
-@query("texts_detected", rf"""SELECT doc_id, form, regexp_matches(t, '(?m)^[-+]{{3}}\s|^@@\s|^diff\s--git|^Index:\s') AS diff, regexp_matches(t, '(?m){_LOG}') AS log FROM (SELECT doc_id, form, substr(text, 1, 60) || chr(10) || CASE form WHEN 0 THEN '+++ b.txt' WHEN 1 THEN '@@ x' WHEN 2 THEN 'Index: a' WHEN 3 THEN 'ERROR: x' WHEN 4 THEN '[2024-01-01] x' WHEN 5 THEN '2024-01-01T10:00' WHEN 6 THEN '[INFO] x' WHEN 7 THEN 'diff --git a b' WHEN 8 THEN '++ no' ELSE 'error: no' END AS t FROM documents, range(10) f(form))""")
+@query("texts_detected", rf"""SELECT doc_id, form, regexp_matches(t, '(?m)^[-+]{{3}}\s|^@@\s|^diff\s--git|^Index:\s') AS diff, regexp_matches(t, '(?m){_LOG}') AS log FROM (SELECT doc_id, form, text || chr(10) || CASE form WHEN 0 THEN '+++ b.txt' WHEN 1 THEN '@@ x' WHEN 2 THEN 'Index: a' WHEN 3 THEN 'ERROR: x' WHEN 4 THEN '[2024-01-01] x' WHEN 5 THEN '2024-01-01T10:00' WHEN 6 THEN '[INFO] x' WHEN 7 THEN 'diff --git a b' WHEN 8 THEN '++ no' ELSE 'error: no' END AS t FROM documents, range(10) f(form))""")
 def _detected(db: Ledger):
     forms = F.array(*[F.lit(x) for x in ("+++ b.txt", "@@ x", "Index: a", "ERROR: x", "[2024-01-01] x", "2024-01-01T10:00", "[INFO] x", "diff --git a b", "++ no", "error: no")])
-    rows = db.raw("documents").select("doc_id", F.substring("text", 1, 60).alias("head"), F.posexplode(forms).alias("form", "line"))
+    rows = db.raw("documents").select("doc_id", F.col("text").alias("head"), F.posexplode(forms).alias("form", "line"))
     t = F.concat("head", F.lit("\n"), "line")
     return rows.select("doc_id", F.col("form").cast("long").alias("form"), text.is_diff(t).alias("diff"), text.is_log(t).alias("log"))
 

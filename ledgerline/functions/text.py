@@ -72,7 +72,12 @@ def pointerized(text: Column, uri: Column | None = None, sha256: Column | None =
     kind = F.when(is_diff(text), "diff").when(is_log(text), "log")
     where = F.coalesce(F.nullif(uri, F.lit("")), F.lit(LOCAL_URI)) if uri is not None else F.lit(LOCAL_URI)
     digest = F.coalesce(sha256, F.sha2(text, 256)) if sha256 is not None else F.sha2(text, 256)
-    return F.when(kind.isNotNull(), filled(POINTER, kind=kind, uri=where, sha256=digest)).otherwise(text)
+    return bound(kind, lambda k: F.when(k.isNotNull(), filled(POINTER, kind=k, uri=where, sha256=digest)).otherwise(text))
+
+
+def bound(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often it is used: inside a lambda Spark shares nothing."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def filled(template: str, **values: Column) -> Column:
@@ -88,7 +93,8 @@ def card_markdown(kind: Column, owner: Column, module: Column, summary: Column,
     event_id, svn_rev, git_commit, mr as text, of which empty ones are left out.
     """
     header = [F.concat(F.lit(f"[{name}] "), c) for name, c in zip(CARD_HEADER, (F.upper(kind), owner, module, F.lower(visibility), F.lower(ttl), F.lower(confidence)), strict=True)]
-    numbered = F.transform(F.slice(details, 1, CARD_DETAILS), lambda t, i: F.concat((i + 1).cast("string"), F.lit(") "), trim(pointerized(t), CARD_DETAIL)["content"]))
+    shown = F.transform(F.slice(details, 1, CARD_DETAILS), lambda t: pointerized(t))
+    numbered = F.transform(shown, lambda t, i: F.concat((i + 1).cast("string"), F.lit(") "), trim(t, CARD_DETAIL)["content"]))
 
     def lines(e: Column) -> Column:
         refs = [F.when(F.coalesce(e[r], F.lit("")) != "", F.concat(F.lit(f"  {r}="), e[r])) for r in CARD_REFS]
@@ -96,7 +102,7 @@ def card_markdown(kind: Column, owner: Column, module: Column, summary: Column,
 
     empty = F.lit("")
     out = F.concat_ws("\n", *header, empty, F.lit("[Summary]"), trim(summary, CARD_SUMMARY)["content"], empty, F.lit("[Details]"), numbered, empty, F.lit("[Evidence]"), F.transform(F.slice(evidence, 1, CARD_EVIDENCE), lines))
-    return F.when(F.length(out) > CARD_TOTAL, F.concat(F.substring(out, 1, CARD_TOTAL - CARD_ROOM), F.lit(CARD_MARK))).otherwise(out)
+    return bound(out, lambda text: F.when(F.length(text) > CARD_TOTAL, F.concat(F.substring(text, 1, CARD_TOTAL - CARD_ROOM), F.lit(CARD_MARK))).otherwise(text))
 
 
 def card_faults(owner: Column, module: Column, summary: Column, details: Column, evidence: Column) -> Column:

@@ -27,7 +27,7 @@ def outbox_claimable(now: Column, lease: int) -> Column:
 def claim_outbox(outbox: DataFrame, worker: str, now: Column, limit: int = 10, lease: int = 120) -> DataFrame:
     """outbox after a worker took due rows that are free or whose lease ended; `claimed` marks them."""
     got = taken(outbox.where(outbox_claimable(now, lease)), limit, "next_attempt_at", "created_at", "outbox_id").select("outbox_id", F.lit(True).alias("claimed"))
-    out = outbox.join(F.broadcast(got), "outbox_id", "left").withColumn("claimed", F.coalesce("claimed", F.lit(False)))
+    out = outbox.join(got, "outbox_id", "left").withColumn("claimed", F.coalesce("claimed", F.lit(False)))
     return out.withColumns({"locked_by": F.when(F.col("claimed"), F.lit(worker)).otherwise(F.col("locked_by")), "locked_at": F.when(F.col("claimed"), now).otherwise(F.col("locked_at"))})
 
 
@@ -100,7 +100,7 @@ def claim_jobs(jobs: DataFrame, worker: str, now: Column, limit: int = 1, types:
     if fair:
         free = first_per(free.withColumn("_t", F.coalesce("tenant_id", F.lit(""))), ["_t"], *order)
     got = taken(free, limit, *order).select("job_id", F.lit(True).alias("claimed"))
-    out = jobs.join(F.broadcast(got), "job_id", "left").withColumn("claimed", F.coalesce("claimed", F.lit(False)))
+    out = jobs.join(got, "job_id", "left").withColumn("claimed", F.coalesce("claimed", F.lit(False)))
     won = F.col("claimed")
     return out.withColumns({"status": F.when(won, "running").otherwise(F.col("status")), "attempts": F.when(won, F.col("attempts") + 1).otherwise(F.col("attempts")), "locked_by": F.when(won, F.lit(worker)).otherwise(F.col("locked_by")), "locked_at": F.when(won, now).otherwise(F.col("locked_at"))})
 
@@ -128,8 +128,8 @@ def settle_jobs(jobs: DataFrame, commands: DataFrame, now: Column) -> DataFrame:
 
 def reset_dead(jobs: DataFrame, limit: int | None = None) -> DataFrame:
     """Dead jobs as pending ones without attempts, lock and error; with a limit the oldest of them."""
-    dead = jobs.where("status = 'dead'").orderBy("created_at", "job_id")
-    chosen = F.broadcast((dead if limit is None else dead.limit(limit)).select("job_id", F.lit(True).alias("_hit"))) if limit is not None else dead.select("job_id", F.lit(True).alias("_hit"))
+    dead = jobs.where("status = 'dead'")
+    chosen = (dead if limit is None else dead.orderBy("created_at", "job_id").limit(limit)).select("job_id", F.lit(True).alias("_hit"))
     none = lambda c, t: F.when(F.col("_hit"), F.lit(None).cast(t)).otherwise(F.col(c))
     return jobs.join(chosen, "job_id", "left").withColumns({"status": F.when(F.col("_hit"), "pending").otherwise(F.col("status")), "attempts": F.when(F.col("_hit"), 0).otherwise(F.col("attempts")), "locked_by": none("locked_by", "string"), "locked_at": none("locked_at", "timestamp"), "last_error": none("last_error", "string")}).drop("_hit")
 

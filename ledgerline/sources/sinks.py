@@ -65,8 +65,10 @@ def prometheus_lines(metrics: DataFrame, prefix: str = "ledger") -> DataFrame:
 
 
 def envelope(df: DataFrame, code: str = "OK", limit: int = 1000) -> DataFrame:
-    """One row of JSON: {ok, code, rows} with at most `limit` rows."""
-    return df.limit(limit).agg(F.to_json(F.struct(F.lit(code == "OK").alias("ok"), F.lit(code).alias("code"), F.collect_list(F.struct(*df.columns)).alias("rows"))).alias("json"))
+    """One row of JSON: {ok, code, rows} with at most `limit` rows, which are one answer to one caller; where there are more, truncated says so."""
+    first = df.limit(limit + 1).agg(F.collect_list(F.struct(*df.columns)).alias("_all"))
+    more = F.when(F.size("_all") > limit, F.lit(True)).alias("truncated")
+    return first.select(F.to_json(F.struct(F.lit(code == "OK").alias("ok"), F.lit(code).alias("code"), F.slice("_all", 1, limit).alias("rows"), more)).alias("json"))
 
 
 def append_by_day(df: DataFrame, when: str, path: str) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.payloads import COUNTERS
@@ -181,6 +181,37 @@ def reconcile_totals(outbox: DataFrame, missing: DataFrame) -> DataFrame:
     return outbox.groupBy("status").agg(F.count(F.lit(1)).alias("rows")).join(lost, F.col("status") == F.col("_s"), "left").select("status", "rows", F.coalesce("missing", F.lit(0)).alias("missing"), F.coalesce("fixed", F.lit(0)).alias("fixed"))
 
 
+#: Bits that a sketch keeps of a value: a kept value is at most 1 / 2**BITS below the true one, relative to itself.
+BITS = 6
+
+
+def latency_sketch(requests: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, low, n, total, least, most) of requests: the counts of values whose first BITS + 1 binary digits are those of low, with their sum, least and most.
+
+    Values are whole numbers from 0; null and negative ones are left out. A group has at most 64 * 2**BITS rows, however many requests it has, and
+    sketches add up: see merged_sketch().
+    """
+    x = F.col(value).cast("long")
+    shift = F.greatest(F.length(F.bin(x)) - 1 - BITS, F.lit(0))
+    low = F.expr("shiftleft(shiftright(_x, _s), _s)")
+    rows = requests.where(x >= 0).withColumn("_x", x).withColumn("_s", shift).withColumn("low", low)
+    return rows.groupBy(*by, "low").agg(F.count(F.lit(1)).alias("n"), F.sum("_x").alias("total"), F.min("_x").alias("least"), F.max("_x").alias("most"))
+
+
+def merged_sketch(sketch: DataFrame, by: list[str]) -> DataFrame:
+    """The sketch of coarser groups, of those of finer ones: over runs, hours, or instances."""
+    return sketch.groupBy(*by, "low").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("least").alias("least"), F.max("most").alias("most"))
+
+
+def latency_stats(sketch: DataFrame, by: list[str], percentiles: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
+    """(by, n, least, mean, most, p50, ...) of a sketch: exact but for the percentiles, of which each is the low of the value at that rank, so at most 1 / 2**BITS below it."""
+    so_far = F.sum("n").over(Window.partitionBy(*by).orderBy("low"))
+    every = F.sum("n").over(Window.partitionBy(*by))
+    rows = sketch.withColumns({"_at": so_far, "_all": every})
+    rank = lambda p: F.ceil(F.col("_all") * p / 100)
+    return rows.groupBy(*by).agg(F.sum("n").alias("n"), F.min("least").alias("least"), (F.sum("total") / F.sum("n")).alias("mean"), F.max("most").alias("most"), *[F.min(F.when(F.col("_at") >= rank(p), F.col("low"))).alias(f"p{p}") for p in percentiles])
+
+
 def evidence_summary(refs: Column) -> Column:
     """Of an array of structs (uri, sha256): count, whether any has a hash, the first five uris."""
     return F.struct(F.size(refs).alias("count"), F.exists(refs, lambda r: r["sha256"].isNotNull() & (r["sha256"] != "")).alias("has_strong"), F.slice(F.transform(refs, lambda r: r["uri"]), 1, 5).alias("uris"))
@@ -276,3 +307,12 @@ def _reconcile(db: Ledger):
 
     box = db.outbox().where("status != 'pending'")
     return reconcile_totals(box, unaudited(box, db.write_audit()).withColumn("fixed", F.col("outbox_id") % 2 == 0))
+
+
+@query("request_latencies", """, lt AS (SELECT l_suppkey AS repo_id, floor(l_extendedprice)::bigint AS x FROM lineitem),
+lr AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY x) AS rn, count(*) OVER (PARTITION BY repo_id) AS c, greatest(floor(log2(greatest(x, 1)))::int - 6, 0) AS s FROM lt)
+SELECT repo_id, count(*) AS n, min(x) AS least, sum(x)::double / count(*) AS mean, max(x) AS most, min(CASE WHEN rn = ceil(c * 50 / 100) THEN (x >> s) << s END) AS p50, min(CASE WHEN rn = ceil(c * 95 / 100) THEN (x >> s) << s END) AS p95, min(CASE WHEN rn = ceil(c * 99 / 100) THEN (x >> s) << s END) AS p99 FROM lr GROUP BY 1""")
+def _latencies(db: Ledger):
+    """Prices of lines stand for latencies: sketches of a repository's runs, one a return flag, merged."""
+    requests = db.raw("lineitem").select(F.col("l_suppkey").alias("repo_id"), F.col("l_returnflag").alias("run"), F.floor("l_extendedprice").cast("long").alias("micros"))
+    return latency_stats(merged_sketch(latency_sketch(requests, ["repo_id", "run"], "micros"), ["repo_id"]), ["repo_id"])

@@ -118,3 +118,61 @@ def evidence_gate(mode: Column, items: Column) -> Column:
     first = F.get(F.filter(evidence_faults(items), lambda f: f["error"]), F.lit(0))["code"]
     stop = (F.coalesce(mode, F.lit("compat")) == "strict") & first.isNotNull()
     return F.struct(F.when(stop, "reject").otherwise("allow").alias("action"), F.when(stop, F.concat(F.lit("evidence_validation:"), F.lower(first))).otherwise("evidence_accepted").alias("reason"))
+
+
+def correlation(given: Column, row: Column) -> Column:
+    """A correlation id of the contract's form; for one of another form, one that a hash of it and of the row gives, so reruns agree."""
+    made = F.concat(F.lit("corr-"), F.substring(F.sha2(F.concat_ws("|", F.coalesce(given, F.lit("")), row.cast("string")), 256), 1, 16))
+    return F.when(given.rlike("^corr-[0-9a-f]{16}$"), given).otherwise(made)
+
+
+def _json(fields: dict[str, Column], nulls: bool) -> Column:
+    return F.to_json(F.struct(*[c.alias(name) for name, c in fields.items()]), {"ignoreNullFields": str(not nulls).lower()})
+
+
+def event_json(source: str, operation: Column, at: Column, correlation_id: Column, items: Column, given: dict[str, Column], extra: dict[str, Column] | None = None) -> Column:
+    """An audit event as JSON. given names its columns: actor, spaces, action, reason, payload and trim are told even where they are null; ids of the
+    outbox, retries and the policy's mode are not. Of the groups policy, validation and pointer an event has those that say something. extra holds what only one source tells; where all of it is null it is left out.
+    """
+    none = F.lit(None).cast("string")
+    has = lambda name: given.get(name, none)
+    group = lambda names, when: F.when(when, F.struct(*[has(n).alias(short) for n, short in names.items()]))
+    uris = F.transform(F.filter(items, lambda i: F.coalesce(i["uri"], F.lit("")) != ""), lambda i: i["uri"])
+    n = F.greatest(F.coalesce(F.size(items), F.lit(0)), F.lit(0))
+    strong = F.coalesce(F.exists(items, lambda i: F.coalesce(i["sha256"], F.lit("")) != ""), F.lit(False))
+    core = {
+        "schema_version": F.lit("2.0"), "source": F.lit(source), "operation": operation, "correlation_id": correlation_id, "actor_user_id": has("actor_user_id"), "requested_space": has("requested_space"), "final_space": has("final_space"),
+        "decision": F.struct(has("action").alias("action"), has("reason").alias("reason")), "payload_sha": has("payload_sha"), "payload_len": given.get("payload_len", F.lit(None).cast("int")),
+        "evidence_summary": F.struct(n.alias("count"), strong.alias("has_strong"), F.slice(F.coalesce(uris, F.array().cast("array<string>")), 1, 5).alias("uris")),
+        "trim": F.struct(F.coalesce(given.get("was_trimmed", F.lit(False)), F.lit(False)).alias("was_trimmed"), has("trim_why").alias("why"), given.get("original_len", F.lit(None).cast("int")).alias("original_len")),
+        "refs": F.coalesce(uris, F.array().cast("array<string>")), "event_ts": F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+    }
+    said = lambda *names: F.concat(*[F.coalesce(has(n).cast("string"), F.lit("")) for n in names])
+    policy = {"policy_mode": "mode", "policy_mode_reason": "mode_reason", "policy_version": "policy_version", "policy_source": "policy_source"}
+    pointed = F.coalesce(given.get("is_pointerized", F.lit(False)), F.lit(False))
+    rest = {name: given[name] for name in ("outbox_id", "memory_id", "retry_count", "next_attempt_at", "policy_mode") if name in given}
+    rest["policy"] = F.when((said(*policy) != "") | pointed, F.struct(*[has(c).alias(short) for c, short in policy.items()], pointed.alias("is_pointerized")))
+    rest["validation"] = group({"validate_refs_effective": "validate_refs_effective", "validate_refs_reason": "validate_refs_reason"}, said("validate_refs_effective", "validate_refs_reason") != "")
+    rest["pointer"] = F.when(pointed & (said("requested_space") != "") & (said("pointer_space") != ""), F.struct(has("requested_space").alias("from_space"), has("pointer_space").alias("to_space"), has("pointer_reason").alias("reason"), F.lit(True).alias("preserved")))
+    if extra:
+        told = F.concat(*[F.coalesce(c.cast("string"), F.lit("")) for c in extra.values()]) != ""
+        rest["extra"] = F.when(told, F.struct(*[c.alias(name) for name, c in extra.items()]))
+    one, two = _json(core, True), _json(rest, False)
+    return F.when(two == "{}", one).otherwise(F.concat(F.substr(one, F.lit(1), F.length(one) - 1), F.lit(","), F.substr(two, F.lit(2), F.length(two))))
+
+
+def gateway_event(operation: Column, at: Column, correlation_id: Column, items: Column, given: dict[str, Column], intended: Column | None = None) -> Column:
+    """An event of a gateway; intended is what a redirected write was meant to be."""
+    return event_json("gateway", operation, at, correlation_id, items, given, {} if intended is None else {"intended_action": intended})
+
+
+def worker_event(operation: Column, at: Column, correlation_id: Column, given: dict[str, Column], worker: Column, attempt: Column) -> Column:
+    """An event of an outbox worker: requested and final space are one, and who worked is told beside the correlation id."""
+    both = given | {"requested_space": given["target_space"], "final_space": given["target_space"]}
+    return event_json("outbox_worker", operation, at, correlation_id, F.array().cast(f"array<{ITEM}>"), both, {"correlation_id": correlation_id, "worker_id": F.nullif(worker, F.lit("")), "attempt_id": F.nullif(attempt, F.lit(""))})
+
+
+def reconcile_event(operation: Column, at: Column, correlation_id: Column, given: dict[str, Column], locked_by: Column, locked_at: Column) -> Column:
+    """An event of a reconciliation, with the lock that it found."""
+    both = given | {"requested_space": given["target_space"], "final_space": given["target_space"]}
+    return event_json("reconcile_outbox", operation, at, correlation_id, F.array().cast(f"array<{ITEM}>"), both, {"reconciled": F.lit(True), "original_locked_by": F.nullif(locked_by, F.lit("")), "original_locked_at": F.date_format(locked_at, "yyyy-MM-dd'T'HH:mm:ss'Z'")})

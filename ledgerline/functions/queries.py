@@ -165,3 +165,27 @@ FROM ev LEFT JOIN (SELECT doc_id, arg_min(code, i) AS bad FROM fa WHERE code <>
 def _evidence_gate(db: Ledger):
     gate = payloads.evidence_gate(F.col("mode"), F.col("e.items"))
     return _evidence_items(db).select("doc_id", F.col("e.source").alias("source"), payloads.validated_evidence(F.col("e.items"))["is_valid"].alias("is_valid"), gate["action"].alias("action"), gate["reason"].alias("reason"))
+
+
+@query("audit_events_by_source", r"""SELECT outbox_id, s AS source, CASE WHEN outbox_id % 3 = 0 THEN 'corr-' || substr(md5(outbox_id::varchar), 1, 16) ELSE 'corr-' || substr(sha256(CASE WHEN outbox_id % 3 = 1 THEN 'odd' ELSE '' END || '|' || outbox_id), 1, 16) END AS correlation_id, CASE s WHEN 'gateway' THEN CASE WHEN outbox_id % 2 = 0 THEN 'private:w' END ELSE target_space END AS final_space,
+  CASE WHEN s <> 'gateway' THEN retry_count END AS retry_count, CASE WHEN s = 'gateway' AND outbox_id % 2 = 0 THEN target_space || '>private:w' END AS pointer, CASE WHEN s = 'gateway' AND outbox_id % 5 > 0 THEN 'm' || outbox_id % 5 END AS mode, CASE s WHEN 'gateway' THEN CASE WHEN outbox_id % 2 = 0 THEN 'deferred' END WHEN 'outbox_worker' THEN locked_by ELSE coalesce(locked_by, '-') || ' ' || coalesce(strftime(locked_at, '%Y-%m-%dT%H:%M:%SZ'), '-') END AS told,
+  CASE WHEN s = 'gateway' AND outbox_id % 4 > 0 THEN 1 ELSE 0 END AS n_refs, true AS has_null_actor FROM outbox, (SELECT unnest(['gateway', 'outbox_worker', 'reconcile_outbox']) AS s)""")
+def _by_source(db: Ledger):
+    """Each outbox row as an event of each source: sections that say nothing are absent, core fields are there and null."""
+    k, at = F.col("outbox_id"), F.col("created_at")
+    corr = payloads.correlation(F.when(k % 3 == 0, F.concat(F.lit("corr-"), F.substring(F.md5(k.cast("string")), 1, 16))).when(k % 3 == 1, "odd"), k)
+    shared = {"target_space": F.col("target_space"), "outbox_id": k, "retry_count": F.col("retry_count"), "payload_sha": F.col("payload_sha")}
+    even = k % 2 == 0
+    own = {"requested_space": F.col("target_space"), "final_space": F.when(even, "private:w"), "is_pointerized": even, "pointer_space": F.when(even, "private:w"), "policy_mode": F.when(k % 5 > 0, F.concat(F.lit("m"), (k % 5).cast("string")))}
+    items = F.when(k % 4 > 0, F.array(F.struct(F.lit("u").alias("uri"), F.lit(None).cast("string").alias("sha256"), F.lit(None).cast("string").alias("origin"))))
+    events = {
+        "gateway": payloads.gateway_event(F.lit("store"), at, corr, items, own, F.when(even, "deferred")),
+        "outbox_worker": payloads.worker_event(F.lit("flush"), at, corr, shared, F.col("locked_by"), F.lit(None).cast("string")),
+        "reconcile_outbox": payloads.reconcile_event(F.lit("fix"), at, corr, shared, F.col("locked_by"), F.col("locked_at")),
+    }
+    rows = db.outbox().select("outbox_id", F.explode(F.array(*events.values())).alias("j"))
+    said = lambda path: F.get_json_object("j", f"$.{path}")
+    pointer = F.when(said("pointer.from_space").isNotNull(), F.concat(said("pointer.from_space"), F.lit(">"), said("pointer.to_space")))
+    lock = F.concat(F.coalesce(said("extra.original_locked_by"), F.lit("-")), F.lit(" "), F.coalesce(said("extra.original_locked_at"), F.lit("-")))
+    told = F.when(said("source") == "gateway", said("extra.intended_action")).when(said("source") == "outbox_worker", said("extra.worker_id")).otherwise(lock)
+    return rows.select("outbox_id", said("source").alias("source"), said("correlation_id").alias("correlation_id"), said("final_space").alias("final_space"), said("retry_count").cast("int").alias("retry_count"), pointer.alias("pointer"), said("policy.mode").alias("mode"), told.alias("told"), said("evidence_summary.count").cast("int").alias("n_refs"), F.col("j").contains('"actor_user_id":null').alias("has_null_actor"))

@@ -146,6 +146,20 @@ def stored(rows: DataFrame, root: str) -> DataFrame:
     return rows.select(F.col("key").cast("string"), F.col("content").cast("binary")).mapInArrow(run, "key string, uri string, size long, sha256 string")
 
 
+def read_back(uris: DataFrame, path: str, tasks: int | None = None) -> DataFrame:
+    """(uri, size, sha256) of the objects of uris (uri) that are there, empty ones too, which is also a table at path. Each is hashed in parts by the task that its uri is dealt to, and no folder is listed."""
+    spark = uris.sparkSession
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            there = [(u, *_digest(*at)[::-1]) for u in batch.column(0).to_pylist() if _there(*(at := _at(u)))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*there, strict=True) if there else [[]] * 3, (pa.string(), pa.int64(), pa.string()), strict=True)], names=["uri", "size", "sha256"])
+
+    dealt = uris.select("uri").where("uri is not null").distinct().repartition(tasks or int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("uri"))
+    dealt.mapInArrow(run, "uri string, size long, sha256 string").write.mode("overwrite").parquet(path)
+    return spark.read.schema("uri string, size long, sha256 string").parquet(path)
+
+
 def summary(results: DataFrame) -> DataFrame:
     """(state, n, bytes) of copied objects."""
     return results.groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
@@ -157,9 +171,14 @@ def with_new_uris(rows: DataFrame, results: DataFrame, column: str = "uri") -> D
     return rows.join(new, column, "left").withColumn(column, F.coalesce("_to", column)).select(*rows.columns)
 
 
+def _key():
+    """The object of a document: its id and the hash of its text, as an id may be null or that of several texts."""
+    return F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit("_"), F.sha2(F.coalesce("text", F.lit("")), 256))
+
+
 def _plan(db: Ledger, root: str) -> DataFrame:
     """Texts as objects, of which some are not there, some are not what the ledger says, and some targets are there already, right or wrong."""
-    docs = db.raw("documents").select(F.col("doc_id").cast("string").alias("key"), F.col("doc_id").alias("n"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    docs = db.raw("documents").select(_key().alias("key"), F.coalesce("doc_id", F.lit(2)).alias("n"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
     n = F.col("n")
     stored(docs.where(n % 11 != 0), f"{root}/source").write.format("noop").mode("overwrite").save()
     stored(docs.where(n % 7 == 0), f"{root}/target").write.format("noop").mode("overwrite").save()
@@ -181,14 +200,14 @@ def _copied(db: Ledger) -> tuple[str, DataFrame]:
 @query("objects_copied", _STATES + "SELECT doc_id AS blob_id, state, CASE WHEN state <> 'missing' THEN octet_length(encode(t))::bigint END AS size, CASE WHEN state <> 'missing' THEN sha256(t) END AS sha256 FROM ob")
 def _objects(db: Ledger):
     """Every text of the documents as an object that is copied from one folder to another."""
-    return _copied(db)[1].select(F.col("key").cast("long").alias("blob_id"), "state", "size", "sha256")
+    return _copied(db)[1].select(F.split_part("key", F.lit("_"), F.lit(1)).try_cast("long").alias("blob_id"), "state", "size", "sha256")
 
 
 @query("objects_after_copy", _STATES + "SELECT doc_id AS blob_id, CASE WHEN state IN ('verified', 'skipped') THEN 'target' ELSE 'source' END AS place, state IN ('verified', 'skipped') AS safe FROM ob")
 def _after(db: Ledger):
-    """The uris after the copy, and whether the listing of the target has the text's content there."""
+    """The uris after the copy, and whether what is read back at the target is the text's content."""
     root, results = _copied(db)
-    docs = db.raw("documents").select(F.col("doc_id").alias("blob_id"), F.concat(F.lit(f"{root}/source/"), F.col("doc_id").cast("string")).alias("uri"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+    files = read_back(results.select(F.col("target").alias("uri")), f"{root}/there").select("uri", F.col("sha256").alias("_sha"))
+    docs = db.raw("documents").select(F.col("doc_id").alias("blob_id"), F.concat(F.lit(f"{root}/source/"), _key()).alias("uri"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
     moved = with_new_uris(docs, results).withColumn("place", F.element_at(F.split("uri", "/"), -2))
-    files = db.spark.read.format("binaryFile").load(f"{root}/target").select(F.element_at(F.split("path", "/"), -1).cast("long").alias("blob_id"), F.sha2("content", 256).alias("_sha"))
-    return moved.join(files, "blob_id", "left").select("blob_id", "place", ((F.col("place") == "target") & (F.col("_sha") == F.col("sha256"))).alias("safe")).withColumn("safe", F.coalesce("safe", F.lit(False)))
+    return moved.join(files, "uri", "left").select("blob_id", "place", F.coalesce((F.col("place") == "target") & (F.col("_sha") == F.col("sha256")), F.lit(False)).alias("safe"))

@@ -3,7 +3,9 @@
 import hashlib
 
 import pytest
+from oracle import assert_same, connect
 
+from ledgerline import registry
 from ledgerline.sources import objects
 from ledgerline.sources.artifacts import ArtifactStore
 
@@ -83,3 +85,20 @@ def test_parts_of_one_object(spark, tmp_path):
     with pytest.raises(ValueError):
         store.put_parts("k/two", [b"other"], sha256=info.sha256)
     assert not store.exists("k/two") and b"".join(store.parts("k/one")) == b"".join(bytes([i]) * 1000 for i in range(5))
+
+
+ODD = [(i, f"text {i}") for i in range(120)] + [(i, f"other {i}") for i in range(60)] + [(i, f"text {i}") for i in range(20)]
+ODD += [(-i, f"below {i}") for i in range(1, 60)] + [(None, "no id"), (None, "no id either"), (None, None), (8, None), (15, "another"), (29, "another")]
+EMPTY = [(i, ("", None, f"text {i}")[i % 3]) for i in range(100)]
+
+
+@pytest.mark.parametrize("rows", [ODD, EMPTY], ids=["ids", "texts"])
+@pytest.mark.parametrize("name", ["objects_after_copy", "objects_copied"])
+def test_odd_documents_equal_sql(spark, tmp_path, name, rows):
+    """Documents of one id and other texts, or the same again, of an id below 0, and without one; and empty texts: each row is what the SQL says."""
+    con = connect()
+    con.execute("create temp table given (doc_id bigint, text varchar)")
+    con.executemany("insert into given values (?, ?)", rows)
+    con.execute(f"copy given to '{tmp_path}/documents.parquet' (format parquet)")
+    con.execute(f"create or replace view documents as select * from '{tmp_path}/documents.parquet'")
+    assert_same(registry.queries()[name](spark, str(tmp_path)), registry.oracle_sql()[name], con)

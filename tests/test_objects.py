@@ -102,3 +102,12 @@ def test_odd_documents_equal_sql(spark, tmp_path, name, rows):
     con.execute(f"copy given to '{tmp_path}/documents.parquet' (format parquet)")
     con.execute(f"create or replace view documents as select * from '{tmp_path}/documents.parquet'")
     assert_same(registry.queries()[name](spark, str(tmp_path)), registry.oracle_sql()[name], con)
+
+
+def test_the_driver_lists_no_objects(spark, tmp_path):
+    """The files that the driver knows of are those of tables, so many as tasks wrote, however many objects there are."""
+    spark.range(400).selectExpr("id as doc_id", "concat('text ', id) as text").write.parquet(f"{tmp_path}/documents.parquet")
+    out = registry.queries()["objects_after_copy"](spark, str(tmp_path))
+    files = out.inputFiles()
+    assert all(f.endswith(".parquet") for f in files) and len(files) < 40
+    assert out.where("safe").count() > 100

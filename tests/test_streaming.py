@@ -30,6 +30,20 @@ def test_chunks(spark):
     assert [(x["chunk_start"], x["chunk_end"]) for x in cursors.revision_chunks(r, 10).orderBy("index").collect()] == [(1, 10), (11, 20), (21, 25)]
 
 
+def test_revision_chunks_of_many_cells(spark, tmp_path):
+    """Every chunk of ranges that fill none, one or many cells, of negative starts, and of equal ranges, once; and chunks are a few bytes each on the disk."""
+    ends = [(1, 1), (5, 4), (1, 30), (-90, 4000), (None, 3), (3, None)] + [(k, 10 * cursors.CELL * 3 + k * 7) for k in range(1, 40)] + [(11, 10 * cursors.CELL + 10), (1, 10 * cursors.CELL), (1, 10 * cursors.CELL), (0, 20 * cursors.CELL - 1)]
+    rows = [(i, a, z) for i, (a, z) in enumerate(ends)]
+    got = sorted(tuple(r) for r in cursors.revision_chunks(spark.createDataFrame(rows, "id long, start_rev long, end_rev long"), 10).select("id", "index", "total", "chunk_start", "chunk_end").collect())
+    want = [(i, k, -(-(z - a + 1) // 10), s, min(s + 9, z)) for i, a, z in rows if a is not None and z is not None for k, s in enumerate(range(a, z + 1, 10))]
+    assert got == sorted(want)
+    many = spark.range(600).selectExpr("id", "id % 20 + 100 * (id * 7919 % 150) + 1 as start_rev", "150000 - id * 104729 % 15000 as end_rev")
+    cursors.revision_chunks(many, 100).select("id", "index", "chunk_start", "chunk_end").coalesce(1).write.parquet(f"{tmp_path}/out")
+    rows = spark.read.parquet(f"{tmp_path}/out").count()
+    assert rows > 780_000 and sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 5 * rows
+
+
+
 def test_regression_is_marked(spark):
     shape = "k string, cursor_at timestamp, cursor_key string"
     old = spark.createDataFrame([("a", T, "5"), ("b", T, "5")], shape)
